@@ -240,7 +240,8 @@ def _row_index_table(rec: DataFrame, opts: FlattenOptions) -> DataFrame:
     chunks = chunks.repartition(PARENT_ID, "__c")
     lo = F.col("__c") * ROW_INDEX_CHUNK + 1
     hi = F.least(F.col("__n"), (F.col("__c") + 1) * ROW_INDEX_CHUNK)
-    idx = chunks.select(PARENT_ID, F.explode(F.sequence(lo, hi)).cast(IntegerType()).alias(ROW_IDX))
+    idx = chunks.select(PARENT_ID, F.explode(F.sequence(lo, hi)).alias(ROW_IDX))
+    idx = idx.select(PARENT_ID, F.col(ROW_IDX).cast(IntegerType()).alias(ROW_IDX))
     fields = [(PARENT_ID, pid_type), (ROW_IDX, IntegerType())]
     idx = idx.withColumn(CONTENT_HASH, content_hash(fields, opts.null_marker))
     return idx.withColumn(PARENT_ID_HASH, key_hash(F.col(PARENT_ID)))
