@@ -7,10 +7,19 @@ Two storage paths, chosen once per table by its catalog:
   ``mergeInto(...)``; the table format rewrites only affected files.
 * **Built-in session catalog** (no MERGE): each logical table is a view over
   its current *snapshot* table ``<name>__s<N>``. An upsert writes snapshot
-  N+1 = (snapshot N anti-join source keys) union source, bucketed on the key,
-  then repoints the view in one catalog call. Readers never see a half-written
-  state; the previous snapshot is kept for readers already running. Single
-  writer per table.
+  N+1 = (snapshot N anti-join source keys) union source, then repoints the
+  view in one catalog call. Readers never see a half-written state; the
+  previous snapshot is kept for readers already running. Single writer per
+  table.
+
+Layout of a snapshot: ``bucket(16, key)`` becomes a directory partition
+``_bucket = pmod(hash(key), 16)`` (like the table-format transform, it prunes
+files but does not cap read parallelism at 16 tasks the way Spark's own
+``bucketBy`` would), plus ``<date>_day`` when a date field is given. The
+write shuffles on ``(_bucket, salt)`` with about ``spark.sql.shuffle.partitions``
+distinct pairs, so each task writes about one file, the file count stays
+bounded, and a key holding a third of the rows is still spread over
+``partitions / 16`` tasks by its content-derived salt.
 """
 
 from __future__ import annotations
@@ -29,6 +38,7 @@ from shredkit.operators.upsert import dedup_source, merge_upsert
 from shredkit.plans.schema import add_columns_sql, align_schema, check_compatible, missing_fields
 
 _SNAP = "__s"
+BUCKET = "_bucket"
 _PROP_BUCKET = "shredkit.bucket_col"
 _PROP_BUCKETS = "shredkit.buckets"
 _PROP_DAY = "shredkit.day_col"
@@ -115,21 +125,30 @@ def create_table(
         w.create()
         return
     day_col = f"{date_col}_day" if date_col else None
-    if day_col:
-        df = df.withColumn(day_col, F.to_date(col(date_col)))
     _write_snapshot(df, name, 1, bucket_col, buckets, day_col, location)
 
 
+def _with_layout(df: DataFrame, bucket_col: str, buckets: int, day_col: str | None) -> DataFrame:
+    """Add the partition columns ``_bucket`` (and ``<date>_day``) to rows being written."""
+    df = df.withColumn(BUCKET, F.pmod(F.hash(col(bucket_col)), F.lit(buckets)))
+    if day_col:
+        df = df.withColumn(day_col, F.to_date(col(day_col[: -len("_day")])))
+    return df
+
+
 def _write_snapshot(df: DataFrame, name: str, n: int, bucket_col: str, buckets: int,
                     day_col: str | None, location: str | None) -> None:
     spark = df.sparkSession
     snap = _snap_name(name, n)
-    w = df.write.format("parquet").mode("errorifexists")
-    if day_col:
-        w = w.partitionBy(day_col)
-    # Each task writes one sorted file per bucket it holds: no shuffle is
-    # needed for the write itself, and later joins on the key skip theirs.
-    w = w.bucketBy(buckets, bucket_col).sortBy(bucket_col)
+    data_cols = [c for c in df.columns if c not in (BUCKET, day_col)]
+    df = _with_layout(df.select(*[col(c) for c in data_cols]), bucket_col, buckets, day_col)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, parts // buckets)
+    salt = F.pmod(F.xxhash64(*[col(c) for c in data_cols]), F.lit(salts))
+    part_cols = [BUCKET] + ([day_col] if day_col else [])
+    df = (df.repartition(parts, F.col(BUCKET), salt)
+            .sortWithinPartitions(*[F.col(c) for c in part_cols], col(bucket_col)))
+    w = df.write.format("parquet").mode("errorifexists").partitionBy(*part_cols)
     if location:
         w = w.option("path", f"{location.rstrip('/')}/{snap.replace('.', '/')}")
     w.saveAsTable(snap)
@@ -182,6 +201,11 @@ def append_table(df: DataFrame, name: str) -> None:
         aligned.writeTo(name).append()
         return
     snap = _current_snapshot(spark, name)
+    props = _props(spark, snap)
+    day_col = props.get(_PROP_DAY) or None
+    data_cols = [c for c in aligned.columns if c not in (BUCKET, day_col)]
+    aligned = _with_layout(aligned.select(*[col(c) for c in data_cols]), props[_PROP_BUCKET],
+                           int(props[_PROP_BUCKETS]), day_col)
     aligned = aligned.select(*[col(c) for c in spark.table(snap).columns])
     aligned.write.insertInto(snap)
     spark.catalog.refreshTable(snap)
@@ -204,10 +228,7 @@ def upsert_table(df: DataFrame, name: str, keys: Sequence[str],
     current = spark.table(snap)
     check_compatible(current.schema, df.schema)
     day_col = props.get(_PROP_DAY) or None
-    if day_col and day_col not in df.columns:
-        date_col = day_col[: -len("_day")]
-        if date_col in df.columns:
-            df = df.withColumn(day_col, F.to_date(col(date_col)))
+    current = current.drop(BUCKET, *([day_col] if day_col else []))
     aligned = align_schema(df, current.schema)
     merged = merge_upsert(current, aligned, keys, replace_keys)
     n = _snapshots(spark, name)[-1] + 1
