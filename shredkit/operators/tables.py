@@ -24,7 +24,6 @@ bounded, and a key holding a third of the rows is still spread over
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +41,7 @@ BUCKET = "_bucket"
 _PROP_BUCKET = "shredkit.bucket_col"
 _PROP_BUCKETS = "shredkit.buckets"
 _PROP_DAY = "shredkit.day_col"
+_PROP_SNAPSHOT = "shredkit.snapshot"
 
 
 # ------------------------------------------------------------------ names, checks
@@ -74,25 +74,18 @@ def _is_v2(spark: SparkSession, name: str) -> bool:
         spark.conf.get(f"spark.sql.catalog.{parts[0]}", None))
 
 
-def _split(name: str) -> tuple[str | None, str]:
-    parts = name.split(".")
-    return (".".join(parts[:-1]) or None, parts[-1])
-
-
-def _snapshots(spark: SparkSession, name: str) -> list[int]:
-    db, base = _split(name)
-    pat = re.compile(re.escape(base.lower()) + re.escape(_SNAP) + r"(\d+)$")
-    tables = spark.catalog.listTables(db) if db else spark.catalog.listTables()
-    return sorted(int(m.group(1)) for t in tables if (m := pat.match(t.name.lower())))
-
-
 def _snap_name(name: str, n: int) -> str:
     return f"{name}{_SNAP}{n}"
 
 
+def _snapshot_number(spark: SparkSession, name: str) -> int:
+    """Current snapshot number, kept as a property of the view (one catalog call)."""
+    return int(_props(spark, name).get(_PROP_SNAPSHOT, "0"))
+
+
 def _current_snapshot(spark: SparkSession, name: str) -> str | None:
-    snaps = _snapshots(spark, name)
-    return _snap_name(name, snaps[-1]) if snaps else None
+    n = _snapshot_number(spark, name)
+    return _snap_name(name, n) if n else None
 
 
 def _props(spark: SparkSession, table: str) -> dict[str, str]:
@@ -156,15 +149,16 @@ def _write_snapshot(df: DataFrame, name: str, n: int, bucket_col: str, buckets:
     kv = ", ".join(f"'{k}' = '{v}'" for k, v in meta.items())
     spark.sql(f"ALTER TABLE {snap} SET TBLPROPERTIES ({kv})")
     _point_view(spark, name, snap)
-    # Keep the previous snapshot for readers already running; drop older ones.
-    for old in _snapshots(spark, name):
-        if old < n - 1:
-            spark.sql(f"DROP TABLE IF EXISTS {_snap_name(name, old)}")
+    # Keep the previous snapshot for readers already running; drop the one before.
+    if n > 2:
+        spark.sql(f"DROP TABLE IF EXISTS {_snap_name(name, n - 2)}")
 
 
 def _point_view(spark: SparkSession, name: str, snap: str) -> None:
     cols = ", ".join(quote(c) for c in spark.table(snap).columns)
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {cols} FROM {snap}")
+    n = snap[len(name) + len(_SNAP):]
+    spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('{_PROP_SNAPSHOT}' = '{n}') "
+              f"AS SELECT {cols} FROM {snap}")
 
 
 # ------------------------------------------------------------------ evolve / align
@@ -231,7 +225,7 @@ def upsert_table(df: DataFrame, name: str, keys: Sequence[str],
     current = current.drop(BUCKET, *([day_col] if day_col else []))
     aligned = align_schema(df, current.schema)
     merged = merge_upsert(current, aligned, keys, replace_keys)
-    n = _snapshots(spark, name)[-1] + 1
+    n = _snapshot_number(spark, name) + 1
     location = _location_root(spark, snap)
     _write_snapshot(merged, name, n, props[_PROP_BUCKET], int(props[_PROP_BUCKETS]),
                     day_col, location)

@@ -212,4 +212,14 @@ def oracle_sql() -> dict[str, str]:
 
     q["root_array"] = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
+    q["ingest_batch"] = murmur3_bigint(
+        f"SELECT {ORDER_COLS}, 'default_file_path' AS filekey FROM orders", "o_orderkey",
+        "id_hash_col")
+
+    q["keep_ordinal"] = _child(
+        "SELECT parent_id, value, _ordinal, " + sha(_v("parent_id"), "value", "_ordinal")
+        + " AS content_hash_id FROM (SELECT parent_id, value, CAST(pos AS VARCHAR) AS _ordinal "
+        "FROM (SELECT doc_id AS parent_id, unnest(string_split(text, chr(10))) AS value, "
+        "unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents))")
+
     return q

@@ -279,3 +279,54 @@ def _root_array(df: DataFrame, f: StructField, table: str, opts: FlattenOptions)
     x = _explode(level, f, opts)
     v = x.select(PARENT_ID, *_ord(opts), F.col(_ELEM).alias(VALUE))
     return {table: _finish(v, [VALUE], opts)}
+
+
+# ------------------------------------------------------------------ single steps
+# The walk above composes these; they are public for callers that want one
+# child table without the whole family.
+
+
+def expand_struct(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+    """``select(keep..., column.*)`` with managed inner names prefixed."""
+    st = df.schema[column].dataType
+    return df.select(*[col(k) for k in (keep or [])], *_fields_of(col(column), st))
+
+
+def struct_child(df: DataFrame, id_field: str, column: str,
+                 options: FlattenOptions | None = None) -> DataFrame:
+    """The child table of one struct column."""
+    opts = options or FlattenOptions(promote_json=False)
+    level = df.select(col(id_field).alias(PARENT_ID), col(column))
+    rec = level.where(col(column).isNotNull()).select(
+        PARENT_ID, *_fields_of(col(column), df.schema[column].dataType))
+    return _record_table(rec, opts)
+
+
+def explode_struct_child(df: DataFrame, id_field: str, column: str,
+                         options: FlattenOptions | None = None) -> DataFrame:
+    """The child table of one array-of-struct column."""
+    opts = options or FlattenOptions(promote_json=False)
+    f = df.schema[column]
+    level = df.select(col(id_field).alias(PARENT_ID), col(column))
+    x = _explode(level, f, opts)
+    rec = x.select(PARENT_ID, *_ord(opts), *_fields_of(F.col(_ELEM), f.dataType.elementType))
+    return _record_table(rec, opts)
+
+
+def explode_value_child(df: DataFrame, id_field: str, column: str,
+                        options: FlattenOptions | None = None) -> DataFrame:
+    """The value table of one array-of-scalar column."""
+    opts = options or FlattenOptions(promote_json=False)
+    f = df.schema[column]
+    level = df.select(col(id_field).alias(PARENT_ID), col(column))
+    v = _explode(level, f, opts).select(PARENT_ID, *_ord(opts), F.col(_ELEM).alias(VALUE))
+    return _finish(v, [VALUE], opts)
+
+
+def unwrap_root_array(df: DataFrame, table: str = "main",
+                      options: FlattenOptions | None = None) -> dict[str, DataFrame]:
+    """Flatten documents that are a bare array with no id (R2)."""
+    fields = [f for f in df.schema.fields if f.name not in MANAGED]
+    if len(fields) != 1 or not isinstance(fields[0].dataType, ArrayType):
+        raise ValueError("expected a single array column")
+    return _root_array(df, fields[0], table, options or FlattenOptions())

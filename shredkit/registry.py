@@ -19,6 +19,7 @@ from shredkit.constants import CONTENT_HASH, DATE_FORMAT, PARENT_ID
 from shredkit.functions.hashing import content_hash, key_hash
 from shredkit.functions.names import snake_case
 from shredkit.functions.text import parse_date
+from shredkit.operators.ingest import ingest_batch
 from shredkit.operators.tables import append_table, create_table, save_table
 from shredkit.operators.upsert import merge_upsert
 from shredkit.plans import nest
@@ -286,6 +287,25 @@ def stream_ingest(spark, d):
         CONTENT_HASH, "parent_id_hash_col")
 
 
+def ingest_batch_q(spark, d):
+    """K4/K5: flatten and save the whole table family, twice; the second run is a
+    keyed upsert of identical rows and must leave the tables unchanged."""
+    doc = nest.nested_orders(spark, d)
+    name = _table_name("orders_ingest")
+    cfg = IngestConfig(table=name, id_field="o_orderkey", location=scratch_path(spark, "tables"),
+                       options=FlattenOptions(promote_json=False, dedup_main=True))
+    ingest_batch(doc, cfg)
+    ingest_batch(doc, cfg)
+    return spark.table(name).select(*ORDER_COLS, "id_hash_col", "filekey")
+
+
+def keep_ordinal(spark, d):
+    """Q4 option: repeated lines of a document are kept apart by their position."""
+    doc = nest.doc_lines(spark, d)
+    opts = FlattenOptions(promote_json=False, keep_ordinal=True)
+    return flatten(doc, "doc_id", "documents", opts)["documents_lines"]
+
+
 def jdbc_query(spark, d):
     """A SQL query run over JDBC (embedded in-memory Derby, this process only),
     read in parallel range partitions."""
@@ -328,4 +348,6 @@ def queries() -> dict[str, Query]:
         "jdbc_query": jdbc_query,
         "with_file_key": with_file_key_q,
         "root_array": root_array,
+        "ingest_batch": ingest_batch_q,
+        "keep_ordinal": keep_ordinal,
     }
