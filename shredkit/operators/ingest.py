@@ -11,6 +11,27 @@ from shredkit.operators.tables import save_table
 from shredkit.plans.flatten import flatten
 
 
+def _persist_spread(df: DataFrame) -> DataFrame:
+    """Persist the batch, spreading it first when it has fewer partitions than cores.
+
+    Each document fans out into many child rows, so the batch's partition
+    count sets the parallelism of every table built from it. A source with
+    plenty of splits (the normal case on a cluster) is kept as it is; a batch
+    in a handful of partitions (one small file, one row group) is dealt
+    round-robin over the cores once, from the cache.
+    """
+    spark = df.sparkSession
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()  # materialise once; every table below reads the cache
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    spread = df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
+    spread.count()
+    df.unpersist()
+    return spread
+
+
 def ingest_batch(df: DataFrame, cfg: IngestConfig) -> list[str]:
     """Flatten one batch of documents and save main and child tables.
 
@@ -25,7 +46,7 @@ def ingest_batch(df: DataFrame, cfg: IngestConfig) -> list[str]:
                    cfg.file_key, cfg.buckets, cfg.on_duplicate, cfg.latest_by,
                    location=cfg.location)
         return [cfg.table]
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = _persist_spread(df)
     try:
         tables = flatten(df, cfg.id_field, cfg.table, cfg.options)
         written = []
