@@ -109,15 +109,21 @@ def _walk(level: DataFrame, table: str, path: str, depth: int,
         name = child_name(table, f.name)
         sub = f"{path}{f.name}"
         if isinstance(dtype, ArrayType):
-            exploded = _explode(level, f, opts)
             elem = dtype.elementType
             if isinstance(elem, StructType):
-                rec = exploded.select(PARENT_ID, *_ord(opts), *_fields_of(F.col(_ELEM), elem))
+                # Deeper tables read from the unfiltered elements: a null element
+                # yields null nested fields, which explode to nothing anyway, and
+                # without a filter on the whole element Catalyst can prune the
+                # sibling fields those tables never read.
+                every = _explode(level, f, opts, drop_null=False)
+                rec = _explode(level, f, opts).select(
+                    PARENT_ID, *_ord(opts), *_fields_of(F.col(_ELEM), elem))
                 t = _record_table(rec, opts)
                 if _register(out, name, t, opts):
-                    _walk(rec, name, sub + ".", depth + 1, out, opts)
+                    below = every.select(PARENT_ID, *_ord(opts), *_fields_of(F.col(_ELEM), elem))
+                    _walk(below, name, sub + ".", depth + 1, out, opts)
             else:
-                v = exploded.select(PARENT_ID, *_ord(opts), F.col(_ELEM).alias(VALUE))
+                v = _explode(level, f, opts).select(PARENT_ID, *_ord(opts), F.col(_ELEM).alias(VALUE))
                 _register(out, name, _finish(v, [VALUE], opts), opts)
         elif isinstance(dtype, StructType):
             # Filter on the struct itself *before* expanding it, so an inner field
@@ -126,7 +132,8 @@ def _walk(level: DataFrame, table: str, path: str, depth: int,
                 PARENT_ID, *_ord(opts), *_fields_of(col(f.name), dtype))
             t = _record_table(rec, opts)
             if _register(out, name, t, opts):
-                _walk(rec, name, sub + ".", depth + 1, out, opts)
+                below = level.select(PARENT_ID, *_ord(opts), *_fields_of(col(f.name), dtype))
+                _walk(below, name, sub + ".", depth + 1, out, opts)
 
 
 def _promote_level(level: DataFrame, path: str, opts: FlattenOptions) -> DataFrame:
@@ -142,16 +149,17 @@ def _promote_level(level: DataFrame, path: str, opts: FlattenOptions) -> DataFra
     return jsoncols.promote(level, schemas)
 
 
-def _explode(level: DataFrame, f: StructField, opts: FlattenOptions) -> DataFrame:
+def _explode(level: DataFrame, f: StructField, opts: FlattenOptions,
+             drop_null: bool = True) -> DataFrame:
     """Inner explode: null/empty arrays give no rows (Catalyst pushes that filter
-    into the scan and prunes the element fields that are never read)."""
+    into the scan). Null elements are dropped when the type allows them."""
     c = col(f.name)
     if opts.keep_ordinal:
         x = level.select(PARENT_ID, *_ord_in(level), F.posexplode(c).alias(_POS, _ELEM))
         x = x.select(PARENT_ID, _next_ord(x).alias(ORDINAL), _ELEM)
     else:
         x = level.select(PARENT_ID, F.explode(c).alias(_ELEM))
-    if f.dataType.containsNull:
+    if drop_null and f.dataType.containsNull:
         x = x.where(F.col(_ELEM).isNotNull())
     return x
 

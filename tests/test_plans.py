@@ -21,14 +21,17 @@ def test_flatten_launches_no_job(spark):
     spark.sparkContext.setJobGroup("other", "other")
 
 
-def test_explode_prunes_nested_columns(spark):
+def test_deeper_tables_prune_sibling_fields(spark):
     path = scratch_path(spark, "nested")
-    spark.createDataFrame([(1, [(1, "a", 2.0)])], "id int, items array<struct<k:int,v:string,w:double>>") \
+    spark.createDataFrame([(1, [(1, "q", [(2, "x")])])],
+                          "id int, orders array<struct<a:int,b:string,items:array<struct<k:int,v:string>>>>") \
         .write.parquet(path)
-    df = spark.read.parquet(path).select("id", F.struct(F.col("items")).alias("wrap")).select("id", "items" if False else "wrap")
-    t = flatten(spark.read.parquet(path), "id", "m", FlattenOptions(promote_json=False))["m_items"]
-    plan = t.select("parent_id", "k")._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<id:int,items:array<struct<k:int" in plan or "items:array<struct<k:int,v:string,w:double>>" in plan
+    t = flatten(spark.read.parquet(path), "id", "m", FlattenOptions(promote_json=False))
+    plan = t["m_orders_items"]._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:int,orders:array<struct<items:array<struct<k:int,v:string>>>>>" in plan
+    main_plan = t["m"]._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:int>" in main_plan
+    assert sorted((r.parent_id, r.k, r.v) for r in t["m_orders_items"].collect()) == [(1, 2, "x")]
 
 
 def test_dedup_shares_one_shuffle(spark):
