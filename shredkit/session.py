@@ -15,12 +15,17 @@ def build_session(
     shuffle_partitions: int | None = None,
     catalog: dict[str, str] | None = None,
     extra: dict[str, str] | None = None,
+    broadcast_bytes: int = 10 * 1024 * 1024,
 ) -> SparkSession:
     """A session with the settings results depend on.
 
     * ``spark.sql.session.timeZone=UTC``: timestamp text (and so content hashes)
       must not depend on the machine's zone.
     * AQE on, with skew-join splitting and partition coalescing.
+    * Broadcasts only on *measured* sizes: the planner's static estimate is off
+      (it can be far too low after an aggregate that builds arrays), and AQE
+      turns a shuffle join into a broadcast join only when the materialised
+      side is under ``broadcast_bytes``.
     * ``catalog``: plain ``spark.sql.catalog.<name>.*`` options for a V2 table
       catalog (Iceberg with a Glue or warehouse catalog, for instance); passed
       through as given.
@@ -33,6 +38,8 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_bytes),
         "spark.ui.enabled": "false",
     }
     if shuffle_partitions:
