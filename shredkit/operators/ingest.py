@@ -9,6 +9,7 @@ from shredkit.config import IngestConfig
 from shredkit.constants import CONTENT_HASH, PARENT_ID
 from shredkit.operators.tables import save_table
 from shredkit.plans.flatten import flatten
+from shredkit.session import parallelism
 
 
 def _persist_spread(df: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def _persist_spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df.count()  # materialise once; every table below reads the cache
-    want = spark.sparkContext.defaultParallelism
+    want = parallelism(spark)
     if df.rdd.getNumPartitions() >= want:
         return df
     spread = df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)

@@ -60,14 +60,53 @@ def scratch_root(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # Spark Connect has no SparkContext
+            d = None
     if not d:
         d = tempfile.mkdtemp(prefix="shredkit-ckpt-")
+        try:
+            spark.sparkContext.setCheckpointDir(d)
+        except Exception:
+            pass
         spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores the session can use at once (falls back to shuffle partitions)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect has no SparkContext
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the scratch root."""
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def table_catalog_conf(name: str, kind: str, warehouse: str,
+                       extra: dict[str, str] | None = None) -> dict[str, str]:
+    """Spark conf for an Iceberg catalog called ``name``.
+
+    ``kind="glue"`` uses the Glue catalog implementation with S3 file IO;
+    anything else is a path-based (``hadoop``) catalog under ``warehouse``.
+    Only one of ``type`` / ``catalog-impl`` is set, as the catalog requires.
+    The jars must be on the cluster's classpath.
+    """
+    p = f"spark.sql.catalog.{name}"
+    conf = {
+        p: "org.apache.iceberg.spark.SparkCatalog",
+        f"{p}.warehouse": warehouse,
+        "spark.sql.extensions":
+            "org.apache.iceberg.spark.extensions.IcebergSparkSessionExtensions",
+    }
+    if kind.lower() == "glue":
+        conf[f"{p}.catalog-impl"] = "org.apache.iceberg.aws.glue.GlueCatalog"
+        conf[f"{p}.io-impl"] = "org.apache.iceberg.aws.s3.S3FileIO"
+    else:
+        conf[f"{p}.type"] = "hadoop"
+    conf.update(extra or {})
+    return conf

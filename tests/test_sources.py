@@ -51,3 +51,16 @@ def test_snake_case_forms_agree(spark):
     got = [r[0] for r in df.select(snake_case(F.col("s"))).collect()]
     assert got == [snake_case_str(n) for n in names]
     assert snake_case_str("My-FileName") == "my__file_name"
+
+
+def test_catalog_conf_sets_one_kind():
+    from shredkit.operators.tables import qualified_name
+    from shredkit.session import table_catalog_conf
+
+    glue = table_catalog_conf("cat", "glue", "s3://b/w")
+    assert "spark.sql.catalog.cat.catalog-impl" in glue and "spark.sql.catalog.cat.type" not in glue
+    path = table_catalog_conf("cat", "hadoop", "s3a://b/w")
+    assert path["spark.sql.catalog.cat.type"] == "hadoop"
+    assert "spark.sql.catalog.cat.catalog-impl" not in path
+    assert qualified_name("My-Table.json", "cat", "db") == "cat.db.my__table"
+    assert qualified_name(None, "cat") == "cat.main"
