@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from shredkit.functions.names import col
 from shredkit.plans.jsoncols import variant_type_to_ddl
@@ -67,30 +67,31 @@ def parse_json_column(
     """Parse a text column of JSON documents into columns.
 
     The schema is inferred on the cluster when not given. A text holding an
-    array of documents gives one row per element. Text that is not valid JSON
-    keeps its raw form in ``_corrupt_record`` (PERMISSIVE), other columns null.
+    array of documents gives one row per element (one parse: an array schema
+    also accepts a lone object). Text that is not valid JSON gives one row with
+    its raw form in ``_corrupt_record`` (PERMISSIVE) and the other fields null.
     """
-    if schema is None:
-        schema = infer_document_schema(df, column)
-        if schema is None:
-            return df.select(F.lit(None).cast("string").alias(CORRUPT) if not keep_corrupt
-                             else col(column).alias(CORRUPT))
-    ddl = schema if isinstance(schema, str) else schema.simpleString()
     others = [col(c) for c in df.columns if c != column]
     c = col(column)
-    is_arr = F.trim(c).startswith("[")
-    parsed_obj = F.from_json(c, ddl)
+    if schema is None:
+        schema = infer_document_schema(df, column)
+        if schema is None:  # nothing parses as an object: every row is corrupt
+            return df.select(*others, *([c.alias(CORRUPT)] if keep_corrupt else []))
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    fields = [f for f in schema.fields if f.name != CORRUPT]
+    st = StructType(fields)
     if explode_arrays:
-        arr = F.from_json(c, f"ARRAY<{ddl}>")
-        # Objects become one-element arrays, so both shapes share one explode.
-        docs = F.when(is_arr, arr).otherwise(F.array(parsed_obj))
-        valid = F.when(is_arr, arr.isNotNull()).otherwise(
-            F.try_parse_json(c).isNotNull())
-        x = df.select(*others, c.alias("__raw"), valid.alias("__ok"),
-                      F.explode_outer(docs).alias("__d"))
+        docs = F.from_json(c, ArrayType(st))
+        bad = docs.isNull() & c.isNotNull()
+        # A corrupt text keeps one row (all fields null) to carry its raw form.
+        rows = F.explode(F.when(bad, F.array(F.lit(None).cast(st))).otherwise(docs))
+        x = df.select(*others, F.when(bad, c).alias("__bad"), rows.alias("__d"))
     else:
-        x = df.select(*others, c.alias("__raw"), F.try_parse_json(c).isNotNull().alias("__ok"),
-                      parsed_obj.alias("__d"))
-    out = x.select(*[col(o) for o in df.columns if o != column], "__d.*",
-                   *([F.when(~F.col("__ok"), F.col("__raw")).alias(CORRUPT)] if keep_corrupt else []))
-    return out
+        parsed = F.from_json(c, st.add(CORRUPT, StringType()),
+                             {"columnNameOfCorruptRecord": CORRUPT})
+        x = df.select(*others, parsed.getField(CORRUPT).alias("__bad"), parsed.alias("__d"))
+    return x.select(*[col(o) for o in df.columns if o != column],
+                    *[F.col("__d").getField(f.name).alias(f.name) for f in fields],
+                    *([F.col("__bad").alias(CORRUPT)] if keep_corrupt else []))
+
