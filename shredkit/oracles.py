@@ -176,7 +176,7 @@ def oracle_sql() -> dict[str, str]:
     q["align_schema"] = (
         "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
         "CAST(NULL AS TIMESTAMP) AS o_orderdate, o_orderpriority, "
-        "CAST(NULL AS VARCHAR) AS o_clerk, CAST(NULL AS INTEGER) AS o_shippriority FROM orders")
+        "CAST(NULL AS VARCHAR) AS o_clerk, CAST(NULL AS VARCHAR) AS o_comment FROM orders")
 
     q["merge_upsert"] = _merged()
     q["save_and_upsert"] = _merged(", 'batch1' AS filekey", ", 'batch2' AS filekey")
@@ -222,4 +222,18 @@ def oracle_sql() -> dict[str, str]:
         "FROM (SELECT doc_id AS parent_id, unnest(string_split(text, chr(10))) AS value, "
         "unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents))")
 
+    labelled = ("SELECT d.doc_id AS parent_id, CAST(l.quality AS VARCHAR) AS quality, "
+                "CAST(l.toxic AS VARCHAR) AS toxic, d.lang FROM documents d "
+                "LEFT JOIN labels l ON d.doc_id = l.doc_id")
+    q["flatten_with_nulls"] = _child(
+        "SELECT parent_id, quality, toxic, lang, "
+        + sha(_v("parent_id"), _v("quality"), _v("toxic"), "lang")
+        + f" AS content_hash_id FROM ({labelled})")
+    nm = "'\\N'"
+    q["null_marker"] = _child(
+        "SELECT parent_id, quality, toxic, lang, "
+        + sha(_v("parent_id"), f"coalesce({_v('quality')}, {nm})",
+              f"coalesce({_v('toxic')}, {nm})", f"coalesce(lang, {nm})")
+        + f" AS content_hash_id FROM ({labelled})")
+
     return q

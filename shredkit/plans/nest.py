@@ -94,3 +94,16 @@ def events_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with ``ts`` as text in the document date pattern (milliseconds)."""
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id", F.date_format("ts", DATE_FORMAT).alias("ts_text"), "ts")
+
+
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents + ``label struct<quality, toxic, lang>`` (scores as text);
+    unlabelled documents carry nulls inside the struct (left join), so hashes
+    meet real nulls."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    labels = table(spark, sf_dir, "labels")
+    j = docs.join(labels, "doc_id", "left")
+    return j.select("doc_id", "source",
+                    F.struct(F.col("quality").cast("string").alias("quality"),
+                             F.col("toxic").cast("string").alias("toxic"),
+                             "lang").alias("label"))

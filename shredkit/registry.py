@@ -199,7 +199,7 @@ def align_schema_q(spark, d):
     """A batch with fewer (and differently cased) columns aligned to a table schema."""
     o = _t(spark, d, "orders")
     target = (o.withColumn("o_clerk", F.lit(None).cast("string"))
-               .withColumn("o_shippriority", F.lit(None).cast("int"))).schema
+               .withColumn("o_comment", F.lit(None).cast("string"))).schema
     batch = o.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("O_ORDERSTATUS"),
                      "o_totalprice", "o_orderpriority")
     return align_schema(batch, target)
@@ -306,6 +306,20 @@ def keep_ordinal(spark, d):
     return flatten(doc, "doc_id", "documents", opts)["documents_lines"]
 
 
+def flatten_with_nulls(spark, d):
+    """Q3 default: nulls are skipped in the hash text (rows with nulls take the
+    keyed dedup branch)."""
+    doc = nest.labelled_documents(spark, d)
+    return flatten(doc, "doc_id", "documents", NO_JSON)["documents_label"]
+
+
+def null_marker(spark, d):
+    """Q3 option: nulls hash as a marker text of their own."""
+    doc = nest.labelled_documents(spark, d)
+    opts = FlattenOptions(promote_json=False, null_marker="\\N")
+    return flatten(doc, "doc_id", "documents", opts)["documents_label"]
+
+
 def jdbc_query(spark, d):
     """A SQL query run over JDBC (embedded in-memory Derby, this process only),
     read in parallel range partitions."""
@@ -350,4 +364,6 @@ def queries() -> dict[str, Query]:
         "root_array": root_array,
         "ingest_batch": ingest_batch_q,
         "keep_ordinal": keep_ordinal,
+        "flatten_with_nulls": flatten_with_nulls,
+        "null_marker": null_marker,
     }
