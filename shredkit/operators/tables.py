@@ -16,10 +16,9 @@ Layout of a snapshot: ``bucket(16, key)`` becomes a directory partition
 ``_bucket = pmod(hash(key), 16)`` (like the table-format transform, it prunes
 files but does not cap read parallelism at 16 tasks the way Spark's own
 ``bucketBy`` would), plus ``<date>_day`` when a date field is given. The
-write shuffles on ``(_bucket, salt)`` with about ``spark.sql.shuffle.partitions``
-distinct pairs, so each task writes about one file, the file count stays
-bounded, and a key holding a third of the rows is still spread over
-``partitions / 16`` tasks by its content-derived salt.
+write is a ``rebalance`` on those columns: AQE sizes the write tasks from the
+measured shuffle, splitting a hot bucket over several tasks and merging small
+ones, so files come out near the advisory partition size at any volume.
 """
 
 from __future__ import annotations
@@ -135,11 +134,12 @@ def _write_snapshot(df: DataFrame, name: str, n: int, bucket_col: str, buckets:
     snap = _snap_name(name, n)
     data_cols = [c for c in df.columns if c not in (BUCKET, day_col)]
     df = _with_layout(df.select(*[col(c) for c in data_cols]), bucket_col, buckets, day_col)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, parts // buckets)
-    salt = F.pmod(F.xxhash64(*[col(c) for c in data_cols]), F.lit(salts))
     part_cols = [BUCKET] + ([day_col] if day_col else [])
-    df = (df.repartition(parts, F.col(BUCKET), salt)
+    # Rebalance on the partition columns: AQE sizes the write tasks from the
+    # measured shuffle (splitting a hot bucket over several tasks, merging
+    # small ones), so each task writes about one file of the advisory size
+    # whatever the data volume.
+    df = (df.hint("rebalance", *part_cols)
             .sortWithinPartitions(*[F.col(c) for c in part_cols], col(bucket_col)))
     w = df.write.format("parquet").mode("errorifexists").partitionBy(*part_cols)
     if location:
