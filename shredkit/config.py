@@ -20,6 +20,8 @@ class FlattenOptions:
     json_schemas  -- precomputed ``{dotted.path: DataType}`` for promotion; when
                      given for a level, no inference job runs for it.
     max_depth     -- stop descending below this depth (root is depth 0).
+    include       -- dotted paths of the nested fields to emit (with the
+                     fields on the way to them); ``None`` emits all.
     skip_empty    -- drop child tables that turn out empty (runs one cheap
                      ``isEmpty`` job per child; off by default so ``flatten``
                      launches no job).
@@ -32,6 +34,7 @@ class FlattenOptions:
     promote_json: bool = True
     json_schemas: dict | None = None
     max_depth: int | None = None
+    include: tuple[str, ...] | None = None
     skip_empty: bool = False
     dedup_main: bool = False
 

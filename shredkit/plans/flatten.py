@@ -108,6 +108,8 @@ def _walk(level: DataFrame, table: str, path: str, depth: int,
         dtype = f.dataType
         name = child_name(table, f.name)
         sub = f"{path}{f.name}"
+        if is_scalar(dtype) or not _wanted(sub, opts):
+            continue
         if isinstance(dtype, ArrayType):
             elem = dtype.elementType
             if isinstance(elem, StructType):
@@ -136,6 +138,12 @@ def _walk(level: DataFrame, table: str, path: str, depth: int,
                 _walk(below, name, sub + ".", depth + 1, out, opts)
 
 
+def _wanted(path: str, opts: FlattenOptions) -> bool:
+    if opts.include is None:
+        return True
+    return any(p == path or p.startswith(path + ".") for p in opts.include)
+
+
 def _promote_level(level: DataFrame, path: str, opts: FlattenOptions) -> DataFrame:
     strings = [f.name for f in level.schema.fields
                if isinstance(f.dataType, StringType) and f.name not in (PARENT_ID, ORDINAL)]

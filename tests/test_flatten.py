@@ -133,3 +133,10 @@ def test_max_depth(spark):
     d = _docs(spark, {"id": 1, "o": [{"it": [{"q": 1}]}]})
     t = flatten(d, "id", "m", FlattenOptions(max_depth=1))
     assert list(t) == ["m", "m_o"]
+
+
+def test_include_list(spark):
+    d = _docs(spark, {"id": 1, "a": [{"x": 1, "b": [{"y": 2}]}], "c": {"z": 3}})
+    t = flatten(d, "id", "m", FlattenOptions(include=("a.b",)))
+    assert list(t) == ["m", "m_a", "m_a_b"]
+    assert rows(t["m_a_b"], "parent_id", "y") == [(1, 2)]
