@@ -14,12 +14,13 @@ from pyspark.sql.types import StructType
 from shredkit.config import IngestConfig
 from shredkit.operators.ingest import ingest_batch
 from shredkit.session import scratch_path
+from shredkit.sources.json import read_json_files
 
 
 def ingest_stream(
     spark: SparkSession,
     path: str,
-    schema: StructType | str,
+    schema: StructType | str | None,
     cfg: IngestConfig,
     checkpoint: str | None = None,
     available_now: bool = True,
@@ -29,10 +30,14 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Start a file-stream ingest; returns the running query.
 
-    A file stream needs a declared ``schema`` (infer it once from a sample
-    with :func:`shredkit.sources.json.read_json_files`). ``checkpoint``
-    defaults to a fresh folder under ``spark.checkpoint.dir``.
+    A file stream needs a declared ``schema``; with ``None`` it is inferred
+    once, by a batch read of the files already in ``path``. New fields that
+    appear later are not in it: restart with a wider schema (the tables
+    evolve additively). ``checkpoint`` defaults to a fresh folder under
+    ``spark.checkpoint.dir``.
     """
+    if schema is None:
+        schema = read_json_files(spark, path, multiline=multiline).schema
     reader = spark.readStream.schema(schema).option("multiLine", multiline)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
