@@ -201,7 +201,8 @@ def append_table(df: DataFrame, name: str) -> None:
     aligned = _with_layout(aligned.select(*[col(c) for c in data_cols]), props[_PROP_BUCKET],
                            int(props[_PROP_BUCKETS]), day_col)
     aligned = aligned.select(*[col(c) for c in spark.table(snap).columns])
-    aligned.write.insertInto(snap)
+    part_cols = [BUCKET] + ([day_col] if day_col else [])
+    aligned.hint("rebalance", *part_cols).write.insertInto(snap)
     spark.catalog.refreshTable(snap)
 
 
