@@ -1,6 +1,4 @@
-"""Plan properties: no jobs while flattening, pruned nested reads, stream parity."""
-
-from pyspark.sql import functions as F
+"""Plan properties: no jobs while flattening, pruned nested reads, shared shuffles."""
 
 from shredkit import FlattenOptions, flatten
 from shredkit.session import scratch_path
@@ -38,3 +36,13 @@ def test_dedup_shares_one_shuffle(spark):
     df = spark.createDataFrame([(1, [(1, "a"), (1, "a"), (2, None)])], "id int, arr array<struct<k:int,v:string>>")
     t = flatten(df, "id", "m", FlattenOptions(promote_json=False))["m_arr"]
     assert sorted((r.k, r.v) for r in t.collect()) == [(1, "a"), (2, None)]
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
+def test_no_static_broadcast_of_estimated_sides(spark):
+    from shredkit.plans import nest
+
+    doc = nest.nested_orders(spark, "/root/testdata/sf0.001")
+    plan = doc._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan  # decided later by AQE on measured sizes

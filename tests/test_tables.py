@@ -1,7 +1,6 @@
 import uuid
 
 import pytest
-from pyspark.sql import functions as F
 
 from shredkit.config import IngestConfig
 from shredkit.operators import (
