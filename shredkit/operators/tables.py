@@ -6,8 +6,8 @@ Two storage paths, chosen once per table by its catalog:
   .partitionedBy(bucket(16, key), days(date)).create()`` and
   ``mergeInto(...)``; the table format rewrites only affected files.
 * **Built-in session catalog** (no MERGE): each logical table is a view over
-  its current *snapshot* table ``<name>__s<N>``. An upsert writes snapshot
-  N+1 = (snapshot N anti-join source keys) union source, then repoints the
+  its current *snapshot* table ``<name>__s<unique id>``. An upsert writes the
+  next snapshot = (current anti-join source keys) union source, then repoints the
   view in one catalog call. Readers never see a half-written state; the
   previous snapshot is kept for readers already running. Single writer per
   table.
@@ -23,6 +23,8 @@ ones, so files come out near the advisory partition size at any volume.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,8 @@ _PROP_BUCKET = "shredkit.bucket_col"
 _PROP_BUCKETS = "shredkit.buckets"
 _PROP_DAY = "shredkit.day_col"
 _PROP_SNAPSHOT = "shredkit.snapshot"
+_PROP_PREVIOUS = "shredkit.previous"
+_PROP_STORE = "shredkit.store"
 
 
 # ------------------------------------------------------------------ names, checks
@@ -73,18 +77,31 @@ def _is_v2(spark: SparkSession, name: str) -> bool:
         spark.conf.get(f"spark.sql.catalog.{parts[0]}", None))
 
 
-def _snap_name(name: str, n: int) -> str:
-    return f"{name}{_SNAP}{n}"
+def _store_db(spark: SparkSession, name: str, location: str | None) -> str | None:
+    """Database holding the snapshot tables of ``name``.
+
+    With a ``location`` it is a database placed there, so snapshots are
+    *managed* tables under that folder: dropping one removes its files.
+    Without one, snapshots sit next to the view in the warehouse.
+    """
+    if not location:
+        return ".".join(name.split(".")[:-1]) or None
+    root = location.rstrip("/")
+    db = f"shredkit_store_{zlib.crc32(root.encode()):08x}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}'")
+    return db
 
 
-def _snapshot_number(spark: SparkSession, name: str) -> int:
-    """Current snapshot number, kept as a property of the view (one catalog call)."""
-    return int(_props(spark, name).get(_PROP_SNAPSHOT, "0"))
+def _new_snapshot_name(name: str, db: str | None) -> str:
+    # Unique per attempt: a write that died half way never blocks its retry.
+    base = name.split(".")[-1]
+    t = f"{base}{_SNAP}{uuid.uuid4().hex[:12]}"
+    return f"{db}.{t}" if db else t
 
 
 def _current_snapshot(spark: SparkSession, name: str) -> str | None:
-    n = _snapshot_number(spark, name)
-    return _snap_name(name, n) if n else None
+    """Snapshot table the view reads, kept as a property of the view."""
+    return _props(spark, name).get(_PROP_SNAPSHOT)
 
 
 def _props(spark: SparkSession, table: str) -> dict[str, str]:
@@ -117,7 +134,7 @@ def create_table(
         w.create()
         return
     day_col = f"{date_col}_day" if date_col else None
-    _write_snapshot(df, name, 1, bucket_col, buckets, day_col, location)
+    _write_snapshot(df, name, bucket_col, buckets, day_col, _store_db(spark, name, location))
 
 
 def _with_layout(df: DataFrame, bucket_col: str, buckets: int, day_col: str | None) -> DataFrame:
@@ -128,10 +145,12 @@ def _with_layout(df: DataFrame, bucket_col: str, buckets: int, day_col: str | No
     return df
 
 
-def _write_snapshot(df: DataFrame, name: str, n: int, bucket_col: str, buckets: int,
-                    day_col: str | None, location: str | None) -> None:
+def _write_snapshot(df: DataFrame, name: str, bucket_col: str, buckets: int,
+                    day_col: str | None, store: str | None) -> None:
     spark = df.sparkSession
-    snap = _snap_name(name, n)
+    previous = _current_snapshot(spark, name) if table_exists(spark, name) else None
+    older = _props(spark, name).get(_PROP_PREVIOUS) if previous else None
+    snap = _new_snapshot_name(name, store)
     data_cols = [c for c in df.columns if c not in (BUCKET, day_col)]
     df = _with_layout(df.select(*[col(c) for c in data_cols]), bucket_col, buckets, day_col)
     part_cols = [BUCKET] + ([day_col] if day_col else [])
@@ -141,23 +160,23 @@ def _write_snapshot(df: DataFrame, name: str, n: int, bucket_col: str, buckets:
     # whatever the data volume.
     df = (df.hint("rebalance", *part_cols)
             .sortWithinPartitions(*[F.col(c) for c in part_cols], col(bucket_col)))
-    w = df.write.format("parquet").mode("errorifexists").partitionBy(*part_cols)
-    if location:
-        w = w.option("path", f"{location.rstrip('/')}/{snap.replace('.', '/')}")
-    w.saveAsTable(snap)
-    meta = {_PROP_BUCKET: bucket_col, _PROP_BUCKETS: str(buckets), _PROP_DAY: day_col or ""}
+    df.write.format("parquet").mode("errorifexists").partitionBy(*part_cols).saveAsTable(snap)
+    meta = {_PROP_BUCKET: bucket_col, _PROP_BUCKETS: str(buckets), _PROP_DAY: day_col or "",
+            _PROP_STORE: store or ""}
     kv = ", ".join(f"'{k}' = '{v}'" for k, v in meta.items())
     spark.sql(f"ALTER TABLE {snap} SET TBLPROPERTIES ({kv})")
-    _point_view(spark, name, snap)
+    _point_view(spark, name, snap, previous)
     # Keep the previous snapshot for readers already running; drop the one before.
-    if n > 2:
-        spark.sql(f"DROP TABLE IF EXISTS {_snap_name(name, n - 2)}")
+    if older:
+        spark.sql(f"DROP TABLE IF EXISTS {older}")
 
 
-def _point_view(spark: SparkSession, name: str, snap: str) -> None:
+def _point_view(spark: SparkSession, name: str, snap: str, previous: str | None = None) -> None:
     cols = ", ".join(quote(c) for c in spark.table(snap).columns)
-    n = snap[len(name) + len(_SNAP):]
-    spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('{_PROP_SNAPSHOT}' = '{n}') "
+    props = f"'{_PROP_SNAPSHOT}' = '{snap}'"
+    if previous:
+        props += f", '{_PROP_PREVIOUS}' = '{previous}'"
+    spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ({props}) "
               f"AS SELECT {cols} FROM {snap}")
 
 
@@ -175,9 +194,10 @@ def evolve_schema(spark: SparkSession, name: str, new_schema: StructType) -> lis
         spark.sql(add_columns_sql(name, add))
     else:
         snap = _current_snapshot(spark, name)
+        previous = _props(spark, name).get(_PROP_PREVIOUS)
         spark.sql(add_columns_sql(snap, add))
         spark.catalog.refreshTable(snap)
-        _point_view(spark, name, snap)
+        _point_view(spark, name, snap, previous)
     return [f.name for f in add]
 
 
@@ -226,21 +246,8 @@ def upsert_table(df: DataFrame, name: str, keys: Sequence[str],
     current = current.drop(BUCKET, *([day_col] if day_col else []))
     aligned = align_schema(df, current.schema)
     merged = merge_upsert(current, aligned, keys, replace_keys)
-    n = _snapshot_number(spark, name) + 1
-    location = _location_root(spark, snap)
-    _write_snapshot(merged, name, n, props[_PROP_BUCKET], int(props[_PROP_BUCKETS]),
-                    day_col, location)
-
-
-def _location_root(spark: SparkSession, snap: str) -> str | None:
-    """Folder the snapshot tables of this logical table live under (external tables)."""
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {snap}").collect()
-    info = {r["col_name"]: r["data_type"] for r in rows}
-    if info.get("Type", "").upper() != "EXTERNAL":
-        return None
-    loc = info.get("Location", "")
-    suffix = "/" + snap.replace(".", "/")
-    return loc[: -len(suffix)] if loc.endswith(suffix) else None
+    _write_snapshot(merged, name, props[_PROP_BUCKET], int(props[_PROP_BUCKETS]), day_col,
+                    props.get(_PROP_STORE) or None)
 
 
 # ------------------------------------------------------------------ save (K4)
