@@ -27,6 +27,7 @@ import uuid
 import zlib
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -34,7 +35,7 @@ from pyspark.sql.types import StringType, StructType
 from shredkit.constants import DEFAULT_BUCKETS, FILE_KEY, TABLE_PROPERTIES
 from shredkit.functions.names import col, quote, snake_case_str
 from shredkit.functions.text import parse_date
-from shredkit.operators.upsert import dedup_source, merge_upsert
+from shredkit.operators.upsert import dedup_source, key_set_bytes, merge_upsert
 from shredkit.plans.schema import add_columns_sql, align_schema, check_compatible, missing_fields
 
 _SNAP = "__s"
@@ -226,8 +227,12 @@ def append_table(df: DataFrame, name: str) -> None:
     spark.catalog.refreshTable(snap)
 
 
+MERGE_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
 def upsert_table(df: DataFrame, name: str, keys: Sequence[str],
-                 replace_keys: Sequence[str] | None = None) -> None:
+                 replace_keys: Sequence[str] | None = None,
+                 broadcast_bytes: int = MERGE_BROADCAST_BYTES) -> None:
     """Evolve, align and merge ``df`` into table ``name`` on ``keys`` (K3)."""
     spark = df.sparkSession
     if not keys:
@@ -245,9 +250,16 @@ def upsert_table(df: DataFrame, name: str, keys: Sequence[str],
     day_col = props.get(_PROP_DAY) or None
     current = current.drop(BUCKET, *([day_col] if day_col else []))
     aligned = align_schema(df, current.schema)
-    merged = merge_upsert(current, aligned, keys, replace_keys)
-    _write_snapshot(merged, name, props[_PROP_BUCKET], int(props[_PROP_BUCKETS]), day_col,
-                    props.get(_PROP_STORE) or None)
+    on = list(replace_keys or keys)
+    # The batch is read three times (measure, key side, rows): compute it once.
+    aligned = aligned.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        small = key_set_bytes(aligned, on) <= broadcast_bytes
+        merged = merge_upsert(current, aligned, keys, replace_keys, broadcast_keys=small)
+        _write_snapshot(merged, name, props[_PROP_BUCKET], int(props[_PROP_BUCKETS]), day_col,
+                        props.get(_PROP_STORE) or None)
+    finally:
+        aligned.unpersist()
 
 
 # ------------------------------------------------------------------ save (K4)

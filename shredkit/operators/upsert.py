@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from shredkit.functions.names import col
 
@@ -57,14 +58,42 @@ def dedup_source(df: DataFrame, keys: Sequence[str], on_duplicate: str = "error"
     raise ValueError(f"unknown on_duplicate {on_duplicate!r}")
 
 
+_FIXED_WIDTH = {"byte": 1, "short": 2, "integer": 4, "long": 8, "float": 4, "double": 8,
+                "date": 4, "timestamp": 8, "timestamp_ntz": 8, "boolean": 1}
+
+
+def key_set_bytes(source: DataFrame, keys: Sequence[str]) -> int:
+    """Upper bound of the in-memory size of the source's key set (one small job).
+
+    Counts the rows and takes the longest text of each string key; fixed-width
+    keys count their width. Used to broadcast the keys only with a proven bound.
+    """
+    types = {f.name: f.dataType for f in source.schema.fields}
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    width = 16  # per-row overhead of the hashed relation
+    for k in keys:
+        if isinstance(types[k], (StringType, BinaryType)):
+            aggs.append(F.max(F.length(col(k))).alias(f"__w_{k}"))
+        else:
+            width += _FIXED_WIDTH.get(types[k].typeName(), 16)
+    row = source.agg(*aggs).first()
+    for k in keys:
+        if isinstance(types[k], (StringType, BinaryType)):
+            width += 4 * (row[f"__w_{k}"] or 0)  # up to 4 bytes per character
+    return int(row["__n"]) * width
+
+
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
-                 replace_keys: Sequence[str] | None = None) -> DataFrame:
+                 replace_keys: Sequence[str] | None = None,
+                 broadcast_keys: bool = False) -> DataFrame:
     """``target`` updated by ``source`` on ``keys``: anti join + union by name.
 
     Columns present on one side only are null-filled on the other. With
     ``replace_keys`` (for example ``[parent_id]`` on a child table), every
     target row whose ``replace_keys`` appear in the source is replaced, so
     records that vanished from a re-sent document vanish from the table too.
+    Otherwise the key side is broadcast only when ``broadcast_keys`` says its
+    size was measured under the limit; AQE may still broadcast it at run time.
     """
     if not keys:
         raise ValueError("merge needs at least one key column")
@@ -74,5 +103,9 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     src_keys = source.select(*[col(k) for k in drop_on]).where(_non_null(drop_on))
     if replace_keys:
         src_keys = src_keys.distinct()
+    if broadcast_keys:
+        # Only when the caller measured the key set (key_set_bytes): the large
+        # target is then filtered where it is read, with no shuffle of it.
+        src_keys = F.broadcast(src_keys)
     kept = target.join(src_keys, on=drop_on, how="left_anti")
     return kept.unionByName(source, allowMissingColumns=True)

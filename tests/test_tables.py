@@ -153,3 +153,13 @@ def test_old_snapshots_are_dropped_with_their_files(spark):
     assert [r.v for r in spark.table(name).collect()] == ["v3"]
     kept = [d for d in os.listdir(loc) if d.startswith(name + "__s")]
     assert len(kept) == 2  # current and previous; older ones are gone, files included
+
+
+def test_key_set_bytes_bounds_the_keys(spark):
+    from shredkit.operators.upsert import key_set_bytes
+
+    df = spark.createDataFrame([(1, "abc"), (2, "de")], "id bigint, h string")
+    assert key_set_bytes(df, ["id", "h"]) == 2 * (16 + 8 + 4 * 3)
+    t = spark.createDataFrame([(1, "x"), (3, "y")], "id bigint, h string")
+    plan = merge_upsert(t, df, ["id"], broadcast_keys=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
