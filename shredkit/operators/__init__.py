@@ -1,6 +1,6 @@
 """Table operators: keyed upsert, table creation, append, save, batch ingest."""
 
-from shredkit.operators.ingest import ingest_batch
+from shredkit.operators.ingest import ingest_batch, ingest_json_column
 from shredkit.operators.tables import (
     align_to_table,
     append_table,
@@ -21,6 +21,7 @@ __all__ = [
     "dedup_source",
     "evolve_schema",
     "ingest_batch",
+    "ingest_json_column",
     "merge_upsert",
     "qualified_name",
     "save_table",

@@ -12,7 +12,7 @@ from shredkit.plans.flatten import flatten
 from shredkit.session import parallelism
 
 
-def _persist_spread(df: DataFrame) -> DataFrame:
+def _persist_spread(df: DataFrame) -> tuple[DataFrame, int]:
     """Persist the batch, spreading it first when it has fewer partitions than cores.
 
     Each document fans out into many child rows, so the batch's partition
@@ -23,14 +23,14 @@ def _persist_spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()  # materialise once; every table below reads the cache
+    n = df.count()  # materialise once; every table below reads the cache
     want = parallelism(spark)
-    if df.rdd.getNumPartitions() >= want:
-        return df
+    if n == 0 or df.rdd.getNumPartitions() >= want:
+        return df, n
     spread = df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
     spread.count()
     df.unpersist()
-    return spread
+    return spread, n
 
 
 def ingest_batch(df: DataFrame, cfg: IngestConfig) -> list[str]:
@@ -38,7 +38,8 @@ def ingest_batch(df: DataFrame, cfg: IngestConfig) -> list[str]:
 
     The parsed batch is persisted (memory, spilling to disk) because every
     output table reads it; a lost executor only recomputes its own blocks from
-    lineage. Returns the table names written, in write order.
+    lineage. Returns the table names written, in write order (none for an
+    empty batch).
     """
     if cfg.id_field is None and len(df.columns) != 1:
         raise ValueError("ingest needs an id field unless the documents are a bare array")
@@ -47,8 +48,10 @@ def ingest_batch(df: DataFrame, cfg: IngestConfig) -> list[str]:
                    cfg.file_key, cfg.buckets, cfg.on_duplicate, cfg.latest_by,
                    location=cfg.location)
         return [cfg.table]
-    df = _persist_spread(df)
+    df, n = _persist_spread(df)
     try:
+        if n == 0:  # an empty batch (e.g. an idle micro-batch) touches nothing
+            return []
         tables = flatten(df, cfg.id_field, cfg.table, cfg.options)
         written = []
         for name, t in tables.items():
@@ -65,3 +68,10 @@ def ingest_batch(df: DataFrame, cfg: IngestConfig) -> list[str]:
         return written
     finally:
         df.unpersist()
+
+
+def ingest_json_column(df: DataFrame, column: str, cfg: IngestConfig) -> list[str]:
+    """Ingest documents held as JSON text in ``column`` (one or an array per row)."""
+    from shredkit.sources.json import parse_json_column
+
+    return ingest_batch(parse_json_column(df, column, keep_corrupt=False), cfg)

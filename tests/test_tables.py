@@ -163,3 +163,16 @@ def test_key_set_bytes_bounds_the_keys(spark):
     t = spark.createDataFrame([(1, "x"), (3, "y")], "id bigint, h string")
     plan = merge_upsert(t, df, ["id"], broadcast_keys=True)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_empty_batch_and_json_column_ingest(spark):
+    from shredkit.operators import ingest_json_column
+
+    name = _name("t_json")
+    cfg = IngestConfig(table=name, id_field="id", location=scratch_path(spark, "tables"))
+    empty = spark.createDataFrame([], "id bigint, items array<struct<k:int>>")
+    assert ingest_batch(empty, cfg) == []
+    assert not table_exists(spark, name)
+    texts = spark.createDataFrame([('[{"id": 1, "tags": ["a", "b"]}, {"id": 2, "tags": []}]',)], "doc string")
+    assert ingest_json_column(texts, "doc", cfg) == [name, f"{name}_tags"]
+    assert sorted((r.parent_id, r.value) for r in spark.table(f"{name}_tags").collect()) == [(1, "a"), (1, "b")]
