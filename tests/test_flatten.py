@@ -140,3 +140,9 @@ def test_include_list(spark):
     t = flatten(d, "id", "m", FlattenOptions(include=("a.b",)))
     assert list(t) == ["m", "m_a", "m_a_b"]
     assert rows(t["m_a_b"], "parent_id", "y") == [(1, 2)]
+
+
+def test_skip_empty_drops_empty_children(spark):
+    df = spark.createDataFrame([(1, [], None)], "id int, a array<int>, s struct<x:int>")
+    t = flatten(df, "id", "m", FlattenOptions(skip_empty=True, promote_json=False))
+    assert list(t) == ["m"]

@@ -176,3 +176,13 @@ def test_empty_batch_and_json_column_ingest(spark):
     texts = spark.createDataFrame([('[{"id": 1, "tags": ["a", "b"]}, {"id": 2, "tags": []}]',)], "doc string")
     assert ingest_json_column(texts, "doc", cfg) == [name, f"{name}_tags"]
     assert sorted((r.parent_id, r.value) for r in spark.table(f"{name}_tags").collect()) == [(1, "a"), (1, "b")]
+
+
+def test_non_recursive_mode_saves_the_nested_frame(spark):
+    name = _name("t_flat")
+    cfg = IngestConfig(table=name, id_field="id", use_recursive=False,
+                       location=scratch_path(spark, "tables"))
+    df = spark.createDataFrame([(1, [(1, "a")])], "id bigint, arr array<struct<k:int,v:string>>")
+    assert ingest_batch(df, cfg) == [name]
+    r = spark.table(name).first()
+    assert r.arr[0].v == "a" and r.filekey == "default_file_path"
