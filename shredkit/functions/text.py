@@ -6,20 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Leading characters a JSON candidate may start with after trimming: anything
+# up to and including the space character, as a string trim does.
+_LEAD = r"^[\x00-\x20]*"
+
+
 def is_json_candidate(c: Column) -> Column:
-    """Trimmed text starts with ``{`` or ``[`` and contains ``:``."""
-    t = F.trim(c)
-    return (t.startswith("{") | t.startswith("[")) & t.contains(":")
+    """Trimmed text starts with ``{`` or ``[`` and contains ``:``.
+
+    Anchored regexes look only at the start of the text, so a long document
+    is not copied the way ``trim`` would copy it.
+    """
+    return c.rlike(_LEAD + r"[\{\[]") & c.contains(":")
 
 
 def is_json_object(c: Column) -> Column:
-    t = F.trim(c)
-    return t.startswith("{") & t.contains(":")
+    return c.rlike(_LEAD + r"\{") & c.contains(":")
 
 
 def is_json_array(c: Column) -> Column:
-    t = F.trim(c)
-    return t.startswith("[") & t.contains(":")
+    return c.rlike(_LEAD + r"\[") & c.contains(":")
 
 
 def parse_date(c: Column, fmt: str) -> Column:

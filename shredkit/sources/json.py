@@ -49,7 +49,7 @@ def infer_document_schema(df: DataFrame, column: str) -> str | None:
     """
     c = col(column)
     v = F.try_parse_json(c)
-    elems = F.when(F.trim(c).startswith("["), F.try_variant_get(v, "$", "array<variant>")) \
+    elems = F.when(c.rlike(r"^[\x00-\x20]*\["), F.try_variant_get(v, "$", "array<variant>")) \
              .otherwise(F.array(v))
     row = df.select(F.explode(elems).alias("__v")) \
             .agg(F.schema_of_variant_agg(F.col("__v")).alias("s")).first()
