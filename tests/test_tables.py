@@ -186,3 +186,15 @@ def test_non_recursive_mode_saves_the_nested_frame(spark):
     assert ingest_batch(df, cfg) == [name]
     r = spark.table(name).first()
     assert r.arr[0].v == "a" and r.filekey == "default_file_path"
+
+
+def test_command_line_ingest(spark, tmp_path):
+    from shredkit.__main__ import main
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text('[{"doc_id": 1, "tags": ["a", "b"]}]')
+    name = _name("cli")
+    assert main(["ingest", str(src), "--table", name, "--id", "doc_id",
+                 "--location", scratch_path(spark, "tables")]) == 0
+    assert sorted(r.value for r in spark.table(f"{name}_tags").collect()) == ["a", "b"]
