@@ -22,6 +22,7 @@ from pyspark.sql.types import (
     ArrayType,
     DataType,
     IntegerType,
+    MapType,
     StringType,
     StructField,
     StructType,
@@ -63,7 +64,12 @@ def main_table(df: DataFrame, id_field: str, options: FlattenOptions | None = No
     """Main table: top-level scalars and ``id_hash_col = hash(id)``."""
     opts = options or FlattenOptions()
     main = select_scalars(df).withColumn(ID_HASH, key_hash(col(id_field)))
-    return main.dropDuplicates() if opts.dedup_main else main
+    if not opts.dedup_main:
+        return main
+    if any(_has_map(f.dataType) for f in main.schema.fields):
+        plain = [f.name for f in main.schema.fields if not _has_map(f.dataType)]
+        return main.dropDuplicates(plain)
+    return main.dropDuplicates()
 
 
 def flatten(
@@ -226,6 +232,9 @@ def dedup_children(t: DataFrame, payload: list[str] | None = None,
     """
     payload = payload if payload is not None else [
         c for c in t.columns if c not in (PARENT_ID, CONTENT_HASH, PARENT_ID_HASH)]
+    if any(_has_map(f.dataType) for f in t.schema.fields):
+        # Maps cannot be grouping keys: carry them through a keyed dedup.
+        return t.dropDuplicates([PARENT_ID, CONTENT_HASH])
     if null_marker is not None or not payload:
         return t.distinct()
     any_null = F.lit(False)
@@ -240,6 +249,16 @@ def dedup_children(t: DataFrame, payload: list[str] | None = None,
     return clean.unionByName(nully)
 
 
+def _has_map(dtype: DataType) -> bool:
+    if isinstance(dtype, MapType):
+        return True
+    if isinstance(dtype, ArrayType):
+        return _has_map(dtype.elementType)
+    if isinstance(dtype, StructType):
+        return any(_has_map(f.dataType) for f in dtype.fields)
+    return False
+
+
 def _row_index_table(rec: DataFrame, opts: FlattenOptions) -> DataFrame:
     """``_row_idx`` = 1..n per parent, where n counts the parent's records.
 

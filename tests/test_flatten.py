@@ -146,3 +146,12 @@ def test_skip_empty_drops_empty_children(spark):
     df = spark.createDataFrame([(1, [], None)], "id int, a array<int>, s struct<x:int>")
     t = flatten(df, "id", "m", FlattenOptions(skip_empty=True, promote_json=False))
     assert list(t) == ["m"]
+
+
+def test_map_inside_child_records(spark):
+    df = spark.createDataFrame([(1, [(1, {"a": 1}), (1, {"a": 1})])],
+                               "id int, arr array<struct<k:int,m:map<string,int>>>")
+    t = flatten(df, "id", "m", FlattenOptions(promote_json=False, dedup_main=True))
+    got = t["m_arr"].collect()
+    assert len(got) == 1 and got[0].m == {"a": 1}
+    assert t["m"].count() == 1
