@@ -239,7 +239,8 @@ def upsert_table(df: DataFrame, name: str, keys: Sequence[str],
         raise ValueError("upsert needs at least one key column")
     if _is_v2(spark, name):
         aligned = align_to_table(spark, df, name)
-        cond = " AND ".join(f"t.{quote(k)} = s.{quote(k)}" for k in keys)
+        target = quote(name.split(".")[-1])  # the target is referred to by its table name
+        cond = " AND ".join(f"{target}.{quote(k)} = s.{quote(k)}" for k in keys)
         (aligned.alias("s").mergeInto(name, F.expr(cond))
                 .whenMatched().updateAll().whenNotMatched().insertAll().merge())
         return
