@@ -155,3 +155,13 @@ def test_map_inside_child_records(spark):
     got = t["m_arr"].collect()
     assert len(got) == 1 and got[0].m == {"a": 1}
     assert t["m"].count() == 1
+
+
+def test_json_in_json_is_promoted_level_by_level(spark):
+    inner = json.dumps({"b": 1})
+    outer = json.dumps({"a": inner, "c": 5})
+    df = spark.createDataFrame([(1, outer)], "id int, j string")
+    t = flatten(df, "id", "m")
+    assert list(t) == ["m", "m_j", "m_j_a"]
+    assert rows(t["m_j"], "parent_id", "a", "c") == [(1, inner, 5)]
+    assert rows(t["m_j_a"], "parent_id", "b") == [(1, 1)]
