@@ -38,6 +38,10 @@ def nest_rows(
     parts = F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(max_items)))
     item_cols = [F.col(i) if isinstance(i, str) else i for i in items]
     c = c.withColumn("__chunk", F.pmod(F.xxhash64(*item_cols), parts))
+    # Shuffle on (key, chunk) explicitly: otherwise the grouping may reuse the
+    # join's partitioning on the key alone and keep a hot key in one task
+    # (which would also stop AQE from splitting that skewed join).
+    c = c.repartition(*[F.col(k) for k in keys], F.col("__chunk"))
     return (c.groupBy(*keys, "__chunk")
              .agg(F.collect_list(F.struct(*item_cols)).alias(name))
              .drop("__chunk"))
