@@ -9,7 +9,7 @@ from shredkit.config import IngestConfig
 from shredkit.constants import CONTENT_HASH, PARENT_ID
 from shredkit.operators.tables import save_table
 from shredkit.plans.flatten import flatten
-from shredkit.session import parallelism
+from shredkit.session import safe_planning, parallelism, scoped_conf
 
 
 def _persist_spread(df: DataFrame) -> tuple[DataFrame, int]:
@@ -43,6 +43,11 @@ def ingest_batch(df: DataFrame, cfg: IngestConfig) -> list[str]:
     """
     if cfg.id_field is None and len(df.columns) != 1:
         raise ValueError("ingest needs an id field unless the documents are a bare array")
+    with scoped_conf(df.sparkSession, safe_planning(df.sparkSession)):
+        return _ingest(df, cfg)
+
+
+def _ingest(df: DataFrame, cfg: IngestConfig) -> list[str]:
     if not cfg.use_recursive:
         save_table(df, cfg.table, [cfg.id_field], cfg.date_field, cfg.date_format,
                    cfg.file_key, cfg.buckets, cfg.on_duplicate, cfg.latest_by,

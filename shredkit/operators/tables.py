@@ -36,6 +36,7 @@ from shredkit.constants import DEFAULT_BUCKETS, FILE_KEY, TABLE_PROPERTIES
 from shredkit.functions.names import col, quote, snake_case_str
 from shredkit.functions.text import parse_date
 from shredkit.operators.upsert import dedup_source, key_set_bytes, merge_upsert
+from shredkit.session import safe_planning, scoped_conf
 from shredkit.plans.schema import add_columns_sql, align_schema, check_compatible, missing_fields
 
 _SNAP = "__s"
@@ -285,6 +286,13 @@ def save_table(
     given (bad text becomes null) and partitions by its day.
     """
     spark = df.sparkSession
+    with scoped_conf(spark, safe_planning(spark)):
+        _save(spark, df, name, keys, date_field, date_format, file_key, buckets, on_duplicate,
+              latest_by, replace_keys, location)
+
+
+def _save(spark, df, name, keys, date_field, date_format, file_key, buckets, on_duplicate,
+          latest_by, replace_keys, location) -> None:
     df = with_file_key(df, file_key)
     if date_field and date_field in df.columns and date_format \
             and isinstance(df.schema[date_field].dataType, StringType):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +24,9 @@ def build_session(
     * ``spark.sql.session.timeZone=UTC``: timestamp text (and so content hashes)
       must not depend on the machine's zone.
     * AQE on, with skew-join splitting and partition coalescing.
+    * Aggregates shuffle on all their grouping keys instead of reusing a
+      partitioning on some of them (a dedup on every column must not stay
+      partitioned by a document id that may hold a third of the rows).
     * Broadcasts only on *measured* sizes: the planner's static estimate is off
       (it can be far too low after an aggregate that builds arrays), and AQE
       turns a shuffle join into a broadcast join only when the materialised
@@ -40,6 +45,7 @@ def build_session(
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_bytes),
+        "spark.sql.requireAllClusterKeysForDistribution": "true",
         "spark.ui.enabled": "false",
     }
     if shuffle_partitions:
@@ -110,3 +116,32 @@ def table_catalog_conf(name: str, kind: str, warehouse: str,
         conf[f"{p}.type"] = "hadoop"
     conf.update(extra or {})
     return conf
+
+
+def safe_planning(spark: SparkSession) -> dict[str, str]:
+    """Settings the table operators run under, whatever session they are given:
+    no broadcast from static estimates (AQE keeps the session's limit for
+    measured sizes) and aggregates shuffled on all their keys."""
+    static = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    adaptive = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    return {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": adaptive or static,
+        "spark.sql.requireAllClusterKeysForDistribution": "true",
+    }
+
+
+@contextmanager
+def scoped_conf(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Set SQL conf for the duration of a block, then restore what was there."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
