@@ -198,3 +198,11 @@ def test_command_line_ingest(spark, tmp_path):
     assert main(["ingest", str(src), "--table", name, "--id", "doc_id",
                  "--location", scratch_path(spark, "tables")]) == 0
     assert sorted(r.value for r in spark.table(f"{name}_tags").collect()) == ["a", "b"]
+
+
+def test_save_keeps_latest_duplicate(spark):
+    name = _name("t_latest")
+    df = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, "x", 1)], "id bigint, v string, ts int")
+    save_table(df, name, ["id"], on_duplicate="latest", latest_by="ts",
+               location=scratch_path(spark, "tables"))
+    assert sorted((r.id, r.v) for r in spark.table(name).collect()) == [(1, "new"), (2, "x")]
