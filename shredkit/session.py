@@ -18,6 +18,9 @@ def build_session(
     catalog: dict[str, str] | None = None,
     extra: dict[str, str] | None = None,
     broadcast_bytes: int = 10 * 1024 * 1024,
+    initial_partitions: int | None = None,
+    advisory_partition_bytes: int | None = None,
+    max_partition_bytes: int | None = None,
 ) -> SparkSession:
     """A session with the settings results depend on.
 
@@ -31,6 +34,11 @@ def build_session(
       (it can be far too low after an aggregate that builds arrays), and AQE
       turns a shuffle join into a broadcast join only when the materialised
       side is under ``broadcast_bytes``.
+    * Sizing: ``initial_partitions`` is the shuffle width AQE starts from and
+      coalesces down from (set it high on a large cluster, e.g. input bytes /
+      256 MB); ``advisory_partition_bytes`` is the size AQE aims at for shuffle
+      partitions and rebalanced write files; ``max_partition_bytes`` sizes
+      input splits.
     * ``catalog``: plain ``spark.sql.catalog.<name>.*`` options for a V2 table
       catalog (Iceberg with a Glue or warehouse catalog, for instance); passed
       through as given.
@@ -50,6 +58,12 @@ def build_session(
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if initial_partitions:
+        conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(initial_partitions)
+    if advisory_partition_bytes:
+        conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(advisory_partition_bytes)
+    if max_partition_bytes:
+        conf["spark.sql.files.maxPartitionBytes"] = str(max_partition_bytes)
     for k, v in (catalog or {}).items():
         conf[k if k.startswith("spark.") else f"spark.sql.catalog.{k}"] = v
     conf.update(extra or {})
