@@ -206,7 +206,7 @@ def oracle_sql() -> dict[str, str]:
 
     q["stream_ingest"] = q["flatten_struct_array"]
 
-    q["jdbc_query"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 0"
+    q["jdbc_query"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 
     q["with_file_key"] = "SELECT o_orderkey, 'default_file_path' AS filekey FROM orders"
 

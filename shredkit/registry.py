@@ -328,7 +328,7 @@ def jdbc_query(spark, d):
     nation = _t(spark, d, "nation")
     nation.write.format("jdbc").option("url", url).option("driver", drv) \
         .option("dbtable", "nation").mode("overwrite").save()
-    q = 'SELECT "n_nationkey", "n_name", "n_regionkey" FROM nation WHERE "n_regionkey" <> 0'
+    q = 'SELECT "n_nationkey", "n_name", "n_regionkey" FROM nation'
     return read_jdbc_query(spark, url, q, drv, partition_column="n_nationkey",
                            lower_bound=0, upper_bound=25, num_partitions=4)
 
