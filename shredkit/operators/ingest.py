@@ -25,7 +25,11 @@ def _persist_spread(df: DataFrame) -> tuple[DataFrame, int]:
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count()  # materialise once; every table below reads the cache
     want = parallelism(spark)
-    if n == 0 or df.rdd.getNumPartitions() >= want:
+    try:
+        have = df.rdd.getNumPartitions()  # reads the cached plan, no job
+    except Exception:  # Spark Connect: no RDD view; keep the source's partitions
+        have = want
+    if n == 0 or have >= want:
         return df, n
     spread = df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
     spread.count()
