@@ -95,7 +95,12 @@ def flatten(
 
     out[table] = main_table(df, id_field, opts)
     level = df.select(col(id_field).alias(PARENT_ID), *[col(f.name) for f in fields])
-    _walk(level, table, "", 1, out, opts)
+    known: dict = {}
+    if opts.promote_json and opts.json_schemas is None:
+        # One job finds JSON held in text at every depth of the input schema.
+        known["schemas"], known["paths"] = jsoncols.infer_nested_json_schemas(
+            df.select(*[col(f.name) for f in fields]))
+    _walk(level, table, "", 1, out, opts, known)
     return out
 
 
@@ -103,11 +108,11 @@ def flatten(
 
 
 def _walk(level: DataFrame, table: str, path: str, depth: int,
-          out: dict[str, DataFrame], opts: FlattenOptions) -> None:
+          out: dict[str, DataFrame], opts: FlattenOptions, known: dict | None = None) -> None:
     """Emit child tables for every nested field of ``level`` (parent_id + fields)."""
     if opts.max_depth is not None and depth > opts.max_depth:
         return
-    level = _promote_level(level, path, opts)
+    level = _promote_level(level, path, opts, known or {})
     for f in level.schema.fields:
         if f.name in (PARENT_ID, ORDINAL):
             continue
@@ -129,7 +134,7 @@ def _walk(level: DataFrame, table: str, path: str, depth: int,
                 t = _record_table(rec, opts)
                 if _register(out, name, t, opts):
                     below = every.select(PARENT_ID, *_ord(opts), *_fields_of(F.col(_ELEM), elem))
-                    _walk(below, name, sub + ".", depth + 1, out, opts)
+                    _walk(below, name, sub + ".", depth + 1, out, opts, known)
             else:
                 v = _explode(level, f, opts).select(PARENT_ID, *_ord(opts), F.col(_ELEM).alias(VALUE))
                 _register(out, name, _finish(v, [VALUE], opts), opts)
@@ -141,7 +146,7 @@ def _walk(level: DataFrame, table: str, path: str, depth: int,
             t = _record_table(rec, opts)
             if _register(out, name, t, opts):
                 below = level.select(PARENT_ID, *_ord(opts), *_fields_of(col(f.name), dtype))
-                _walk(below, name, sub + ".", depth + 1, out, opts)
+                _walk(below, name, sub + ".", depth + 1, out, opts, known)
 
 
 def _wanted(path: str, opts: FlattenOptions) -> bool:
@@ -150,17 +155,21 @@ def _wanted(path: str, opts: FlattenOptions) -> bool:
     return any(p == path or p.startswith(path + ".") for p in opts.include)
 
 
-def _promote_level(level: DataFrame, path: str, opts: FlattenOptions) -> DataFrame:
+def _promote_level(level: DataFrame, path: str, opts: FlattenOptions, known: dict) -> DataFrame:
     strings = [f.name for f in level.schema.fields
                if isinstance(f.dataType, StringType) and f.name not in (PARENT_ID, ORDINAL)]
     if not strings or not opts.promote_json:
         return level
-    given = opts.json_schemas or {}
-    schemas = {n: given[path + n] for n in strings if path + n in given}
-    todo = [n for n in strings if path + n not in given]
-    if todo and opts.json_schemas is None:
-        schemas.update(jsoncols.infer_json_schemas(level, todo))
-    return jsoncols.promote(level, schemas)
+    if opts.json_schemas is not None:  # the caller decides; no inference
+        given = opts.json_schemas
+        return jsoncols.promote(level, {n: given[path + n] for n in strings if path + n in given})
+    schemas = known.get("schemas", {})
+    looked = known.get("paths", set())
+    found = {n: schemas[path + n] for n in strings if path + n in schemas}
+    todo = [n for n in strings if path + n not in looked]
+    if todo:  # text that only exists inside parsed JSON: infer it here
+        found.update(jsoncols.infer_json_schemas(level, todo))
+    return jsoncols.promote(level, found)
 
 
 def _explode(level: DataFrame, f: StructField, opts: FlattenOptions,

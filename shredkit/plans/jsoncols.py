@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
-from shredkit.constants import MANAGED
+from shredkit.constants import MANAGED, ORDINAL
 from shredkit.functions.names import col
 from shredkit.functions.text import is_json_array, is_json_object
 
@@ -63,38 +63,93 @@ def infer_json_schemas(df: DataFrame, cols: Iterable[str] | None = None) -> dict
     are left out (they stay text).
     """
     names = string_columns(df, cols)
-    if not names:
+    return _infer(df, [(n, F.array(col(n))) for n in names])
+
+
+def string_paths(schema: StructType) -> list[tuple[str, Column]]:
+    """Every text field reachable through structs and arrays of structs, as
+    ``(dotted path, array<string> of its values in one document)``.
+
+    Paths use the names the flatten walk gives the fields (managed names get a
+    ``_`` prefix below the root). Arrays of text are values, never promoted.
+    """
+    out: list[tuple[str, Column]] = []
+
+    def walk(st: StructType, prefix: str, expr: Column | None, in_array: bool) -> None:
+        for f in st.fields:
+            if expr is None:
+                if f.name in MANAGED:
+                    continue
+                name, e = f.name, col(f.name)
+            else:
+                name = "_" + f.name if f.name in MANAGED or f.name == ORDINAL else f.name
+                e = expr.getField(f.name)
+            t = f.dataType
+            if isinstance(t, StringType):
+                out.append((prefix + name, e if in_array else F.array(e)))
+            elif isinstance(t, StructType):
+                walk(t, prefix + name + ".", e, in_array)
+            elif isinstance(t, ArrayType) and isinstance(t.elementType, StructType):
+                arr = F.flatten(F.filter(e, lambda a: a.isNotNull())) if in_array else e
+                walk(t.elementType, prefix + name + ".", arr, True)
+
+    walk(schema, "", None, False)
+    return out
+
+
+def infer_nested_json_schemas(df: DataFrame) -> tuple[dict[str, str], set[str]]:
+    """Schemas for JSON held in text at *every* depth, in one job.
+
+    Returns ``(schemas by dotted path, all text paths looked at)``; a looked-at
+    path without a schema stays text. Text that only appears once a JSON value
+    has been parsed (JSON inside JSON) is not covered and is inferred when the
+    walk reaches it.
+    """
+    paths = string_paths(df.schema)
+    return _infer(df, paths), {p for p, _ in paths}
+
+
+def _infer(df: DataFrame, paths: list[tuple[str, Column]]) -> dict[str, str]:
+    if not paths:
         return {}
     aggs: list[Column] = []
-    for i, n in enumerate(names):
-        c = col(n)
-        obj = F.when(is_json_object(c), c)
-        arr = F.when(is_json_array(c), c)
+    for i, (_, texts) in enumerate(paths):
+        objs = F.filter(texts, lambda t: is_json_object(t))
+        arrs = F.filter(texts, lambda t: is_json_array(t))
         aggs += [
-            F.schema_of_variant_agg(F.try_parse_json(obj)).alias(f"o{i}"),
-            F.schema_of_variant_agg(F.try_parse_json(arr)).alias(f"a{i}"),
-            F.count(obj).alias(f"no{i}"),
-            F.count(arr).alias(f"na{i}"),
+            F.schema_of_variant_agg(
+                F.to_variant_object(F.transform(objs, lambda t: F.try_parse_json(t)))).alias(f"o{i}"),
+            F.schema_of_variant_agg(
+                F.to_variant_object(F.transform(arrs, lambda t: F.try_parse_json(t)))).alias(f"a{i}"),
+            F.sum(F.size(objs)).alias(f"no{i}"),
+            F.sum(F.size(arrs)).alias(f"na{i}"),
         ]
     row = df.agg(*aggs).first()
     out: dict[str, str] = {}
-    for i, n in enumerate(names):
-        o = variant_type_to_ddl(row[f"o{i}"])
-        a = variant_type_to_ddl(row[f"a{i}"])
+    for i, (path, _) in enumerate(paths):
+        o = variant_type_to_ddl(_element(row[f"o{i}"]))
+        a = variant_type_to_ddl(_element(row[f"a{i}"]))
         if o and not o.startswith("STRUCT<"):
             o = None
         if a and not a.startswith("ARRAY<"):
             a = None
         if o and a:
-            chosen = o if row[f"no{i}"] >= row[f"na{i}"] else a
-            log.warning("column %s mixes JSON objects and arrays; using %s", n, chosen)
+            chosen = o if (row[f"no{i}"] or 0) >= (row[f"na{i}"] or 0) else a
+            log.warning("%s mixes JSON objects and arrays; using %s", path, chosen)
         else:
             chosen = o or a
         if chosen:
-            out[n] = chosen
+            out[path] = chosen
     return out
 
 
+def _element(vtype: str | None) -> str | None:
+    """``ARRAY<T>`` -> ``T`` (the per-document arrays of parsed texts)."""
+    if vtype is None or not vtype.startswith("ARRAY<"):
+        return None
+    return vtype[len("ARRAY<"):-1]
+
+
 def promote(df: DataFrame, schemas: dict[str, str | DataType]) -> DataFrame:
     """Replace each named string column by its parsed value.
 

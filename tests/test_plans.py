@@ -46,3 +46,23 @@ def test_no_static_broadcast_of_estimated_sides(spark):
     doc = nest.nested_orders(spark, "/root/testdata/sf0.001")
     plan = doc._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan  # decided later by AQE on measured sizes
+
+
+def _jobs_for(spark, group, fn):
+    spark.sparkContext.setJobGroup(group, group)
+    out = fn()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("other", "other")
+    return n, out
+
+
+def test_json_inference_is_one_aggregate_for_all_depths(spark):
+    flat = spark.createDataFrame([(1, '{"a": 1}')], "id int, j string")
+    one, _ = _jobs_for(spark, "infer-flat", lambda: flatten(flat, "id", "m"))
+    df = spark.createDataFrame(
+        [(1, '{"a": 1}', [('{"b": 2}', ('{"c": 3}',))])],
+        "id int, j string, arr array<struct<s:string,t:struct<u:string>>>")
+    deep, tables = _jobs_for(spark, "infer-deep", lambda: flatten(df, "id", "m"))
+    assert deep == one  # the same single aggregate, however deep the text sits
+    assert {"m_j", "m_arr", "m_arr_s", "m_arr_t", "m_arr_t_u"} <= set(tables)
+    assert [r.c for r in tables["m_arr_t_u"].collect()] == [3]
