@@ -205,6 +205,7 @@ def oracle_sql() -> dict[str, str]:
     q["json_roundtrip"] = "SELECT * FROM customer"
 
     q["stream_ingest"] = q["flatten_struct_array"]
+    q["stream_upsert"] = q["flatten_struct_array"]
 
     q["jdbc_query"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 

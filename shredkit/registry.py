@@ -320,6 +320,26 @@ def null_marker(spark, d):
     return flatten(doc, "doc_id", "documents", opts)["documents_label"]
 
 
+def stream_upsert(spark, d):
+    """ST1 over several micro-batches: each batch upserts into the tables the
+    previous ones wrote (the file list is split in two triggers)."""
+    doc = nest.nested_orders(spark, d)
+    src = scratch_path(spark, "stream-src")
+    doc.write.json(src)
+    files = len(spark.read.json(src).inputFiles())
+    name = _table_name("orders_stream2")
+    cfg = IngestConfig(table=name, id_field="o_orderkey", on_duplicate="allow",
+                       location=scratch_path(spark, "tables"), options=NO_JSON)
+    q = ingest_stream(spark, src, doc.schema, cfg, multiline=False,
+                      max_files_per_trigger=max(1, -(-files // 2)))
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.table(f"{name}_items").select(
+        "parent_id", "l_linenumber", "l_returnflag", "l_quantity", "l_shipdate",
+        CONTENT_HASH, "parent_id_hash_col")
+
+
 def jdbc_query(spark, d):
     """A SQL query run over JDBC (embedded in-memory Derby, this process only),
     read in parallel range partitions."""
@@ -359,6 +379,7 @@ def queries() -> dict[str, Query]:
         "dedup_children": dedup_children_q,
         "json_roundtrip": json_roundtrip,
         "stream_ingest": stream_ingest,
+        "stream_upsert": stream_upsert,
         "jdbc_query": jdbc_query,
         "with_file_key": with_file_key_q,
         "root_array": root_array,
