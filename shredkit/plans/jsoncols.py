@@ -63,17 +63,18 @@ def infer_json_schemas(df: DataFrame, cols: Iterable[str] | None = None) -> dict
     are left out (they stay text).
     """
     names = string_columns(df, cols)
-    return _infer(df, [(n, F.array(col(n))) for n in names])
+    return _infer(df, [(n, col(n), False) for n in names])
 
 
-def string_paths(schema: StructType) -> list[tuple[str, Column]]:
+def string_paths(schema: StructType) -> list[tuple[str, Column, bool]]:
     """Every text field reachable through structs and arrays of structs, as
-    ``(dotted path, array<string> of its values in one document)``.
+    ``(dotted path, its value, whether the value is an array of texts)`` --
+    below an array of records a field has many values per document.
 
     Paths use the names the flatten walk gives the fields (managed names get a
     ``_`` prefix below the root). Arrays of text are values, never promoted.
     """
-    out: list[tuple[str, Column]] = []
+    out: list[tuple[str, Column, bool]] = []
 
     def walk(st: StructType, prefix: str, expr: Column | None, in_array: bool) -> None:
         for f in st.fields:
@@ -86,7 +87,7 @@ def string_paths(schema: StructType) -> list[tuple[str, Column]]:
                 e = expr.getField(f.name)
             t = f.dataType
             if isinstance(t, StringType):
-                out.append((prefix + name, e if in_array else F.array(e)))
+                out.append((prefix + name, e, in_array))
             elif isinstance(t, StructType):
                 walk(t, prefix + name + ".", e, in_array)
             elif isinstance(t, ArrayType) and isinstance(t.elementType, StructType):
@@ -106,29 +107,36 @@ def infer_nested_json_schemas(df: DataFrame) -> tuple[dict[str, str], set[str]]:
     walk reaches it.
     """
     paths = string_paths(df.schema)
-    return _infer(df, paths), {p for p, _ in paths}
+    return _infer(df, paths), {p for p, _, _ in paths}
 
 
-def _infer(df: DataFrame, paths: list[tuple[str, Column]]) -> dict[str, str]:
+def _infer(df: DataFrame, paths: list[tuple[str, Column, bool]]) -> dict[str, str]:
     if not paths:
         return {}
     aggs: list[Column] = []
-    for i, (_, texts) in enumerate(paths):
-        objs = F.filter(texts, lambda t: is_json_object(t))
-        arrs = F.filter(texts, lambda t: is_json_array(t))
-        aggs += [
-            F.schema_of_variant_agg(
-                F.to_variant_object(F.transform(objs, lambda t: F.try_parse_json(t)))).alias(f"o{i}"),
-            F.schema_of_variant_agg(
-                F.to_variant_object(F.transform(arrs, lambda t: F.try_parse_json(t)))).alias(f"a{i}"),
-            F.sum(F.size(objs)).alias(f"no{i}"),
-            F.sum(F.size(arrs)).alias(f"na{i}"),
-        ]
+    for i, (_, value, many) in enumerate(paths):
+        if many:  # an array of texts per document: parse each candidate
+            objs = F.filter(value, lambda t: is_json_object(t))
+            arrs = F.filter(value, lambda t: is_json_array(t))
+            parsed_o = F.to_variant_object(F.transform(objs, lambda t: F.try_parse_json(t)))
+            parsed_a = F.to_variant_object(F.transform(arrs, lambda t: F.try_parse_json(t)))
+            n_o, n_a = F.sum(F.size(objs)), F.sum(F.size(arrs))
+        else:
+            parsed_o = F.try_parse_json(F.when(is_json_object(value), value))
+            parsed_a = F.try_parse_json(F.when(is_json_array(value), value))
+            n_o = F.count(F.when(is_json_object(value), 1))
+            n_a = F.count(F.when(is_json_array(value), 1))
+        aggs += [F.schema_of_variant_agg(parsed_o).alias(f"o{i}"),
+                 F.schema_of_variant_agg(parsed_a).alias(f"a{i}"),
+                 n_o.alias(f"no{i}"), n_a.alias(f"na{i}")]
     row = df.agg(*aggs).first()
     out: dict[str, str] = {}
-    for i, (path, _) in enumerate(paths):
-        o = variant_type_to_ddl(_element(row[f"o{i}"]))
-        a = variant_type_to_ddl(_element(row[f"a{i}"]))
+    for i, (path, _, many) in enumerate(paths):
+        o_raw, a_raw = row[f"o{i}"], row[f"a{i}"]
+        if many:
+            o_raw, a_raw = _element(o_raw), _element(a_raw)
+        o = variant_type_to_ddl(o_raw)
+        a = variant_type_to_ddl(a_raw)
         if o and not o.startswith("STRUCT<"):
             o = None
         if a and not a.startswith("ARRAY<"):
