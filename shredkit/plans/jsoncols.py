@@ -1,9 +1,9 @@
 """Promotion of JSON held in string columns.
 
-Schema inference runs on the cluster over *all* candidate rows, every string
-column of a frame in one aggregate (``schema_of_variant_agg`` is a regular
+Schema inference runs on the cluster over *all* candidate rows, every text
+field at every depth in one aggregate (``schema_of_variant_agg`` is a regular
 partial/final aggregate, so it scales like ``count``). Only the inferred type
-strings -- a few bytes per column -- come back to the driver.
+strings -- a few bytes per field -- come back to the driver.
 """
 
 from __future__ import annotations
@@ -110,9 +110,19 @@ def infer_nested_json_schemas(df: DataFrame) -> tuple[dict[str, str], set[str]]:
     return _infer(df, paths), {p for p, _, _ in paths}
 
 
+# Text fields inferred per aggregate; very wide schemas take a few jobs rather
+# than one aggregate too large to compile.
+PATHS_PER_JOB = 64
+
+
 def _infer(df: DataFrame, paths: list[tuple[str, Column, bool]]) -> dict[str, str]:
-    if not paths:
-        return {}
+    out: dict[str, str] = {}
+    for start in range(0, len(paths), PATHS_PER_JOB):
+        out.update(_infer_group(df, paths[start:start + PATHS_PER_JOB]))
+    return out
+
+
+def _infer_group(df: DataFrame, paths: list[tuple[str, Column, bool]]) -> dict[str, str]:
     aggs: list[Column] = []
     for i, (_, value, many) in enumerate(paths):
         if many:  # an array of texts per document: parse each candidate
