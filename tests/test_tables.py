@@ -206,3 +206,16 @@ def test_save_keeps_latest_duplicate(spark):
     save_table(df, name, ["id"], on_duplicate="latest", latest_by="ts",
                location=scratch_path(spark, "tables"))
     assert sorted((r.id, r.v) for r in spark.table(name).collect()) == [(1, "new"), (2, "x")]
+
+
+def test_catalog_path_choice(spark):
+    from shredkit.operators.tables import _is_v2
+
+    assert not _is_v2(spark, "db.t")
+    assert not _is_v2(spark, "spark_catalog.db.t")
+    assert not _is_v2(spark, "nocat.db.t")
+    spark.conf.set("spark.sql.catalog.lake", "org.example.Catalog")
+    try:
+        assert _is_v2(spark, "lake.db.t")
+    finally:
+        spark.conf.unset("spark.sql.catalog.lake")
