@@ -20,7 +20,7 @@ from shredkit.functions.hashing import content_hash, key_hash
 from shredkit.functions.names import snake_case
 from shredkit.functions.text import parse_date
 from shredkit.operators.ingest import ingest_batch
-from shredkit.operators.tables import append_table, create_table, save_table
+from shredkit.operators.tables import append_table, create_table, save_table, with_file_key
 from shredkit.operators.upsert import merge_upsert
 from shredkit.plans import nest
 from shredkit.plans.flatten import dedup_children, flatten
@@ -178,8 +178,6 @@ def hex_decode(spark, d):
 
 def with_file_key_q(spark, d):
     """Provenance literal."""
-    from shredkit.operators.tables import with_file_key
-
     return with_file_key(_t(spark, d, "orders").select("o_orderkey"), None)
 
 
