@@ -1,7 +1,8 @@
 """Recursive flatten: one main table plus one child table per nested field.
 
 The walk runs over the schema on the driver and builds one lazy DataFrame per
-output table; no data moves until a table is written or collected. Per table:
+output table; no table data moves until a table is written or collected. Per
+table:
 
 * main      -- top-level scalars (maps count as scalars) + ``id_hash_col``.
 * record    -- for a struct, or an array of structs: ``parent_id``, the
@@ -81,7 +82,9 @@ def flatten(
     """Split a document frame into ``{table_name: DataFrame}``.
 
     Tables come in the order a depth-first walk meets them: main first, then
-    each nested field followed by its own descendants.
+    each nested field followed by its own descendants. Building them runs no
+    job, except one aggregate that infers JSON held in text (all depths at
+    once) when ``promote_json`` is on and no ``json_schemas`` are given.
     """
     opts = options or FlattenOptions()
     out: dict[str, DataFrame] = {}
