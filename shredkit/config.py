@@ -53,6 +53,7 @@ class IngestConfig:
     on_duplicate: str = "error"      # "error" | "latest" | "allow"
     latest_by: str | None = None
     replace_children: bool = False
+    children_append_only: bool = False  # child tables only get new keys, no rewrite
     location: str | None = None      # root folder for table files; None = warehouse
     options: FlattenOptions = field(default_factory=FlattenOptions)
 

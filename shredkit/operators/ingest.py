@@ -72,7 +72,7 @@ def _ingest(df: DataFrame, cfg: IngestConfig) -> list[str]:
                 save_table(t, name, [PARENT_ID, CONTENT_HASH], file_key=cfg.file_key,
                            buckets=cfg.buckets, on_duplicate="allow",
                            replace_keys=[PARENT_ID] if cfg.replace_children else None,
-                           location=cfg.location)
+                           location=cfg.location, append_only=cfg.children_append_only)
             written.append(name)
         return written
     finally:

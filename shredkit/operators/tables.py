@@ -279,12 +279,17 @@ def save_table(
     latest_by: str | None = None,
     replace_keys: Sequence[str] | None = None,
     location: str | None = None,
+    append_only: bool = False,
 ) -> None:
     """Create the table on first save, else evolve + align + upsert (K4).
 
     Adds ``filekey``; parses ``date_field`` from text when ``date_format`` is
-    given (bad text becomes null) and partitions by its day.
+    given (bad text becomes null) and partitions by its day. With
+    ``append_only`` an existing table only receives rows whose keys it lacks
+    (no rewrite; rows already there keep their ``filekey``).
     """
+    if append_only and replace_keys:
+        raise ValueError("append_only cannot replace rows")
     spark = df.sparkSession
     df = with_file_key(df, file_key)
     if date_field and date_field in df.columns and date_format \
@@ -295,5 +300,20 @@ def save_table(
         if not table_exists(spark, name):
             create_table(df, name, keys[0], date_field if date_field in df.columns else None,
                          buckets, location=location)
+        elif append_only:
+            append_new_rows(df, name, keys)
         else:
             upsert_table(df, name, keys, replace_keys)
+
+
+def append_new_rows(df: DataFrame, name: str, keys: Sequence[str]) -> None:
+    """Append the rows of ``df`` whose keys are not in table ``name`` yet.
+
+    Reads only the table's key columns (pruned scan) for the anti join and
+    writes only the new rows: the cheap path for child tables, whose key holds
+    the content hash, so a matching key means identical content. Appended
+    files become visible as the write job commits (not one atomic switch).
+    """
+    spark = df.sparkSession
+    existing = spark.table(name).select(*[col(k) for k in keys])
+    append_table(df.join(existing, list(keys), "left_anti"), name)

@@ -219,3 +219,24 @@ def test_catalog_path_choice(spark):
         assert _is_v2(spark, "lake.db.t")
     finally:
         spark.conf.unset("spark.sql.catalog.lake")
+
+
+def test_children_append_only(spark):
+    import json
+
+    from shredkit.config import FlattenOptions
+    from shredkit.sources.json import parse_json_column
+
+    def load(docs):
+        return parse_json_column(
+            spark.createDataFrame([(json.dumps(d),) for d in docs], "doc string"), "doc",
+            keep_corrupt=False)
+
+    name = _name("t_app_only")
+    base = dict(table=name, id_field="id", location=scratch_path(spark, "tables"),
+                children_append_only=True, options=FlattenOptions(promote_json=False))
+    ingest_batch(load([{"id": 1, "items": [{"k": 1}, {"k": 2}]}]), IngestConfig(file_path="f1", **base))
+    ingest_batch(load([{"id": 1, "items": [{"k": 2}, {"k": 3}]}]), IngestConfig(file_path="f2", **base))
+    got = sorted((r.k, r.filekey) for r in spark.table(f"{name}_items").collect())
+    assert got == [(1, "f1"), (2, "f1"), (3, "f2")]
+    assert [r.filekey for r in spark.table(name).collect()] == ["f2"]  # main is still upserted
