@@ -206,6 +206,7 @@ def oracle_sql() -> dict[str, str]:
 
     q["stream_ingest"] = q["flatten_struct_array"]
     q["stream_upsert"] = q["flatten_struct_array"]
+    q["ingest_append_only"] = q["flatten_struct_array"]
 
     q["jdbc_query"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 

@@ -297,6 +297,21 @@ def ingest_batch_q(spark, d):
     return spark.table(name).select(*ORDER_COLS, "id_hash_col", "filekey")
 
 
+def ingest_append_only(spark, d):
+    """K5 with append-only child tables: the second ingest of the same documents
+    finds every child key present and writes nothing to them."""
+    doc = nest.nested_orders(spark, d)
+    name = _table_name("orders_append")
+    cfg = IngestConfig(table=name, id_field="o_orderkey", location=scratch_path(spark, "tables"),
+                       children_append_only=True,
+                       options=FlattenOptions(promote_json=False, dedup_main=True))
+    ingest_batch(doc, cfg)
+    ingest_batch(doc, cfg)
+    return spark.table(f"{name}_items").select(
+        "parent_id", "l_linenumber", "l_returnflag", "l_quantity", "l_shipdate",
+        CONTENT_HASH, "parent_id_hash_col")
+
+
 def keep_ordinal(spark, d):
     """Q4 option: repeated lines of a document are kept apart by their position."""
     doc = nest.doc_lines(spark, d)
@@ -382,6 +397,7 @@ def queries() -> dict[str, Query]:
         "with_file_key": with_file_key_q,
         "root_array": root_array,
         "ingest_batch": ingest_batch_q,
+        "ingest_append_only": ingest_append_only,
         "keep_ordinal": keep_ordinal,
         "flatten_with_nulls": flatten_with_nulls,
         "null_marker": null_marker,
