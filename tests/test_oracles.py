@@ -11,6 +11,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entry  # noqa: E402
 from check_oracles import TABLES, compare  # noqa: E402
 
+from shredkit import registry  # noqa: E402
+
 
 @pytest.fixture(scope="module")
 def duck(sf_small):
@@ -20,7 +22,7 @@ def duck(sf_small):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_oracle(spark, duck, sf_small, name):
     sql = entry.oracle_sql().get(name)
     got = entry.queries()[name](spark, sf_small).toPandas()
