@@ -1,4 +1,11 @@
 """Operators for preparing training text at scale, and their queries.
 
-Nothing else in the library imports this subpackage.
+Nothing else in the library imports this subpackage. Functions that run in
+Python tasks are shipped by value, so executors need no copy of the package.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

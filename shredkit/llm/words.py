@@ -42,20 +42,26 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.cumprod(out, dtype=_U)
 
 
-_BASE = 0x9B97F4A7C15F39D5 | 1
+_BASE = 0x9B97F4A7C15F39D5
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_N = SLICE_BYTES + (1 << 12)
-_POW: np.ndarray | None = None
-_INV: np.ndarray | None = None
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the rolling base and of its inverse, made once per worker."""
-    global _POW, _INV
-    if _POW is None:
-        _INV = _powers(_INVERSE, _N)
-        _POW = _powers(_BASE, _N)
-    return _POW, _INV
+class _Powers:
+    """Powers of the rolling base and of its inverse, made once per task and never shipped."""
+
+    def __init__(self) -> None:
+        self.made: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def get(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.made is None:
+            self.made = _powers(_BASE, SLICE_BYTES + 1), _powers(_INVERSE, SLICE_BYTES + 1)
+        return self.made
+
+
+_TABLES = _Powers()
 
 
 @dataclass(frozen=True)
@@ -132,7 +138,7 @@ def row_slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 def _hash_bytes(raw: np.ndarray, lo: int, hi: int, cuts: np.ndarray, rule: WordRule):
     """Word starts, ends and hashes of raw[lo:hi]; words also end at ``cuts``."""
-    pow_, inv = _tables()
+    pow_, inv = _TABLES.get()
     starts, ends, hashes = [], [], []
     carry_start, carry = -1, _U(0)  # a word that runs over the end of a piece
     p = lo
