@@ -63,6 +63,33 @@ FROM convs c JOIN firsts f ON f.conv_id = c.conv_id
 WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.said = c.said)
 """
 
+#: Windows of 50 words as text, the smallest document of each, words under repeated ones.
+OP8 = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM docs WHERE len(w) >= 50
+), windows AS (
+  SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) AS k FROM starts
+), firsts AS (
+  SELECT k, min(doc_id) AS first FROM windows GROUP BY k
+), covered AS (
+  SELECT DISTINCT x.doc_id, unnest(range(x.s, x.s + 50)) AS p
+  FROM windows x JOIN firsts f ON f.k = x.k WHERE x.doc_id > f.first
+), removed AS (
+  SELECT doc_id, list(p) AS gone FROM covered GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs WHERE len(w) > 0
+), kept AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS said
+  FROM words x LEFT JOIN covered c ON c.doc_id = x.doc_id AND c.p = x.p
+  WHERE c.p IS NULL GROUP BY x.doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(r.gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.said, '')) AS kept_sha256
+FROM docs d LEFT JOIN removed r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 #: Shards from cumulative bytes; CRC-32 as a fold of the bytes over its table.
 OP10 = """
 WITH docs AS (
@@ -108,5 +135,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_mix_sources": OP6,
         "op7_chat_format": OP7,
+        "op8_substring_dedup": OP8,
         "op10_shard_bytes": OP10,
     }

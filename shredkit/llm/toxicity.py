@@ -28,7 +28,7 @@ from shredkit.llm.words import row_slices, text_bytes
 ORDERS = (3, 4, 5)
 BITS = 18
 KEEP = 1 << 13
-LEAST_Z = 3.0
+LEAST_Z = 4.0
 MAX_TRAIN_DOCS = 6000
 STEPS = 200
 SLICE = 1 << 18
