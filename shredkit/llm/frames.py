@@ -53,3 +53,25 @@ def hex_long(c: Column, digits: int = 15) -> Column:
 def id_text(col: Column, otherwise: Column) -> Column:
     """An id as text; rows without one are told apart by ``otherwise``."""
     return F.coalesce(col.cast("string"), F.concat(F.lit("#"), F.md5(otherwise)))
+
+
+#: Bits of the membership bitmap over hashed ids: 1 MB when broadcast, whatever the input.
+BITMAP_BITS = 23
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows whose id may be among ``ids``: none of those is lost, a few others pass.
+
+    A bitmap of fixed size over hashed ids is broadcast, so rows that a later
+    exact join would drop anyway mostly never reach its shuffle.
+    """
+    bit, bucket, bits = fresh(rows, "_bit"), fresh(rows, "_bucket"), fresh(rows, "_bits")
+    place = F.pmod(F.xxhash64(name), F.lit(1 << BITMAP_BITS))
+    bitmap = ids.select(place.alias(bit)).groupBy(F.shiftright(bit, 15).alias(bucket)).agg(
+        F.expr(f"bitmap_construct_agg({bit} & 32767)").alias(bits)
+    )
+    bitmap = F.broadcast(saved(bitmap, "bitmap"))  # at most 2^8 rows of 4 KB
+    low = F.col(bit).bitwiseAND(32767).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(low, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn(bit, place).join(bitmap, F.shiftright(bit, 15) == F.col(bucket))
+    return marked.where(F.getbit(byte, low.bitwiseAND(7)) == 1).select([F.col(quoted(c)) for c in rows.columns])

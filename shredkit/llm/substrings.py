@@ -35,13 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shredkit.llm.frames import saved
+from shredkit.llm.frames import only_ids, saved
 from shredkit.llm.words import PLAIN, gram_hashes, sliding_min, span_hashes, words_of
 
 WINDOW = 50
 ANCHOR_WORDS = 10
-#: Bits of the membership bitmap over hashed doc_ids (1 MB when broadcast, whatever the input).
-BITMAP_BITS = 23
 #: A document is (doc_id, variant); the variant tells apart rows that repeat a doc_id with other texts.
 VARIANT_MASK = (1 << 20) - 1
 
@@ -111,21 +109,11 @@ def path_rows(paths: DataFrame) -> DataFrame:
 def _read_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Texts of the documents in ``wanted`` (doc, variant, ...), joined to it.
 
-    A bitmap over hashed ids (fixed size, broadcast) keeps most other texts out
-    of the shuffle; the join after it is exact.
+    ``only_ids`` keeps most other texts out of the shuffle; the join after it is exact.
     """
-    bit = F.pmod(F.xxhash64("doc"), F.lit(1 << BITMAP_BITS))
-    bitmap = wanted.select(bit.alias("bit")).groupBy(
-        F.shiftright("bit", 15).alias("bucket")
-    ).agg(F.expr("bitmap_construct_agg(bit & 32767)").alias("bitmap"))
-    bitmap = F.broadcast(saved(bitmap, "substrings-bitmap"))  # at most 2^8 rows of 4 KB
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(
-        F.col("doc").isNotNull() & F.col("text").isNotNull()
-    ).withColumn("bit", bit)
-    byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(F.col("bit").bitwiseAND(32767), 3).cast("int") + 1,
-                                    F.lit(1))), 16, 10).cast("int")
-    texts = texts.join(bitmap, F.shiftright("bit", 15) == F.col("bucket")).where(
-        F.getbit(byte, F.col("bit").bitwiseAND(7).cast("int")) == 1
+    texts = only_ids(
+        docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("text").isNotNull()),
+        wanted.select("doc"), "doc",
     ).select("doc", _variant(F.col("text")).alias("variant"), "text")
     return texts.join(wanted, ["doc", "variant"])
 
