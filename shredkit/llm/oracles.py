@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
+#: All inner products of the scaled vectors, ranked.
+OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 #: Poisson replication: the same MD5 uniforms against the closed form of the distribution.
 OP6 = """
 WITH sizes AS (
@@ -133,6 +150,7 @@ FROM placed p JOIN crcs c ON c.raw = p.raw
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mtree_topk": OP4,
         "op6_mix_sources": OP6,
         "op7_chat_format": OP7,
         "op8_substring_dedup": OP8,
