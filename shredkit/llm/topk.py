@@ -143,8 +143,10 @@ def search(page: Page, x: np.ndarray, ints: np.ndarray, ids: np.ndarray, query:
     return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def group_search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Top k of a block of queries in one group of candidates of one dimension."""
+    """Top k of a block of queries in one group of candidates of one dimension. Vectors
+    whose squares overflow have no usable bounds: all their products are computed."""
     raw = np.array(candidates["v"].tolist(), dtype=np.float64)
     asked = np.array(queries["v"].tolist(), dtype=np.float64)
     top = max(np.abs(raw).max(initial=0.0), np.abs(asked).max(initial=0.0))
@@ -158,7 +160,7 @@ def group_search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.
     out = []
     if np.isfinite(longest) and longest < 1e300:
         tree = bulk_load(x, np.arange(len(x)), np.zeros(len(x)))
-    else:  # squares overflow: one page per PAGE rows, no bounds
+    else:
         tree = Page(np.arange(len(x)), np.zeros(len(x)))
     for own, q in zip(queries["vec_id"].tolist(), asked, strict=True):
         query = q if small else np.array([int(c) for c in q.tolist()], dtype=object)

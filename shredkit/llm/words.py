@@ -151,7 +151,7 @@ def _hash_bytes(raw: np.ndarray, lo: int, hi: int, cuts: np.ndarray, rule: WordR
             edge[0], edge[-1] = word[0], word[-1]
             np.not_equal(word[1:], word[:-1], out=edge[1:-1])
             inner = cuts[np.searchsorted(cuts, p, "right"):np.searchsorted(cuts, q, "left")] - p
-            split = inner[word[inner] & word[inner - 1]]
+            split = np.unique(inner[word[inner] & word[inner - 1]])  # empty rows repeat a cut
             pos = np.flatnonzero(edge)
             if len(split):
                 pos = np.sort(np.concatenate([pos, split, split]), kind="stable")
