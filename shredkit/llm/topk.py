@@ -143,10 +143,14 @@ def search(page: Page, x: np.ndarray, ints: np.ndarray, ids: np.ndarray, query:
     return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-@np.errstate(over="ignore", invalid="ignore")
 def group_search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """Top k of a block of queries in one group of candidates of one dimension. Vectors
     whose squares overflow have no usable bounds: all their products are computed."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _group_search(candidates, queries, k)
+
+
+def _group_search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     raw = np.array(candidates["v"].tolist(), dtype=np.float64)
     asked = np.array(queries["v"].tolist(), dtype=np.float64)
     top = max(np.abs(raw).max(initial=0.0), np.abs(asked).max(initial=0.0))
