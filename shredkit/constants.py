@@ -27,3 +27,5 @@ TABLE_PROPERTIES = {
 ORDINAL = "_ordinal"          # element position, only with keep_ordinal=True
 INNER_PARENT_ID = "_parent_id"  # a nested field called parent_id is renamed to this
 MANAGED = (PARENT_ID, CONTENT_HASH)
+# Columns that child tables get: inner fields of these names are kept with a ``_`` before them.
+INNER_MANAGED = (PARENT_ID, CONTENT_HASH, PARENT_ID_HASH, FILE_KEY, ORDINAL)

@@ -14,34 +14,99 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType
-
-from shredkit.constants import MANAGED, ORDINAL
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    BooleanType,
+    DataType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
+
+from shredkit.constants import INNER_MANAGED, MANAGED
 from shredkit.functions.names import col
-from shredkit.functions.text import is_json_array, is_json_object
+from shredkit.functions.text import is_json_array, is_json_candidate, is_json_object
 
 log = logging.getLogger(__name__)
 
-# Variant type names -> the types Spark's JSON reader would infer.
-_TOKEN = re.compile(r"(`(?:[^`]|``)*`)|\bOBJECT<|\bVARIANT\b|\bVOID\b|\bDECIMAL\(\d+,\s*\d+\)")
-
+_BAREWORD = re.compile(r"[^,:<>()\s]+")
+_SIMPLE = {"BIGINT": LongType, "STRING": StringType, "DOUBLE": DoubleType, "FLOAT": DoubleType,
+           "BOOLEAN": BooleanType, "DATE": DateType, "TIMESTAMP": TimestampType,
+           "TIMESTAMP_NTZ": TimestampNTZType, "BINARY": BinaryType}
 
-def variant_type_to_ddl(vtype: str | None) -> str | None:
-    """``OBJECT<k: BIGINT>`` -> ``STRUCT<k: BIGINT>``; ``None`` when nothing was seen."""
-    if vtype is None or vtype.strip() in ("VOID", ""):
-        return None
 
-    def repl(m: re.Match) -> str:
-        tok = m.group(0)
-        if m.group(1):
-            return tok
-        if tok.startswith("OBJECT"):
-            return "STRUCT<"
-        if tok.startswith("DECIMAL"):
-            return "DOUBLE"
-        return "STRING"  # VARIANT (mixed types) and VOID (only nulls)
+def variant_type(text: str | None) -> DataType | None:
+    """The type Spark's JSON reader would infer, from the text of a variant type.
 
-    return _TOKEN.sub(repl, vtype)
+    ``OBJECT<k: BIGINT>`` is a struct; whole numbers beyond 64 bits stay exact
+    decimals, fractions are doubles; mixed types and nulls alone are text. An
+    object without fields gives nothing (its field is left out), and so does
+    ``None``. Field names are read as names, whatever they look like.
+    """
+    if text is None or text.strip() in ("", "VOID"):
+        return None
+    return _read_type(text, 0)[0]
+
+
+def _read_type(s: str, i: int) -> tuple[DataType | None, int]:
+    m = _BAREWORD.match(s, i)
+    word, i = m.group(0), m.end()
+    if word == "ARRAY":
+        elem, i = _read_type(s, i + 1)
+        return (ArrayType(elem) if elem is not None else None), i + 1
+    if word == "OBJECT":
+        fields: list[StructField] = []
+        i += 1
+        while s[i] != ">":
+            name, i = _read_name(s, i)
+            dtype, i = _read_type(s, i + 2)  # behind ": "
+            if dtype is not None:
+                fields.append(StructField(name, dtype))
+            if s[i] == ",":
+                i += 2
+        return (StructType(fields) if fields else None), i + 1
+    if word == "DECIMAL":
+        end = s.index(")", i)
+        precision, scale = (int(x) for x in s[i + 1:end].split(","))
+        return (DecimalType(precision, 0) if scale == 0 else DoubleType()), end + 1
+    return _SIMPLE.get(word, StringType)(), i
+
+
+def _read_name(s: str, i: int) -> tuple[str, int]:
+    if s[i] != "`":
+        end = s.index(":", i)
+        return s[i:end], end
+    out = []
+    i += 1
+    while True:
+        end = s.index("`", i)
+        out.append(s[i:end])
+        if s[end + 1:end + 2] != "`":
+            return "`".join(out), end + 1
+        i = end + 2
+
+
+def clashing_names(dtype: DataType) -> list[str]:
+    """Names that differ only in case inside one record: Spark columns cannot hold both."""
+    if isinstance(dtype, ArrayType):
+        return clashing_names(dtype.elementType)
+    if not isinstance(dtype, StructType):
+        return []
+    seen: dict[str, str] = {}
+    out = []
+    for f in dtype.fields:
+        if f.name.lower() in seen:
+            out.append(f.name)
+        seen[f.name.lower()] = f.name
+        out += clashing_names(f.dataType)
+    return out
 
 
 def string_columns(df: DataFrame, cols: Iterable[str] | None = None) -> list[str]:
@@ -55,12 +120,12 @@ def string_columns(df: DataFrame, cols: Iterable[str] | None = None) -> list[str
     ]
 
 
-def infer_json_schemas(df: DataFrame, cols: Iterable[str] | None = None) -> dict[str, str]:
-    """Infer a ``from_json`` schema (DDL) for each string column holding JSON.
+def infer_json_schemas(df: DataFrame, cols: Iterable[str] | None = None) -> dict[str, DataType]:
+    """Infer a ``from_json`` schema for each string column holding JSON.
 
-    One job for all columns. A column whose candidates are mostly objects gets
-    a struct schema, mostly arrays an array schema; columns with no candidate
-    are left out (they stay text).
+    One job for all columns. Objects give a struct; arrays, or objects and
+    arrays in one column, give an array (a lone object then reads as an array
+    of one); columns with no candidate are left out (they stay text).
     """
     names = string_columns(df, cols)
     return _infer(df, [(n, col(n), False) for n in names])
@@ -83,7 +148,7 @@ def string_paths(schema: StructType) -> list[tuple[str, Column, bool]]:
                     continue
                 name, e = f.name, col(f.name)
             else:
-                name = "_" + f.name if f.name in MANAGED or f.name == ORDINAL else f.name
+                name = "_" + f.name if f.name in INNER_MANAGED else f.name
                 e = expr.getField(f.name)
             t = f.dataType
             if isinstance(t, StringType):
@@ -98,7 +163,7 @@ def string_paths(schema: StructType) -> list[tuple[str, Column, bool]]:
     return out
 
 
-def infer_nested_json_schemas(df: DataFrame) -> tuple[dict[str, str], set[str]]:
+def infer_nested_json_schemas(df: DataFrame) -> tuple[dict[str, DataType], set[str]]:
     """Schemas for JSON held in text at *every* depth, in one job.
 
     Returns ``(schemas by dotted path, all text paths looked at)``; a looked-at
@@ -115,48 +180,58 @@ def infer_nested_json_schemas(df: DataFrame) -> tuple[dict[str, str], set[str]]:
 PATHS_PER_JOB = 64
 
 
-def _infer(df: DataFrame, paths: list[tuple[str, Column, bool]]) -> dict[str, str]:
-    out: dict[str, str] = {}
+def _infer(df: DataFrame, paths: list[tuple[str, Column, bool]]) -> dict[str, DataType]:
+    out: dict[str, DataType] = {}
     for start in range(0, len(paths), PATHS_PER_JOB):
         out.update(_infer_group(df, paths[start:start + PATHS_PER_JOB]))
     return out
 
 
-def _infer_group(df: DataFrame, paths: list[tuple[str, Column, bool]]) -> dict[str, str]:
+def _infer_group(df: DataFrame, paths: list[tuple[str, Column, bool]]) -> dict[str, DataType]:
     aggs: list[Column] = []
     for i, (_, value, many) in enumerate(paths):
         if many:  # an array of texts per document: parse each candidate
             objs = F.filter(value, lambda t: is_json_object(t))
             arrs = F.filter(value, lambda t: is_json_array(t))
+            objects = F.flatten(F.transform(arrs, lambda t: F.try_variant_get(
+                F.try_parse_json(t), "$", "array<variant>")))
             parsed_o = F.to_variant_object(F.transform(objs, lambda t: F.try_parse_json(t)))
             parsed_a = F.to_variant_object(F.transform(arrs, lambda t: F.try_parse_json(t)))
-            n_o, n_a = F.sum(F.size(objs)), F.sum(F.size(arrs))
         else:
             parsed_o = F.try_parse_json(F.when(is_json_object(value), value))
             parsed_a = F.try_parse_json(F.when(is_json_array(value), value))
-            n_o = F.count(F.when(is_json_object(value), 1))
-            n_a = F.count(F.when(is_json_array(value), 1))
+            # The elements of arrays, and objects as arrays of one: their common record.
+            objects = F.coalesce(F.try_variant_get(parsed_a, "$", "array<variant>"),
+                                 F.when(parsed_o.isNotNull(), F.array(parsed_o)))
+        if many:
+            objects = F.concat(F.coalesce(objects, F.array().cast("array<variant>")),
+                               F.coalesce(F.transform(objs, lambda t: F.try_parse_json(t)),
+                                          F.array().cast("array<variant>")))
+        records = F.filter(objects, lambda v: F.schema_of_variant(v).startswith("OBJECT<"))
         aggs += [F.schema_of_variant_agg(parsed_o).alias(f"o{i}"),
                  F.schema_of_variant_agg(parsed_a).alias(f"a{i}"),
-                 n_o.alias(f"no{i}"), n_a.alias(f"na{i}")]
+                 F.schema_of_variant_agg(F.to_variant_object(records)).alias(f"r{i}")]
     row = df.agg(*aggs).first()
-    out: dict[str, str] = {}
+    out: dict[str, DataType] = {}
     for i, (path, _, many) in enumerate(paths):
         o_raw, a_raw = row[f"o{i}"], row[f"a{i}"]
         if many:
             o_raw, a_raw = _element(o_raw), _element(a_raw)
-        o = variant_type_to_ddl(o_raw)
-        a = variant_type_to_ddl(a_raw)
-        if o and not o.startswith("STRUCT<"):
-            o = None
-        if a and not a.startswith("ARRAY<"):
-            a = None
-        if o and a:
-            chosen = o if (row[f"no{i}"] or 0) >= (row[f"na{i}"] or 0) else a
-            log.warning("%s mixes JSON objects and arrays; using %s", path, chosen)
-        else:
-            chosen = o or a
-        if chosen:
+        o, a = variant_type(o_raw), variant_type(a_raw)
+        o = o if isinstance(o, StructType) else None
+        a = a if isinstance(a, ArrayType) else None
+        chosen: DataType | None = o or a
+        if o and a:  # both shapes: objects read as arrays of one
+            records = variant_type(row[f"r{i}"])
+            if isinstance(a.elementType, StructType) and isinstance(records, ArrayType):
+                chosen = records
+            else:
+                log.warning("%s mixes JSON objects with arrays of other values; it stays text", path)
+                chosen = None
+        if chosen is not None and (names := clashing_names(chosen)):
+            log.warning("%s has keys that differ only in case (%s); it stays text", path, ", ".join(names))
+            chosen = None
+        if chosen is not None:
             out[path] = chosen
     return out
 
@@ -181,7 +256,8 @@ def promote(df: DataFrame, schemas: dict[str, str | DataType]) -> DataFrame:
         c = col(f.name)
         if f.name in schemas and isinstance(f.dataType, StringType):
             s = schemas[f.name]
-            c = F.when(is_json_array(c) if _is_array(s) else is_json_object(c),
+            # An array schema also reads a lone object, as an array of one.
+            c = F.when(is_json_candidate(c) if _is_array(s) else is_json_object(c),
                        F.from_json(c, s))
         exprs.append(c.alias(f.name))
     return df.select(*exprs)

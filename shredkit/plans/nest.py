@@ -1,12 +1,11 @@
 """Nested document frames built from the flat test tables.
 
 These give ``flatten`` realistic nested input whose expected output is known
-from the flat tables. Grouping rows into arrays is bounded: a group is split
-into partial documents of about ``max_items`` elements (hash-assigned, with
-the split count derived from the group's size), so a key holding a third of
-all rows never becomes one giant array in one task. Partial documents of the
-same key carry identical scalars; child tables are sets per ``parent_id``, so
-they come out the same as from whole documents.
+from the flat tables. Grouping rows into arrays is bounded by a rule that is
+the same for every key: the rows of a key are numbered by a unique child
+column, and each range of ``max_items`` numbers is one document. Documents of
+the same key carry identical scalars; child tables are sets per ``parent_id``,
+so they come out the same however many documents a key has.
 """
 
 from __future__ import annotations
@@ -28,54 +27,55 @@ def nest_rows(
     keys: Sequence[str],
     items: Sequence[str | object],
     name: str,
-    max_items: int = 1024,
+    unique: str,
+    max_items: int = 65536,
 ) -> DataFrame:
-    """``keys`` + ``name: array<struct<items>>``, one row per bounded chunk."""
-    sizes = child.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    # One row per key on the right: AQE's skew-join handling splits a hot key
-    # on the left instead of sending it to one task.
-    c = child.join(sizes, list(keys))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(max_items)))
+    """``keys`` + ``name: array<struct<items>>``, one row per key and range of ``unique``.
+
+    ``unique`` numbers the rows of a key; every ``max_items`` numbers make one
+    document, whatever the size of the key, so no array is longer. One scan and
+    one shuffle on (key, range); null keys are a key like any other.
+    """
     item_cols = [F.col(i) if isinstance(i, str) else i for i in items]
-    c = c.withColumn("__chunk", F.pmod(F.xxhash64(*item_cols), parts))
-    # Shuffle on (key, chunk) explicitly: otherwise the grouping may reuse the
-    # join's partitioning on the key alone and keep a hot key in one task
-    # (which would also stop AQE from splitting that skewed join).
-    c = c.repartition(*[F.col(k) for k in keys], F.col("__chunk"))
-    return (c.groupBy(*keys, "__chunk")
-             .agg(F.collect_list(F.struct(*item_cols)).alias(name))
-             .drop("__chunk"))
+    part = F.floor(F.col(unique) / F.lit(max_items)).alias("__part")
+    return (child.groupBy(*keys, part)
+                 .agg(F.collect_list(F.struct(*item_cols)).alias(name))
+                 .drop("__part"))
 
 
-def nested_orders(spark: SparkSession, sf_dir: str, max_items: int = 1024) -> DataFrame:
-    """orders + ``customer struct<c_name, c_mktsegment>`` +
-    ``items array<struct<l_linenumber, l_returnflag, l_quantity, l_shipdate>>``."""
+def orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders + ``customer struct<c_name, c_mktsegment>``."""
     orders = table(spark, sf_dir, "orders")
     cust = table(spark, sf_dir, "customer").select(
         "c_custkey", F.struct("c_name", "c_mktsegment").alias("customer"))
+    doc = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
+    return doc.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                      "o_orderdate", "o_orderpriority", "customer")
+
+
+def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders + ``customer struct<c_name, c_mktsegment>`` +
+    ``items array<struct<l_linenumber, l_returnflag, l_quantity, l_shipdate>>``."""
     li = table(spark, sf_dir, "lineitem")
     items = nest_rows(li, ["l_orderkey"],
                       ["l_linenumber", "l_returnflag", "l_quantity", "l_shipdate"],
-                      "items", max_items)
-    doc = (orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
-                 .join(items, orders.o_orderkey == items.l_orderkey, "left"))
-    return doc.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                      "o_orderdate", "o_orderpriority", "customer", "items")
+                      "items", "l_linenumber")
+    orders = orders_with_customer(spark, sf_dir)
+    return orders.join(items, orders.o_orderkey == items.l_orderkey, "left").drop("l_orderkey")
 
 
-def nested_customers(spark: SparkSession, sf_dir: str, max_items: int = 1024,
-                     max_orders: int = 64) -> DataFrame:
+def nested_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer + ``orders array<struct<o_orderkey, o_orderstatus, o_totalprice,
     o_orderdate, items array<struct<l_linenumber, l_returnflag, l_quantity>>>>``."""
     orders = table(spark, sf_dir, "orders")
     li = table(spark, sf_dir, "lineitem")
     items = nest_rows(li, ["l_orderkey"], ["l_linenumber", "l_returnflag", "l_quantity"],
-                      "items", max_items)
+                      "items", "l_linenumber")
     o = orders.join(items, orders.o_orderkey == items.l_orderkey, "left")
     per_cust = nest_rows(
         o, ["o_custkey"],
         ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "items"],
-        "orders", max_orders)
+        "orders", "o_orderkey")
     cust = table(spark, sf_dir, "customer")
     doc = cust.join(per_cust, cust.c_custkey == per_cust.o_custkey, "left")
     return doc.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "orders")
@@ -88,10 +88,10 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.split(F.col("text"), "\n").alias("lines"))
 
 
-def threads(spark: SparkSession, sf_dir: str, max_items: int = 1024) -> DataFrame:
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations nested per conversation: ``turns array<struct<turn, role, text>>``."""
     conv = table(spark, sf_dir, "conversations")
-    return nest_rows(conv, ["conv_id"], ["turn", "role", "text"], "turns", max_items)
+    return nest_rows(conv, ["conv_id"], ["turn", "role", "text"], "turns", "turn")
 
 
 def events_dated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from shredkit.functions.names import col
-from shredkit.plans.jsoncols import variant_type_to_ddl
+from shredkit.plans.jsoncols import clashing_names, variant_type
+
+log = logging.getLogger(__name__)
 
 CORRUPT = "_corrupt_record"
 
@@ -40,21 +44,30 @@ def read_json_files(
     return df
 
 
-def infer_document_schema(df: DataFrame, column: str) -> str | None:
+def infer_document_schema(df: DataFrame, column: str) -> StructType | None:
     """Schema of JSON documents (objects, or arrays of objects) in a text column.
 
     Array texts are split into their elements first, so objects and arrays of
-    objects merge into one struct schema. Inferred on the cluster in one
-    aggregate; only the type string reaches the driver.
+    objects merge into one struct schema; texts and elements that are no
+    objects have no say in it. Inferred on the cluster in one aggregate; only
+    the type string reaches the driver. Keys that differ only in case cannot be
+    columns side by side: documents with them are left to the caller's schema
+    (``None``, with one warning).
     """
     c = col(column)
     v = F.try_parse_json(c)
     elems = F.when(c.rlike(r"^[\x00-\x20]*\["), F.try_variant_get(v, "$", "array<variant>")) \
              .otherwise(F.array(v))
     row = df.select(F.explode(elems).alias("__v")) \
+            .where(F.schema_of_variant("__v").startswith("OBJECT<")) \
             .agg(F.schema_of_variant_agg(F.col("__v")).alias("s")).first()
-    ddl = variant_type_to_ddl(row["s"])
-    return ddl if ddl and ddl.startswith("STRUCT<") else None
+    found = variant_type(row["s"])
+    if not isinstance(found, StructType):
+        return None
+    if names := clashing_names(found):
+        log.warning("documents in %s have keys that differ only in case: %s", column, ", ".join(names))
+        return None
+    return found
 
 
 def parse_json_column(
@@ -75,7 +88,7 @@ def parse_json_column(
     c = col(column)
     if schema is None:
         schema = infer_document_schema(df, column)
-        if schema is None:  # nothing parses as an object: every row is corrupt
+        if schema is None:  # nothing parses as an object: every row keeps its raw text
             return df.select(*others, *([c.alias(CORRUPT)] if keep_corrupt else []))
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
