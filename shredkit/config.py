@@ -53,7 +53,12 @@ class IngestConfig:
     on_duplicate: str = "error"      # "error" | "latest" | "allow"
     latest_by: str | None = None
     replace_children: bool = False
-    children_append_only: bool = False  # child tables only get new keys, no rewrite
+    # Child tables only get new keys: their key holds the content hash, so a row that
+    # is there already is the same row. False (or replace_children) merges instead.
+    children_append_only: bool = True
+    # Keep the parsed batch on the executors while its tables are written. Turn it off for
+    # columnar sources: each table then reads only its own columns of the source.
+    persist: bool = True
     location: str | None = None      # root folder for table files; None = warehouse
     options: FlattenOptions = field(default_factory=FlattenOptions)
 

@@ -18,6 +18,16 @@ def col(name: str) -> Column:
     return F.col(quote(name))
 
 
+def split_name(name: str) -> list[str]:
+    """Parts of a table name: dots divide, except inside back-ticks."""
+    return [p.strip("`").replace("``", "`") for p in re.findall(r"(?:`(?:[^`]|``)*`|[^`.])+", name)]
+
+
+def quote_name(name: str) -> str:
+    """A table name for SQL with every part quoted."""
+    return ".".join(quote(p) for p in split_name(name))
+
+
 def child_name(parent: str, field: str) -> str:
     """Child table name: ``<parent>_<lower(field)>``."""
     return f"{parent}_{field.lower()}"

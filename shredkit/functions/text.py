@@ -41,9 +41,10 @@ def decode_hex(c: Column, prefix_len: int = 0, strict: bool = True) -> Column:
     Odd length or a non-hex digit raises when ``strict`` (``try_to_binary``
     alone would pad odd input instead of failing); otherwise gives null.
     """
-    joined = F.regexp_replace(F.trim(c), r"[ \t]*\r?\n[ \t]*", "")
+    # Control characters and spaces around each line go, as a string trim does.
+    joined = F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$|[\x00-\x20]*\n[\x00-\x20]*", "")
     if prefix_len:
-        joined = F.substring(joined, prefix_len + 1, 1 << 30)
+        joined = F.substr(joined, F.lit(prefix_len + 1))
     ok = (F.length(joined) % 2 == 0) & joined.rlike("^[0-9A-Fa-f]*$")
     decoded = F.unhex(joined)
     if strict:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shredkit.config import IngestConfig
 from shredkit.constants import CONTENT_HASH, PARENT_ID
-from shredkit.operators.tables import save_table
+from shredkit.operators.tables import save_table, table_names
 from shredkit.plans.flatten import flatten
-from shredkit.session import safe_planning, parallelism, scoped_conf
+from shredkit.session import parallelism, safe_planning, scoped_conf
+from shredkit.sources.json import CORRUPT, parse_json_column
 
 
 def _persist_spread(df: DataFrame) -> tuple[DataFrame, int]:
@@ -40,9 +42,9 @@ def _persist_spread(df: DataFrame) -> tuple[DataFrame, int]:
 def ingest_batch(df: DataFrame, cfg: IngestConfig) -> list[str]:
     """Flatten one batch of documents and save main and child tables.
 
-    The parsed batch is persisted (memory, spilling to disk) because every
-    output table reads it; a lost executor only recomputes its own blocks from
-    lineage. Returns the table names written, in write order (none for an
+    With ``cfg.persist`` the parsed batch is kept (memory, spilling to disk)
+    because every output table reads it; a lost executor only recomputes its own
+    blocks from lineage. Returns the table names written, in write order (none for an
     empty batch).
     """
     if cfg.id_field is None and len(df.columns) != 1:
@@ -57,14 +59,22 @@ def _ingest(df: DataFrame, cfg: IngestConfig) -> list[str]:
                    cfg.file_key, cfg.buckets, cfg.on_duplicate, cfg.latest_by,
                    location=cfg.location)
         return [cfg.table]
-    df, n = _persist_spread(df)
+    if cfg.persist:
+        df, n = _persist_spread(df)
+        empty = n == 0
+    else:
+        empty = df.isEmpty()
     try:
-        if n == 0:  # an empty batch (e.g. an idle micro-batch) touches nothing
+        if empty:  # e.g. an idle micro-batch: touches nothing
             return []
         tables = flatten(df, cfg.id_field, cfg.table, cfg.options)
+        # All names are settled before the first write: a family is never half written
+        # because of a name.
+        names = table_names(df.sparkSession, cfg.table, list(tables))
         written = []
-        for name, t in tables.items():
-            if name == cfg.table:
+        for logical, t in tables.items():
+            name = names[logical]
+            if logical == cfg.table:
                 key = cfg.id_field if cfg.id_field in t.columns else PARENT_ID
                 save_table(t, name, [key], cfg.date_field, cfg.date_format, cfg.file_key,
                            cfg.buckets, cfg.on_duplicate, cfg.latest_by, location=cfg.location)
@@ -72,15 +82,32 @@ def _ingest(df: DataFrame, cfg: IngestConfig) -> list[str]:
                 save_table(t, name, [PARENT_ID, CONTENT_HASH], file_key=cfg.file_key,
                            buckets=cfg.buckets, on_duplicate="allow",
                            replace_keys=[PARENT_ID] if cfg.replace_children else None,
-                           location=cfg.location, append_only=cfg.children_append_only)
+                           location=cfg.location,
+                           append_only=cfg.children_append_only and not cfg.replace_children)
             written.append(name)
         return written
     finally:
-        df.unpersist()
+        if cfg.persist:
+            df.unpersist()
 
 
 def ingest_json_column(df: DataFrame, column: str, cfg: IngestConfig) -> list[str]:
-    """Ingest documents held as JSON text in ``column`` (one or an array per row)."""
-    from shredkit.sources.json import parse_json_column
+    """Ingest documents held as JSON text in ``column`` (one or an array per row).
 
-    return ingest_batch(parse_json_column(df, column, keep_corrupt=False), cfg)
+    Texts that are no JSON documents go to the side table ``<table>_corrupt``,
+    keyed by the hash of their raw text: none is lost, and a second ingest of
+    the same text adds nothing.
+    """
+    parsed = parse_json_column(df, column)
+    bad = parsed.where(F.col(CORRUPT).isNotNull()).select(F.sha2(CORRUPT, 256).alias(CONTENT_HASH), CORRUPT)
+    bad = bad.dropDuplicates([CONTENT_HASH])
+    written = []
+    if not bad.isEmpty():
+        name = f"{cfg.table}_corrupt"
+        save_table(bad, name, [CONTENT_HASH], file_key=cfg.file_key, buckets=cfg.buckets,
+                   location=cfg.location, append_only=True)
+        written.append(name)
+    good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    if set(good.columns) == set(df.columns) - {column}:  # no text held a document
+        return written
+    return ingest_batch(good, cfg) + written

@@ -13,9 +13,10 @@ Two storage paths, chosen once per table by its catalog:
   table.
 
 Layout of a snapshot: ``bucket(16, key)`` becomes a directory partition
-``_bucket = pmod(hash(key), 16)`` (like the table-format transform, it prunes
-files but does not cap read parallelism at 16 tasks the way Spark's own
-``bucketBy`` would), plus ``<date>_day`` when a date field is given. The
+``_shredkit_bucket = pmod(hash(key), 16)`` (like the table-format transform, it
+prunes files but does not cap read parallelism at 16 tasks the way Spark's own
+``bucketBy`` would), plus ``_shredkit_day`` when a date field is given. The
+view does not show these two, and an append reads only the buckets it meets. The
 write is a ``rebalance`` on those columns: AQE sizes the write tasks from the
 measured shuffle, splitting a hot bucket over several tasks and merging small
 ones, so files come out near the advisory partition size at any volume.
@@ -23,24 +24,26 @@ ones, so files come out near the advisory partition size at any volume.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from shredkit.constants import DEFAULT_BUCKETS, FILE_KEY, TABLE_PROPERTIES
-from shredkit.functions.names import col, quote, snake_case_str
+from shredkit.functions.names import col, quote, quote_name, snake_case_str, split_name
 from shredkit.functions.text import parse_date
-from shredkit.operators.upsert import dedup_source, key_set_bytes, merge_upsert
+from shredkit.operators.upsert import _non_null, dedup_source, key_set_bytes, merge_upsert
 from shredkit.session import safe_planning, scoped_conf
 from shredkit.plans.schema import add_columns_sql, align_schema, check_compatible, missing_fields
 
 _SNAP = "__s"
-BUCKET = "_bucket"
+BUCKET = "_shredkit_bucket"
+DAY = "_shredkit_day"
 _PROP_BUCKET = "shredkit.bucket_col"
 _PROP_BUCKETS = "shredkit.buckets"
 _PROP_DAY = "shredkit.day_col"
@@ -61,7 +64,26 @@ def qualified_name(name: str | None, catalog: str | None = None, database: str |
 
 def table_exists(spark: SparkSession, name: str) -> bool:
     """Catalog existence check (C1). Errors (unknown catalog, no access) propagate."""
-    return spark.catalog.tableExists(name)
+    return spark.catalog.tableExists(quote_name(name))
+
+
+def table_names(spark: SparkSession, main: str, logical: Sequence[str]) -> dict[str, str]:
+    """Catalog names of a table family: ``main`` and children named after it.
+
+    A V2 catalog takes any name, quoted. The built-in catalog only takes
+    letters, digits and ``_``: other characters become ``_`` there. Two names that
+    become one raise here, before anything is written.
+    """
+    *place, last = split_name(main)
+    v2 = _is_v2(spark, main)
+    out: dict[str, str] = {}
+    for name in logical:
+        own = last + name[len(main):]
+        own = quote(own) if v2 else re.sub(r"\W", "_", own)
+        out[name] = ".".join([*(quote(p) for p in place), own])
+    if len({n.lower() for n in out.values()}) < len(out):
+        raise ValueError(f"table names clash in the catalog: {sorted(out.values())}")
+    return out
 
 
 def with_file_key(df: DataFrame, file_key: str | None) -> DataFrame:
@@ -72,11 +94,11 @@ def with_file_key(df: DataFrame, file_key: str | None) -> DataFrame:
 
 
 def _is_v2(spark: SparkSession, name: str) -> bool:
-    parts = name.split(".")
-    if len(parts) < 3:
-        return False
-    return parts[0] != "spark_catalog" and bool(
-        spark.conf.get(f"spark.sql.catalog.{parts[0]}", None))
+    """Is the table in a configured catalog (named first, or the current one)?"""
+    parts = split_name(name)
+    if len(parts) > 1 and parts[0] != "spark_catalog" and spark.conf.get(f"spark.sql.catalog.{parts[0]}", None):
+        return True
+    return len(parts) < 3 and spark.catalog.currentCatalog() != "spark_catalog"
 
 
 def _store_db(spark: SparkSession, name: str, location: str | None) -> str | None:
@@ -87,7 +109,7 @@ def _store_db(spark: SparkSession, name: str, location: str | None) -> str | Non
     Without one, snapshots sit next to the view in the warehouse.
     """
     if not location:
-        return ".".join(name.split(".")[:-1]) or None
+        return ".".join(quote(p) for p in split_name(name)[:-1]) or None
     root = location.rstrip("/")
     db = f"shredkit_store_{zlib.crc32(root.encode()):08x}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}'")
@@ -96,9 +118,9 @@ def _store_db(spark: SparkSession, name: str, location: str | None) -> str | Non
 
 def _new_snapshot_name(name: str, db: str | None) -> str:
     # Unique per attempt: a write that died half way never blocks its retry.
-    base = name.split(".")[-1]
+    base = split_name(name)[-1]
     t = f"{base}{_SNAP}{uuid.uuid4().hex[:12]}"
-    return f"{db}.{t}" if db else t
+    return f"{db}.{quote(t)}" if db else quote(t)
 
 
 def _current_snapshot(spark: SparkSession, name: str) -> str | None:
@@ -107,7 +129,7 @@ def _current_snapshot(spark: SparkSession, name: str) -> str | None:
 
 
 def _props(spark: SparkSession, table: str) -> dict[str, str]:
-    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").collect()
+    rows = spark.sql(f"SHOW TBLPROPERTIES {quote_name(table)}").collect()
     return {r["key"]: r["value"] for r in rows}
 
 
@@ -130,32 +152,40 @@ def create_table(
         parts = [F.partitioning.bucket(buckets, col(bucket_col))]
         if date_col:
             parts.append(F.partitioning.days(col(date_col)))
-        w = df.writeTo(name).using(props.pop("provider", "iceberg")).partitionedBy(*parts)
+        w = df.writeTo(quote_name(name)).using(props.pop("provider", "iceberg")).partitionedBy(*parts)
         for k, v in props.items():
             w = w.tableProperty(k, v)
         w.create()
         return
-    day_col = f"{date_col}_day" if date_col else None
-    _write_snapshot(df, name, bucket_col, buckets, day_col, _store_db(spark, name, location))
+    _write_snapshot(df, name, bucket_col, buckets, date_col, _store_db(spark, name, location))
+
 
+def _bucket_of(bucket_col: str, buckets: int) -> Column:
+    return F.pmod(F.hash(col(bucket_col)), F.lit(buckets))
 
-def _with_layout(df: DataFrame, bucket_col: str, buckets: int, day_col: str | None) -> DataFrame:
-    """Add the partition columns ``_bucket`` (and ``<date>_day``) to rows being written."""
-    df = df.withColumn(BUCKET, F.pmod(F.hash(col(bucket_col)), F.lit(buckets)))
-    if day_col:
-        df = df.withColumn(day_col, F.to_date(col(day_col[: -len("_day")])))
-    return df
+
+def _with_layout(df: DataFrame, bucket_col: str, buckets: int, date_col: str | None) -> DataFrame:
+    """Add the partition columns to rows being written."""
+    for c in df.columns:
+        if c.lower() in (BUCKET, DAY):
+            raise ValueError(f"the column name {c} is reserved for the table layout")
+    df = df.withColumn(BUCKET, _bucket_of(bucket_col, buckets))
+    return df.withColumn(DAY, F.to_date(col(date_col))) if date_col else df
+
+
+def _data(spark: SparkSession, snap: str) -> DataFrame:
+    """A snapshot without its layout columns."""
+    return spark.table(snap).drop(BUCKET, DAY)
 
 
 def _write_snapshot(df: DataFrame, name: str, bucket_col: str, buckets: int,
-                    day_col: str | None, store: str | None) -> None:
+                    date_col: str | None, store: str | None) -> None:
     spark = df.sparkSession
     previous = _current_snapshot(spark, name) if table_exists(spark, name) else None
     older = _props(spark, name).get(_PROP_PREVIOUS) if previous else None
     snap = _new_snapshot_name(name, store)
-    data_cols = [c for c in df.columns if c not in (BUCKET, day_col)]
-    df = _with_layout(df.select(*[col(c) for c in data_cols]), bucket_col, buckets, day_col)
-    part_cols = [BUCKET] + ([day_col] if day_col else [])
+    df = _with_layout(df, bucket_col, buckets, date_col)
+    part_cols = [BUCKET] + ([DAY] if date_col else [])
     # Rebalance on the partition columns: AQE sizes the write tasks from the
     # measured shuffle (splitting a hot bucket over several tasks, merging
     # small ones), so each task writes about one file of the advisory size
@@ -163,9 +193,9 @@ def _write_snapshot(df: DataFrame, name: str, bucket_col: str, buckets: int,
     df = (df.hint("rebalance", *part_cols)
             .sortWithinPartitions(*[F.col(c) for c in part_cols], col(bucket_col)))
     df.write.format("parquet").mode("errorifexists").partitionBy(*part_cols).saveAsTable(snap)
-    meta = {_PROP_BUCKET: bucket_col, _PROP_BUCKETS: str(buckets), _PROP_DAY: day_col or "",
+    meta = {_PROP_BUCKET: bucket_col, _PROP_BUCKETS: str(buckets), _PROP_DAY: date_col or "",
             _PROP_STORE: store or ""}
-    kv = ", ".join(f"'{k}' = '{v}'" for k, v in meta.items())
+    kv = ", ".join(f"'{k}' = {_literal(v)}" for k, v in meta.items())
     spark.sql(f"ALTER TABLE {snap} SET TBLPROPERTIES ({kv})")
     _point_view(spark, name, snap, previous)
     # Keep the previous snapshot for readers already running; drop the one before.
@@ -174,26 +204,30 @@ def _write_snapshot(df: DataFrame, name: str, bucket_col: str, buckets: int,
 
 
 def _point_view(spark: SparkSession, name: str, snap: str, previous: str | None = None) -> None:
-    cols = ", ".join(quote(c) for c in spark.table(snap).columns)
-    props = f"'{_PROP_SNAPSHOT}' = '{snap}'"
+    cols = ", ".join(quote(c) for c in _data(spark, snap).columns)
+    props = f"'{_PROP_SNAPSHOT}' = {_literal(snap)}"
     if previous:
-        props += f", '{_PROP_PREVIOUS}' = '{previous}'"
-    spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ({props}) "
+        props += f", '{_PROP_PREVIOUS}' = {_literal(previous)}"
+    spark.sql(f"CREATE OR REPLACE VIEW {quote_name(name)} TBLPROPERTIES ({props}) "
               f"AS SELECT {cols} FROM {snap}")
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 # ------------------------------------------------------------------ evolve / align
 
 
 def evolve_schema(spark: SparkSession, name: str, new_schema: StructType) -> list[str]:
     """Add columns of ``new_schema`` missing from table ``name`` (C2); returns their names."""
-    current = spark.table(name).schema
+    current = spark.table(quote_name(name)).schema
     check_compatible(current, new_schema)
     add = missing_fields(current, new_schema)
     if not add:
         return []
     if _is_v2(spark, name):
-        spark.sql(add_columns_sql(name, add))
+        spark.sql(add_columns_sql(quote_name(name), add))
     else:
         snap = _current_snapshot(spark, name)
         previous = _props(spark, name).get(_PROP_PREVIOUS)
@@ -206,25 +240,29 @@ def evolve_schema(spark: SparkSession, name: str, new_schema: StructType) -> lis
 def align_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Evolve table ``name`` for ``df``'s new columns, then align ``df`` to it (C4)."""
     evolve_schema(spark, name, df.schema)
-    return align_schema(df, spark.table(name).schema)
+    return align_schema(df, spark.table(quote_name(name)).schema)
 
 
-def append_table(df: DataFrame, name: str) -> None:
-    """Append with additive schema evolution (K2)."""
+def append_table(df: DataFrame, name: str, bucket_col: str | None = None) -> None:
+    """Append with additive schema evolution (K2). A table that does not exist is
+    created, bucketed on ``bucket_col`` (by default the first column)."""
     spark = df.sparkSession
+    if not table_exists(spark, name):
+        create_table(df, name, bucket_col or df.columns[0])
+        return
     aligned = align_to_table(spark, df, name)
     if _is_v2(spark, name):
-        aligned.writeTo(name).append()
+        aligned.writeTo(quote_name(name)).append()
         return
     snap = _current_snapshot(spark, name)
     props = _props(spark, snap)
-    day_col = props.get(_PROP_DAY) or None
-    data_cols = [c for c in aligned.columns if c not in (BUCKET, day_col)]
-    aligned = _with_layout(aligned.select(*[col(c) for c in data_cols]), props[_PROP_BUCKET],
-                           int(props[_PROP_BUCKETS]), day_col)
+    date_col = props.get(_PROP_DAY) or None
+    key = props[_PROP_BUCKET]
+    aligned = _with_layout(aligned, key, int(props[_PROP_BUCKETS]), date_col)
     aligned = aligned.select(*[col(c) for c in spark.table(snap).columns])
-    part_cols = [BUCKET] + ([day_col] if day_col else [])
-    aligned.hint("rebalance", *part_cols).write.insertInto(snap)
+    part_cols = [BUCKET] + ([DAY] if date_col else [])
+    aligned.hint("rebalance", *part_cols).sortWithinPartitions(
+        *[F.col(c) for c in part_cols], col(key)).write.insertInto(snap)
     spark.catalog.refreshTable(snap)
 
 
@@ -239,18 +277,20 @@ def upsert_table(df: DataFrame, name: str, keys: Sequence[str],
     if not keys:
         raise ValueError("upsert needs at least one key column")
     if _is_v2(spark, name):
+        if replace_keys:
+            raise ValueError("replace_keys is not supported on V2 catalogs: their MERGE cannot drop "
+                             "target rows that only share a part of the key")
         aligned = align_to_table(spark, df, name)
-        target = quote(name.split(".")[-1])  # the target is referred to by its table name
+        target = quote(split_name(name)[-1])  # the target is referred to by its table name
         cond = " AND ".join(f"{target}.{quote(k)} = s.{quote(k)}" for k in keys)
-        (aligned.alias("s").mergeInto(name, F.expr(cond))
+        (aligned.alias("s").mergeInto(quote_name(name), F.expr(cond))
                 .whenMatched().updateAll().whenNotMatched().insertAll().merge())
         return
     snap = _current_snapshot(spark, name)
     props = _props(spark, snap)
-    current = spark.table(snap)
+    current = _data(spark, snap)
     check_compatible(current.schema, df.schema)
-    day_col = props.get(_PROP_DAY) or None
-    current = current.drop(BUCKET, *([day_col] if day_col else []))
+    date_col = props.get(_PROP_DAY) or None
     aligned = align_schema(df, current.schema)
     on = list(replace_keys or keys)
     # The batch is read three times (measure, key side, rows): compute it once.
@@ -258,7 +298,7 @@ def upsert_table(df: DataFrame, name: str, keys: Sequence[str],
     try:
         small = key_set_bytes(aligned, on) <= broadcast_bytes
         merged = merge_upsert(current, aligned, keys, replace_keys, broadcast_keys=small)
-        _write_snapshot(merged, name, props[_PROP_BUCKET], int(props[_PROP_BUCKETS]), day_col,
+        _write_snapshot(merged, name, props[_PROP_BUCKET], int(props[_PROP_BUCKETS]), date_col,
                         props.get(_PROP_STORE) or None)
     finally:
         aligned.unpersist()
@@ -306,14 +346,39 @@ def save_table(
             upsert_table(df, name, keys, replace_keys)
 
 
-def append_new_rows(df: DataFrame, name: str, keys: Sequence[str]) -> None:
+def append_new_rows(df: DataFrame, name: str, keys: Sequence[str],
+                    broadcast_bytes: int = MERGE_BROADCAST_BYTES) -> None:
     """Append the rows of ``df`` whose keys are not in table ``name`` yet.
 
-    Reads only the table's key columns (pruned scan) for the anti join and
-    writes only the new rows: the cheap path for child tables, whose key holds
-    the content hash, so a matching key means identical content. Appended
+    The cost follows the batch: only the key columns of the buckets that the
+    batch meets are read, and while the batch's keys are measured to be
+    small they are broadcast to that scan, so the table itself is not shuffled.
+    What is left of it (at most the batch's own keys) is anti-joined. Appended
     files become visible as the write job commits (not one atomic switch).
     """
-    spark = df.sparkSession
-    existing = spark.table(name).select(*[col(k) for k in keys])
-    append_table(df.join(existing, list(keys), "left_anti"), name)
+    on = list(keys)
+    batch = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        append_table(batch.join(_known_keys(batch, name, on, broadcast_bytes), on, "left_anti"), name)
+    finally:
+        batch.unpersist()
+
+
+def _known_keys(batch: DataFrame, name: str, keys: list[str], broadcast_bytes: int) -> DataFrame:
+    """Keys of the table that also occur in the batch."""
+    spark = batch.sparkSession
+    wanted = batch.select(*[col(k) for k in keys]).where(_non_null(keys))
+    table = spark.table(quote_name(name))
+    if not _is_v2(spark, name):
+        snap = _current_snapshot(spark, name)
+        props = _props(spark, snap)
+        table = spark.table(snap)
+        if props[_PROP_BUCKET] in keys:
+            # at most ``buckets`` numbers: the scan lists only their folders
+            bucket = _bucket_of(props[_PROP_BUCKET], int(props[_PROP_BUCKETS]))
+            met = [r[0] for r in wanted.select(bucket).distinct().collect()]
+            table = table.where(F.col(BUCKET).isin(met)) if met else table.where(F.lit(False))
+    known = table.select(*[col(k) for k in keys])
+    if key_set_bytes(wanted, keys) <= broadcast_bytes:
+        known = known.join(F.broadcast(wanted), keys, "left_semi")
+    return known

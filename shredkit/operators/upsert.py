@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 from shredkit.functions.names import col
+from shredkit.plans.schema import has_map
 
 
 class DuplicateKeyError(ValueError):
@@ -35,6 +36,8 @@ def dedup_source(df: DataFrame, keys: Sequence[str], on_duplicate: str = "error"
     ``error``  -- raise if two rows share a non-null key (one aggregate job).
     ``latest`` -- keep the row with the greatest ``latest_by`` per key, as a
                   partial aggregate (no window, so a hot key is combined map-side).
+                  A null ``latest_by`` is older than any value; ties go to the
+                  greatest row by its other columns, so the result is deterministic.
     ``allow``  -- no check (the reference's behaviour: duplicates insert twice).
     Rows with a null key are never duplicates of each other.
     """
@@ -51,8 +54,11 @@ def dedup_source(df: DataFrame, keys: Sequence[str], on_duplicate: str = "error"
             raise ValueError("on_duplicate='latest' needs latest_by")
         others = [c for c in df.columns if c not in keys]
         keyed = df.where(_non_null(keys))
+        # Only the row's comparable columns can break a tie (maps cannot).
+        ties = [col(c) for c in others if not has_map(df.schema[c].dataType)]
+        rank = F.struct(col(latest_by).isNotNull(), col(latest_by), *ties)
         best = keyed.groupBy(*[col(k) for k in keys]).agg(
-            F.max_by(F.struct(*[col(c) for c in others]), col(latest_by)).alias("__r"))
+            F.max_by(F.struct(*[col(c) for c in others]), rank).alias("__r"))
         best = best.select(*[col(k) for k in keys], "__r.*").select(*[col(c) for c in df.columns])
         return best.unionByName(df.where(~_non_null(keys)))
     raise ValueError(f"unknown on_duplicate {on_duplicate!r}")
@@ -103,6 +109,10 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     src_keys = source.select(*[col(k) for k in drop_on]).where(_non_null(drop_on))
     if replace_keys:
         src_keys = src_keys.distinct()
+        if not broadcast_keys:
+            # The distinct's own shuffle would keep AQE from splitting a hot
+            # parent of the target; dealt out anew, both sides are plain exchanges.
+            src_keys = src_keys.repartition(*[col(k) for k in drop_on])
     if broadcast_keys:
         # Only when the caller measured the key set (key_set_bytes): the large
         # target is then filtered where it is read, with no shuffle of it.

@@ -23,7 +23,6 @@ from pyspark.sql.types import (
     ArrayType,
     DataType,
     IntegerType,
-    MapType,
     StringType,
     StructField,
     StructType,
@@ -33,6 +32,7 @@ from shredkit.config import FlattenOptions
 from shredkit.constants import (
     CONTENT_HASH,
     ID_HASH,
+    INNER_MANAGED,
     MANAGED,
     ORDINAL,
     PARENT_ID,
@@ -43,6 +43,7 @@ from shredkit.constants import (
 from shredkit.functions.hashing import content_hash, key_hash
 from shredkit.functions.names import child_name, col
 from shredkit.plans import jsoncols
+from shredkit.plans.schema import has_map
 
 # Row indices for records without scalars are generated in chunks of this many
 # per task, so one parent holding a third of all records still spreads out.
@@ -67,10 +68,13 @@ def main_table(df: DataFrame, id_field: str, options: FlattenOptions | None = No
     main = select_scalars(df).withColumn(ID_HASH, key_hash(col(id_field)))
     if not opts.dedup_main:
         return main
-    if any(_has_map(f.dataType) for f in main.schema.fields):
-        plain = [f.name for f in main.schema.fields if not _has_map(f.dataType)]
-        return main.dropDuplicates(plain)
-    return main.dropDuplicates()
+    maps = [f.name for f in main.schema.fields if has_map(f.dataType)]
+    if not maps:
+        return main.dropDuplicates()
+    # Maps cannot be grouped by: compare their JSON text with sorted keys instead.
+    named = {f"__map{i}": F.to_json(col(m), {"sortKeys": "true"}) for i, m in enumerate(maps)}
+    plain = [c for c in main.columns if c not in maps]
+    return main.withColumns(named).dropDuplicates([*plain, *named]).drop(*named)
 
 
 def flatten(
@@ -209,7 +213,7 @@ def _fields_of(parent: Column, st: StructType) -> list[Column]:
     """Expand a struct; inner names that clash with managed ones get a ``_`` prefix."""
     out = []
     for sf in st.fields:
-        alias = "_" + sf.name if sf.name in MANAGED or sf.name == ORDINAL else sf.name
+        alias = "_" + sf.name if sf.name in INNER_MANAGED else sf.name
         out.append(parent.getField(sf.name).alias(alias))
     return out
 
@@ -228,47 +232,19 @@ def _finish(t: DataFrame, payload: list[str], opts: FlattenOptions) -> DataFrame
     types = {f.name: f.dataType for f in t.schema.fields}
     names = [PARENT_ID, *payload, *_ord(opts)]
     t = t.withColumn(CONTENT_HASH, content_hash([(n, types[n]) for n in names], opts.null_marker))
-    return dedup_children(t, payload, opts.null_marker).withColumn(
+    return dedup_children(t).withColumn(
         PARENT_ID_HASH, key_hash(F.col(PARENT_ID)))
 
 
-def dedup_children(t: DataFrame, payload: list[str] | None = None,
-                   null_marker: str | None = None) -> DataFrame:
+def dedup_children(t: DataFrame) -> DataFrame:
     """One row per ``(parent_id, content_hash_id)`` (A1).
 
-    Whole-row ``distinct`` is a hash aggregate keyed on every column, so a
-    parent with a huge share of the rows still spreads over all reducers and
-    duplicates collapse map-side first. Two *different* rows share a hash only
-    when nulls are skipped in the hash text (``null_marker=None``) and both
-    rows hold a null; only those rows go through a second, keyed dedup.
+    Rows that share the key but differ (a separator inside a value, a null
+    next to a value that reads like its marker) are one row: later merges go by
+    this key. The hash is part of the key, so a parent with a huge share of
+    the rows spreads over all reducers, and repeats collapse before the shuffle.
     """
-    payload = payload if payload is not None else [
-        c for c in t.columns if c not in (PARENT_ID, CONTENT_HASH, PARENT_ID_HASH)]
-    if any(_has_map(f.dataType) for f in t.schema.fields):
-        # Maps cannot be grouping keys: carry them through a keyed dedup.
-        return t.dropDuplicates([PARENT_ID, CONTENT_HASH])
-    if null_marker is not None or not payload:
-        return t.distinct()
-    any_null = F.lit(False)
-    for c in payload:
-        any_null = any_null | col(c).isNull()
-    full = t.groupBy(*[col(c) for c in t.columns]).agg(F.max(F.lit(1)).alias("__one"))
-    # The flag refers to an aggregate output so the optimizer can't push it
-    # below the aggregate: both branches then share one shuffle.
-    flag = F.when(F.col("__one") == 1, any_null)
-    clean = full.where(~flag).drop("__one")
-    nully = full.where(flag).drop("__one").dropDuplicates([PARENT_ID, CONTENT_HASH])
-    return clean.unionByName(nully)
-
-
-def _has_map(dtype: DataType) -> bool:
-    if isinstance(dtype, MapType):
-        return True
-    if isinstance(dtype, ArrayType):
-        return _has_map(dtype.elementType)
-    if isinstance(dtype, StructType):
-        return any(_has_map(f.dataType) for f in dtype.fields)
-    return False
+    return t.dropDuplicates([PARENT_ID, CONTENT_HASH])
 
 
 def _row_index_table(rec: DataFrame, opts: FlattenOptions) -> DataFrame:
@@ -309,19 +285,20 @@ def _register(out: dict[str, DataFrame], name: str, t: DataFrame, opts: FlattenO
 def _root_array(df: DataFrame, f: StructField, table: str, opts: FlattenOptions) -> dict:
     """A document that is only an array and has no id.
 
-    Elements of structs become the documents, keyed by ``xxhash64`` of their
-    JSON text (content addressed, stable across runs). An array of scalars
-    gives a value table keyed by the hash of the whole row.
+    Elements of structs become the documents, keyed by the SHA-256 of their
+    JSON text (content addressed, stable across runs); identical elements are
+    one document. An array of scalars gives a value table keyed by the hash of
+    the whole row.
     """
     elem = f.dataType.elementType
     if isinstance(elem, StructType):
         x = df.select(F.explode(col(f.name)).alias(_ELEM))
         if f.dataType.containsNull:
             x = x.where(F.col(_ELEM).isNotNull())
-        docs = x.select(F.xxhash64(F.to_json(F.col(_ELEM))).alias(PARENT_ID),
-                        *_fields_of(F.col(_ELEM), elem))
+        docs = x.select(F.sha2(F.to_json(F.col(_ELEM)), 256).alias(PARENT_ID), F.col(_ELEM))
+        docs = docs.dropDuplicates([PARENT_ID]).select(PARENT_ID, *_fields_of(F.col(_ELEM), elem))
         return flatten(docs, PARENT_ID, table, opts)
-    level = df.select(F.xxhash64(F.to_json(F.struct(*[col(c) for c in df.columns])))
+    level = df.select(F.sha2(F.to_json(F.struct(*[col(c) for c in df.columns])), 256)
                       .alias(PARENT_ID), col(f.name))
     x = _explode(level, f, opts)
     v = x.select(PARENT_ID, *_ord(opts), F.col(_ELEM).alias(VALUE))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
+from shredkit.constants import DATE_FORMAT
 from shredkit.functions.names import col, quote
 
 
@@ -24,20 +25,50 @@ def check_compatible(existing: StructType, new: StructType) -> None:
     have = {f.name.lower(): f.dataType for f in existing.fields}
     for f in new.fields:
         old = have.get(f.name.lower())
-        if old is None or old == f.dataType or f.dataType.typeName() == "void":
+        if old is None or f.dataType.typeName() == "void":
             continue
-        if not _widens(f.dataType, old):
+        if not assignable(f.dataType, old):
             raise TypeError(
                 f"column {f.name!r}: incoming {f.dataType.simpleString()} does not fit "
                 f"table type {old.simpleString()} (add-only evolution)")
 
 
-def _widens(src: DataType, dst: DataType) -> bool:
-    order = ["byte", "short", "integer", "long", "float", "double"]
+_NUMBERS = ("byte", "short", "integer", "long", "float", "double", "decimal")
+_TIMES = ("date", "timestamp", "timestamp_ntz")
+
+
+def assignable(src: DataType, dst: DataType) -> bool:
+    """Can a value be stored into a column by an ANSI assignment cast?
+
+    Numbers fit any number type (a value out of range raises when it is cast),
+    dates and timestamps fit each other, every atomic value fits text; arrays,
+    maps and structs by their parts. Whether nulls may occur inside a type
+    does not matter.
+    """
     s, d = src.typeName(), dst.typeName()
-    if s in order and d in order:
-        return order.index(s) <= order.index(d)
-    return s == "string" and d == "string"
+    if isinstance(src, ArrayType) and isinstance(dst, ArrayType):
+        return assignable(src.elementType, dst.elementType)
+    if isinstance(src, MapType) and isinstance(dst, MapType):
+        return assignable(src.keyType, dst.keyType) and assignable(src.valueType, dst.valueType)
+    if isinstance(src, StructType) and isinstance(dst, StructType):
+        have = {f.name.lower(): f.dataType for f in dst.fields}
+        return len(src.fields) == len(dst.fields) and all(
+            f.name.lower() in have and assignable(f.dataType, have[f.name.lower()]) for f in src.fields)
+    if isinstance(src, (ArrayType, MapType, StructType)) or isinstance(dst, (ArrayType, MapType, StructType)):
+        return False
+    return (s == d or s == "void" or (s in _NUMBERS and d in _NUMBERS) or (s in _TIMES and d in _TIMES)
+            or (d == "string" and s != "binary"))
+
+
+def has_map(dtype: DataType) -> bool:
+    """Does a type hold a map (which can be neither grouped by nor compared)?"""
+    if isinstance(dtype, MapType):
+        return True
+    if isinstance(dtype, ArrayType):
+        return has_map(dtype.elementType)
+    if isinstance(dtype, StructType):
+        return any(has_map(f.dataType) for f in dtype.fields)
+    return False
 
 
 def add_columns_sql(table: str, fields: Iterable[StructField]) -> str | None:
@@ -84,23 +115,28 @@ def _spark_type(name: str) -> str:
     return "ARRAY<STRING>" if t == "ARRAY" else t
 
 
-def project_mapping(df: DataFrame, mapping: Sequence[Mapping | tuple | dict]) -> DataFrame:
+def project_mapping(df: DataFrame, mapping: Sequence[Mapping | tuple | dict],
+                    date_format: str = DATE_FORMAT) -> DataFrame:
     """Select ``source_path`` cast to ``data_type`` as ``target_column``.
 
-    A path missing from the frame gives a typed null column. ``TIMESTAMP`` text
-    is parsed leniently (bad text gives null), ``ARRAY`` means ``array<string>``.
+    A path missing from the frame gives a typed null column. Text that does not
+    fit its type gives null. ``TIMESTAMP`` text may be in ``date_format`` (the
+    document pattern) or in Spark's own form; ``ARRAY`` means
+    ``array<string>``. A path through an array of records gives the array of
+    the values below it.
     """
     exprs = []
     for m in mapping:
         m = _as_mapping(m)
         t = _spark_type(m.data_type)
         if _has_path(df.schema, m.source_path):
-            c = F.col(".".join(quote(p) for p in m.source_path.split(".")))
-            src_type = _path_type(df.schema, m.source_path)
-            if t == "TIMESTAMP" and src_type.typeName() == "string":
-                c = F.try_to_timestamp(c)
+            c, src_type = _path_value(df.schema, m.source_path)
+            if t in ("TIMESTAMP", "TIMESTAMP_NTZ", "DATE") and src_type.typeName() == "string":
+                c = F.coalesce(F.try_to_timestamp(c, F.lit(date_format)), F.try_to_timestamp(c)).cast(t)
+            elif src_type.typeName() == "string":
+                c = c.try_cast(t)
             else:
-                c = c.cast(t)
+                c = c.cast(t) if assignable(src_type, DataType.fromDDL(t)) else c.try_cast(t)
         else:
             c = F.lit(None).cast(t)
         exprs.append(c.alias(m.target_column))
@@ -124,17 +160,26 @@ def load_mappings(path: str) -> dict[str, list[Mapping]]:
     return {t: [_as_mapping(m) for m in rows] for t, rows in doc.items()}
 
 
-def _path_type(schema: StructType, path: str) -> DataType | None:
+def _path_value(schema: StructType, path: str) -> tuple[Column, DataType] | None:
+    """The value at a path and its type; below an array of records, the array of values."""
+    value: Column | None = None
     cur: DataType = schema
     for part in path.split("."):
-        if not isinstance(cur, StructType):
+        record = cur.elementType if isinstance(cur, ArrayType) else cur
+        if not isinstance(record, StructType):
             return None
-        match = [f for f in cur.fields if f.name.lower() == part.lower()]
-        if not match:
+        field = next((f for f in record.fields if f.name.lower() == part.lower()), None)
+        if field is None:
             return None
-        cur = match[0].dataType
-    return cur
+        value = col(field.name) if value is None else value.getField(field.name)
+        if not isinstance(cur, ArrayType):
+            cur = field.dataType
+        elif isinstance(field.dataType, ArrayType):
+            value, cur = F.flatten(value), field.dataType
+        else:
+            cur = ArrayType(field.dataType)
+    return value, cur
 
 
 def _has_path(schema: StructType, path: str) -> bool:
-    return _path_type(schema, path) is not None
+    return _path_value(schema, path) is not None

@@ -76,7 +76,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and every executor can reach it.
-    Only when it is unset (local tests) do we create one.
+    Only on a local master, where it may be unset (tests), do we create one: a
+    folder of one machine would lose what other executors write.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -85,6 +86,9 @@ def scratch_root(spark: SparkSession) -> str:
         except Exception:  # Spark Connect has no SparkContext
             d = None
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="shredkit-ckpt-")
         try:
             spark.sparkContext.setCheckpointDir(d)

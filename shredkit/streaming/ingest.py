@@ -1,8 +1,10 @@
 """Streaming ingest (ST1): new JSON files become upserts into the table family.
 
-Each micro-batch goes through :func:`ingest_batch`. Writes are keyed upserts,
-so a micro-batch replayed after a failure (Spark re-runs the last uncommitted
-batch from the checkpoint) leaves the tables as they were after its first run.
+Each micro-batch goes through :func:`ingest_batch`. Writes are keyed, so a
+micro-batch replayed after a failure (Spark re-runs the last uncommitted batch
+from the checkpoint) leaves the tables as they were after its first run. Rows
+with a null id are the exception: null keys never match, so a replay adds them
+again. Declare a schema with the id not null, or filter them.
 """
 
 from __future__ import annotations

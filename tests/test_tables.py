@@ -1,8 +1,10 @@
+import os
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
-from shredkit.config import IngestConfig
+from shredkit.config import FlattenOptions, IngestConfig
 from shredkit.operators import (
     append_table,
     create_table,
@@ -10,9 +12,11 @@ from shredkit.operators import (
     merge_upsert,
     save_table,
     table_exists,
+    upsert_table,
 )
 from shredkit.operators.upsert import DuplicateKeyError, dedup_source
-from shredkit.plans.schema import align_schema, missing_fields, project_mapping
+from shredkit.plans.flatten import flatten
+from shredkit.plans.schema import Mapping, align_schema, missing_fields, project_mapping
 from shredkit.session import scratch_path
 
 
@@ -103,7 +107,7 @@ def test_date_partition_and_bad_date(spark):
     rows = {r.id: r for r in spark.table(name).collect()}
     assert rows[2].d is None
     assert str(rows[1].d) == "2024-01-02 03:04:05.678000"
-    assert "d_day" in spark.table(name).columns
+    assert "d_day" not in spark.table(name).columns  # the layout stays out of sight
 
 
 def test_ingest_twice_is_idempotent(spark):
@@ -240,3 +244,118 @@ def test_children_append_only(spark):
     got = sorted((r.k, r.filekey) for r in spark.table(f"{name}_items").collect())
     assert got == [(1, "f1"), (2, "f1"), (3, "f2")]
     assert [r.filekey for r in spark.table(name).collect()] == ["f2"]  # main is still upserted
+
+
+def test_a_small_batch_neither_shuffles_nor_rewrites_the_table(spark):
+    from shredkit.operators.tables import _known_keys
+
+    name = _name("t_big")
+    loc = scratch_path(spark, "tables")
+    table = spark.range(5000).select(F.col("id").alias("parent_id"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash_id"))
+    keys = ["parent_id", "content_hash_id"]
+    save_table(table, name, keys, location=loc, append_only=True)
+    before = {f: os.path.getmtime(f) for f in _files(loc)}
+    batch = table.where("parent_id < 2").unionByName(spark.createDataFrame([(9001, "new"), (9002, "new")], table.schema))
+    known = _known_keys(batch, name, keys, 1 << 20)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan parquet"):]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert "_shredkit_bucket" in scan[scan.index("PartitionFilters"):][:300]
+    save_table(batch, name, keys, location=loc, append_only=True)
+    assert spark.table(name).count() == 5002
+    after = {f: os.path.getmtime(f) for f in _files(loc)}
+    assert all(after.get(f) == t for f, t in before.items())
+
+
+def _files(root):
+    return [os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")]
+
+
+def test_latest_keeps_rows_without_a_date(spark):
+    df = spark.createDataFrame([(1, "keep", None), (2, "x", None), (2, "y", 5), (3, "a", 7), (3, "b", 7)],
+                               "id int, v string, at int")
+    got = sorted(tuple(r) for r in dedup_source(df, ["id"], "latest", "at").collect())
+    assert got == [(1, "keep", None), (2, "y", 5), (3, "b", 7)]
+
+
+def test_assignment_casts_and_equal_array_types(spark):
+    name = _name("t_cast")
+    loc = scratch_path(spark, "tables")
+    first = spark.range(4).groupBy((F.col("id") % 2).alias("k")).agg(
+        F.collect_list("id").alias("ids"), F.lit("a").alias("note"))
+    save_table(first, name, ["k"], location=loc)
+    save_table(first, name, ["k"], location=loc)  # the same frame again
+    save_table(spark.createDataFrame([(5, 77)], "k bigint, note bigint"), name, ["k"], location=loc)
+    assert {r.k: r.note for r in spark.table(name).collect()} == {0: "a", 1: "a", 5: "77"}
+    with pytest.raises(TypeError):
+        save_table(spark.createDataFrame([(5, "x")], "k bigint, ids string"), name, ["k"], location=loc)
+
+
+def test_append_creates_an_absent_table(spark):
+    name = _name("t_new")
+    append_table(spark.createDataFrame([(1, "a")], "id int, v string"), name)
+    append_table(spark.createDataFrame([(2, "b")], "id int, v string"), name)
+    assert sorted(r.v for r in spark.table(name).collect()) == ["a", "b"]
+
+
+def test_user_columns_named_like_layout_and_managed_ones(spark):
+    name = _name("t_user")
+    loc = scratch_path(spark, "tables")
+    df = spark.createDataFrame([(1, 99, "d")], "id int, _bucket int, at_day string")
+    save_table(df, name, ["id"], location=loc)
+    assert spark.table(name).drop("filekey").first().asDict() == {"id": 1, "_bucket": 99, "at_day": "d"}
+    doc = spark.createDataFrame([(1, [("mine", "f", "x")])],
+                                "id int, a array<struct<parent_id_hash_col:string,filekey:string,v:string>>")
+    t = flatten(doc, "id", "m", FlattenOptions(promote_json=False))["m_a"]
+    assert t.first()._parent_id_hash_col == "mine" and t.first()._filekey == "f"
+
+
+def test_names_of_one_two_and_three_parts(spark):
+    from shredkit.functions.names import quote_name, split_name
+    from shredkit.operators.tables import _is_v2, qualified_name, table_names
+
+    assert split_name("a.`b.c`.d") == ["a", "b.c", "d"] and quote_name("a.`b.c`") == "`a`.`b.c`"
+    spark.conf.set("spark.sql.catalog.lake", "not.loaded.Here")
+    try:
+        assert _is_v2(spark, qualified_name("t", "lake")) and _is_v2(spark, "lake.db.t")
+        assert not _is_v2(spark, "t") and not _is_v2(spark, "db.t") and not _is_v2(spark, "spark_catalog.db.t")
+        assert table_names(spark, "lake.m", ["lake.m", "lake.m_x.y"]) == {"lake.m": "`lake`.`m`", "lake.m_x.y": "`lake`.`m_x.y`"}
+        with pytest.raises(ValueError, match="replace_keys"):
+            upsert_table(spark.range(1), "lake.db.t", ["id"], replace_keys=["id"])
+    finally:
+        spark.conf.unset("spark.sql.catalog.lake")
+    assert table_names(spark, "db.m", ["db.m", "db.m_a-b"]) == {"db.m": "`db`.m", "db.m_a-b": "`db`.m_a_b"}
+    with pytest.raises(ValueError, match="clash"):
+        table_names(spark, "m", ["m", "m_a-b", "m_a.b"])
+
+
+def test_main_dedup_compares_maps(spark):
+    df = spark.createDataFrame([(1, {"a": 1, "b": 2}), (1, {"b": 2, "a": 1}), (1, {"a": 3})], "id int, m map<string,int>")
+    t = flatten(df, "id", "m", FlattenOptions(promote_json=False, dedup_main=True))["m"]
+    assert t.count() == 2
+
+
+def test_identical_root_array_elements_ingest(spark):
+    from pyspark.sql import Row
+
+    name = _name("t_root")
+    df = spark.createDataFrame([([Row(k=1), Row(k=1), Row(k=2)],)], "a array<struct<k:int>>")
+    cfg = IngestConfig(table=name, id_field=None, location=scratch_path(spark, "tables"),
+                       options=FlattenOptions(promote_json=False))
+    ingest_batch(df, cfg)
+    assert sorted(r.k for r in spark.table(name).collect()) == [1, 2]
+
+
+def test_mapping_of_document_dates_bad_values_and_arrays(spark):
+    df = spark.createDataFrame([("20240102T030405.678 GMT", "abc", [("x",), ("y",)])],
+                               "d string, n string, recs array<struct<v:string>>")
+    r = project_mapping(df, [Mapping("d", "at", "TIMESTAMP"), Mapping("n", "n", "INT"),
+                             Mapping("recs.v", "vs", "ARRAY"), Mapping("recs.none", "none", "STRING")]).first()
+    assert str(r["at"]) == "2024-01-02 03:04:05.678000" and r.n is None and r.vs == ["x", "y"] and r.none is None
+
+
+def test_hex_text_is_trimmed_and_not_cut(spark):
+    from shredkit.functions import decode_hex
+
+    df = spark.createDataFrame([("\t\x01pre48 \r\n\t656C6C6F\n\n",)], "h string")
+    assert bytes(df.select(decode_hex(F.col("h"), 3)).first()[0]) == b"Hello"
