@@ -212,7 +212,54 @@ def oracle_sql() -> dict[str, str]:
 
     q["with_file_key"] = "SELECT o_orderkey, 'default_file_path' AS filekey FROM orders"
 
-    q["root_array"] = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+    customer_json = ("'{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\",\"c_nationkey\":' "
+                     "|| c_nationkey || ',\"c_acctbal\":' || c_acctbal || ',\"c_mktsegment\":\"' "
+                     "|| c_mktsegment || '\"}'")
+    customer = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
+    q["root_array"] = f"SELECT sha256({customer_json}) AS parent_id, {customer} FROM customer"
+    q["json_array_files"] = q["json_whole_files"] = f"SELECT {customer} FROM customer"
+    q["hash_json"] = (
+        "SELECT o_orderkey, " + sha(
+            _v("o_orderkey"), "'{\"c_name\":\"' || c_name || '\",\"c_mktsegment\":\"' || c_mktsegment || '\"}'")
+        + " AS content_hash_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+    q["dedup_separator"] = _child(
+        "SELECT o_orderkey AS parent_id, " + sha(_v("o_orderkey"), "o_orderpriority", "o_orderstatus", "'z'")
+        + " AS content_hash_id FROM orders")
+    for name, n in (("flatten_null_elements", 2), ("flatten_null_struct", 3)):
+        q[name] = _child(
+            "SELECT o_orderkey AS parent_id, o_custkey, o_orderstatus, "
+            + sha(_v("o_orderkey"), _v("o_custkey"), "o_orderstatus")
+            + f" AS content_hash_id FROM orders WHERE o_orderkey % {n} = 0")
+    k = "CAST(json_extract(props, '$.k') AS BIGINT)"
+    q["promote_mixed"] = _child(
+        f"SELECT event_id AS parent_id, {k} AS k, CAST(NULL AS VARCHAR) AS m, "
+        + sha(_v("event_id"), _v(k)) + " AS content_hash_id FROM events UNION ALL "
+        "SELECT event_id, NULL, 'm' || event_id, " + sha(_v("event_id"), "('m' || event_id)")
+        + " FROM events WHERE event_id % 2 = 1")
+    big = "CAST(event_id + 12345678901234500000::HUGEINT AS VARCHAR)"
+    q["promote_big_ints"] = (f"SELECT event_id AS parent_id, {big} AS k, " + sha(_v("event_id"), big)
+                             + " AS content_hash_id FROM events")
+    q["upsert_latest"] = (
+        "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'keep' ELSE 'b' END AS v, "
+        "CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS at FROM orders")
+    q["save_dated"] = (f"SELECT event_id, try_strptime(strftime(ts, '{_DUCK_DATE}'), '{_DUCK_DATE}') AS ts, "
+                       "'default_file_path' AS filekey FROM events")
+    q["ingest_quoted_names"] = (
+        "SELECT o_orderkey AS parent_id, " + _v("o_custkey") + " AS v, " + sha(_v("o_orderkey"), _v("o_custkey"))
+        + " AS content_hash_id FROM orders UNION ALL SELECT o_orderkey, o_orderstatus, "
+        + sha(_v("o_orderkey"), "o_orderstatus") + " FROM orders")
+    q["json_text_mixed"] = (
+        f"SELECT event_id, CASE WHEN event_id % 5 IN (2, 4) THEN {k} END AS k, "
+        "CASE event_id % 5 WHEN 0 THEN left(props, length(props) - 1) WHEN 1 THEN CAST(event_id AS VARCHAR) "
+        "WHEN 3 THEN '\"x\"' END AS _corrupt_record FROM events "
+        f"UNION ALL SELECT event_id, {k}, NULL FROM events WHERE event_id % 5 = 2")
+    q["ingest_batch_children"] = (
+        "SELECT parent_id, content_hash_id, parent_id_hash_col, 'default_file_path' AS filekey, 'items' AS child "
+        f"FROM ({q['flatten_struct_array']}) UNION ALL SELECT parent_id, content_hash_id, parent_id_hash_col, "
+        f"'default_file_path', 'customer' FROM ({q['flatten_struct']})")
+    q["stream_family"] = (
+        f"SELECT m.*, c_name, c_mktsegment, content_hash_id FROM ({q['flatten_main']}) m "
+        f"LEFT JOIN ({q['flatten_struct']}) c ON c.parent_id = m.o_orderkey")
 
     q["ingest_batch"] = murmur3_bigint(
         f"SELECT {ORDER_COLS}, 'default_file_path' AS filekey FROM orders", "o_orderkey",

@@ -53,15 +53,13 @@ def flatten_struct_array(spark, d):
 
 def flatten_struct(spark, d):
     """Struct ``customer`` becomes ``orders_customer``."""
-    doc = nest.nested_orders(spark, d)
+    doc = nest.orders_with_customer(spark, d)
     return flatten(doc, "o_orderkey", "orders", NO_JSON)["orders_customer"]
 
 
 def flatten_main(spark, d):
     """Top-level scalars + ``id_hash_col``."""
-    doc = nest.nested_orders(spark, d)
-    opts = FlattenOptions(promote_json=False, dedup_main=True)
-    return flatten(doc, "o_orderkey", "orders", opts)["orders"]
+    return flatten(nest.orders_with_customer(spark, d), "o_orderkey", "orders", NO_JSON)["orders"]
 
 
 def flatten_value_array(spark, d):
@@ -118,9 +116,9 @@ def root_array(spark, d):
     cust = _t(spark, d, "customer")
     docs = nest.nest_rows(cust, ["c_nationkey"],
                           ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-                          "customers").select("customers")
+                          "customers", "c_custkey").select("customers")
     main = flatten(docs, None, "customers", NO_JSON)["customers"]
-    return main.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return main.select(PARENT_ID, "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
 def dedup_children_q(spark, d):
@@ -129,13 +127,69 @@ def dedup_children_q(spark, d):
         F.col("l_orderkey").alias(PARENT_ID), "l_returnflag", "l_linestatus")
     types = {f.name: f.dataType for f in li.schema.fields}
     li = li.withColumn(CONTENT_HASH, content_hash([(c, types[c]) for c in li.columns]))
-    out = dedup_children(li, ["l_returnflag", "l_linestatus"])
+    out = dedup_children(li)
     return out.withColumn("parent_id_hash_col", key_hash(F.col(PARENT_ID)))
 
 
+def dedup_separator(spark, d):
+    """A1: two different records whose hash text is the same (the separator inside a
+    value) are one row per key."""
+    o = _t(spark, d, "orders")
+    first = F.struct(F.concat("o_orderpriority", F.lit("||"), "o_orderstatus").alias("a"), F.lit("z").alias("b"))
+    second = F.struct(F.col("o_orderpriority").alias("a"), F.concat("o_orderstatus", F.lit("||z")).alias("b"))
+    doc = o.select("o_orderkey", F.array(first, second).alias("pairs"))
+    t = flatten(doc, "o_orderkey", "orders", NO_JSON)["orders_pairs"]
+    return t.select(PARENT_ID, CONTENT_HASH, "parent_id_hash_col")
+
+
+def _with_nulls(spark, d):
+    o = _t(spark, d, "orders")
+    rec = F.struct("o_custkey", "o_orderstatus")
+    return o.select("o_orderkey", F.array(F.when(F.col("o_orderkey") % 2 == 0, rec), F.lit(None)).alias("recs"),
+                    F.when(F.col("o_orderkey") % 3 == 0, rec).alias("rec"),
+                    F.array(F.lit(None), F.col("o_orderpriority")).alias("vals"))
+
+
+def flatten_null_elements(spark, d):
+    """P5: null array elements give no child row."""
+    return flatten(_with_nulls(spark, d), "o_orderkey", "orders", NO_JSON)["orders_recs"]
+
+
+def flatten_null_struct(spark, d):
+    """P5: a null struct gives no child row."""
+    return flatten(_with_nulls(spark, d), "o_orderkey", "orders", NO_JSON)["orders_rec"]
+
+
+def promote_mixed(spark, d):
+    """One text column holds objects and arrays of objects; no record is lost."""
+    ev = _t(spark, d, "events")
+    many = F.concat(F.lit("["), "props", F.lit(',{"m":"m'), F.col("event_id").cast("string"), F.lit('"}]'))
+    ev = ev.select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(many).alias("props"))
+    return flatten(ev, "event_id", "events")["events_props"]
+
+
+BIG = "12345678901234500000"
+
+
+def promote_big_ints(spark, d):
+    """Whole numbers beyond 64 bits stay exact."""
+    ev = _t(spark, d, "events")
+    big = (F.col("event_id").cast("decimal(30,0)") + F.lit(BIG).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string")
+    ev = ev.select("event_id", F.concat(F.lit('{"k":'), big, F.lit("}")).alias("props"))
+    t = flatten(ev, "event_id", "events")["events_props"]
+    return t.select(PARENT_ID, F.col("k").cast("string").alias("k"), CONTENT_HASH)
+
+
 # ------------------------------------------------------------------ functions
 
 
+def hash_json(spark, d):
+    """nested values hash by their JSON text."""
+    doc = nest.orders_with_customer(spark, d)
+    fields = [(c, doc.schema[c].dataType) for c in ("o_orderkey", "customer")]
+    return doc.select("o_orderkey", content_hash(fields).alias(CONTENT_HASH))
+
+
 def content_hash_q(spark, d):
     """SHA-256 of all line item columns joined with ``||``."""
     li = _t(spark, d, "lineitem")
@@ -233,6 +287,48 @@ def append_evolve(spark, d):
     return spark.table(name).select(*ORDER_COLS, "o_flag")
 
 
+def upsert_latest(spark, d):
+    """K4: of rows with one key the latest is saved; rows without a date and ties are kept
+    deterministically."""
+    o = _t(spark, d, "orders")
+    keep = o.where("o_orderkey % 3 = 0").select(
+        "o_orderkey", F.lit("keep").alias("v"), F.lit(None).cast("timestamp_ntz").alias("at"))
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    rest = o.where("o_orderkey % 3 <> 0")
+    versions = [rest.select("o_orderkey", F.lit(v).alias("v"), a.alias("at"))
+                for v, a in (("a", at), ("b", at), ("c", F.lit(None).cast("timestamp_ntz")),
+                             ("z", at - F.expr("INTERVAL 1 DAY")))]
+    for v in versions:
+        keep = keep.unionByName(v)
+    name = _table_name("orders_latest")
+    save_table(keep, name, ["o_orderkey"], on_duplicate="latest", latest_by="at",
+               location=scratch_path(spark, "tables"))
+    return spark.table(name).select("o_orderkey", "v", "at")
+
+
+def save_dated(spark, d):
+    """K1/K4: date text is parsed on save and the table is partitioned by its day."""
+    ev = nest.events_dated(spark, d).select("event_id", "ts_text")
+    name = _table_name("events_dated")
+    save_table(ev, name, ["event_id"], date_field="ts_text", date_format=DATE_FORMAT,
+               location=scratch_path(spark, "tables"))
+    return spark.table(name).select("event_id", F.col("ts_text").cast("timestamp_ntz").alias("ts"), "filekey")
+
+
+def ingest_quoted_names(spark, d):
+    """K5: fields whose names need quoting, as child tables and as columns."""
+    o = _t(spark, d, "orders")
+    doc = o.select("o_orderkey", F.array(F.struct(F.col("o_custkey").alias("v-1"))).alias("a-b"),
+                   F.struct(F.col("o_orderstatus").alias("parent_id_hash_col")).alias("x.y"))
+    name = _table_name("orders_quoted")
+    cfg = IngestConfig(table=name, id_field="o_orderkey", location=scratch_path(spark, "tables"), options=NO_JSON)
+    ingest_batch(doc, cfg)
+    ingest_batch(doc, cfg)
+    a = spark.table(f"{name}_a_b").select(PARENT_ID, F.col("`v-1`").cast("string").alias("v"), CONTENT_HASH)
+    b = spark.table(f"{name}_x_y").select(PARENT_ID, F.col("_parent_id_hash_col").alias("v"), CONTENT_HASH)
+    return a.unionByName(b)
+
+
 MAPPING = [
     Mapping("o_orderkey", "order_id", "BIGINT"),
     Mapping("o_totalprice", "total", "STRING"),
@@ -262,6 +358,40 @@ def json_roundtrip(spark, d):
     return read_json_files(spark, path, schema=cust.schema, multiline=False)
 
 
+def _array_files(spark, d):
+    """Customers as JSON files over several lines, each one top-level array."""
+    cust = _t(spark, d, "customer")
+    cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    docs = nest.nest_rows(cust, ["c_nationkey"], cols, "customers", "c_custkey")
+    lines = F.regexp_replace(F.to_json("customers"), r"\},\{", "},\n  {")
+    path = scratch_path(spark, "json-arrays")
+    docs.select(lines.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path, cust.select(cols).schema
+
+
+def json_array_files(spark, d):
+    """Files over several lines with a top-level array: one row per element."""
+    path, schema = _array_files(spark, d)
+    return read_json_files(spark, path, schema=schema)
+
+
+def json_whole_files(spark, d):
+    """S3: whole files as one text each, parsed as a column, schema inferred."""
+    path, schema = _array_files(spark, d)
+    return read_json_files(spark, path, wholetext=True).select(schema.names)
+
+
+def json_text_mixed(spark, d):
+    """Good documents, arrays of documents, malformed and scalar texts side by side."""
+    ev = _t(spark, d, "events")
+    kind = F.col("event_id") % 5
+    t = (F.when(kind == 0, F.expr("substring(props, 1, length(props) - 1)"))
+          .when(kind == 1, F.col("event_id").cast("string"))
+          .when(kind == 2, F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]")))
+          .when(kind == 3, F.lit('"x"')).otherwise(F.col("props")))
+    return parse_json_column(ev.select("event_id", t.alias("t")), "t")
+
+
 def json_text_parse(spark, d):
     """A text column of JSON documents parsed with an inferred schema."""
     ev = _t(spark, d, "events").select("event_id", "props")
@@ -312,6 +442,36 @@ def ingest_append_only(spark, d):
         CONTENT_HASH, "parent_id_hash_col")
 
 
+def ingest_batch_children(spark, d):
+    """K5: both child tables of the family after two ingests of the same documents."""
+    doc = nest.nested_orders(spark, d)
+    name = _table_name("orders_family")
+    cfg = IngestConfig(table=name, id_field="o_orderkey", location=scratch_path(spark, "tables"),
+                       children_append_only=False, options=NO_JSON)
+    ingest_batch(doc, cfg)
+    ingest_batch(doc, cfg)
+    cols = [PARENT_ID, CONTENT_HASH, "parent_id_hash_col", "filekey"]
+    items, customer = (spark.table(f"{name}_{c}").select(*cols, F.lit(c).alias("child")) for c in ("items", "customer"))
+    return items.unionByName(customer)
+
+
+def stream_family(spark, d):
+    """ST1: main and struct child written by a file stream."""
+    doc = nest.orders_with_customer(spark, d)
+    src = scratch_path(spark, "stream-src")
+    doc.write.json(src)
+    name = _table_name("orders_streamed")
+    cfg = IngestConfig(table=name, id_field="o_orderkey", on_duplicate="allow",
+                       location=scratch_path(spark, "tables"), options=NO_JSON)
+    q = ingest_stream(spark, src, doc.schema, cfg, multiline=False)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    main = spark.table(name).select(*ORDER_COLS, "id_hash_col")
+    child = spark.table(f"{name}_customer").select(PARENT_ID, "c_name", "c_mktsegment", CONTENT_HASH)
+    return main.join(child, main.o_orderkey == child.parent_id, "left").drop(PARENT_ID)
+
+
 def keep_ordinal(spark, d):
     """Q4 option: repeated lines of a document are kept apart by their position."""
     doc = nest.doc_lines(spark, d)
@@ -339,7 +499,7 @@ def stream_upsert(spark, d):
     doc = nest.nested_orders(spark, d)
     src = scratch_path(spark, "stream-src")
     doc.write.json(src)
-    files = len(spark.read.json(src).inputFiles())
+    files = len(spark.read.text(src).inputFiles())  # a listing: nothing is read
     name = _table_name("orders_stream2")
     cfg = IngestConfig(table=name, id_field="o_orderkey", on_duplicate="allow",
                        location=scratch_path(spark, "tables"), options=NO_JSON)
@@ -401,4 +561,18 @@ def queries() -> dict[str, Query]:
         "keep_ordinal": keep_ordinal,
         "flatten_with_nulls": flatten_with_nulls,
         "null_marker": null_marker,
+        "dedup_separator": dedup_separator,
+        "flatten_null_elements": flatten_null_elements,
+        "flatten_null_struct": flatten_null_struct,
+        "promote_mixed": promote_mixed,
+        "promote_big_ints": promote_big_ints,
+        "hash_json": hash_json,
+        "upsert_latest": upsert_latest,
+        "save_dated": save_dated,
+        "ingest_quoted_names": ingest_quoted_names,
+        "json_array_files": json_array_files,
+        "json_whole_files": json_whole_files,
+        "json_text_mixed": json_text_mixed,
+        "ingest_batch_children": ingest_batch_children,
+        "stream_family": stream_family,
     }

@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
-from check_oracles import TABLES, compare  # noqa: E402
+from check_oracles import TABLES, compare, compare_types  # noqa: E402
 
 from shredkit import registry  # noqa: E402
 
@@ -25,9 +25,9 @@ def duck(sf_small):
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_oracle(spark, duck, sf_small, name):
     sql = entry.oracle_sql().get(name)
-    got = entry.queries()[name](spark, sf_small).toPandas()
+    df = entry.queries()[name](spark, sf_small)
     assert sql is not None, f"{name} has no oracle"
-    err = compare(got, duck.execute(sql).df())
+    err = compare(df.toPandas(), duck.execute(sql).df()) or compare_types(df, duck, sql)
     assert err is None, err
 
 
