@@ -20,8 +20,10 @@ Links are then found in three steps:
 3. Buckets that still hold several components may hide links between two
    members that are no link to the smallest. There, the members outside the
    component of the smallest are compared with all others, in blocks of bounded
-   size; only pairs whose signatures agree are emitted (once, in the first band
-   that they share) and verified by their texts.
+   size: signatures first, then their shingles as 32-bit hashes. Only pairs
+   that overlap enough are emitted (once, in the first band that they share)
+   and verified by their texts, so a large bucket of texts that are all a
+   little too different emits nothing.
 
 Classes are the connected components of the verified links.
 """
@@ -46,7 +48,9 @@ BANDS, BAND_ROWS = 24, 4
 COMPONENTS = BANDS * BAND_ROWS
 #: Signatures that agree in less of their slots are not verified: 4.4 standard errors below 0.8.
 LEAST_AGREEMENT = 0.62
-LEFT_BLOCK, RIGHT_BLOCK = 256, 2048
+LEFT_BLOCK, RIGHT_BLOCK = 256, 1024
+#: How far an overlap of 32-bit hashes may be off; texts decide between here and the similarity.
+HASH_SLACK = 0.01
 
 _U = np.uint64
 
@@ -214,7 +218,31 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, similarity double")
 
 
-def _hidden_pairs(members: DataFrame, reps: DataFrame, roots: DataFrame, similarity: float,
+def short_bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, bag): sorted distinct 32-bit hashes of (shingle, its number among equal ones),
+    so that common elements of two bags count the overlap of the multisets."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("text").isNotNull())
+    texts = only_ids(texts, ids, "doc").join(ids, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for w in words_of(b.column("text"), PLAIN):
+                row, g = shingles(w.first, w.hash)
+                order = np.lexsort((g, row))
+                row, g = row[order], g[order]
+                new = np.append(True, (row[1:] != row[:-1]) | (g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
+                start = np.flatnonzero(new)
+                number = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g))))
+                short = (mix(g + number.astype(_U) * _U(0x9FB21C651E98DF25)) >> _U(32)).astype(np.uint32)
+                cut = np.searchsorted(row, np.arange(len(w.row) + 1))
+                bags = [np.unique(short[cut[i]:cut[i + 1]]).tobytes() for i in range(len(w.row))]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc").take(pa.array(w.row)), pa.array(bags, pa.binary())], names=["doc", "bag"])
+
+    return texts.mapInArrow(pack, "doc long, bag binary")
+
+
+def _hidden_pairs(docs: DataFrame, members: DataFrame, reps: DataFrame, roots: DataFrame, similarity: float,
                   least: float) -> DataFrame:
     """Step 3: agreeing pairs across components that share a bucket but not its smallest member's component."""
     root = roots.withColumnsRenamed({"doc": "p", "root": "pivot_root"})
@@ -226,12 +254,14 @@ def _hidden_pairs(members: DataFrame, reps: DataFrame, roots: DataFrame, similar
     outside = saved(m.where("outside").groupBy("key").agg(F.count(F.lit(1)).alias("s")), "neardup-outside")
     side = reps.select("doc", "weight", "mini").groupBy("doc").agg(
         F.max(F.struct("weight", "mini")).alias("r")).select("doc", "r.weight", "r.mini")
-    m = m.join(outside, "key").join(side, "doc").withColumns({
+    m = saved(m.join(outside, "key"), "neardup-open")
+    bags = saved(short_bags(docs, m.select("doc").distinct()), "neardup-bags")
+    m = m.join(side, "doc").join(bags, "doc").withColumns({
         "nl": F.ceil(F.col("s") / LEFT_BLOCK).cast("int"), "nr": F.ceil(F.col("n") / RIGHT_BLOCK).cast("int"),
     })
     m = saved(m, "neardup-residual")
     slot = F.xxhash64("doc")
-    part = ["key", "band", "doc", "root", "outside", "weight", "mini"]
+    part = ["key", "band", "doc", "root", "outside", "weight", "mini", "bag"]
     left = m.where("outside").select(
         *part, F.lit(True).alias("left"), F.pmod(slot, "nl").cast("int").alias("l"),
         F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"))
@@ -247,6 +277,7 @@ def _hidden_pairs(members: DataFrame, reps: DataFrame, roots: DataFrame, similar
         band = int(group.column("band")[0].as_py())
         ls, rs = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         words = mini.view(np.uint64)  # a band is 4 slots of 16 bits
+        bags = [np.frombuffer(v, np.uint32) for v in group.column("bag").to_pylist()]
         a, b = [], []
         for c in range(0, len(ls), 16):
             i, j = ls[c:c + 16][:, None], rs[None, :]
@@ -257,8 +288,10 @@ def _hidden_pairs(members: DataFrame, reps: DataFrame, roots: DataFrame, similar
             same = (mini[x] == mini[y]).mean(axis=1) >= least
             x, y = x[same], y[same]
             first = (words[x] == words[y]).argmax(axis=1) == band
-            a.append(doc[x[first]])
-            b.append(doc[y[first]])
+            x, y = x[first], y[first]
+            close = _overlaps(bags, x, y) >= similarity - HASH_SLACK
+            a.append(doc[x[close]])
+            b.append(doc[y[close]])
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *a]), np.concatenate([none, *b])
 
@@ -272,6 +305,21 @@ def _hidden_pairs(members: DataFrame, reps: DataFrame, roots: DataFrame, similar
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def _overlaps(bags: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of the bags x[i] and y[i]; all pairs of one x are counted in one pass."""
+    out = np.zeros(len(x))
+    for v in np.unique(x).tolist():
+        at = np.flatnonzero(x == v)
+        others = [bags[j] for j in y[at].tolist()]
+        size = np.array([len(o) for o in others])
+        flat = np.concatenate(others)
+        own = bags[v]
+        found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        common = np.add.reduceat(found, np.cumsum(size) - size, dtype=np.int64)
+        out[at] = common / (len(own) + size - common)
+    return out
+
+
 def _groups(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys in sorted batches, also over batch borders."""
     held: list[pa.RecordBatch] = []
@@ -317,7 +365,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     pairs = members.where("doc != pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
     links = saved(verified(docs, _agreeing(pairs, reps, similarity, LEAST_AGREEMENT), similarity), "neardup-links")
     roots = saved(connected_components(links), "neardup-roots")
-    hidden = _hidden_pairs(members, reps, roots, similarity, LEAST_AGREEMENT)
+    hidden = _hidden_pairs(docs, members, reps, roots, similarity, LEAST_AGREEMENT)
     more = saved(verified(docs, hidden, similarity), "neardup-links")
     # components of what is already joined: only roots are linked anew
     at = roots.withColumnsRenamed({"doc": "x", "root": "rx"})
