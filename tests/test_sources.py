@@ -64,3 +64,17 @@ def test_catalog_conf_sets_one_kind():
     assert "spark.sql.catalog.cat.catalog-impl" not in path
     assert qualified_name("My-Table.json", "cat", "db") == "cat.db.my__table"
     assert qualified_name(None, "cat") == "cat.main"
+
+
+def test_mapping_file(spark, tmp_path):
+    from shredkit.plans.schema import load_mappings, project_mapping
+
+    path = tmp_path / "mapping.yaml"
+    path.write_text(
+        "orders:\n"
+        "  - {sourcePath: id, targetColumn: order_id, dataType: BIGINT}\n"
+        "  - {sourcePath: who.name, targetColumn: name, dataType: STRING}\n"
+    )
+    df = spark.createDataFrame([("7", ("x",))], "id string, who struct<name:string>")
+    r = project_mapping(df, load_mappings(str(path))["orders"]).first()
+    assert (r.order_id, r["name"]) == (7, "x")

@@ -359,3 +359,17 @@ def test_hex_text_is_trimmed_and_not_cut(spark):
 
     df = spark.createDataFrame([("\t\x01pre48 \r\n\t656C6C6F\n\n",)], "h string")
     assert bytes(df.select(decode_hex(F.col("h"), 3)).first()[0]) == b"Hello"
+
+
+def test_files_are_sorted_by_the_bucket_column(spark):
+    import pyarrow.parquet as pq
+
+    name = _name("t_sorted")
+    loc = scratch_path(spark, "tables")
+    rows = spark.range(400).select((F.col("id") * 7919 % 400).alias("id"), F.lit("x").alias("v"))
+    create_table(rows.where("id < 300"), name, "id", location=loc)
+    append_table(rows.where("id >= 300"), name)
+    files = _files(loc)
+    ids = [pq.ParquetFile(f).read(["id"])["id"].to_pylist() for f in files]
+    assert sorted(i for x in ids for i in x) == list(range(400))
+    assert all(x == sorted(x) for x in ids)
