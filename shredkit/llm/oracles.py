@@ -134,8 +134,8 @@ WITH docs AS (
               lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
   FROM range(256) r(i)
 ), bytes AS (
-  SELECT DISTINCT raw, list_transform(range(strlen(hex(raw)) // 2),
-         lambda j: ('0x' || substr(hex(raw), 2 * j + 1, 2))::BIGINT) AS b FROM placed
+  SELECT raw, list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT) AS b
+  FROM (SELECT DISTINCT raw FROM placed)
 ), crcs AS (
   SELECT raw, xor(list_reduce(list_prepend(4294967295::BIGINT, b),
          lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32
