@@ -35,7 +35,8 @@ from shredkit.llm.words import FOLDED, Words, gram_hashes, words_of
 SEED = 4
 LEAST_SEEDS = 16
 COMMON_SHARE = 0.001
-THRESHOLD = 0.5
+#: Copies with up to two words in five replaced; chance alignments stay below 0.35.
+THRESHOLD = 0.4
 PAD = 12
 BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
