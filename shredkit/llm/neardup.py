@@ -222,7 +222,8 @@ def short_bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc, bag): sorted distinct 32-bit hashes of (shingle, its number among equal ones),
     so that common elements of two bags count the overlap of the multisets."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("text").isNotNull())
-    texts = only_ids(texts, ids, "doc").join(ids, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+    # a few other documents pass; an exact join here would be moved before the bitmap
+    texts = only_ids(texts, ids, "doc").groupBy("doc").agg(F.min("text").alias("text"))
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -387,6 +388,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
     classes = near_duplicates(docs.select(F.col(quoted(doc_id)).alias("doc_id"), "text"), similarity)
     keepers = saved(classes.where("doc_id = class_id").select("doc_id").distinct(), "neardup-keepers")
     key = F.col(quoted(doc_id))
-    kept = only_ids(docs.where(key.isNotNull()), keepers.select(F.col("doc_id").alias(doc_id)), doc_id).join(
+    kept = docs.where(key.isNotNull()).join(
         keepers.withColumnRenamed("doc_id", "_keeper"), key.cast("long") == F.col("_keeper"), "left_semi")
     return kept.dropDuplicates([doc_id]).unionByName(docs.where(key.isNull()))
