@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shredkit.llm.frames import saved
 
+ROWS_PER_TASK = 200_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(doc, root): every node that has an edge, with the smallest node of its component.
@@ -21,15 +23,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = None
     while (now := _state(links)) != before:
         before = now
+        # a small table of links needs few tasks and files in every round
+        n = max(1, -(-now[0] // ROWS_PER_TASK))
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = saved(least.coalesce(n), "components-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = saved(large.where("u != v").distinct(), "components-large")
-        least = saved(links.groupBy("u").agg(F.min("v").alias("m")), "components-least")
+        links = saved(large.where("u != v").distinct().coalesce(n), "components-large")
+        least = saved(links.groupBy("u").agg(F.min("v").alias("m")).coalesce(n), "components-least")
         joined = links.join(least, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(
             joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        links = saved(small.where("u != v").distinct(), "components-small")
+        links = saved(small.where("u != v").distinct().coalesce(n), "components-small")
     stars = links.select(F.col("u").alias("doc"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("doc"), "root").distinct())
 
