@@ -1,19 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are folded (ASCII case, punctuation as separators), so copies that differ
 in case or punctuation still share seeds.
 
-1. One pass over the documents finds the occurrences of every benchmark
-   ``SEED``-gram; documents with one are kept aside with their text.
-2. The corpus count of each seed (documents that hold it) says how rare it is.
-   An item is searched with its rare seeds: those held by at most
-   ``COMMON_SHARE`` of the documents, but never fewer than the ``LEAST_SEEDS``
-   rarest it has; so an item whose seeds are all frequent, because it was
-   copied everywhere, is searched all the same.
-3. Seeds join passages to items. Around every hit the passage is cut out along
-   the seed's diagonal, and a Smith-Waterman alignment (match +2, mismatch and
-   gap -1, on words) scores it against the whole item. ``score`` is the best
-   alignment's share of the score of an exact copy.
+1. Every occurrence of a benchmark ``SEED``-gram in a document is a hit, however
+   many documents hold that seed. Around every hit the passage is cut out along
+   the seed's diagonal.
+2. An alignment at the threshold matches at least that share of the item's
+   words, so passages that hold fewer words of the item are left out: none of
+   them could reach it.
+3. A Smith-Waterman alignment (match +2, mismatch and gap -1, on words) scores
+   the other passages against the whole item. ``score`` is the best alignment's
+   share of the score of an exact copy.
 
 The benchmark is processed in blocks of at most ``BLOCK_BYTES`` of text, which
 bounds what is sent to the tasks; a larger benchmark means more passes over
@@ -33,12 +31,12 @@ from shredkit.llm.frames import fresh, quoted, saved
 from shredkit.llm.words import FOLDED, Words, gram_hashes, words_of
 
 SEED = 4
-LEAST_SEEDS = 16
-COMMON_SHARE = 0.001
 #: Copies with up to two words in five replaced; chance alignments stay below 0.35.
 THRESHOLD = 0.4
 PAD = 12
 BLOCK_BYTES = 8 << 20
+#: Words of passages that are looked up at once.
+LOOKUP = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -122,18 +120,38 @@ def smith_waterman(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray,
     return best, end
 
 
-def _windows(at: np.ndarray, item: np.ndarray, pos: np.ndarray, size: np.ndarray):
-    """Passages around seed hits: overlapping ones of one item are joined while they
-    stay within three item lengths. Returns (item, first word, end word)."""
-    lo, hi = at - pos - PAD, at - pos + size + PAD
-    order = np.lexsort((lo, item))
-    out: list[list[int]] = []
-    for i in order.tolist():
-        a, z, it = int(lo[i]), int(hi[i]), int(item[i])
-        if out and out[-1][0] == it and a <= out[-1][2] and max(z, out[-1][2]) - out[-1][1] <= 3 * int(size[i]) + 4 * PAD:
-            out[-1][2] = max(z, out[-1][2])
-        else:
-            out.append([it, a, z])
+def _windows(row: np.ndarray, at: np.ndarray, item: np.ndarray, pos: np.ndarray,
+             size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages around seed hits: overlapping ones of one row and item are joined while
+    they stay within three item lengths. Returns (row, item, first word, end word), by item."""
+    lo = at - pos - PAD
+    order = np.lexsort((lo, row, item))
+    row, item, lo, size = row[order], item[order], lo[order], size[order]
+    hi = lo + size + 2 * PAD
+    new = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1]))
+    start = np.flatnonzero(new[:len(lo)])
+    stop = np.append(start[1:], len(lo))
+    limit = 3 * size + 4 * PAD
+    for a, z in zip(start.tolist(), stop.tolist(), strict=True):
+        while hi[z - 1] - lo[a] > limit[a]:
+            a += int(np.searchsorted(hi[a:z], lo[a] + limit[a], side="right"))
+            new[a] = True
+    start = np.flatnonzero(new[:len(lo)])
+    return row[start], item[start], lo[start], hi[np.append(start[1:], len(lo)) - 1]
+
+
+def _shared_words(item: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How many of words[lo:hi] are words of the item, for every passage (none is empty)."""
+    own = np.unique(item)
+    out = np.zeros(len(lo), np.int64)
+    part = np.cumsum(hi - lo) // LOOKUP
+    for p in np.unique(part):
+        a, z = np.searchsorted(part, [p, p + 1])
+        n = hi[a:z] - lo[a:z]
+        before = np.cumsum(n) - n
+        flat = words[np.repeat(lo[a:z] - before, n) + np.arange(n.sum())]
+        held = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        out[a:z] = np.add.reduceat(held, before, dtype=np.int64)
     return out
 
 
@@ -181,72 +199,38 @@ def _search(docs: DataFrame, block: list, threshold: float) -> DataFrame:
     if not len(seed):
         return none
 
-    def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
+            doc = b.column("doc_id")
             for w in words_of(b.column("text"), FOLDED):
                 at, found = index.hits(w)
                 if not len(at):
                     continue
-                row = np.searchsorted(w.first, at, side="right") - 1
-                order = np.lexsort((found, row))
-                row, found = row[order], found[order]
-                new = np.append(True, (np.diff(row) != 0) | (found[1:] != found[:-1]))
-                row, found = row[new], found[new]
-                rows = np.unique(row)
-                take = pa.array(w.row[rows])
-                first = np.append(np.searchsorted(row, rows), len(row))
-                held = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(take), b.column("text").take(take), held],
-                    names=["doc_id", "text", "seeds"])
-
-    hit = saved(docs.mapInArrow(find, "doc_id long, text string, seeds array<long>"), "decontaminate-hits")
-    counts = hit.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
-    corpus = docs.count()
-    # one row per seed of the block: bounded by the block
-    held = {r["seed"]: r["docs"] for r in counts.collect()}
-    df = np.array([held.get(int(s), 0) for s in seed.view(np.int64)])
-    rare = df <= max(COMMON_SHARE * corpus, 1)
-    order = np.lexsort((seed, df, item))
-    rank = np.arange(len(order)) - np.searchsorted(item[order], item[order])
-    rare[order[rank < LEAST_SEEDS]] = True
-    r_seed, r_item, r_pos = seed[rare], item[rare], pos[rare]
-    searched = SeedIndex(r_seed, index.lengths)
-
-    def align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            doc = b.column("doc_id").to_pylist()
-            for w in words_of(b.column("text"), FOLDED):
-                at, found = searched.hits(w)
-                lo, hi = np.searchsorted(r_seed, found, "left"), np.searchsorted(r_seed, found, "right")
+                lo, hi = np.searchsorted(seed, found, "left"), np.searchsorted(seed, found, "right")
                 n = hi - lo
                 which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(at, n)
                 row = np.searchsorted(w.first, at, side="right") - 1
-                order = np.argsort(row, kind="stable")
-                at, row, which = at[order], row[order], which[order]
-                cut = np.flatnonzero(np.append(True, np.diff(row) != 0)) if len(row) else np.zeros(0, np.int64)
-                jobs: dict[int, list[tuple[int, int, int]]] = {}
-                for a, z in zip(cut, np.append(cut[1:], len(row)), strict=True):
-                    r = int(row[a])
-                    f = int(w.first[r])
-                    k = which[a:z]
-                    for i, s, e in _windows(at[a:z] - f, r_item[k], r_pos[k], size[r_item[k]]):
-                        jobs.setdefault(i, []).append((r, max(0, s), min(e, int(w.first[r + 1]) - f)))
+                row, of, lo, hi = _windows(row, at, item[which], pos[which], size[item[which]])
+                lo, hi = np.maximum(lo, w.first[row]), np.minimum(hi, w.first[row + 1])
                 got = []
-                for i, todo in jobs.items():
+                cut = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(of)], strict=True):
+                    own = words[of[a]]
+                    shared = _shared_words(own, w.hash, lo[a:z], hi[a:z])
+                    todo = a + np.flatnonzero(shared >= threshold * len(own) - 1e-9)
                     for c in range(0, len(todo), 256):
                         part = todo[c:c + 256]
-                        wide = max(e - s for _, s, e in part)
-                        passages = np.zeros((len(part), wide), np.uint64)
-                        for j, (r, s, e) in enumerate(part):
-                            passages[j, :e - s] = w.hash[w.first[r] + s:w.first[r] + e]
-                        best, end = smith_waterman(words[i], passages)
-                        share = best / (MATCH * len(words[i]))
+                        passages = np.zeros((len(part), int((hi[part] - lo[part]).max())), np.uint64)
+                        for j, t in enumerate(part.tolist()):
+                            passages[j, :hi[t] - lo[t]] = w.hash[lo[t]:hi[t]]
+                        best, end = smith_waterman(own, passages)
+                        share = best / (MATCH * len(own))
                         for j in np.flatnonzero(share >= threshold).tolist():
-                            r, s, _ = part[j]
-                            got.append((doc[int(w.row[r])], ids[i], float(share[j]),
-                                        max(0, s + int(end[j]) - len(words[i])), s + int(end[j])))
+                            r = int(row[part[j]])
+                            z_ = int(lo[part[j]] - w.first[r]) + int(end[j])
+                            got.append((doc[int(w.row[r])].as_py(), ids[of[a]], float(share[j]),
+                                        max(0, z_ - len(own)), z_))
                 if got:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()),
@@ -254,7 +238,7 @@ def _search(docs: DataFrame, block: list, threshold: float) -> DataFrame:
                          pa.array([g[4] for g in got], pa.int32())],
                         names=["doc_id", "item_id", "score", "start", "end"])
 
-    return saved(hit.select("doc_id", "text").mapInArrow(
+    return saved(docs.mapInArrow(
         align, "doc_id long, item_id long, score double, start int, end int"), "decontaminate-found")
 
 

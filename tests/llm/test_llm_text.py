@@ -214,6 +214,39 @@ def test_decontamination_matches_aligning_every_place(spark, sf_small, small_doc
     assert got == want and want
 
 
+def test_decontamination_finds_edited_and_half_copies_that_are_frequent(spark):
+    """Most seeds of both items are in no document, the others in all of theirs."""
+    first, second = (" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((37, 59)))
+    edited = " ".join("changed" if k in (6, 14, 22, 30) else w for k, w in enumerate(first.split()))
+    half = " ".join(second.split()[:30])
+    whole = prose(1000, 40)
+    bench = spark.createDataFrame([(1, first), (2, second), (3, whole)], "item_id long, text string")
+    rows = [(i, f"{prose(i, 40)} {edited if i < 40 else half} {prose(100 + i, 40)}") for i in range(80)]
+    rows += [(100 + i, prose(200 + i, 60)) for i in range(20)] + [(200, whole)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {(i, 1 if i < 40 else 2) for i in range(80)} | {(200, 3)}
+    assert {round(s, 2) for s in got.values()} == {0.84, 0.51, 1.0}
+
+
+@pytest.mark.parametrize("seed", range(15))
+def test_passages_hold_every_hit_once_and_stay_bounded(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 60))
+    size = r.integers(4, 30, 3)
+    row, item = np.sort(r.integers(0, 3, n)), r.integers(0, 3, n)
+    at, pos = r.integers(0, 400, n), r.integers(0, 4, n)
+    got = list(zip(*(x.tolist() for x in decontaminate._windows(row, at, item, pos, size[item])), strict=True))
+    want = []
+    for i, w, lo in sorted(zip(item.tolist(), row.tolist(), (at - pos - decontaminate.PAD).tolist(), strict=True)):
+        hi, limit = lo + int(size[i]) + 2 * decontaminate.PAD, 3 * int(size[i]) + 4 * decontaminate.PAD
+        if want and want[-1][:2] == [w, i] and lo <= want[-1][3] and hi - want[-1][2] <= limit:
+            want[-1][3] = hi
+        else:
+            want.append([w, i, lo, hi])
+    assert got == [tuple(x) for x in want]
+
+
 # -- substrings ---------------------------------------------------------------
 
 def brute_substrings(rows, window):
