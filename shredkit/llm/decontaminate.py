@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from shredkit.llm.frames import fresh, quoted, saved
 from shredkit.llm.words import FOLDED, Words, gram_hashes, words_of
 
-SEED = 4
-#: Copies with up to two words in five replaced; chance alignments stay below 0.35.
+#: Where only words are replaced, 0.4 leaves three words in five: two of them are
+#: neighbours in any item of more than five words.
+SEED = 2
+#: Copies with up to two words in five replaced.
 THRESHOLD = 0.4
 PAD = 12
 BLOCK_BYTES = 8 << 20
@@ -98,7 +100,8 @@ class SeedIndex:
 
 def smith_waterman(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of ``item`` (words) in each row of ``passages``, and the
-    column where it ends. Passages are padded with hashes that no item has (0).
+    column where it ends. Passages are padded with hashes that no item has (0). Items
+    of their own for every passage come as an array of (words, passages, 1).
 
     Rows of the score matrix are computed for all passages at once; the gap
     along a row is a running maximum because its penalty is linear.
@@ -141,17 +144,34 @@ def _windows(row: np.ndarray, at: np.ndarray, item: np.ndarray, pos: np.ndarray,
 
 
 def _shared_words(item: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """How many of words[lo:hi] are words of the item, for every passage (none is empty)."""
-    own = np.unique(item)
+    """How many words every passage words[lo:hi] has in common with the item, repeats
+    counted as often as both have them (no passage is empty)."""
+    own, times = np.unique(item, return_counts=True)
     out = np.zeros(len(lo), np.int64)
     part = np.cumsum(hi - lo) // LOOKUP
     for p in np.unique(part):
         a, z = np.searchsorted(part, [p, p + 1])
-        n = hi[a:z] - lo[a:z]
-        before = np.cumsum(n) - n
-        flat = words[np.repeat(lo[a:z] - before, n) + np.arange(n.sum())]
-        held = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-        out[a:z] = np.add.reduceat(held, before, dtype=np.int64)
+        passage, flat = _flat(lo[a:z], hi[a:z])
+        at = np.minimum(np.searchsorted(own, words[flat]), len(own) - 1)
+        held = own[at] == words[flat]
+        key = np.sort(passage[held] * len(own) + at[held])
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+        count = np.minimum(np.diff(np.append(first, len(key))), times[key[first] % len(own)])
+        out[a:z] = np.bincount(key[first] // len(own), count, z - a)
+    return out
+
+
+def _flat(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(range, position) of all positions of the ranges [lo, hi)."""
+    n = hi - lo
+    return np.repeat(np.arange(len(lo)), n), np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
+def _padded(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, pad: int) -> np.ndarray:
+    """words[lo:hi] as one row per range."""
+    out = np.full((len(lo), int((hi - lo).max())), pad, np.uint64)
+    row, at = _flat(lo, hi)
+    out[row, at - lo[row]] = words[at]
     return out
 
 
@@ -194,6 +214,7 @@ def _search(docs: DataFrame, block: list, threshold: float) -> DataFrame:
     ids, words = _items(block)
     seed, item, pos = _seeds(words)
     size = np.array([len(w) for w in words] or [0])
+    flat, first = np.concatenate([np.zeros(0, np.uint64), *words]), np.append(0, np.cumsum(size))
     index = SeedIndex(seed, sorted({min(SEED, len(w)) for w in words if len(w)}))
     none = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, start int, end int")
     if not len(seed):
@@ -213,24 +234,24 @@ def _search(docs: DataFrame, block: list, threshold: float) -> DataFrame:
                 row = np.searchsorted(w.first, at, side="right") - 1
                 row, of, lo, hi = _windows(row, at, item[which], pos[which], size[item[which]])
                 lo, hi = np.maximum(lo, w.first[row]), np.minimum(hi, w.first[row + 1])
-                got = []
                 cut = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(of)], strict=True):
-                    own = words[of[a]]
-                    shared = _shared_words(own, w.hash, lo[a:z], hi[a:z])
-                    todo = a + np.flatnonzero(shared >= threshold * len(own) - 1e-9)
-                    for c in range(0, len(todo), 256):
-                        part = todo[c:c + 256]
-                        passages = np.zeros((len(part), int((hi[part] - lo[part]).max())), np.uint64)
-                        for j, t in enumerate(part.tolist()):
-                            passages[j, :hi[t] - lo[t]] = w.hash[lo[t]:hi[t]]
-                        best, end = smith_waterman(own, passages)
-                        share = best / (MATCH * len(own))
-                        for j in np.flatnonzero(share >= threshold).tolist():
-                            r = int(row[part[j]])
-                            z_ = int(lo[part[j]] - w.first[r]) + int(end[j])
-                            got.append((doc[int(w.row[r])].as_py(), ids[of[a]], float(share[j]),
-                                        max(0, z_ - len(own)), z_))
+                able = [a + np.flatnonzero(_shared_words(words[of[a]], w.hash, lo[a:z], hi[a:z])
+                                           >= threshold * size[of[a]] - 1e-9)
+                        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(of)], strict=True)]
+                todo = np.concatenate(able)
+                todo = todo[np.lexsort((hi[todo] - lo[todo], size[of[todo]]))]
+                got = []
+                for c in range(0, len(todo), 256):
+                    part = todo[c:c + 256]  # items of about one length
+                    i = of[part]
+                    own = _padded(flat, first[i], first[i + 1], 1)
+                    best, end = smith_waterman(own.T[:, :, None], _padded(w.hash, lo[part], hi[part], 0))
+                    share = best / (MATCH * size[i])
+                    for j in np.flatnonzero(share >= threshold).tolist():
+                        r = int(row[part[j]])
+                        last = int(lo[part[j]] - w.first[r]) + int(end[j])
+                        got.append((doc[int(w.row[r])].as_py(), ids[i[j]], float(share[j]),
+                                    max(0, last - int(size[i[j]])), last))
                 if got:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()),

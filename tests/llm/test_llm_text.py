@@ -229,6 +229,26 @@ def test_decontamination_finds_edited_and_half_copies_that_are_frequent(spark):
     assert {round(s, 2) for s in got.values()} == {0.84, 0.51, 1.0}
 
 
+def test_decontamination_finds_copies_without_long_intact_runs(spark):
+    """Every replaced copy that scores the threshold is found, also where no four (or three)
+    consecutive words are left."""
+    r = random.Random(5)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (6, 7, 10, 15, 20, 37, 59)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    rows, want = [], set()
+    for n, item in items.items():
+        gone = [set(range(3, n, 4)), set(range(2, n, 3))]
+        gone += [{k for k in range(n) if r.random() < p} for p in (0.2, 0.25, 0.4) for _ in range(40)]
+        for drop in gone:
+            copy = ["changed" if k in drop else w for k, w in enumerate(item)]
+            if plain_local_alignment(item, copy) >= decontaminate.THRESHOLD * 2 * n:
+                want.add((len(rows), n))
+            rows.append((len(rows), " ".join([prose(len(rows), 20), *copy, prose(len(rows) + 1, 20)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs, bench).collect()}
+    assert got == want and len(want) > 400
+
+
 @pytest.mark.parametrize("seed", range(15))
 def test_passages_hold_every_hit_once_and_stay_bounded(seed):
     r = np.random.default_rng(seed)
