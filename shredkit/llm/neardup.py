@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shredkit.llm.components import connected_components
-from shredkit.llm.frames import only_ids, quoted, saved
+from shredkit.llm.frames import fresh, hex_long, only_ids, quoted, saved
 from shredkit.llm.words import PLAIN, gram_hashes, mix, row_of, span_hashes, words_of
 
 SHINGLE = 5
@@ -344,16 +344,50 @@ def _groups(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+def _digest(text: Column) -> Column:
+    """Tells apart the texts of rows that share a doc_id."""
+    return F.coalesce(hex_long(text), F.lit(-1))
+
+
+def _nodes(docs: DataFrame) -> DataFrame | None:
+    """(doc, digest, node) of every distinct (doc_id, text), numbered in this order; None
+    where no doc_id has several texts, so that doc_id itself is the node."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), _digest(F.col("text")).alias("digest")).where(
+        F.col("doc").isNotNull())
+    several = rows.groupBy("doc").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi")
+    if several.isEmpty():
+        return None
+    ordered = rows.distinct().repartitionByRange("doc", "digest").sortWithinPartitions("doc", "digest")
+    return saved(ordered.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
+
+
+def _numbered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``docs`` with the node of every row as its doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").withColumn("digest", _digest(F.col("text")))
+    return saved(rows.join(nodes, ["doc", "digest"]).select(F.col("node").alias("doc_id"), "text"), "neardup-numbered")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every row with an id: class_id is the smallest doc_id of
     the connected component of links with similarity >= ``similarity``.
 
     Words are separated by white space and compared unchanged; texts with the
     same words are in one class. Null and empty texts (no words) are alone.
-    Rows without a doc_id are not returned. Repeated rows give one row each; of
-    rows that share a doc_id but not the text, the smallest text is compared.
-    An empty table gives no rows; extra columns are ignored.
+    Rows without a doc_id are not returned. Repeated rows give one row each;
+    rows that share a doc_id but not the text are compared each by its own
+    text. An empty table gives no rows; extra columns are ignored.
     """
+    nodes = _nodes(docs)
+    if nodes is None:
+        return _classes(docs, similarity)
+    found = _classes(_numbered(docs, nodes), similarity).withColumnsRenamed({"doc_id": "node", "class_id": "root"})
+    own = nodes.select("node", F.col("doc").alias("doc_id"))
+    roots = nodes.select(F.col("node").alias("root"), F.col("doc").alias("class_id"))
+    return found.join(own, "node").join(roots, "root").select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """Classes of documents whose doc_id has one text."""
     signed = saved(signatures(docs), "neardup-signatures")
     reps = signed.where("weight > 0").groupBy("words").agg(
         F.min(F.struct("doc", "weight", "bands", "mini")).alias("r")
@@ -384,10 +418,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each class (that with the smallest doc_id); all
-    columns are kept. Of repeated rows one stays; rows without a doc_id stay."""
-    classes = near_duplicates(docs.select(F.col(quoted(doc_id)).alias("doc_id"), "text"), similarity)
-    keepers = saved(classes.where("doc_id = class_id").select("doc_id").distinct(), "neardup-keepers")
+    columns are kept. Of rows with equal doc_id and text one stays; rows without a
+    doc_id stay."""
     key = F.col(quoted(doc_id))
-    kept = docs.where(key.isNotNull()).join(
-        keepers.withColumnRenamed("doc_id", "_keeper"), key.cast("long") == F.col("_keeper"), "left_semi")
-    return kept.dropDuplicates([doc_id]).unionByName(docs.where(key.isNull()))
+    texts = docs.select(key.alias("doc_id"), "text")
+    nodes = _nodes(texts)
+    classes = _classes(texts if nodes is None else _numbered(texts, nodes), similarity)
+    keepers = saved(classes.where("doc_id = class_id").select("doc_id").distinct(), "neardup-keepers")
+    if nodes is None:
+        kept = docs.where(key.isNotNull()).join(
+            keepers.withColumnRenamed("doc_id", "_keeper"), key.cast("long") == F.col("_keeper"), "left_semi")
+        return kept.dropDuplicates([doc_id]).unionByName(docs.where(key.isNull()))
+    digest, doc, text = (fresh(docs, n) for n in ("_digest", "_doc", "_text"))
+    pairs = nodes.join(keepers, F.col("node") == F.col("doc_id"), "left_semi").select(
+        F.col("doc").alias(doc), F.col("digest").alias(text))
+    kept = docs.where(key.isNotNull()).withColumn(digest, _digest(F.col("text"))).join(
+        pairs, (key.cast("long") == F.col(doc)) & (F.col(digest) == F.col(text)), "left_semi")
+    return kept.dropDuplicates([doc_id, digest]).drop(digest).unionByName(docs.where(key.isNull()))

@@ -459,3 +459,16 @@ def test_pages_are_skipped():
     s[0] = -np.inf
     assert [g[0] for g in got] == sorted(s, reverse=True)[:5]
     assert seen < 4000
+
+
+def test_texts_that_share_a_doc_id_are_documents_of_their_own(spark):
+    alone, other, twin = prose(301, 60), prose(302, 60), prose(303, 60)
+    near = twin + " end"
+    rows = [(1, alone, "x"), (1, other, "y"), (1, other, "y"), (1, twin, "z"), (2, near, "x"), (3, other, "x"),
+            (4, None, "x"), (4, "", "y"), (None, alone, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted(neardup.near_duplicates(df).collect())
+    assert got == [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 4), (4, 4)]
+    kept = {(r["doc_id"], r["text"]) for r in neardup.keep_one(df).collect()}
+    assert kept == {(1, alone), (1, other), (1, twin), (4, None), (4, ""), (None, alone)}
+    assert neardup.keep_one(df).count() == 6
