@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shredkit.llm.frames import quoted, without
+from shredkit.llm.frames import quoted, saved, without
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -44,13 +44,20 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, re
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int,
                     max_docs: int, max_bytes: int) -> list[Row]:
     """The sample on the driver, ordered by id: whole texts, at most ``max_bytes``
-    together (texts that would pass it are left out, smallest hashes first)."""
-    rows = sample_rows(docs, labels, label, modulus, remainder, max_docs)
-    rows = rows.where(F.octet_length("text") <= max_bytes // 8)
-    size = F.octet_length("text").cast("long")
+    together (texts that would pass it are left out, smallest hashes first). A
+    text of more than an eighth of ``max_bytes`` is not trained on."""
+    rows = saved(sample_rows(docs, labels, label, modulus, remainder, max_docs), "labels-sample")
+    rows = within_bytes(rows, max_bytes).select("doc_id", "label", "text")
+    return sorted(rows.collect(), key=lambda r: r["doc_id"])
+
+
+def within_bytes(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """The rows (doc_id, text, ...; one per doc_id) that :func:`training_sample` takes.
+    Only ids and sizes are summed up in one task, no texts."""
+    sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("size"))
     order = Window.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    rows = rows.withColumn("_upto", F.sum(size).over(order)).where(F.col("_upto") <= max_bytes)
-    return sorted(rows.select("doc_id", "label", "text").collect(), key=lambda r: r["doc_id"])
+    fits = sizes.where(F.col("size") <= max_bytes // 8).withColumn("upto", F.sum("size").over(order))
+    return rows.join(F.broadcast(fits.where(F.col("upto") <= max_bytes).select("doc_id")), "doc_id")
 
 
 def score_frame(docs: DataFrame, scores: Callable[[pa.Array], np.ndarray], threshold: float,

@@ -4,13 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from conftest import prose
 from pyspark.sql import functions as F
 
-from shredkit.llm import decontaminate, licenses, neardup, quality, substrings, topk, toxicity
+from shredkit.llm import decontaminate, labels, licenses, neardup, quality, substrings, topk, toxicity
 from shredkit.llm.components import connected_components
 from shredkit.llm.words import mix
 
@@ -149,6 +150,24 @@ def test_toxicity_reads_the_end_of_a_long_text():
         assert s[0] > 0.9 and s[1] < 0.1 and s[2] == s[1]
 
 
+def test_training_sample_sums_sizes_without_texts(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(i, i % 2, "x" * r.randrange(1, 160)) for i in range(60)]
+    spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    known = spark.createDataFrame([(d, y) for d, y, _ in rows], "doc_id long, quality int")
+    got = labels.training_sample(docs, known, "quality", 4, 2, 1000, 1000)
+    want, upto = [], 0
+    for d, y, t in sorted(rows, key=lambda x: hashlib.md5(str(x[0]).encode()).hexdigest()):
+        if zlib.crc32(str(d).encode()) % 4 != 2 and len(t) <= 125:
+            upto += len(t)
+            want += [(d, y, t.encode())] if upto <= 1000 else []
+    assert [(x["doc_id"], x["label"], bytes(x["text"])) for x in got] == sorted(want) and want
+    plan = labels.within_bytes(docs, 1000)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window ["):].splitlines()[1]
+    assert "octet_length(text#" in below and not re.search(r"[\[ ]text#", below), plan
+
+
 # -- decontamination ----------------------------------------------------------
 
 def plain_local_alignment(a, b):
