@@ -148,6 +148,104 @@ FROM placed p JOIN crcs c ON c.raw = p.raw
 """
 
 
+#: Every order and step over the documents themselves.
+OP11 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS first FROM docs GROUP BY text
+), known AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT d.part, coalesce(k.good, 0) AS good, coalesce(k.toxic, 0) AS toxic,
+         CASE WHEN len(d.w) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(d.w)) < 50 * len(d.w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 2 * length(d.text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN d.doc_id > f.first THEN 'E' ELSE '' END AS fails
+  FROM docs d JOIN firsts f ON f.text = d.text LEFT JOIN known k ON k.doc_id = d.doc_id
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS before
+  FROM orders, range(1, 6) t(step)
+), judged AS (
+  SELECT x.part, x.good, x.toxic, s.filter_order, s.step, s.f, x.fails = s.f AS alone, contains(x.fails, s.f) AS own,
+         len(translate(x.fails, s.before, '')) < len(x.fails) AS gone
+  FROM failed x, steps s
+), counted AS (
+  SELECT part, filter_order, step, f,
+         count(*) FILTER (NOT own AND NOT gone) AS kept, count(*) FILTER (own AND NOT gone) AS removed,
+         count(*) FILTER (own AND gone) AS redundant, count(*) FILTER (alone) AS unique_fails,
+         count(*) FILTER (own AND NOT gone AND good = 1) AS good_lost,
+         count(*) FILTER (own AND NOT gone AND toxic = 1) AS toxic_lost
+  FROM judged GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
+#: Near words by wildcard patterns and deletions, roots by recursion.
+OP12 = r"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT d, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+              lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), hashed AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(regexp_extract_all(hex(encode(d || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT)),
+         lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h
+  FROM counted, crc_table
+), edited AS (
+  SELECT c, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, (h % length(run) + 2)::BIGINT)
+                 ELSE run END AS word
+  FROM hashed
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), places AS (
+  SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words
+), holes AS (
+  SELECT word, i, left(word, i - 1) || '*' || substr(word, i + 1) AS hole,
+         left(word, i - 1) || substr(word, i + 1) AS shorter
+  FROM places
+), dropped AS (
+  SELECT DISTINCT h.word AS longer, w.word AS shorter FROM holes h JOIN words w ON w.word = h.shorter
+), pairs AS (
+  SELECT a.word, b.word AS near FROM holes a JOIN holes b ON b.hole = a.hole AND b.word <> a.word
+  UNION SELECT longer, shorter FROM dropped
+  UNION SELECT shorter, longer FROM dropped
+), ranked AS (
+  SELECT p.word, p.near, w.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+         row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.near) AS r
+  FROM pairs p JOIN words w ON w.word = p.near
+), formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+         CASE WHEN r.near_n >= 5 * w.n THEN r.near END AS form, CASE WHEN r.near_n >= 5 * w.n THEN r.near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1
+), chain AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed e ON e.word = c.root AND e.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mtree_topk": OP4,
@@ -155,4 +253,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_format": OP7,
         "op8_substring_dedup": OP8,
         "op10_shard_bytes": OP10,
+        "op11_filter_audit": OP11,
+        "op12_spelling_variants": OP12,
     }
