@@ -236,14 +236,13 @@ def audit_filters(docs: DataFrame, labels: DataFrame, filters: Mapping[str, str]
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("good", F.lit(0))).cast("long").alias("good"),
         F.sum(F.coalesce("toxic", F.lit(0))).cast("long").alias("toxic"),
     )
-    sums = {f"{c}_left": [_sum(F.col("mask").bitwiseAND(s) == 0, c) for s in range(1 << k)]
+    sums = {f"{c}_left": [f"sum(if((mask & {s}) = 0, {c}, 0))" for s in range(1 << k)]
             for c in ("n", "good", "toxic")}
-    sums["alone"] = [_sum(F.col("mask") == 1 << i, "n") for i in range(k)]
+    sums["alone"] = [f"sum(if(mask = {1 << i}, n, 0))" for i in range(k)]
     # A filter is the first of a document's j failing ones in one order of j: k!/j removals.
-    share = F.expr(f"{math.factorial(k)} div greatest(bit_count(mask), 1)")
-    sums["shapley"] = [F.sum(F.when(F.getbit("mask", F.lit(i)) == 1, F.col("n") * share).otherwise(0))
-                       for i in range(k)]
-    parts = cells.groupBy("part").agg(*[F.array(*c).alias(name) for name, c in sums.items()])
+    share = f"n * ({math.factorial(k)} div bit_count(mask))"
+    sums["shapley"] = [f"sum(if((mask & {1 << i}) != 0, {share}, 0))" for i in range(k)]
+    parts = cells.groupBy("part").agg(*[F.expr(f"array({', '.join(c)})").alias(name) for name, c in sums.items()])
     steps = parts.select("*", F.explode(_steps(letters)).alias("s")).select("*", "s.*")
 
     def left(c: str, which: str) -> Column:
@@ -264,10 +263,6 @@ def audit_filters(docs: DataFrame, labels: DataFrame, filters: Mapping[str, str]
     )
 
 
-def _sum(condition: Column, c: str) -> Column:
-    return F.sum(F.when(condition, F.col(c)).otherwise(0))
-
-
 def _steps(letters: list[str]) -> Column:
     """Every step of every order: its filter's number and the masks of the filters so far."""
     out = []
