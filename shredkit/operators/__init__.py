@@ -4,10 +4,14 @@ from shredkit.operators.ingest import ingest_batch, ingest_json_column
 from shredkit.operators.tables import (
     align_to_table,
     append_table,
+    commit,
     create_table,
     evolve_schema,
+    finish_commit,
     qualified_name,
     save_table,
+    stage_table,
+    stream_ledger,
     table_exists,
     upsert_table,
     with_file_key,
@@ -17,14 +21,18 @@ from shredkit.operators.upsert import dedup_source, merge_upsert
 __all__ = [
     "align_to_table",
     "append_table",
+    "commit",
     "create_table",
     "dedup_source",
     "evolve_schema",
+    "finish_commit",
     "ingest_batch",
     "ingest_json_column",
     "merge_upsert",
     "qualified_name",
     "save_table",
+    "stage_table",
+    "stream_ledger",
     "table_exists",
     "upsert_table",
     "with_file_key",

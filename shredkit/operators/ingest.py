@@ -1,14 +1,31 @@
-"""Batch ingest (K5): parse, flatten, save every table."""
+"""Batch ingest (K5): parse, flatten, save every table, switch the family at once.
+
+Every table of the family is written first; one catalog call then records the commit
+and the views are switched. A crash before the record leaves readers on the family as it
+was, a crash after it is completed by the next ingest (or :func:`finish_commit`).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
 from shredkit.config import IngestConfig
 from shredkit.constants import CONTENT_HASH, PARENT_ID
-from shredkit.operators.tables import save_table, table_names
+from shredkit.functions.names import quote_name
+from shredkit.operators.tables import (
+    Staged,
+    commit,
+    finish_commit,
+    stage_table,
+    stream_ledger,
+    table_exists,
+    table_names,
+)
 from shredkit.plans.flatten import flatten
 from shredkit.session import parallelism, safe_planning, scoped_conf
 from shredkit.sources.json import CORRUPT, parse_json_column
@@ -39,26 +56,39 @@ def _persist_spread(df: DataFrame) -> tuple[DataFrame, int]:
     return spread, n
 
 
-def ingest_batch(df: DataFrame, cfg: IngestConfig) -> list[str]:
+def ingest_batch(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | None = None) -> list[str]:
     """Flatten one batch of documents and save main and child tables.
 
     With ``cfg.persist`` the parsed batch is kept (memory, spilling to disk)
     because every output table reads it; a lost executor only recomputes its own
-    blocks from lineage. Returns the table names written, in write order (none for an
-    empty batch).
+    blocks from lineage. ``ledger`` (stream to micro-batch number) is committed with
+    every table, and a micro-batch that the main table already has is skipped.
+    Returns the table names written, in write order (none for an empty batch).
     """
-    if cfg.id_field is None and len(df.columns) != 1:
-        raise ValueError("ingest needs an id field unless the documents are a bare array")
-    with scoped_conf(df.sparkSession, safe_planning(df.sparkSession)):
-        return _ingest(df, cfg)
+    spark = df.sparkSession
+    finish_commit(spark, cfg.table)
+    if _replayed(spark, cfg.table, ledger):
+        return []
+    with scoped_conf(spark, safe_planning(spark)):
+        staged = _stage_family(df, cfg, ledger)
+        commit(spark, staged, cfg.table)
+    return [s.name for s in staged]
+
 
+def _replayed(spark: SparkSession, main: str, ledger: Mapping[str, int] | None) -> bool:
+    if not ledger:
+        return False
+    done = stream_ledger(spark, main)
+    return all(done.get(stream, -1) >= batch for stream, batch in ledger.items())
 
-def _ingest(df: DataFrame, cfg: IngestConfig) -> list[str]:
+
+def _stage_family(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | None = None) -> list[Staged]:
+    if cfg.id_field is None and len(df.columns) != 1:
+        raise ValueError("ingest needs an id field unless the documents are a bare array")
     if not cfg.use_recursive:
-        save_table(df, cfg.table, [cfg.id_field], cfg.date_field, cfg.date_format,
-                   cfg.file_key, cfg.buckets, cfg.on_duplicate, cfg.latest_by,
-                   location=cfg.location)
-        return [cfg.table]
+        return [stage_table(df, cfg.table, [cfg.id_field], cfg.date_field, cfg.date_format,
+                            cfg.file_key, cfg.buckets, cfg.on_duplicate, cfg.latest_by,
+                            location=cfg.location, ledger=ledger)]
     if cfg.persist:
         df, n = _persist_spread(df)
         empty = n == 0
@@ -71,43 +101,60 @@ def _ingest(df: DataFrame, cfg: IngestConfig) -> list[str]:
         # All names are settled before the first write: a family is never half written
         # because of a name.
         names = table_names(df.sparkSession, cfg.table, list(tables))
-        written = []
+        staged = []
         for logical, t in tables.items():
             name = names[logical]
             if logical == cfg.table:
                 key = cfg.id_field if cfg.id_field in t.columns else PARENT_ID
-                save_table(t, name, [key], cfg.date_field, cfg.date_format, cfg.file_key,
-                           cfg.buckets, cfg.on_duplicate, cfg.latest_by, location=cfg.location)
+                staged.append(stage_table(t, name, [key], cfg.date_field, cfg.date_format, cfg.file_key,
+                                          cfg.buckets, cfg.on_duplicate, cfg.latest_by, location=cfg.location,
+                                          ledger=ledger))
             else:
-                save_table(t, name, [PARENT_ID, CONTENT_HASH], file_key=cfg.file_key,
-                           buckets=cfg.buckets, on_duplicate="allow",
-                           replace_keys=[PARENT_ID] if cfg.replace_children else None,
-                           location=cfg.location,
-                           append_only=cfg.children_append_only and not cfg.replace_children)
-            written.append(name)
-        return written
+                staged.append(stage_table(t, name, [PARENT_ID, CONTENT_HASH], file_key=cfg.file_key,
+                                          buckets=cfg.buckets, on_duplicate="allow",
+                                          replace_keys=[PARENT_ID] if cfg.replace_children else None,
+                                          location=cfg.location,
+                                          append_only=cfg.children_append_only and not cfg.replace_children,
+                                          ledger=ledger))
+        return staged
     finally:
         if cfg.persist:
             df.unpersist()
 
 
-def ingest_json_column(df: DataFrame, column: str, cfg: IngestConfig) -> list[str]:
+def _id_type(spark: SparkSession, cfg: IngestConfig) -> DataType:
+    if table_exists(spark, cfg.table):
+        return spark.table(quote_name(cfg.table)).schema[cfg.id_field].dataType
+    return StringType()
+
+
+def ingest_json_column(df: DataFrame, column: str, cfg: IngestConfig,
+                       ledger: Mapping[str, int] | None = None, untyped: bool = True) -> list[str]:
     """Ingest documents held as JSON text in ``column`` (one or an array per row).
 
     Texts that are no JSON documents go to the side table ``<table>_corrupt``,
     keyed by the hash of their raw text: none is lost, and a second ingest of
-    the same text adds nothing.
+    the same text adds nothing. It is part of the family: all tables switch together.
+    A field that is null in every document becomes a text column, or none with
+    ``untyped=False`` (a later batch may know its type).
     """
-    parsed = parse_json_column(df, column)
-    bad = parsed.where(F.col(CORRUPT).isNotNull()).select(F.sha2(CORRUPT, 256).alias(CONTENT_HASH), CORRUPT)
-    bad = bad.dropDuplicates([CONTENT_HASH])
-    written = []
-    if not bad.isEmpty():
-        name = f"{cfg.table}_corrupt"
-        save_table(bad, name, [CONTENT_HASH], file_key=cfg.file_key, buckets=cfg.buckets,
-                   location=cfg.location, append_only=True)
-        written.append(name)
-    good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    if set(good.columns) == set(df.columns) - {column}:  # no text held a document
-        return written
-    return ingest_batch(good, cfg) + written
+    spark = df.sparkSession
+    finish_commit(spark, cfg.table)
+    side = f"{cfg.table}_corrupt"
+    if _replayed(spark, cfg.table, ledger) or _replayed(spark, side, ledger):
+        return []
+    with scoped_conf(spark, safe_planning(spark)):
+        parsed = parse_json_column(df, column, untyped=untyped)
+        bad = parsed.where(F.col(CORRUPT).isNotNull())
+        bad = bad.select(F.sha2(CORRUPT, 256).alias(CONTENT_HASH), CORRUPT).dropDuplicates([CONTENT_HASH])
+        good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        staged = []
+        if set(good.columns) != set(df.columns) - {column}:  # some text holds a document
+            if cfg.id_field and cfg.id_field not in good.columns:  # no document has an id
+                good = good.withColumn(cfg.id_field, F.lit(None).cast(_id_type(spark, cfg)))
+            staged = _stage_family(good, cfg, ledger)
+        if not bad.isEmpty():
+            staged.append(stage_table(bad, side, [CONTENT_HASH], file_key=cfg.file_key, buckets=cfg.buckets,
+                                      location=cfg.location, append_only=True, ledger=ledger))
+        commit(spark, staged, cfg.table)
+    return [s.name for s in staged]

@@ -5,29 +5,39 @@ Two storage paths, chosen once per table by its catalog:
 * **V2 catalog with row-level operations** (Iceberg, Delta): ``writeTo(...)
   .partitionedBy(bucket(16, key), days(date)).create()`` and
   ``mergeInto(...)``; the table format rewrites only affected files.
-* **Built-in session catalog** (no MERGE): each logical table is a view over
-  its current *snapshot* table ``<name>__s<unique id>``. An upsert writes the
-  next snapshot = (current anti-join source keys) union source, then repoints the
-  view in one catalog call. Readers never see a half-written state; the
-  previous snapshot is kept for readers already running. Single writer per
-  table.
-
-Layout of a snapshot: ``bucket(16, key)`` becomes a directory partition
-``_shredkit_bucket = pmod(hash(key), 16)`` (like the table-format transform, it
-prunes files but does not cap read parallelism at 16 tasks the way Spark's own
-``bucketBy`` would), plus ``_shredkit_day`` when a date field is given. The
-view does not show these two, and an append reads only the buckets it meets. The
-write is a ``rebalance`` on those columns: AQE sizes the write tasks from the
-measured shuffle, splitting a hot bucket over several tasks and merging small
-ones, so files come out near the advisory partition size at any volume.
+* **Built-in session catalog** (no MERGE): each logical table is a view over one
+  physical table ``<name>__s<unique id>``, whose rows lie in *layers*.
+
+A layer is what one write added. The physical table is partitioned by layer and by
+unit: the bucket ``pmod(hash(key), 16)`` of the key, or the day where a date field is
+given. A write adds a layer; a merge first finds the (layer, unit) partitions that
+hold a key of the batch, writes their remaining rows together with the batch as the
+next layer, and lists them as dead. Other partitions keep their files, so the cost of a
+merge follows the batch and the units it meets. The view names the last committed layer and
+the dead partitions, all by partition columns, so Catalyst prunes them, and replacing the
+view (one catalog call) is the switch to the new version: readers never see a half-written
+state. Dead partitions stay for readers of the version before and are dropped by the
+write after. A unit of ``CROWDED`` layers is merged into one by the next write that meets
+it. Single writer per table.
+
+Writes are *staged*: :func:`stage_table` writes the layer, :func:`commit` switches the views
+of a whole family, after one catalog call has recorded them all, so that a restart
+(:func:`finish_commit`) completes the switch of tables that a crash left behind.
+
+The write is a ``rebalance`` on the unit: AQE sizes the write tasks from the
+measured shuffle, splitting a hot unit over several tasks and merging small ones, so
+files come out near the advisory partition size at any volume.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,17 +49,24 @@ from shredkit.functions.names import col, quote, quote_name, snake_case_str, spl
 from shredkit.functions.text import parse_date
 from shredkit.operators.upsert import _non_null, dedup_source, key_set_bytes, merge_upsert
 from shredkit.session import safe_planning, scoped_conf
-from shredkit.plans.schema import add_columns_sql, align_schema, check_compatible, missing_fields
+from shredkit.plans.schema import add_columns_sql, align_schema, missing_fields, widened_schema
 
 _SNAP = "__s"
+LAYER = "_shredkit_layer"
 BUCKET = "_shredkit_bucket"
 DAY = "_shredkit_day"
+NO_DAY = "none"
+#: Live layers of one unit from which on the next write that meets it merges them.
+CROWDED = 16
 _PROP_BUCKET = "shredkit.bucket_col"
 _PROP_BUCKETS = "shredkit.buckets"
 _PROP_DAY = "shredkit.day_col"
-_PROP_SNAPSHOT = "shredkit.snapshot"
-_PROP_PREVIOUS = "shredkit.previous"
 _PROP_STORE = "shredkit.store"
+_PROP_TABLE = "shredkit.table"
+_PROP_PREVIOUS = "shredkit.previous"
+_PROP_VERSION = "shredkit.version"
+_PROP_DEAD = "shredkit.dead"
+_PROP_STREAM = "shredkit.stream."
 
 
 # ------------------------------------------------------------------ names, checks
@@ -102,11 +119,11 @@ def _is_v2(spark: SparkSession, name: str) -> bool:
 
 
 def _store_db(spark: SparkSession, name: str, location: str | None) -> str | None:
-    """Database holding the snapshot tables of ``name``.
+    """Database holding the physical tables of ``name``.
 
-    With a ``location`` it is a database placed there, so snapshots are
+    With a ``location`` it is a database placed there, so physical tables are
     *managed* tables under that folder: dropping one removes its files.
-    Without one, snapshots sit next to the view in the warehouse.
+    Without one, they sit next to the view in the warehouse.
     """
     if not location:
         return ".".join(quote(p) for p in split_name(name)[:-1]) or None
@@ -116,23 +133,163 @@ def _store_db(spark: SparkSession, name: str, location: str | None) -> str | Non
     return db
 
 
-def _new_snapshot_name(name: str, db: str | None) -> str:
+def _new_physical_name(name: str, db: str | None) -> str:
     # Unique per attempt: a write that died half way never blocks its retry.
     base = split_name(name)[-1]
     t = f"{base}{_SNAP}{uuid.uuid4().hex[:12]}"
     return f"{db}.{quote(t)}" if db else quote(t)
 
 
-def _current_snapshot(spark: SparkSession, name: str) -> str | None:
-    """Snapshot table the view reads, kept as a property of the view."""
-    return _props(spark, name).get(_PROP_SNAPSHOT)
-
-
 def _props(spark: SparkSession, table: str) -> dict[str, str]:
     rows = spark.sql(f"SHOW TBLPROPERTIES {quote_name(table)}").collect()
     return {r["key"]: r["value"] for r in rows}
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# ------------------------------------------------------------------ versions
+
+
+@dataclass(frozen=True)
+class Version:
+    """What a view shows: the layers up to ``number`` of a physical table without the
+    ``dead`` partitions (layer, unit, version that replaced them)."""
+
+    table: str
+    number: int
+    key: str
+    buckets: int
+    day: str | None
+    store: str | None
+    dead: tuple[tuple[str, str, int], ...] = ()
+    previous: str | None = None
+    streams: Mapping[str, int] = field(default_factory=dict)
+
+    @property
+    def unit(self) -> str:
+        return DAY if self.day else BUCKET
+
+    def shown(self) -> str:
+        """The partitions of this version, as a predicate on partition columns."""
+        out = [f"{LAYER} <= '{self.number:08d}~'"]
+        by_layer: dict[str, list[str]] = {}
+        for layer, unit, _ in self.dead:
+            by_layer.setdefault(layer, []).append(unit)
+        for layer, units in sorted(by_layer.items()):
+            out.append(f"NOT ({LAYER} = '{layer}' AND {self.unit} IN ({self._units(units)}))")
+        return " AND ".join(out)
+
+    def _units(self, units: Sequence[str]) -> str:
+        return ", ".join(f"'{u}'" if self.day else u for u in sorted(units))
+
+    def partition(self, layer: str, unit: str) -> str:
+        return f"PARTITION ({LAYER} = '{layer}', {self.unit} = {self._units([unit])})"
+
+    def next_layer(self) -> str:
+        return f"{self.number + 1:08d}_{uuid.uuid4().hex[:8]}"
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The rows of this version with their layout columns."""
+        return spark.table(self.table).where(self.shown())
+
+    def data(self, spark: SparkSession) -> DataFrame:
+        return self.rows(spark).drop(LAYER, BUCKET, DAY)
+
+    def partitions(self, spark: SparkSession) -> list[tuple[str, str]]:
+        """All (layer, unit) on disk: catalog metadata, no data is read."""
+        out = []
+        for r in spark.sql(f"SHOW PARTITIONS {self.table}").collect():
+            parts = dict(p.split("=", 1) for p in r[0].split("/"))
+            out.append((parts[LAYER], parts[self.unit]))
+        return out
+
+
+@dataclass(frozen=True)
+class Staged:
+    """A written but not yet visible version of a table."""
+
+    name: str
+    switch: str | None = None  # None: a V2 table, visible already
+    cleanup: tuple[str, ...] = ()
+
+
+def current_version(spark: SparkSession, name: str) -> Version:
+    """The version that the view ``name`` shows."""
+    view = _props(spark, name)
+    table = view[_PROP_TABLE]
+    own = _props(spark, table)
+    return Version(
+        table, int(view[_PROP_VERSION]), own[_PROP_BUCKET], int(own[_PROP_BUCKETS]), own[_PROP_DAY] or None,
+        own[_PROP_STORE] or None, tuple(tuple(d) for d in json.loads(view[_PROP_DEAD])),
+        view.get(_PROP_PREVIOUS) or None,
+        {k[len(_PROP_STREAM):]: int(v) for k, v in view.items() if k.startswith(_PROP_STREAM)},
+    )
+
+
+def stream_ledger(spark: SparkSession, name: str) -> dict[str, int]:
+    """The last micro-batch of every stream that is committed in table ``name``."""
+    if not table_exists(spark, name) or _is_v2(spark, name):
+        return {}
+    return dict(current_version(spark, name).streams)
+
+
+def _staged(spark: SparkSession, name: str, v: Version, cleanup: Sequence[str] = (),
+            ledger: Mapping[str, int] | None = None, columns: Sequence[str] | None = None) -> Staged:
+    columns = columns or [c for c in spark.table(v.table).columns if c not in (LAYER, BUCKET, DAY)]
+    props = {_PROP_TABLE: v.table, _PROP_VERSION: str(v.number), _PROP_DEAD: json.dumps(v.dead)}
+    if v.previous:
+        props[_PROP_PREVIOUS] = v.previous
+    for stream, batch in {**v.streams, **(ledger or {})}.items():
+        props[_PROP_STREAM + stream] = str(batch)
+    kv = ", ".join(f"{_literal(k)} = {_literal(p)}" for k, p in props.items())
+    cols = ", ".join(quote(c) for c in columns)
+    return Staged(name, f"CREATE OR REPLACE VIEW {quote_name(name)} TBLPROPERTIES ({kv}) "
+                        f"AS SELECT {cols} FROM {v.table} WHERE {v.shown()}", tuple(cleanup))
+
+
+def _switch(spark: SparkSession, staged: Staged) -> None:
+    if staged.switch:
+        spark.sql(staged.switch)
+    for statement in staged.cleanup:
+        spark.sql(statement)
+
+
+def _record_name(main: str) -> str:
+    *place, last = split_name(main)
+    return ".".join(quote(p) for p in (*place, f"{last}__commit"))
+
+
+def commit(spark: SparkSession, staged: Sequence[Staged], main: str | None = None) -> None:
+    """Make staged versions visible.
+
+    One table switches in one catalog call. For a family (``main`` given) the call that
+    creates the record ``<main>__commit`` is the commit: from then on
+    :func:`finish_commit` completes the switches, whatever happens to this process.
+    """
+    todo = [s for s in staged if s.switch]
+    record = _record_name(main) if main and len(todo) > 1 else None
+    if record:
+        rows = [(t, s) for t, st in enumerate(todo) for s in (st.switch, *st.cleanup)]
+        values = ", ".join(f"({i}, {_literal(s)})" for i, (_, s) in enumerate(rows))
+        spark.sql(f"CREATE OR REPLACE VIEW {record} AS SELECT * FROM VALUES {values} AS t(step, statement)")
+    for st in todo:
+        _switch(spark, st)
+    if record:
+        spark.sql(f"DROP VIEW IF EXISTS {record}")
+
+
+def finish_commit(spark: SparkSession, main: str) -> bool:
+    """Complete a recorded commit of the family ``main`` that a crash cut off."""
+    if _is_v2(spark, main) or not table_exists(spark, record := _record_name(main)):
+        return False
+    for r in sorted(spark.table(record).collect()):  # a few statements per table
+        spark.sql(r["statement"])
+    spark.sql(f"DROP VIEW IF EXISTS {record}")
+    return True
+
+
 # ------------------------------------------------------------------ create / write
 
 
@@ -145,7 +302,13 @@ def create_table(
     properties: dict[str, str] | None = None,
     location: str | None = None,
 ) -> None:
-    """Create a table bucketed on ``bucket_col`` and partitioned by day of ``date_col`` (K1)."""
+    """Create a table bucketed on ``bucket_col``, or partitioned by day of ``date_col`` (K1)."""
+    commit(df.sparkSession, [_stage_create(df, name, bucket_col, date_col, buckets, properties, location)])
+
+
+def _stage_create(df: DataFrame, name: str, bucket_col: str, date_col: str | None = None,
+                  buckets: int = DEFAULT_BUCKETS, properties: dict[str, str] | None = None,
+                  location: str | None = None, ledger: Mapping[str, int] | None = None) -> Staged:
     spark = df.sparkSession
     props = {**TABLE_PROPERTIES, **(properties or {})}
     if _is_v2(spark, name):
@@ -156,85 +319,130 @@ def create_table(
         for k, v in props.items():
             w = w.tableProperty(k, v)
         w.create()
-        return
-    _write_snapshot(df, name, bucket_col, buckets, date_col, _store_db(spark, name, location))
+        return Staged(name)
+    store = _store_db(spark, name, location)
+    v = Version(_new_physical_name(name, store), 0, bucket_col, buckets, date_col, store)
+    return _staged(spark, name, _write_layer(df, v), ledger=ledger)
 
 
 def _bucket_of(bucket_col: str, buckets: int) -> Column:
     return F.pmod(F.hash(col(bucket_col)), F.lit(buckets))
 
 
-def _with_layout(df: DataFrame, bucket_col: str, buckets: int, date_col: str | None) -> DataFrame:
-    """Add the partition columns to rows being written."""
+def _write_layer(df: DataFrame, v: Version, dead: Sequence[tuple[str, str]] = ()) -> Version:
+    """Write rows as the next layer (the first one creates the physical table);
+    ``dead`` are the partitions whose remaining rows it holds."""
+    spark = df.sparkSession
     for c in df.columns:
-        if c.lower() in (BUCKET, DAY):
+        if c.lower() in (LAYER, BUCKET, DAY):
             raise ValueError(f"the column name {c} is reserved for the table layout")
-    df = df.withColumn(BUCKET, _bucket_of(bucket_col, buckets))
-    return df.withColumn(DAY, F.to_date(col(date_col))) if date_col else df
-
-
-def _data(spark: SparkSession, snap: str) -> DataFrame:
-    """A snapshot without its layout columns."""
-    return spark.table(snap).drop(BUCKET, DAY)
-
-
-def _write_snapshot(df: DataFrame, name: str, bucket_col: str, buckets: int,
-                    date_col: str | None, store: str | None) -> None:
-    spark = df.sparkSession
-    previous = _current_snapshot(spark, name) if table_exists(spark, name) else None
-    older = _props(spark, name).get(_PROP_PREVIOUS) if previous else None
-    snap = _new_snapshot_name(name, store)
-    df = _with_layout(df, bucket_col, buckets, date_col)
-    part_cols = [BUCKET] + ([DAY] if date_col else [])
-    # Rebalance on the partition columns: AQE sizes the write tasks from the
-    # measured shuffle (splitting a hot bucket over several tasks, merging
-    # small ones), so each task writes about one file of the advisory size
+    unit = F.coalesce(F.to_date(col(v.day)).cast("string"), F.lit(NO_DAY)) if v.day else _bucket_of(v.key, v.buckets)
+    df = df.withColumn(LAYER, F.lit(v.next_layer())).withColumn(v.unit, unit)
+    new = v.number == 0 or not table_exists(spark, v.table)
+    if not new:
+        df = df.select(*[col(c) for c in spark.table(v.table).columns])
+    # Rebalance on the unit: AQE sizes the write tasks from the measured shuffle (splitting a
+    # hot unit, merging small ones), so each task writes about one file of the advisory size
     # whatever the data volume.
-    df = (df.hint("rebalance", *part_cols)
-            .sortWithinPartitions(*[F.col(c) for c in part_cols], col(bucket_col)))
-    df.write.format("parquet").mode("errorifexists").partitionBy(*part_cols).saveAsTable(snap)
-    meta = {_PROP_BUCKET: bucket_col, _PROP_BUCKETS: str(buckets), _PROP_DAY: date_col or "",
-            _PROP_STORE: store or ""}
-    kv = ", ".join(f"'{k}' = {_literal(v)}" for k, v in meta.items())
-    spark.sql(f"ALTER TABLE {snap} SET TBLPROPERTIES ({kv})")
-    _point_view(spark, name, snap, previous)
-    # Keep the previous snapshot for readers already running; drop the one before.
-    if older:
-        spark.sql(f"DROP TABLE IF EXISTS {older}")
-
-
-def _point_view(spark: SparkSession, name: str, snap: str, previous: str | None = None) -> None:
-    cols = ", ".join(quote(c) for c in _data(spark, snap).columns)
-    props = f"'{_PROP_SNAPSHOT}' = {_literal(snap)}"
-    if previous:
-        props += f", '{_PROP_PREVIOUS}' = {_literal(previous)}"
-    spark.sql(f"CREATE OR REPLACE VIEW {quote_name(name)} TBLPROPERTIES ({props}) "
-              f"AS SELECT {cols} FROM {snap}")
+    df = df.hint("rebalance", v.unit).sortWithinPartitions(F.col(v.unit), col(v.key))
+    if new:
+        df.write.format("parquet").mode("errorifexists").partitionBy(LAYER, v.unit).saveAsTable(v.table)
+        meta = {_PROP_BUCKET: v.key, _PROP_BUCKETS: str(v.buckets), _PROP_DAY: v.day or "",
+                _PROP_STORE: v.store or ""}
+        kv = ", ".join(f"'{k}' = {_literal(p)}" for k, p in meta.items())
+        spark.sql(f"ALTER TABLE {v.table} SET TBLPROPERTIES ({kv})")
+    else:
+        df.write.insertInto(v.table)
+    spark.catalog.refreshTable(v.table)
+    n = v.number + 1
+    return Version(v.table, n, v.key, v.buckets, v.day, v.store, (*v.dead, *((*d, n) for d in dead)),
+                   v.previous, v.streams)
 
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _opened(spark: SparkSession, name: str) -> tuple[Version, list[tuple[str, str]], list[str]]:
+    """The version to write on, its live partitions, and what to drop after the next switch.
+
+    Layers of writes that never committed are dropped here. Partitions that were dead
+    in the version before are not read by anyone once the next one is visible.
+    """
+    v = current_version(spark, name)
+    on_disk = v.partitions(spark)
+    lost = [p for p in on_disk if int(p[0].split("_")[0]) > v.number]
+    if lost:
+        spark.sql(f"ALTER TABLE {v.table} DROP IF EXISTS " + ", ".join(v.partition(*p) for p in lost))
+    there = set(on_disk) - set(lost)
+    dead = tuple(d for d in v.dead if d[:2] in there)
+    cleanup = []
+    if dead:
+        cleanup.append(f"ALTER TABLE {v.table} DROP IF EXISTS " + ", ".join(v.partition(*d[:2]) for d in dead))
+    if v.previous:
+        cleanup.append(f"DROP TABLE IF EXISTS {v.previous}")
+    v = Version(v.table, v.number, v.key, v.buckets, v.day, v.store, dead, None, v.streams)
+    return v, sorted(there - {d[:2] for d in dead}), cleanup
+
+
+def _crowded(live: Sequence[tuple[str, str]]) -> set[tuple[str, str]]:
+    layers = Counter(unit for _, unit in live)
+    return {(layer, unit) for layer, unit in live if layers[unit] >= CROWDED}
+
+
+def _among(v: Version, partitions: Sequence[tuple[str, str]]) -> Column:
+    by_layer: dict[str, list[str]] = {}
+    for layer, unit in partitions:
+        by_layer.setdefault(layer, []).append(unit)
+    cond = F.lit(False)
+    for layer, units in sorted(by_layer.items()):
+        cond = cond | ((F.col(LAYER) == layer) & F.col(v.unit).isin([u if v.day else int(u) for u in units]))
+    return cond
 
 
 # ------------------------------------------------------------------ evolve / align
 
 
 def evolve_schema(spark: SparkSession, name: str, new_schema: StructType) -> list[str]:
-    """Add columns of ``new_schema`` missing from table ``name`` (C2); returns their names."""
+    """Add columns of ``new_schema`` missing from table ``name`` (C2), and fields missing inside
+    its structs; returns the names of the columns that were added or widened."""
     current = spark.table(quote_name(name)).schema
-    check_compatible(current, new_schema)
-    add = missing_fields(current, new_schema)
-    if not add:
-        return []
+    target = widened_schema(current, new_schema)
+    add = missing_fields(current, target)
+    deep = [f.name for f, g in zip(current.fields, target.fields) if f.dataType != g.dataType]
     if _is_v2(spark, name):
-        spark.sql(add_columns_sql(quote_name(name), add))
-    else:
-        snap = _current_snapshot(spark, name)
-        previous = _props(spark, name).get(_PROP_PREVIOUS)
-        spark.sql(add_columns_sql(snap, add))
-        spark.catalog.refreshTable(snap)
-        _point_view(spark, name, snap, previous)
-    return [f.name for f in add]
+        if add:
+            spark.sql(add_columns_sql(quote_name(name), add))
+        for statement in _v2_nested_sql(name, current, target):
+            spark.sql(statement)
+    elif deep:
+        v, _, cleanup = _opened(spark, name)
+        commit(spark, [_staged(spark, name, *_moved(v.data(spark), v, target, cleanup))])
+    elif add:
+        v, _, cleanup = _opened(spark, name)
+        _add_columns(spark, v, target)
+        commit(spark, [_staged(spark, name, v, cleanup)])
+    return [f.name for f in add] + deep
+
+
+def _v2_nested_sql(name: str, current: StructType, target: StructType) -> list[str]:
+    """``ADD COLUMNS`` with paths for the fields that structs of a V2 table lack."""
+    from shredkit.plans.schema import nested_additions
+
+    return [f"ALTER TABLE {quote_name(name)} ADD COLUMNS ({'.'.join(quote(p) for p in path)} {t.simpleString()})"
+            for path, t in nested_additions(current, target)]
+
+
+def _add_columns(spark: SparkSession, v: Version, target: StructType) -> None:
+    """Give the physical table the columns it lacks; the view does not show them yet."""
+    add = missing_fields(spark.table(v.table).schema, target)
+    if add:
+        spark.sql(add_columns_sql(v.table, add))
+        spark.catalog.refreshTable(v.table)
+
+
+def _moved(rows: DataFrame, v: Version, target: StructType, cleanup: list[str]) -> tuple[Version, list[str]]:
+    """All rows in a new physical table: the built-in catalog cannot change a column's type,
+    so fields added inside structs take one rewrite (old rows get typed nulls)."""
+    fresh = Version(_new_physical_name(v.table.replace("`", "").split(".")[-1].split(_SNAP)[0], v.store), v.number,
+                    v.key, v.buckets, v.day, v.store, (), v.table, v.streams)
+    return _write_layer(align_schema(rows, target), fresh), [c for c in cleanup if c.startswith("DROP TABLE")]
 
 
 def align_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -246,24 +454,34 @@ def align_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def append_table(df: DataFrame, name: str, bucket_col: str | None = None) -> None:
     """Append with additive schema evolution (K2). A table that does not exist is
     created, bucketed on ``bucket_col`` (by default the first column)."""
+    commit(df.sparkSession, [_stage_append(df, name, bucket_col)])
+
+
+def _stage_append(df: DataFrame, name: str, bucket_col: str | None = None,
+                  ledger: Mapping[str, int] | None = None) -> Staged:
     spark = df.sparkSession
     if not table_exists(spark, name):
-        create_table(df, name, bucket_col or df.columns[0])
-        return
-    aligned = align_to_table(spark, df, name)
+        return _stage_create(df, name, bucket_col or df.columns[0], ledger=ledger)
     if _is_v2(spark, name):
-        aligned.writeTo(quote_name(name)).append()
-        return
-    snap = _current_snapshot(spark, name)
-    props = _props(spark, snap)
-    date_col = props.get(_PROP_DAY) or None
-    key = props[_PROP_BUCKET]
-    aligned = _with_layout(aligned, key, int(props[_PROP_BUCKETS]), date_col)
-    aligned = aligned.select(*[col(c) for c in spark.table(snap).columns])
-    part_cols = [BUCKET] + ([DAY] if date_col else [])
-    aligned.hint("rebalance", *part_cols).sortWithinPartitions(
-        *[F.col(c) for c in part_cols], col(key)).write.insertInto(snap)
-    spark.catalog.refreshTable(snap)
+        align_to_table(spark, df, name).writeTo(quote_name(name)).append()
+        return Staged(name)
+    v, live, cleanup = _opened(spark, name)
+    current = spark.table(quote_name(name)).schema
+    target = widened_schema(current, df.schema)
+    aligned = align_schema(df, target)
+    if _is_deep(current, target):
+        rows = align_schema(v.data(spark), target).unionByName(aligned)
+        return _staged(spark, name, *_moved(rows, v, target, cleanup), ledger=ledger)
+    _add_columns(spark, v, target)
+    full = sorted(_crowded(live))
+    if full:
+        old = v.rows(spark).where(_among(v, full)).drop(LAYER, BUCKET, DAY)
+        aligned = aligned.unionByName(align_schema(old, target))
+    return _staged(spark, name, _write_layer(aligned, v, full), cleanup, ledger)
+
+
+def _is_deep(current: StructType, target: StructType) -> bool:
+    return any(f.dataType != g.dataType for f, g in zip(current.fields, target.fields))
 
 
 MERGE_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -272,7 +490,15 @@ MERGE_BROADCAST_BYTES = 64 * 1024 * 1024
 def upsert_table(df: DataFrame, name: str, keys: Sequence[str],
                  replace_keys: Sequence[str] | None = None,
                  broadcast_bytes: int = MERGE_BROADCAST_BYTES) -> None:
-    """Evolve, align and merge ``df`` into table ``name`` on ``keys`` (K3)."""
+    """Evolve, align and merge ``df`` into table ``name`` on ``keys`` (K3).
+
+    On the built-in catalog only the partitions that hold a key of the batch are rewritten.
+    """
+    commit(df.sparkSession, [_stage_upsert(df, name, keys, replace_keys, broadcast_bytes)])
+
+
+def _stage_upsert(df: DataFrame, name: str, keys: Sequence[str], replace_keys: Sequence[str] | None = None,
+                  broadcast_bytes: int = MERGE_BROADCAST_BYTES, ledger: Mapping[str, int] | None = None) -> Staged:
     spark = df.sparkSession
     if not keys:
         raise ValueError("upsert needs at least one key column")
@@ -285,25 +511,48 @@ def upsert_table(df: DataFrame, name: str, keys: Sequence[str],
         cond = " AND ".join(f"{target}.{quote(k)} = s.{quote(k)}" for k in keys)
         (aligned.alias("s").mergeInto(quote_name(name), F.expr(cond))
                 .whenMatched().updateAll().whenNotMatched().insertAll().merge())
-        return
-    snap = _current_snapshot(spark, name)
-    props = _props(spark, snap)
-    current = _data(spark, snap)
-    check_compatible(current.schema, df.schema)
-    date_col = props.get(_PROP_DAY) or None
-    aligned = align_schema(df, current.schema)
+        return Staged(name)
+    v, live, cleanup = _opened(spark, name)
+    current = spark.table(quote_name(name)).schema
+    target = widened_schema(current, df.schema)
     on = list(replace_keys or keys)
-    # The batch is read three times (measure, key side, rows): compute it once.
-    aligned = aligned.persist(StorageLevel.MEMORY_AND_DISK)
+    # The batch is read several times (measure, key side, rows): compute it once.
+    aligned = align_schema(df, target).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         small = key_set_bytes(aligned, on) <= broadcast_bytes
-        merged = merge_upsert(current, aligned, keys, replace_keys, broadcast_keys=small)
-        _write_snapshot(merged, name, props[_PROP_BUCKET], int(props[_PROP_BUCKETS]), date_col,
-                        props.get(_PROP_STORE) or None)
+        if _is_deep(current, target):
+            merged = merge_upsert(align_schema(v.data(spark), target), aligned, keys, replace_keys, broadcast_keys=small)
+            return _staged(spark, name, *_moved(merged, v, target, cleanup), ledger=ledger)
+        _add_columns(spark, v, target)
+        hit = sorted(_met_partitions(spark, v, aligned, on, small) | _crowded(live))
+        rows = aligned
+        if hit:
+            old = v.rows(spark).where(_among(v, hit)).drop(LAYER, BUCKET, DAY)
+            rows = merge_upsert(align_schema(old, target), aligned, keys, replace_keys, broadcast_keys=small)
+        return _staged(spark, name, _write_layer(rows, v, hit), cleanup, ledger)
     finally:
         aligned.unpersist()
 
 
+def _met_partitions(spark: SparkSession, v: Version, batch: DataFrame, keys: Sequence[str],
+                    broadcast_keys: bool) -> set[tuple[str, str]]:
+    """(layer, unit) of the partitions that hold a key of the batch: a semi join that reads
+    only key columns; the result is at most the table's partitions."""
+    wanted = batch.select(*[col(k) for k in keys]).where(_non_null(keys))
+    rows = _met_units(v, v.rows(spark), wanted, keys)
+    met = rows.join(F.broadcast(wanted) if broadcast_keys else wanted, list(keys), "left_semi")
+    return {(r[0], str(r[1])) for r in met.select(LAYER, v.unit).distinct().collect()}
+
+
+def _met_units(v: Version, rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the buckets that the wanted keys fall into, where buckets are by one of the keys."""
+    if v.day or v.key not in keys:
+        return rows
+    # at most ``buckets`` numbers: the scan lists only their folders
+    met = [r[0] for r in wanted.select(_bucket_of(v.key, v.buckets)).distinct().collect()]
+    return rows.where(F.col(BUCKET).isin(met)) if met else rows.where(F.lit(False))
+
+
 # ------------------------------------------------------------------ save (K4)
 
 
@@ -328,6 +577,27 @@ def save_table(
     ``append_only`` an existing table only receives rows whose keys it lacks
     (no rewrite; rows already there keep their ``filekey``).
     """
+    commit(df.sparkSession, [stage_table(df, name, keys, date_field, date_format, file_key, buckets, on_duplicate,
+                                         latest_by, replace_keys, location, append_only)])
+
+
+def stage_table(
+    df: DataFrame,
+    name: str,
+    keys: Sequence[str],
+    date_field: str | None = None,
+    date_format: str | None = None,
+    file_key: str | None = None,
+    buckets: int = DEFAULT_BUCKETS,
+    on_duplicate: str = "allow",
+    latest_by: str | None = None,
+    replace_keys: Sequence[str] | None = None,
+    location: str | None = None,
+    append_only: bool = False,
+    ledger: Mapping[str, int] | None = None,
+) -> Staged:
+    """Write what :func:`save_table` saves, without showing it: :func:`commit` does.
+    ``ledger`` (stream to micro-batch number) becomes part of the version."""
     if append_only and replace_keys:
         raise ValueError("append_only cannot replace rows")
     spark = df.sparkSession
@@ -338,12 +608,11 @@ def save_table(
     with scoped_conf(spark, safe_planning(spark)):
         df = dedup_source(df, keys, on_duplicate, latest_by)
         if not table_exists(spark, name):
-            create_table(df, name, keys[0], date_field if date_field in df.columns else None,
-                         buckets, location=location)
-        elif append_only:
-            append_new_rows(df, name, keys)
-        else:
-            upsert_table(df, name, keys, replace_keys)
+            return _stage_create(df, name, keys[0], date_field if date_field in df.columns else None,
+                                 buckets, location=location, ledger=ledger)
+        if append_only:
+            return _stage_new_rows(df, name, keys, ledger=ledger)
+        return _stage_upsert(df, name, keys, replace_keys, ledger=ledger)
 
 
 def append_new_rows(df: DataFrame, name: str, keys: Sequence[str],
@@ -353,13 +622,18 @@ def append_new_rows(df: DataFrame, name: str, keys: Sequence[str],
     The cost follows the batch: only the key columns of the buckets that the
     batch meets are read, and while the batch's keys are measured to be
     small they are broadcast to that scan, so the table itself is not shuffled.
-    What is left of it (at most the batch's own keys) is anti-joined. Appended
-    files become visible as the write job commits (not one atomic switch).
+    What is left of it (at most the batch's own keys) is anti-joined.
     """
+    commit(df.sparkSession, [_stage_new_rows(df, name, keys, broadcast_bytes)])
+
+
+def _stage_new_rows(df: DataFrame, name: str, keys: Sequence[str], broadcast_bytes: int = MERGE_BROADCAST_BYTES,
+                    ledger: Mapping[str, int] | None = None) -> Staged:
     on = list(keys)
     batch = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        append_table(batch.join(_known_keys(batch, name, on, broadcast_bytes), on, "left_anti"), name)
+        new = batch.join(_known_keys(batch, name, on, broadcast_bytes), on, "left_anti")
+        return _stage_append(new, name, ledger=ledger)
     finally:
         batch.unpersist()
 
@@ -370,14 +644,8 @@ def _known_keys(batch: DataFrame, name: str, keys: list[str], broadcast_bytes: i
     wanted = batch.select(*[col(k) for k in keys]).where(_non_null(keys))
     table = spark.table(quote_name(name))
     if not _is_v2(spark, name):
-        snap = _current_snapshot(spark, name)
-        props = _props(spark, snap)
-        table = spark.table(snap)
-        if props[_PROP_BUCKET] in keys:
-            # at most ``buckets`` numbers: the scan lists only their folders
-            bucket = _bucket_of(props[_PROP_BUCKET], int(props[_PROP_BUCKETS]))
-            met = [r[0] for r in wanted.select(bucket).distinct().collect()]
-            table = table.where(F.col(BUCKET).isin(met)) if met else table.where(F.lit(False))
+        v = current_version(spark, name)
+        table = _met_units(v, v.rows(spark), wanted, keys)
     known = table.select(*[col(k) for k in keys])
     if key_set_bytes(wanted, keys) <= broadcast_bytes:
         known = known.join(F.broadcast(wanted), keys, "left_semi")

@@ -42,31 +42,32 @@ _SIMPLE = {"BIGINT": LongType, "STRING": StringType, "DOUBLE": DoubleType, "FLOA
            "TIMESTAMP_NTZ": TimestampNTZType, "BINARY": BinaryType}
 
 
-def variant_type(text: str | None) -> DataType | None:
+def variant_type(text: str | None, untyped: bool = True) -> DataType | None:
     """The type Spark's JSON reader would infer, from the text of a variant type.
 
     ``OBJECT<k: BIGINT>`` is a struct; whole numbers beyond 64 bits stay exact
     decimals, fractions are doubles; mixed types and nulls alone are text. An
     object without fields gives nothing (its field is left out), and so does
-    ``None``. Field names are read as names, whatever they look like.
+    ``None``. Field names are read as names, whatever they look like. With
+    ``untyped=False`` fields that are only ever null are left out too.
     """
     if text is None or text.strip() in ("", "VOID"):
         return None
-    return _read_type(text, 0)[0]
+    return _read_type(text, 0, untyped)[0]
 
 
-def _read_type(s: str, i: int) -> tuple[DataType | None, int]:
+def _read_type(s: str, i: int, untyped: bool) -> tuple[DataType | None, int]:
     m = _BAREWORD.match(s, i)
     word, i = m.group(0), m.end()
     if word == "ARRAY":
-        elem, i = _read_type(s, i + 1)
+        elem, i = _read_type(s, i + 1, untyped)
         return (ArrayType(elem) if elem is not None else None), i + 1
     if word == "OBJECT":
         fields: list[StructField] = []
         i += 1
         while s[i] != ">":
             name, i = _read_name(s, i)
-            dtype, i = _read_type(s, i + 2)  # behind ": "
+            dtype, i = _read_type(s, i + 2, untyped)  # behind ": "
             if dtype is not None:
                 fields.append(StructField(name, dtype))
             if s[i] == ",":
@@ -76,6 +77,8 @@ def _read_type(s: str, i: int) -> tuple[DataType | None, int]:
         end = s.index(")", i)
         precision, scale = (int(x) for x in s[i + 1:end].split(","))
         return (DecimalType(precision, 0) if scale == 0 else DoubleType()), end + 1
+    if word == "VOID" and not untyped:
+        return None, i
     return _SIMPLE.get(word, StringType)(), i
 
 
@@ -109,6 +112,15 @@ def clashing_names(dtype: DataType) -> list[str]:
     return out
 
 
+def all_names(dtype: DataType) -> set[str]:
+    """The names of all fields of a type, at every depth."""
+    if isinstance(dtype, ArrayType):
+        return all_names(dtype.elementType)
+    if not isinstance(dtype, StructType):
+        return set()
+    return {f.name for f in dtype.fields}.union(*[all_names(f.dataType) for f in dtype.fields])
+
+
 def string_columns(df: DataFrame, cols: Iterable[str] | None = None) -> list[str]:
     wanted = set(cols) if cols is not None else None
     return [
@@ -246,8 +258,8 @@ def _element(vtype: str | None) -> str | None:
 def promote(df: DataFrame, schemas: dict[str, str | DataType]) -> DataFrame:
     """Replace each named string column by its parsed value.
 
-    Rows that are not JSON candidates become null instead of an all-null
-    struct, so they produce no child row.
+    Rows that hold no valid JSON of the column's shape become null instead of an all-null
+    struct, so they produce no child row, whatever the other rows hold.
     """
     if not schemas:
         return df
@@ -257,8 +269,8 @@ def promote(df: DataFrame, schemas: dict[str, str | DataType]) -> DataFrame:
         if f.name in schemas and isinstance(f.dataType, StringType):
             s = schemas[f.name]
             # An array schema also reads a lone object, as an array of one.
-            c = F.when(is_json_candidate(c) if _is_array(s) else is_json_object(c),
-                       F.from_json(c, s))
+            shaped = is_json_candidate(c) if _is_array(s) else is_json_object(c)
+            c = F.when(shaped & F.try_parse_json(c).isNotNull(), F.from_json(c, s))
         exprs.append(c.alias(f.name))
     return df.select(*exprs)
 

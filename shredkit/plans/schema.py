@@ -33,6 +33,104 @@ def check_compatible(existing: StructType, new: StructType) -> None:
                 f"table type {old.simpleString()} (add-only evolution)")
 
 
+def widened_schema(existing: StructType, new: StructType) -> StructType:
+    """``existing`` with the fields of ``new`` that it lacks, at the top and inside structs
+    (also those within arrays and map values). Evolution is add-only: a field of both
+    keeps its type, and one that does not fit it raises ``TypeError``."""
+    return StructType(_wider(existing, new, "").fields)
+
+
+def _wider(old: DataType, new: DataType, path: str) -> DataType:
+    if isinstance(old, StructType) and isinstance(new, StructType):
+        have = {f.name.lower(): f for f in new.fields}
+        fields = []
+        for f in old.fields:
+            g = have.get(f.name.lower())
+            kept = f.dataType if g is None else _wider(f.dataType, g.dataType, f"{path}{f.name}.")
+            fields.append(f if kept == f.dataType else StructField(f.name, kept, f.nullable, f.metadata))
+        known = {f.name.lower() for f in old.fields}
+        fields += [StructField(f.name, f.dataType, True) for f in new.fields if f.name.lower() not in known]
+        return old if fields == old.fields else StructType(fields)
+    if isinstance(old, ArrayType) and isinstance(new, ArrayType):
+        elem = _wider(old.elementType, new.elementType, path)
+        return old if elem == old.elementType else ArrayType(elem, True)
+    if isinstance(old, MapType) and isinstance(new, MapType):
+        value = _wider(old.valueType, new.valueType, path)
+        if not assignable(new.keyType, old.keyType):
+            _misfit(path, new.keyType, old.keyType)
+        return old if value == old.valueType else MapType(old.keyType, value, True)
+    if new.typeName() != "void" and not assignable(new, old):
+        _misfit(path, new, old)
+    return old
+
+
+def _misfit(path: str, new: DataType, old: DataType) -> None:
+    raise TypeError(f"column {path.rstrip('.')!r}: incoming {new.simpleString()} does not fit "
+                    f"table type {old.simpleString()} (add-only evolution)")
+
+
+def nested_additions(existing: StructType, target: StructType) -> list[tuple[tuple[str, ...], DataType]]:
+    """(path, type) of the fields of ``target`` that structs of ``existing`` lack, below the top;
+    array elements and map values are the steps ``element`` and ``value``."""
+    out: list[tuple[tuple[str, ...], DataType]] = []
+
+    def walk(old: DataType, new: DataType, path: tuple[str, ...]) -> None:
+        if isinstance(old, StructType) and isinstance(new, StructType):
+            have = {f.name.lower(): f for f in old.fields}
+            for f in new.fields:
+                if f.name.lower() in have:
+                    walk(have[f.name.lower()].dataType, f.dataType, (*path, f.name))
+                elif path:
+                    out.append(((*path, f.name), f.dataType))
+        elif isinstance(old, ArrayType) and isinstance(new, ArrayType):
+            walk(old.elementType, new.elementType, (*path, "element"))
+        elif isinstance(old, MapType) and isinstance(new, MapType):
+            walk(old.valueType, new.valueType, (*path, "value"))
+
+    walk(existing, target, ())
+    return out
+
+
+def conform(value: Column, src: DataType, dst: DataType) -> Column:
+    """A value in the shape of ``dst``: structs are rebuilt by name at every depth (fields they
+    lack become typed nulls, a null struct stays null), other values are cast."""
+    dst = _nullable(dst)
+    if _nullable(src) == dst:
+        return value
+    if isinstance(src, StructType) and isinstance(dst, StructType):
+        have = {f.name.lower(): f for f in src.fields}
+        fields = []
+        for f in dst.fields:
+            g = have.get(f.name.lower())
+            part = F.lit(None).cast(f.dataType) if g is None else conform(value.getField(g.name), g.dataType, f.dataType)
+            fields.append(part.alias(f.name))
+        return F.when(value.isNotNull(), F.struct(*fields)).cast(dst)
+    if isinstance(src, ArrayType) and isinstance(dst, ArrayType) and _has_struct(dst.elementType):
+        return F.transform(value, lambda e: conform(e, src.elementType, dst.elementType)).cast(dst)
+    if isinstance(src, MapType) and isinstance(dst, MapType) and _has_struct(dst.valueType):
+        return F.transform_values(value, lambda _, e: conform(e, src.valueType, dst.valueType)).cast(dst)
+    return value.cast(dst)
+
+
+def _nullable(dtype: DataType) -> DataType:
+    """The type with nulls allowed everywhere inside."""
+    if isinstance(dtype, StructType):
+        return StructType([StructField(f.name, _nullable(f.dataType)) for f in dtype.fields])
+    if isinstance(dtype, ArrayType):
+        return ArrayType(_nullable(dtype.elementType))
+    if isinstance(dtype, MapType):
+        return MapType(dtype.keyType, _nullable(dtype.valueType))
+    return dtype
+
+
+def _has_struct(dtype: DataType) -> bool:
+    if isinstance(dtype, ArrayType):
+        return _has_struct(dtype.elementType)
+    if isinstance(dtype, MapType):
+        return _has_struct(dtype.valueType)
+    return isinstance(dtype, StructType)
+
+
 _NUMBERS = ("byte", "short", "integer", "long", "float", "double", "decimal")
 _TIMES = ("date", "timestamp", "timestamp_ntz")
 
@@ -82,9 +180,9 @@ def add_columns_sql(table: str, fields: Iterable[StructField]) -> str | None:
 def align_schema(df: DataFrame, target: StructType) -> DataFrame:
     """Put ``df`` in the target's column order and types.
 
-    Target columns missing from ``df`` become typed nulls; names match ignoring
-    case (so ``NAME`` lands in ``name`` instead of being nulled); extra columns
-    of ``df`` follow at the end.
+    Target columns missing from ``df`` become typed nulls, and so do fields missing
+    inside its structs, at any depth; names match ignoring case (so ``NAME`` lands in
+    ``name`` instead of being nulled); extra columns of ``df`` follow at the end.
     """
     by_lower = {c.lower(): c for c in df.columns}
     used = set()
@@ -95,10 +193,7 @@ def align_schema(df: DataFrame, target: StructType) -> DataFrame:
             exprs.append(F.lit(None).cast(f.dataType).alias(f.name))
         else:
             used.add(src)
-            c = col(src)
-            if df.schema[src].dataType != f.dataType:
-                c = c.cast(f.dataType)
-            exprs.append(c.alias(f.name))
+            exprs.append(conform(col(src), df.schema[src].dataType, f.dataType).alias(f.name))
     exprs += [col(c) for c in df.columns if c not in used]
     return df.select(*exprs)
 

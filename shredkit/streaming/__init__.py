@@ -1,5 +1,5 @@
 """Structured Streaming ingest: file source -> foreachBatch -> keyed tables."""
 
-from shredkit.streaming.ingest import ingest_stream
+from shredkit.streaming.ingest import ingest_stream, ingest_text_stream, stream_key
 
-__all__ = ["ingest_stream"]
+__all__ = ["ingest_stream", "ingest_text_stream", "stream_key"]
