@@ -102,6 +102,8 @@ def test_best_fit_with_few_windows():
     # 6 and 7 open two windows; 3 fills the 7, 4 fills the 6, 9 opens the next
     assert [(r[0], r[5], r[6]) for r in p.rows] == [(1, 0, 0), (2, 0, 7), (0, 1, 0), (3, 1, 6)]
     p.add(Piece(5, 0, np.arange(5, dtype=np.uint32), 5))
-    p.add(Piece(6, 0, np.arange(8, dtype=np.uint32), 8))  # fits nowhere: tops up the 9, then the 5
-    assert [(r[0], r[1], r[2], r[5]) for r in p.rows[4:]] == [(4, 0, 9, 2), (6, 0, 1, 2), (5, 0, 5, 3), (6, 1, 5, 3)]
-    assert [(q.doc_id, q.start, len(q.ids)) for q in p.leftover()] == [(6, 6, 2)]
+    p.add(Piece(6, 0, np.arange(8, dtype=np.uint32), 8))  # fits nowhere: tops up the 9, the rest opens a window
+    assert [(r[0], r[1], r[2], r[5]) for r in p.rows[4:]] == [(4, 0, 9, 2), (6, 0, 1, 2)]
+    left = p.leftover()  # the windows of 7 and 5 merge into one of 10; 2 ids are left
+    assert [(r[0], r[1], r[2], r[6]) for r in p.rows[6:]] == [(6, 1, 7, 0), (5, 0, 3, 7)]
+    assert [(q.doc_id, q.start, len(q.ids)) for q in left] == [(5, 3, 2)]

@@ -65,7 +65,8 @@ def misspelt(seed, n):
                 w = r.choice([w[:at] + w[at + 1:], w[:at] + r.choice("aét") + w[at:], w[:at] + "s" + w[at + 1:]])
             said.append(w.upper() if r.random() < 0.1 else w)
         out.append((i, r.choice([" ", "-", "1", "×2 ", "Ā"]).join(said)))
-    return out
+    chain = ["gardener"] * 300 + ["gardenir"] * 50 + ["gardinir"] * 7  # two steps to the root
+    return [*out, (n, " ".join(chain)), (None, "gardinir"), (n + 1, None)]
 
 
 @pytest.mark.parametrize("limit", [1 << 22, 64])
@@ -75,7 +76,7 @@ def test_variants_equal_all_pairs(spark, monkeypatch, limit):
     docs = misspelt(3, 40)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     want = brute(brute_counts(docs))
-    assert len(want) > 100 and any(v[1] not in (w, v[0]) for w, v in want.items())  # a chain of forms
+    assert len(want) > 80 and any(v[1] not in (w, v[0]) for w, v in want.items())  # a chain of forms
     assert found(group_variants(df)) == want
 
 
