@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from shredkit.constants import DATE_FORMAT, DEFAULT_BUCKETS, DEFAULT_FILE_PATH
+from shredkit.constants import DATE_FORMAT, DEFAULT_BUCKETS, DEFAULT_FILE_PATH, MAP_KEYS
 
 
 @dataclass(frozen=True)
@@ -17,6 +17,8 @@ class FlattenOptions:
     keep_ordinal  -- keep repeated identical array elements apart by hashing
                      their position as well.
     promote_json  -- detect JSON held in string columns and flatten it too.
+    map_keys      -- objects in such text with more distinct keys than this (over all
+                     documents) are keyed by data: they become map columns.
     json_schemas  -- precomputed ``{dotted.path: DataType}`` for promotion; when
                      given for a level, no inference job runs for it.
     max_depth     -- stop descending below this depth (root is depth 0).
@@ -33,6 +35,7 @@ class FlattenOptions:
     keep_ordinal: bool = False
     promote_json: bool = True
     json_schemas: dict | None = None
+    map_keys: int = MAP_KEYS
     max_depth: int | None = None
     include: tuple[str, ...] | None = None
     skip_empty: bool = False

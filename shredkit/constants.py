@@ -29,3 +29,6 @@ INNER_PARENT_ID = "_parent_id"  # a nested field called parent_id is renamed to
 MANAGED = (PARENT_ID, CONTENT_HASH)
 # Columns that child tables get: inner fields of these names are kept with a ``_`` before them.
 INNER_MANAGED = (PARENT_ID, CONTENT_HASH, PARENT_ID_HASH, FILE_KEY, ORDINAL)
+
+# Distinct keys of an object path beyond which it is a map in inferred JSON types.
+MAP_KEYS = 1000

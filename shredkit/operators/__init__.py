@@ -1,6 +1,7 @@
 """Table operators: keyed upsert, table creation, append, save, batch ingest."""
 
 from shredkit.operators.ingest import ingest_batch, ingest_json_column
+from shredkit.operators.rebuild import rebuild_documents
 from shredkit.operators.tables import (
     align_to_table,
     append_table,
@@ -30,6 +31,7 @@ __all__ = [
     "ingest_json_column",
     "merge_upsert",
     "qualified_name",
+    "rebuild_documents",
     "save_table",
     "stage_table",
     "stream_ledger",

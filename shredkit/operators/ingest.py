@@ -8,9 +8,10 @@ was, a crash after it is completed by the next ingest (or :func:`finish_commit`)
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
@@ -20,6 +21,7 @@ from shredkit.functions.names import quote_name
 from shredkit.operators.tables import (
     Staged,
     commit,
+    discard,
     finish_commit,
     stage_table,
     stream_ledger,
@@ -31,29 +33,40 @@ from shredkit.session import parallelism, safe_planning, scoped_conf
 from shredkit.sources.json import CORRUPT, parse_json_column
 
 
-def _persist_spread(df: DataFrame) -> tuple[DataFrame, int]:
+def _persist_spread(df: DataFrame) -> DataFrame:
     """Persist the batch, spreading it first when it has fewer partitions than cores.
 
     Each document fans out into many child rows, so the batch's partition
     count sets the parallelism of every table built from it. A source with
     plenty of splits (the normal case on a cluster) is kept as it is; a batch
     in a handful of partitions (one small file, one row group) is dealt
-    round-robin over the cores once, from the cache.
+    round-robin over the cores. Nothing runs yet: the first write fills the cache.
     """
-    spark = df.sparkSession
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()  # materialise once; every table below reads the cache
-    want = parallelism(spark)
+    want = parallelism(df.sparkSession)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        have = df.rdd.getNumPartitions()  # reads the cached plan, no job
+        have = kept.rdd.getNumPartitions()
     except Exception:  # Spark Connect: no RDD view; keep the source's partitions
         have = want
-    if n == 0 or have >= want:
-        return df, n
-    spread = df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
-    spread.count()
-    df.unpersist()
-    return spread, n
+    if have >= want:
+        return kept
+    kept.unpersist()
+    return df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+class _Counted:
+    """A frame whose rows are counted by the first job that reads it, not by one of its own."""
+
+    def __init__(self, df: DataFrame):
+        self._plain, self._seen = df, Observation()
+        self.df = df.observe(self._seen, F.count(F.lit(1)).alias("rows"))
+
+    def any(self) -> bool:
+        """Did that job see rows?"""
+        try:
+            return self._seen.get["rows"] > 0
+        except Exception:  # the counter went with a relation that the optimizer found empty
+            return not self._plain.isEmpty()
 
 
 def ingest_batch(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | None = None) -> list[str]:
@@ -70,7 +83,7 @@ def ingest_batch(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | N
     if _replayed(spark, cfg.table, ledger):
         return []
     with scoped_conf(spark, safe_planning(spark)):
-        staged = _stage_family(df, cfg, ledger)
+        staged = stage_family(df, cfg, ledger)
         commit(spark, staged, cfg.table)
     return [s.name for s in staged]
 
@@ -82,7 +95,8 @@ def _replayed(spark: SparkSession, main: str, ledger: Mapping[str, int] | None)
     return all(done.get(stream, -1) >= batch for stream, batch in ledger.items())
 
 
-def _stage_family(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | None = None) -> list[Staged]:
+def stage_family(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | None = None) -> list[Staged]:
+    """Write the tables of a batch without showing them: ``commit(spark, staged, cfg.table)`` does."""
     if cfg.id_field is None and len(df.columns) != 1:
         raise ValueError("ingest needs an id field unless the documents are a bare array")
     if not cfg.use_recursive:
@@ -90,32 +104,35 @@ def _stage_family(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] |
                             cfg.file_key, cfg.buckets, cfg.on_duplicate, cfg.latest_by,
                             location=cfg.location, ledger=ledger)]
     if cfg.persist:
-        df, n = _persist_spread(df)
-        empty = n == 0
-    else:
-        empty = df.isEmpty()
+        df = _persist_spread(df)
     try:
-        if empty:  # e.g. an idle micro-batch: touches nothing
-            return []
-        tables = flatten(df, cfg.id_field, cfg.table, cfg.options)
+        # Empty tables show in the counts of the writes: no job of their own asks for them.
+        tables = flatten(df, cfg.id_field, cfg.table, replace(cfg.options, skip_empty=False))
         # All names are settled before the first write: a family is never half written
         # because of a name.
         names = table_names(df.sparkSession, cfg.table, list(tables))
         staged = []
         for logical, t in tables.items():
-            name = names[logical]
+            name, t = names[logical], _Counted(t)
             if logical == cfg.table:
-                key = cfg.id_field if cfg.id_field in t.columns else PARENT_ID
-                staged.append(stage_table(t, name, [key], cfg.date_field, cfg.date_format, cfg.file_key,
-                                          cfg.buckets, cfg.on_duplicate, cfg.latest_by, location=cfg.location,
-                                          ledger=ledger))
+                key = cfg.id_field if cfg.id_field in t.df.columns else PARENT_ID
+                written = stage_table(t.df, name, [key], cfg.date_field, cfg.date_format, cfg.file_key,
+                                      cfg.buckets, cfg.on_duplicate, cfg.latest_by, location=cfg.location,
+                                      ledger=ledger)
+                if not t.any():  # an idle micro-batch: touches nothing
+                    discard(df.sparkSession, written)
+                    return []
             else:
-                staged.append(stage_table(t, name, [PARENT_ID, CONTENT_HASH], file_key=cfg.file_key,
-                                          buckets=cfg.buckets, on_duplicate="allow",
-                                          replace_keys=[PARENT_ID] if cfg.replace_children else None,
-                                          location=cfg.location,
-                                          append_only=cfg.children_append_only and not cfg.replace_children,
-                                          ledger=ledger))
+                written = stage_table(t.df, name, [PARENT_ID, CONTENT_HASH], file_key=cfg.file_key,
+                                      buckets=cfg.buckets, on_duplicate="allow",
+                                      replace_keys=[PARENT_ID] if cfg.replace_children else None,
+                                      location=cfg.location,
+                                      append_only=cfg.children_append_only and not cfg.replace_children,
+                                      ledger=ledger)
+                if cfg.options.skip_empty and not t.any():
+                    discard(df.sparkSession, written)
+                    continue
+            staged.append(written)
         return staged
     finally:
         if cfg.persist:
@@ -152,7 +169,7 @@ def ingest_json_column(df: DataFrame, column: str, cfg: IngestConfig,
         if set(good.columns) != set(df.columns) - {column}:  # some text holds a document
             if cfg.id_field and cfg.id_field not in good.columns:  # no document has an id
                 good = good.withColumn(cfg.id_field, F.lit(None).cast(_id_type(spark, cfg)))
-            staged = _stage_family(good, cfg, ledger)
+            staged = stage_family(good, cfg, ledger)
         if not bad.isEmpty():
             staged.append(stage_table(bad, side, [CONTENT_HASH], file_key=cfg.file_key, buckets=cfg.buckets,
                                       location=cfg.location, append_only=True, ledger=ledger))

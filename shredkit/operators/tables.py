@@ -213,6 +213,7 @@ class Staged:
     name: str
     switch: str | None = None  # None: a V2 table, visible already
     cleanup: tuple[str, ...] = ()
+    created: str | None = None  # the physical table, if this version is its first
 
 
 def current_version(spark: SparkSession, name: str) -> Version:
@@ -246,7 +247,15 @@ def _staged(spark: SparkSession, name: str, v: Version, cleanup: Sequence[str] =
     kv = ", ".join(f"{_literal(k)} = {_literal(p)}" for k, p in props.items())
     cols = ", ".join(quote(c) for c in columns)
     return Staged(name, f"CREATE OR REPLACE VIEW {quote_name(name)} TBLPROPERTIES ({kv}) "
-                        f"AS SELECT {cols} FROM {v.table} WHERE {v.shown()}", tuple(cleanup))
+                        f"AS SELECT {cols} FROM {v.table} WHERE {v.shown()}", tuple(cleanup),
+                  v.table if v.number == 1 else None)
+
+
+def discard(spark: SparkSession, staged: Staged) -> None:
+    """Forget a staged version. A first one takes its physical table with it; of a later one the
+    next write drops what it left."""
+    if staged.created:
+        spark.sql(f"DROP TABLE IF EXISTS {staged.created}")
 
 
 def _switch(spark: SparkSession, staged: Staged) -> None:
@@ -344,9 +353,16 @@ def _write_layer(df: DataFrame, v: Version, dead: Sequence[tuple[str, str]] = ()
     # Rebalance on the unit: AQE sizes the write tasks from the measured shuffle (splitting a
     # hot unit, merging small ones), so each task writes about one file of the advisory size
     # whatever the data volume.
-    df = df.hint("rebalance", v.unit).sortWithinPartitions(F.col(v.unit), col(v.key))
+    df = df.hint("rebalance", v.unit)
+    if v.day:
+        df = df.sortWithinPartitions(F.col(v.unit), col(v.key))
     if new:
-        df.write.format("parquet").mode("errorifexists").partitionBy(LAYER, v.unit).saveAsTable(v.table)
+        w = df.write.format("parquet").mode("errorifexists").partitionBy(LAYER, v.unit)
+        # The unit of an undated table is Spark's own bucket number of the key: with the bucket
+        # spec the table reads as hash-partitioned by it (a join of a family needs no shuffle), at
+        # no further files. Scans that gain nothing from it are split by size as ever.
+        w = w if v.day else w.bucketBy(v.buckets, v.key).sortBy(v.key)
+        w.saveAsTable(v.table)
         meta = {_PROP_BUCKET: v.key, _PROP_BUCKETS: str(v.buckets), _PROP_DAY: v.day or "",
                 _PROP_STORE: v.store or ""}
         kv = ", ".join(f"'{k}' = {_literal(p)}" for k, p in meta.items())

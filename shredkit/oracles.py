@@ -248,6 +248,50 @@ def oracle_sql() -> dict[str, str]:
         "SELECT o_orderkey AS parent_id, " + _v("o_custkey") + " AS v, " + sha(_v("o_orderkey"), _v("o_custkey"))
         + " AS content_hash_id FROM orders UNION ALL SELECT o_orderkey, o_orderstatus, "
         + sha(_v("o_orderkey"), "o_orderstatus") + " FROM orders")
+    q["merge_matched"] = (
+        f"SELECT {ORDER_COLS.replace('o_totalprice', 'CASE WHEN o_orderkey % 97 = 0 THEN 1.0::DOUBLE ELSE o_totalprice END AS o_totalprice')}, "
+        "CASE WHEN o_orderkey % 97 = 0 THEN 'second' ELSE 'first' END AS filekey FROM orders UNION ALL "
+        f"SELECT {ORDER_COLS.replace('o_orderkey', '-o_orderkey - 1').replace('o_totalprice', '1.0::DOUBLE')}, 'second' "
+        "FROM orders WHERE o_orderkey % 97 = 0")
+    q["merge_dated"] = (f"SELECT event_id, try_strptime(strftime(ts + CASE WHEN event_id % 50 = 0 THEN INTERVAL 40 DAY "
+                        f"ELSE INTERVAL 0 DAY END, '{_DUCK_DATE}'), '{_DUCK_DATE}') AS ts FROM events")
+    q["family_commit"] = (
+        "SELECT 'before' AS state, o_orderkey, o_orderstatus, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey "
+        "UNION ALL SELECT 'after', o_orderkey, 'new', name FROM (SELECT o_orderkey, c_name, upper(c_name) AS up FROM orders "
+        "LEFT JOIN customer ON o_custkey = c_custkey), LATERAL (SELECT unnest(CASE WHEN c_name = up THEN [c_name] "
+        "ELSE [c_name, up] END) AS name)")
+    q["stream_replay"] = (
+        "SELECT CASE WHEN event_id % 10 <> 0 THEN event_id END AS event_id, user_id, CAST(NULL AS VARCHAR) AS _corrupt_record "
+        "FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT NULL, NULL, 'no document ' || event_id FROM events "
+        "WHERE event_id % 7 = 0")
+    q["stream_drift"] = (
+        "SELECT event_id, event_type, CASE WHEN event_id % 2 = 1 THEN user_id END AS user_id, "
+        "CASE WHEN event_id % 2 = 1 THEN user_id END AS who FROM events")
+    q["nested_evolution"] = (
+        "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS c_name, "
+        "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS c_mktsegment, c_nationkey AS nation, "
+        "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS segment FROM customer")
+    q["json_text_case"] = (
+        f"SELECT event_id, CASE WHEN event_id % 5 IN (1, 2, 4) THEN {k} END AS K, CASE WHEN event_id % 5 = 0 THEN "
+        f"'{{\"K\": ' || {k} || ', \"k\": 1}}' END AS _corrupt_record FROM events WHERE event_id % 5 <> 3 "
+        "UNION ALL SELECT event_id, NULL, '5' FROM events WHERE event_id % 5 = 2")
+    q["promote_malformed"] = (
+        f"SELECT unnest(['objects', 'mixed']) AS variant, event_id AS parent_id, {k} AS k FROM events WHERE event_id % 3 <> 0")
+    q["json_maps"] = "SELECT event_id, 'user ' || event_id AS who, user_id, event_type FROM events"
+    q["json_giant_array"] = q["json_array_files"]
+    q["rebuild_documents"] = (
+        "SELECT o_orderkey, o_custkey, o_totalprice, c_name, n_items, quantity FROM orders LEFT JOIN customer "
+        "ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*)::INT AS n_items, sum(l_quantity) AS quantity "
+        "FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_quantity, l_shipdate FROM lineitem) "
+        "GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
+    q["skip_empty"] = (
+        "SELECT '' AS child, count(*) AS n FROM orders UNION ALL SELECT '_items', count(*) FROM (SELECT DISTINCT l_orderkey, "
+        "l_linenumber, l_returnflag, l_quantity, l_shipdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey) "
+        "UNION ALL SELECT '_customer', count(*) FROM orders JOIN customer ON o_custkey = c_custkey")
+    q["managed_columns"] = (
+        "SELECT o_orderkey AS parent_id, c_name, 'orders,orders_customer' AS tables FROM orders "
+        "JOIN customer ON o_custkey = c_custkey")
+    q["jdbc_bounds"] = "SELECT CASE WHEN c_custkey % 9 <> 0 THEN c_custkey END AS k, c_custkey, c_nationkey FROM customer"
     q["json_text_mixed"] = (
         f"SELECT event_id, CASE WHEN event_id % 5 IN (2, 4) THEN {k} END AS k, "
         "CASE event_id % 5 WHEN 0 THEN left(props, length(props) - 1) WHEN 1 THEN CAST(event_id AS VARCHAR) "

@@ -106,7 +106,7 @@ def flatten(
     if opts.promote_json and opts.json_schemas is None:
         # One job finds JSON held in text at every depth of the input schema.
         known["schemas"], known["paths"] = jsoncols.infer_nested_json_schemas(
-            df.select(*[col(f.name) for f in fields]))
+            df.select(*[col(f.name) for f in fields]), opts.map_keys)
     _walk(level, table, "", 1, out, opts, known)
     return out
 
@@ -136,23 +136,24 @@ def _walk(level: DataFrame, table: str, path: str, depth: int,
                 # without a filter on the whole element Catalyst can prune the
                 # sibling fields those tables never read.
                 every = _explode(level, f, opts, drop_null=False)
-                rec = _explode(level, f, opts).select(
-                    PARENT_ID, *_ord(opts), *_fields_of(F.col(_ELEM), elem))
+                rec = _explode(level, f, opts)
+                rec = rec.select(PARENT_ID, *_ord_in(rec), *_fields_of(F.col(_ELEM), elem))
                 t = _record_table(rec, opts)
                 if _register(out, name, t, opts):
-                    below = every.select(PARENT_ID, *_ord(opts), *_fields_of(F.col(_ELEM), elem))
+                    below = every.select(PARENT_ID, *_ord_in(every), *_fields_of(F.col(_ELEM), elem))
                     _walk(below, name, sub + ".", depth + 1, out, opts, known)
             else:
-                v = _explode(level, f, opts).select(PARENT_ID, *_ord(opts), F.col(_ELEM).alias(VALUE))
+                v = _explode(level, f, opts)
+                v = v.select(PARENT_ID, *_ord_in(v), F.col(_ELEM).alias(VALUE))
                 _register(out, name, _finish(v, [VALUE], opts), opts)
         elif isinstance(dtype, StructType):
             # Filter on the struct itself *before* expanding it, so an inner field
             # of the same name can't be mistaken for it.
             rec = level.where(col(f.name).isNotNull()).select(
-                PARENT_ID, *_ord(opts), *_fields_of(col(f.name), dtype))
+                PARENT_ID, *_ord_in(level), *_fields_of(col(f.name), dtype))
             t = _record_table(rec, opts)
             if _register(out, name, t, opts):
-                below = level.select(PARENT_ID, *_ord(opts), *_fields_of(col(f.name), dtype))
+                below = level.select(PARENT_ID, *_ord_in(level), *_fields_of(col(f.name), dtype))
                 _walk(below, name, sub + ".", depth + 1, out, opts, known)
 
 
@@ -175,7 +176,7 @@ def _promote_level(level: DataFrame, path: str, opts: FlattenOptions, known: dic
     found = {n: schemas[path + n] for n in strings if path + n in schemas}
     todo = [n for n in strings if path + n not in looked]
     if todo:  # text that only exists inside parsed JSON: infer it here
-        found.update(jsoncols.infer_json_schemas(level, todo))
+        found.update(jsoncols.infer_json_schemas(level, todo, opts.map_keys))
     return jsoncols.promote(level, found)
 
 
@@ -194,10 +195,6 @@ def _explode(level: DataFrame, f: StructField, opts: FlattenOptions,
     return x
 
 
-def _ord(opts: FlattenOptions) -> list[str]:
-    return [ORDINAL] if opts.keep_ordinal else []
-
-
 def _ord_in(df: DataFrame) -> list[str]:
     return [ORDINAL] if ORDINAL in df.columns else []
 
@@ -222,7 +219,7 @@ def _record_table(rec: DataFrame, opts: FlattenOptions) -> DataFrame:
     scalars = [f.name for f in rec.schema.fields
                if f.name not in (PARENT_ID, ORDINAL) and is_scalar(f.dataType)]
     if scalars:
-        return _finish(rec.select(PARENT_ID, *_ord(opts), *[col(s) for s in scalars]),
+        return _finish(rec.select(PARENT_ID, *_ord_in(rec), *[col(s) for s in scalars]),
                        scalars, opts)
     return _row_index_table(rec, opts)
 
@@ -230,7 +227,7 @@ def _record_table(rec: DataFrame, opts: FlattenOptions) -> DataFrame:
 def _finish(t: DataFrame, payload: list[str], opts: FlattenOptions) -> DataFrame:
     """Add the content hash, dedup on (parent_id, hash), add the parent hash."""
     types = {f.name: f.dataType for f in t.schema.fields}
-    names = [PARENT_ID, *payload, *_ord(opts)]
+    names = [PARENT_ID, *payload, *_ord_in(t)]
     t = t.withColumn(CONTENT_HASH, content_hash([(n, types[n]) for n in names], opts.null_marker))
     return dedup_children(t).withColumn(
         PARENT_ID_HASH, key_hash(F.col(PARENT_ID)))
@@ -301,7 +298,7 @@ def _root_array(df: DataFrame, f: StructField, table: str, opts: FlattenOptions)
     level = df.select(F.sha2(F.to_json(F.struct(*[col(c) for c in df.columns])), 256)
                       .alias(PARENT_ID), col(f.name))
     x = _explode(level, f, opts)
-    v = x.select(PARENT_ID, *_ord(opts), F.col(_ELEM).alias(VALUE))
+    v = x.select(PARENT_ID, *_ord_in(x), F.col(_ELEM).alias(VALUE))
     return {table: _finish(v, [VALUE], opts)}
 
 
@@ -333,7 +330,7 @@ def explode_struct_child(df: DataFrame, id_field: str, column: str,
     f = df.schema[column]
     level = df.select(col(id_field).alias(PARENT_ID), col(column))
     x = _explode(level, f, opts)
-    rec = x.select(PARENT_ID, *_ord(opts), *_fields_of(F.col(_ELEM), f.dataType.elementType))
+    rec = x.select(PARENT_ID, *_ord_in(x), *_fields_of(F.col(_ELEM), f.dataType.elementType))
     return _record_table(rec, opts)
 
 
@@ -343,8 +340,8 @@ def explode_value_child(df: DataFrame, id_field: str, column: str,
     opts = options or FlattenOptions(promote_json=False)
     f = df.schema[column]
     level = df.select(col(id_field).alias(PARENT_ID), col(column))
-    v = _explode(level, f, opts).select(PARENT_ID, *_ord(opts), F.col(_ELEM).alias(VALUE))
-    return _finish(v, [VALUE], opts)
+    v = _explode(level, f, opts)
+    return _finish(v.select(PARENT_ID, *_ord_in(v), F.col(_ELEM).alias(VALUE)), [VALUE], opts)
 
 
 def unwrap_root_array(df: DataFrame, table: str = "main",

@@ -1,47 +1,27 @@
 """Promotion of JSON held in string columns.
 
 Schema inference runs on the cluster over *all* candidate rows, every text
-field at every depth in one aggregate (``schema_of_variant_agg`` is a regular
-partial/final aggregate, so it scales like ``count``). Only the inferred type
-strings -- a few bytes per field -- come back to the driver.
+field at every depth in one job: each text is parsed once, the distinct types of the
+values are merged in tasks (:mod:`shredkit.plans.jsontypes`). Only merged types,
+bounded in size whatever keys the data brings, come back to the driver.
 """
 
 from __future__ import annotations
 
 import logging
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    ArrayType,
-    BinaryType,
-    BooleanType,
-    DataType,
-    DateType,
-    DecimalType,
-    DoubleType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-    TimestampNTZType,
-    TimestampType,
-)
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from shredkit.constants import INNER_MANAGED, MANAGED
 from shredkit.functions.names import col
-from shredkit.functions.text import is_json_array, is_json_candidate, is_json_object
+from shredkit.functions.text import is_json_candidate, is_json_object
+from shredkit.plans.jsontypes import MAP_KEYS, VOID, merge, merged_types, read_tree, to_type
 
 log = logging.getLogger(__name__)
 
-_BAREWORD = re.compile(r"[^,:<>()\s]+")
-_SIMPLE = {"BIGINT": LongType, "STRING": StringType, "DOUBLE": DoubleType, "FLOAT": DoubleType,
-           "BOOLEAN": BooleanType, "DATE": DateType, "TIMESTAMP": TimestampType,
-           "TIMESTAMP_NTZ": TimestampNTZType, "BINARY": BinaryType}
-
-
 def variant_type(text: str | None, untyped: bool = True) -> DataType | None:
     """The type Spark's JSON reader would infer, from the text of a variant type.
 
@@ -53,53 +33,15 @@ def variant_type(text: str | None, untyped: bool = True) -> DataType | None:
     """
     if text is None or text.strip() in ("", "VOID"):
         return None
-    return _read_type(text, 0, untyped)[0]
-
-
-def _read_type(s: str, i: int, untyped: bool) -> tuple[DataType | None, int]:
-    m = _BAREWORD.match(s, i)
-    word, i = m.group(0), m.end()
-    if word == "ARRAY":
-        elem, i = _read_type(s, i + 1, untyped)
-        return (ArrayType(elem) if elem is not None else None), i + 1
-    if word == "OBJECT":
-        fields: list[StructField] = []
-        i += 1
-        while s[i] != ">":
-            name, i = _read_name(s, i)
-            dtype, i = _read_type(s, i + 2, untyped)  # behind ": "
-            if dtype is not None:
-                fields.append(StructField(name, dtype))
-            if s[i] == ",":
-                i += 2
-        return (StructType(fields) if fields else None), i + 1
-    if word == "DECIMAL":
-        end = s.index(")", i)
-        precision, scale = (int(x) for x in s[i + 1:end].split(","))
-        return (DecimalType(precision, 0) if scale == 0 else DoubleType()), end + 1
-    if word == "VOID" and not untyped:
-        return None, i
-    return _SIMPLE.get(word, StringType)(), i
-
-
-def _read_name(s: str, i: int) -> tuple[str, int]:
-    if s[i] != "`":
-        end = s.index(":", i)
-        return s[i:end], end
-    out = []
-    i += 1
-    while True:
-        end = s.index("`", i)
-        out.append(s[i:end])
-        if s[end + 1:end + 2] != "`":
-            return "`".join(out), end + 1
-        i = end + 2
+    return to_type(read_tree(text), untyped)
 
 
 def clashing_names(dtype: DataType) -> list[str]:
     """Names that differ only in case inside one record: Spark columns cannot hold both."""
     if isinstance(dtype, ArrayType):
         return clashing_names(dtype.elementType)
+    if isinstance(dtype, MapType):
+        return clashing_names(dtype.valueType)
     if not isinstance(dtype, StructType):
         return []
     seen: dict[str, str] = {}
@@ -116,6 +58,8 @@ def all_names(dtype: DataType) -> set[str]:
     """The names of all fields of a type, at every depth."""
     if isinstance(dtype, ArrayType):
         return all_names(dtype.elementType)
+    if isinstance(dtype, MapType):
+        return all_names(dtype.valueType)
     if not isinstance(dtype, StructType):
         return set()
     return {f.name for f in dtype.fields}.union(*[all_names(f.dataType) for f in dtype.fields])
@@ -132,15 +76,18 @@ def string_columns(df: DataFrame, cols: Iterable[str] | None = None) -> list[str
     ]
 
 
-def infer_json_schemas(df: DataFrame, cols: Iterable[str] | None = None) -> dict[str, DataType]:
+def infer_json_schemas(df: DataFrame, cols: Iterable[str] | None = None,
+                       map_keys: int = MAP_KEYS) -> dict[str, DataType]:
     """Infer a ``from_json`` schema for each string column holding JSON.
 
     One job for all columns. Objects give a struct; arrays, or objects and
     arrays in one column, give an array (a lone object then reads as an array
-    of one); columns with no candidate are left out (they stay text).
+    of one); columns with no candidate are left out (they stay text). Objects
+    inside with more than ``map_keys`` distinct keys over all rows are maps; a column
+    that is itself such an object is a map.
     """
     names = string_columns(df, cols)
-    return _infer(df, [(n, col(n), False) for n in names])
+    return _infer(df, [(n, col(n), False) for n in names], map_keys)
 
 
 def string_paths(schema: StructType) -> list[tuple[str, Column, bool]]:
@@ -175,7 +122,7 @@ def string_paths(schema: StructType) -> list[tuple[str, Column, bool]]:
     return out
 
 
-def infer_nested_json_schemas(df: DataFrame) -> tuple[dict[str, DataType], set[str]]:
+def infer_nested_json_schemas(df: DataFrame, map_keys: int = MAP_KEYS) -> tuple[dict[str, DataType], set[str]]:
     """Schemas for JSON held in text at *every* depth, in one job.
 
     Returns ``(schemas by dotted path, all text paths looked at)``; a looked-at
@@ -184,7 +131,7 @@ def infer_nested_json_schemas(df: DataFrame) -> tuple[dict[str, DataType], set[s
     walk reaches it.
     """
     paths = string_paths(df.schema)
-    return _infer(df, paths), {p for p, _, _ in paths}
+    return _infer(df, paths, map_keys), {p for p, _, _ in paths}
 
 
 # Text fields inferred per aggregate; very wide schemas take a few jobs rather
@@ -192,51 +139,49 @@ def infer_nested_json_schemas(df: DataFrame) -> tuple[dict[str, DataType], set[s
 PATHS_PER_JOB = 64
 
 
-def _infer(df: DataFrame, paths: list[tuple[str, Column, bool]]) -> dict[str, DataType]:
+def _infer(df: DataFrame, paths: list[tuple[str, Column, bool]], map_keys: int) -> dict[str, DataType]:
     out: dict[str, DataType] = {}
     for start in range(0, len(paths), PATHS_PER_JOB):
-        out.update(_infer_group(df, paths[start:start + PATHS_PER_JOB]))
+        out.update(_infer_group(df, paths[start:start + PATHS_PER_JOB], map_keys))
     return out
 
 
-def _infer_group(df: DataFrame, paths: list[tuple[str, Column, bool]]) -> dict[str, DataType]:
-    aggs: list[Column] = []
+def _parsed(path: int, texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.struct(F.lit(path).alias("path"), F.try_parse_json(t).alias("v")))
+
+
+def _infer_group(df: DataFrame, paths: list[tuple[str, Column, bool]], map_keys: int) -> dict[str, DataType]:
+    """Every candidate text is parsed once; its type goes to a slot of its path: objects,
+    arrays, and the records among the elements of arrays."""
+    found: list[Column] = []
     for i, (_, value, many) in enumerate(paths):
-        if many:  # an array of texts per document: parse each candidate
-            objs = F.filter(value, lambda t: is_json_object(t))
-            arrs = F.filter(value, lambda t: is_json_array(t))
-            objects = F.flatten(F.transform(arrs, lambda t: F.try_variant_get(
-                F.try_parse_json(t), "$", "array<variant>")))
-            parsed_o = F.to_variant_object(F.transform(objs, lambda t: F.try_parse_json(t)))
-            parsed_a = F.to_variant_object(F.transform(arrs, lambda t: F.try_parse_json(t)))
-        else:
-            parsed_o = F.try_parse_json(F.when(is_json_object(value), value))
-            parsed_a = F.try_parse_json(F.when(is_json_array(value), value))
-            # The elements of arrays, and objects as arrays of one: their common record.
-            objects = F.coalesce(F.try_variant_get(parsed_a, "$", "array<variant>"),
-                                 F.when(parsed_o.isNotNull(), F.array(parsed_o)))
-        if many:
-            objects = F.concat(F.coalesce(objects, F.array().cast("array<variant>")),
-                               F.coalesce(F.transform(objs, lambda t: F.try_parse_json(t)),
-                                          F.array().cast("array<variant>")))
-        records = F.filter(objects, lambda v: F.schema_of_variant(v).startswith("OBJECT<"))
-        aggs += [F.schema_of_variant_agg(parsed_o).alias(f"o{i}"),
-                 F.schema_of_variant_agg(parsed_a).alias(f"a{i}"),
-                 F.schema_of_variant_agg(F.to_variant_object(records)).alias(f"r{i}")]
-    row = df.agg(*aggs).first()
+        texts = value if many else F.array(value)
+        found.append(_parsed(i, F.filter(texts, lambda t: is_json_candidate(t))))
+    values = df.select(F.explode(F.concat(*[F.coalesce(f, F.array().cast(
+        "array<struct<path: int, v: variant>>")) for f in found])).alias("x")).select("x.*").where("v IS NOT NULL")
+    kind = F.schema_of_variant("v")
+    elements = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda e: F.schema_of_variant(e))
+    records = F.array_distinct(F.filter(elements, lambda t: t.startswith("OBJECT<")))
+    typed = values.select("path", kind.alias("kind"), F.when(kind.startswith("ARRAY<"), records).alias("records"))
+
+    def slot(n: int, type_: Column) -> Column:
+        return F.struct((F.col("path") * 3 + n).alias("slot"), type_.alias("type"))
+
+    rows = typed.select(F.explode(
+        F.when(F.col("kind").startswith("OBJECT<"), F.array(slot(0, F.col("kind"))))
+         .when(F.col("kind").startswith("ARRAY<"),
+               F.concat(F.array(slot(1, F.col("kind"))), F.transform("records", lambda t: slot(2, t))))).alias("s"))
+    trees = merged_types(rows.select("s.*"), map_keys)
     out: dict[str, DataType] = {}
-    for i, (path, _, many) in enumerate(paths):
-        o_raw, a_raw = row[f"o{i}"], row[f"a{i}"]
-        if many:
-            o_raw, a_raw = _element(o_raw), _element(a_raw)
-        o, a = variant_type(o_raw), variant_type(a_raw)
-        o = o if isinstance(o, StructType) else None
-        a = a if isinstance(a, ArrayType) else None
+    for i, (path, _, _) in enumerate(paths):
+        o_tree, a_tree = trees.get(3 * i), trees.get(3 * i + 1)
+        o = to_type(o_tree) if o_tree else None
+        a = to_type(a_tree) if a_tree else None
         chosen: DataType | None = o or a
-        if o and a:  # both shapes: objects read as arrays of one
-            records = variant_type(row[f"r{i}"])
-            if isinstance(a.elementType, StructType) and isinstance(records, ArrayType):
-                chosen = records
+        if o is not None and a is not None:  # both shapes: objects read as arrays of one
+            records = to_type(merge(o_tree, trees.get(3 * i + 2, VOID), map_keys))
+            if isinstance(a, ArrayType) and isinstance(a.elementType, (StructType, MapType)):
+                chosen = ArrayType(records)
             else:
                 log.warning("%s mixes JSON objects with arrays of other values; it stays text", path)
                 chosen = None
@@ -248,13 +193,6 @@ def _infer_group(df: DataFrame, paths: list[tuple[str, Column, bool]]) -> dict[s
     return out
 
 
-def _element(vtype: str | None) -> str | None:
-    """``ARRAY<T>`` -> ``T`` (the per-document arrays of parsed texts)."""
-    if vtype is None or not vtype.startswith("ARRAY<"):
-        return None
-    return vtype[len("ARRAY<"):-1]
-
-
 def promote(df: DataFrame, schemas: dict[str, str | DataType]) -> DataFrame:
     """Replace each named string column by its parsed value.
 

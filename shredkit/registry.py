@@ -19,17 +19,19 @@ from shredkit.constants import CONTENT_HASH, DATE_FORMAT, PARENT_ID
 from shredkit.functions.hashing import content_hash, key_hash
 from shredkit.functions.names import snake_case
 from shredkit.functions.text import parse_date
-from shredkit.operators.ingest import ingest_batch
-from shredkit.operators.tables import append_table, create_table, save_table, with_file_key
+from shredkit.operators.ingest import ingest_batch, ingest_json_column, stage_family
+from shredkit.operators.rebuild import rebuild_documents
+from shredkit.operators.tables import append_table, commit, create_table, save_table, with_file_key
 from shredkit.operators.upsert import merge_upsert
 from shredkit.plans import nest
 from shredkit.plans.flatten import dedup_children, flatten
 from shredkit.plans.schema import Mapping, align_schema, project_mapping
-from shredkit.session import scratch_path
+from shredkit.session import safe_planning, scoped_conf, scratch_path
+from shredkit.sources.arrays import read_json_arrays
 from shredkit.sources.hex import decode_hex_column
 from shredkit.sources.jdbc import read_jdbc_query
 from shredkit.sources.json import parse_json_column, read_json_files
-from shredkit.streaming.ingest import ingest_stream
+from shredkit.streaming.ingest import ingest_stream, ingest_text_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -513,6 +515,192 @@ def stream_upsert(spark, d):
         CONTENT_HASH, "parent_id_hash_col")
 
 
+def merge_matched(spark, d):
+    """A small batch merged into a large table; only the partitions that hold its keys
+    are rewritten, in one further layer."""
+    o = _t(spark, d, "orders").select(*ORDER_COLS)
+    name = _table_name("orders_merged")
+    save_table(o, name, ["o_orderkey"], file_key="first", location=scratch_path(spark, "tables"))
+    changed = o.where("o_orderkey % 97 = 0").withColumn("o_totalprice", F.lit(1.0))
+    new = changed.withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    save_table(changed.unionByName(new), name, ["o_orderkey"], file_key="second")
+    return spark.table(name).select(*ORDER_COLS, "filekey")
+
+
+def merge_dated(spark, d):
+    """K3 on a table by day: rows that move to another day leave their old one."""
+    ev = nest.events_dated(spark, d).select("event_id", "ts_text", "ts")
+    name = _table_name("events_merged")
+    form = dict(date_field="ts_text", date_format=DATE_FORMAT)
+    save_table(ev.drop("ts"), name, ["event_id"], location=scratch_path(spark, "tables"), **form)
+    moved = ev.where("event_id % 50 = 0").select(
+        "event_id", F.date_format(F.col("ts") + F.expr("INTERVAL 40 DAYS"), DATE_FORMAT).alias("ts_text"))
+    save_table(moved, name, ["event_id"], **form)
+    return spark.table(name).select("event_id", F.col("ts_text").cast("timestamp_ntz").alias("ts"))
+
+
+def family_commit(spark, d):
+    """K5: a family that is written but not committed leaves readers on the old one; the
+    commit switches all its tables."""
+    doc = nest.nested_orders(spark, d)
+    name = _table_name("orders_staged")
+    cfg = IngestConfig(table=name, id_field="o_orderkey", location=scratch_path(spark, "tables"), options=NO_JSON)
+    ingest_batch(doc, cfg)
+    newer = doc.withColumn("o_orderstatus", F.lit("new")).withColumn(
+        "customer", F.struct(F.upper("customer.c_name").alias("c_name"), F.col("customer.c_mktsegment").alias("c_mktsegment")))
+    with scoped_conf(spark, safe_planning(spark)):
+        staged = stage_family(newer, cfg)
+    states = []
+    for state in ("before", "after"):
+        main, child = spark.table(name), spark.table(f"{name}_customer")
+        row = main.select("o_orderkey", "o_orderstatus").join(
+            child.select(PARENT_ID, "c_name"), F.col("o_orderkey") == F.col(PARENT_ID), "left").drop(PARENT_ID)
+        states.append(row.select(F.lit(state).alias("state"), "*"))
+        commit(spark, staged, name)
+    return states[0].unionByName(states[1])
+
+
+def stream_replay(spark, d):
+    """ST1: a micro-batch delivered twice counts once, documents without an id and texts that
+    are no documents included."""
+    ev = _t(spark, d, "events")
+    doc = F.to_json(F.struct(F.when(F.col("event_id") % 10 != 0, F.col("event_id")).alias("event_id"), "user_id"))
+    texts = ev.select(F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("no document "), F.col("event_id").cast("string")))
+                       .otherwise(doc).alias("t"))
+    name = _table_name("events_replayed")
+    cfg = IngestConfig(table=name, id_field="event_id", location=scratch_path(spark, "tables"), options=NO_JSON)
+    for batch in (0, 0):
+        ingest_json_column(texts, "t", cfg, {"events": batch})
+    good = spark.table(name).select("event_id", "user_id", F.lit(None).cast("string").alias("_corrupt_record"))
+    bad = spark.table(f"{name}_corrupt").select(F.lit(None).cast("long").alias("event_id"),
+                                                F.lit(None).cast("long").alias("user_id"), "_corrupt_record")
+    return good.unionByName(bad)
+
+
+def stream_drift(spark, d):
+    """ST1: documents that gain fields (one nested) between two micro-batches; every batch infers
+    its own schema and the tables grow."""
+    ev = _t(spark, d, "events")
+    src = scratch_path(spark, "drift-src")
+    first = ev.where("event_id % 2 = 0").select(F.to_json(F.struct("event_id", "event_type")))
+    then = ev.where("event_id % 2 = 1").select(F.to_json(F.struct(
+        "event_id", "event_type", "user_id", F.struct(F.col("user_id").alias("who")).alias("extra"))))
+    first.write.text(src)
+    files = len(spark.read.text(src).inputFiles())  # a listing: nothing is read
+    then.write.mode("append").text(src)
+    name = _table_name("events_drifted")
+    cfg = IngestConfig(table=name, id_field="event_id", location=scratch_path(spark, "tables"), options=NO_JSON)
+    q = ingest_text_stream(spark, src, cfg, multiline=False, max_files_per_trigger=files)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    child = spark.table(f"{name}_extra").select(PARENT_ID, "who")
+    main = spark.table(name).select("event_id", "event_type", "user_id")
+    return main.join(child, F.col("event_id") == F.col(PARENT_ID), "left").drop(PARENT_ID)
+
+
+def nested_evolution(spark, d):
+    """A batch brings fields inside a struct and inside an array of structs; rows that were
+    there before have typed nulls in them."""
+    c = _t(spark, d, "customer")
+    name = _table_name("customers_evolved")
+    old = c.select("c_custkey", F.struct("c_name").alias("info"),
+                   F.array(F.struct(F.col("c_nationkey").alias("nation"))).alias("places"))
+    save_table(old, name, ["c_custkey"], location=scratch_path(spark, "tables"))
+    new = c.where("c_custkey % 3 = 0").select(
+        "c_custkey", F.struct("c_mktsegment", F.upper("c_name").alias("c_name")).alias("info"),
+        F.array(F.struct(F.col("c_nationkey").alias("nation"), F.struct("c_mktsegment").alias("more"))).alias("places"))
+    save_table(new, name, ["c_custkey"])
+    return spark.table(name).select(
+        "c_custkey", "info.c_name", "info.c_mktsegment", F.col("places")[0]["nation"].alias("nation"),
+        F.col("places")[0]["more"]["c_mktsegment"].alias("segment"))
+
+
+def json_text_case(spark, d):
+    """Keys that differ only in case, null texts, and arrays with elements that are no
+    documents; none of them changes what its neighbours give."""
+    ev = _t(spark, d, "events")
+    kind = F.col("event_id") % 5
+    k = F.regexp_extract("props", r"(\d+)", 1)
+    t = (F.when(kind == 0, F.concat(F.lit('{"K": '), k, F.lit(', "k": 1}')))
+          .when(kind == 1, F.concat(F.lit('{"K": '), k, F.lit("}")))
+          .when(kind == 2, F.concat(F.lit("["), "props", F.lit(", 5]")))
+          .when(kind == 3, F.lit(None)).otherwise(F.col("props")))
+    return parse_json_column(ev.select("event_id", t.alias("t")), "t")
+
+
+def promote_malformed(spark, d):
+    """Malformed texts of a promoted column give no child row, with or without an array
+    elsewhere in the column."""
+    ev = _t(spark, d, "events")
+    bad = F.when(F.col("event_id") % 3 == 0, F.expr("substring(props, 1, length(props) - 1)"))
+    objects = ev.select("event_id", bad.otherwise(F.col("props")).alias("props"))
+    mixed = ev.select("event_id", bad.when(F.col("event_id") % 3 == 1, F.concat(F.lit("["), "props", F.lit("]")))
+                                     .otherwise(F.col("props")).alias("props"))
+    parts = [flatten(x, "event_id", "events")["events_props"].select(F.lit(n).alias("variant"), PARENT_ID, "k")
+             for n, x in (("objects", objects), ("mixed", mixed))]
+    return parts[0].unionByName(parts[1])
+
+
+def json_maps(spark, d):
+    """Objects keyed by ids become maps, so the inferred type does not grow."""
+    ev = _t(spark, d, "events")
+    t = F.to_json(F.struct("event_id", F.create_map(
+        F.concat(F.lit("user "), F.col("event_id").cast("string")), F.struct("user_id", "event_type")).alias("seen")))
+    seen = parse_json_column(ev.select(t.alias("t")), "t", keep_corrupt=False, map_keys=100)
+    seen = seen.select("event_id", F.explode("seen").alias("who", "what"))
+    return seen.select("event_id", "who", "what.user_id", "what.event_type")
+
+
+def json_giant_array(spark, d):
+    """Files that hold one array each, read in byte ranges by many tasks."""
+    path, schema = _array_files(spark, d)
+    return read_json_arrays(spark, path, block_bytes=64 << 10).select(schema.names)
+
+
+def rebuild_documents_q(spark, d):
+    """Parent/child reader: documents put together again from the family, bucket by bucket."""
+    doc = nest.nested_orders(spark, d)
+    name = _table_name("orders_rebuilt")
+    cfg = IngestConfig(table=name, id_field="o_orderkey", location=scratch_path(spark, "tables"), options=NO_JSON)
+    ingest_batch(doc, cfg)
+    out = rebuild_documents(spark, name, "o_orderkey", doc.schema)
+    return out.select("o_orderkey", "o_custkey", "o_totalprice", "customer.c_name", F.size("items").alias("n_items"),
+                      F.aggregate("items", F.lit(0.0), lambda a, i: a + i["l_quantity"]).alias("quantity"))
+
+
+def skip_empty_q(spark, d):
+    """L2: child tables without rows are not created; the counts come from the writes."""
+    doc = nest.nested_orders(spark, d).withColumn("none", F.filter("items", lambda i: F.lit(False)))
+    name = _table_name("orders_some")
+    cfg = IngestConfig(table=name, id_field="o_orderkey", location=scratch_path(spark, "tables"),
+                       options=FlattenOptions(promote_json=False, skip_empty=True))
+    tables = ingest_batch(doc, cfg)
+    out = [spark.table(t).agg(F.lit(t[len(name):]).alias("child"), F.count(F.lit(1)).alias("n")) for t in tables]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+def managed_columns(spark, d):
+    """Columns at the root that are named like managed ones are not walked."""
+    doc = nest.orders_with_customer(spark, d)
+    doc = doc.withColumn(CONTENT_HASH, F.array(F.lit(1))).withColumn(PARENT_ID, F.struct(F.lit(2).alias("x")))
+    tables = flatten(doc, "o_orderkey", "orders", NO_JSON)
+    names = F.lit(",".join(sorted(tables)))
+    return tables["orders_customer"].select(PARENT_ID, "c_name", names.alias("tables"))
+
+
+def jdbc_bounds(spark, d):
+    """The reader finds the key's bounds itself; rows without a key are read too."""
+    url = f"jdbc:derby:memory:shredkit_{uuid.uuid4().hex[:8]};create=true"
+    drv = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    customers = _t(spark, d, "customer").select(
+        F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey")).alias("k"), "c_custkey", "c_nationkey")
+    customers.write.format("jdbc").option("url", url).option("driver", drv).option("dbtable", "customer").save()
+    return read_jdbc_query(spark, url, "SELECT * FROM customer", drv, partition_column="k", num_partitions=4)
+
+
 def jdbc_query(spark, d):
     """A SQL query run over JDBC (embedded in-memory Derby, this process only),
     read in parallel range partitions."""
@@ -575,4 +763,18 @@ def queries() -> dict[str, Query]:
         "json_text_mixed": json_text_mixed,
         "ingest_batch_children": ingest_batch_children,
         "stream_family": stream_family,
+        "merge_matched": merge_matched,
+        "merge_dated": merge_dated,
+        "family_commit": family_commit,
+        "stream_replay": stream_replay,
+        "stream_drift": stream_drift,
+        "nested_evolution": nested_evolution,
+        "json_text_case": json_text_case,
+        "promote_malformed": promote_malformed,
+        "json_maps": json_maps,
+        "json_giant_array": json_giant_array,
+        "rebuild_documents": rebuild_documents_q,
+        "skip_empty": skip_empty_q,
+        "managed_columns": managed_columns,
+        "jdbc_bounds": jdbc_bounds,
     }

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from shredkit.functions.names import col
-from shredkit.plans.jsoncols import all_names, clashing_names, variant_type
+from shredkit.plans.jsoncols import all_names, clashing_names
+from shredkit.plans.jsontypes import MAP_KEYS, merged_types, to_type
 
 log = logging.getLogger(__name__)
 
@@ -46,25 +47,28 @@ def read_json_files(
     return df
 
 
-def infer_document_schema(df: DataFrame, column: str) -> StructType | None:
+def infer_document_schema(df: DataFrame, column: str, map_keys: int = MAP_KEYS) -> StructType | None:
     """Schema of JSON documents (objects, or arrays of objects) in a text column.
 
     Array texts are split into their elements first, so objects and arrays of
     objects merge into one struct schema; texts and elements that are no
-    objects have no say in it. Inferred on the cluster in one aggregate; only
-    the type string reaches the driver. ``None`` if no text holds an object.
+    objects have no say in it. Inferred on the cluster in one job; only merged
+    types reach the driver. Objects inside the documents that hold more than ``map_keys``
+    distinct keys over all of them are maps, so the schema does not grow with the data.
+    ``None`` if no text holds an object.
     """
-    return _document_schema(df, col(column))
+    return _document_schema(df, col(column), True, map_keys)
 
 
-def _document_schema(df: DataFrame, text: Column, untyped: bool = True) -> StructType | None:
+def _document_schema(df: DataFrame, text: Column, untyped: bool, map_keys: int) -> StructType | None:
     v = F.try_parse_json(text)
     elems = F.when(_is_array_text(text), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
-    row = df.select(F.explode(elems).alias("__v")) \
-            .where(F.schema_of_variant("__v").startswith("OBJECT<")) \
-            .agg(F.schema_of_variant_agg(F.col("__v")).alias("s")).first()
-    found = variant_type(row["s"], untyped) or variant_type(row["s"])
-    return found if isinstance(found, StructType) else None
+    types = df.select(F.explode(elems).alias("v")).select(F.lit(0).alias("slot"), F.schema_of_variant("v").alias("type"))
+    found = merged_types(types.where(F.col("type").startswith("OBJECT<")), map_keys, roots=True)
+    if 0 not in found:
+        return None
+    schema = to_type(found[0], untyped) or to_type(found[0])
+    return schema if isinstance(schema, StructType) else None
 
 
 def _is_array_text(text: Column) -> Column:
@@ -95,6 +99,7 @@ def parse_json_column(
     keep_corrupt: bool = True,
     keep_empty: bool = False,
     untyped: bool = True,
+    map_keys: int = MAP_KEYS,
 ) -> DataFrame:
     """Parse a text column of JSON documents into columns.
 
@@ -104,7 +109,8 @@ def parse_json_column(
     gives one row with its raw form in ``_corrupt_record`` (PERMISSIVE) and the other
     fields null; it changes nothing for its neighbours. Null texts and empty arrays hold no
     document and give no row, or one with all fields null with ``keep_empty``. Fields that
-    are null wherever they occur are text, or left out with ``untyped=False``.
+    are null wherever they occur are text, or left out with ``untyped=False``. Objects keyed
+    by data (more than ``map_keys`` distinct keys) are map columns.
 
     Inferred columns ignore case, as Spark's do: keys that differ only in case are one
     column (spelled as the first of them in code-point order), and a document that has
@@ -113,11 +119,11 @@ def parse_json_column(
     others = [col(c) for c in df.columns if c != column]
     c = text = col(column)
     if schema is None:
-        schema = _document_schema(df, c, untyped)
+        schema = _document_schema(df, c, untyped, map_keys)
         if schema is not None and (names := clashing_names(schema)):
             log.warning("documents in %s have keys that differ only in case: %s", column, ", ".join(names))
             text = _folded(c, schema)
-            schema = _document_schema(df, text, untyped)
+            schema = _document_schema(df, text, untyped, map_keys)
         if schema is None:  # nothing parses as an object: every row keeps its raw text
             return df.select(*others, *([c.alias(CORRUPT)] if keep_corrupt else []))
     if isinstance(schema, str):

@@ -322,3 +322,48 @@ def test_upsert_into_a_nested_table_keeps_other_rows(spark):
     upsert_table(spark.sql("SELECT 5L AS id, named_struct('x', 5L, 'y', 'n') AS s"), name, ["id"])
     got = {r.id: (r.s.x, r.s.y) for r in spark.table(name).collect()}
     assert len(got) == 100 and got[5] == (5, "n") and got[6] == (6, None)
+
+
+# ------------------------------------------------------------------ counts in the writes
+
+
+def _jobs(spark, run):
+    """Number of jobs that ``run`` starts."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "count")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_empty_tables_cost_no_job_of_their_own(spark):
+    df = spark.createDataFrame([(1, [(1,)], [], [])],
+                               "id bigint, a array<struct<k:int>>, b array<struct<k:int>>, c array<int>").repartition(4)
+    loc = scratch_path(spark, "tables")
+
+    def cfg(skip):
+        return IngestConfig(table=_name("t_jobs"), id_field="id", location=loc, on_duplicate="allow",
+                            options=FlattenOptions(promote_json=False, skip_empty=skip))
+
+    keep, drop = cfg(False), cfg(True)
+    ingest_batch(df, cfg(True))  # warm
+    with_all = _jobs(spark, lambda: ingest_batch(df, keep))
+    without = _jobs(spark, lambda: ingest_batch(df, drop))
+    assert without <= with_all  # no isEmpty per child, no count of the batch
+    assert not spark.catalog.tableExists(f"{drop.table}_b") and spark.catalog.tableExists(f"{keep.table}_b")
+    assert spark.table(f"{drop.table}_a").count() == 1
+    ingest_batch(df.withColumn("b", F.col("a")), drop)
+    assert spark.table(f"{drop.table}_b").count() == 1
+
+
+def test_an_idle_batch_leaves_no_table_behind(spark):
+    loc = scratch_path(spark, "tables")
+    cfg = IngestConfig(table=_name("t_idle"), id_field="id", location=loc, options=NO_JSON)
+    empty = spark.createDataFrame([], "id bigint, a array<struct<k:int>>")
+    assert ingest_batch(empty, cfg) == [] and not _files(loc)
+    ingest_batch(spark.createDataFrame([(1, [(1,)])], empty.schema), cfg)
+    before = T.current_version(spark, cfg.table)
+    assert ingest_batch(empty, cfg) == []
+    assert T.current_version(spark, cfg.table) == before
