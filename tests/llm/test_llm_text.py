@@ -268,6 +268,109 @@ def test_decontamination_finds_copies_without_long_intact_runs(spark):
     assert got == want and len(want) > 400
 
 
+def zipf_prose(seed, n, vocabulary=3000):
+    r = np.random.default_rng(seed)
+    p = 1 / np.arange(1, vocabulary + 1)
+    return [f"z{i}" for i in r.choice(vocabulary, n, p=p / p.sum())]
+
+
+def edit(r, words, share):
+    """Words replaced at a share of the places."""
+    return [f"new{r.randrange(10**6)}" if r.random() < share else w for w in words]
+
+
+def test_decontamination_by_rare_seeds_equals_aligning_every_place(spark):
+    """Ordinary prose on both sides: all items share word pairs with all documents."""
+    r = random.Random(11)
+    items = [zipf_prose(i, r.choice([8, 15, 30, 60])) for i in range(300)]
+    rows, planted = [], set()
+    for d in range(40):
+        words = zipf_prose(10_000 + d, 300)
+        for _ in range(2):
+            i = r.randrange(len(items))
+            at = r.randrange(len(words))
+            words[at:at] = edit(r, items[i], r.choice([0.0, 0.1, 0.25, 0.4]))
+        rows.append((d, " ".join(words)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] * 2, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.contaminated(docs, bench).collect()}
+    code = {w: n + 1 for n, w in enumerate(dict.fromkeys(w for _, t in rows for w in t.split()))}
+    texts = [np.array([code[w] for w in t.split()], np.uint64) for _, t in rows]
+    width = max(map(len, texts))
+    passages = np.zeros((len(texts), width), np.uint64)
+    for k, t in enumerate(texts):
+        passages[k, :len(t)] = t
+    want = {}
+    for i, item in enumerate(items):
+        q = np.array([code.get(w, 10**9 + n) for n, w in enumerate(item)], np.uint64)
+        best, _ = decontaminate.smith_waterman(q, passages)
+        for d in np.flatnonzero(best >= decontaminate.THRESHOLD * 2 * len(item)).tolist():
+            want[d, i] = best[d] / (2 * len(item))
+    assert set(got) == set(want) and len(want) > 60
+    assert all(abs(got[k]["score"] - v) < 1e-9 for k, v in want.items())
+    for (d, i), x in got.items():  # the stated place scores as much
+        place = rows[d][1].split()[x["start"]:x["end"]]
+        assert abs(plain_local_alignment(items[i], place) / (2 * len(items[i])) - x["score"]) < 1e-9
+        assert items[i].count(place[0]) and items[i].count(place[-1])
+
+
+def test_common_seeds_are_not_looked_for():
+    """Hit rows of a slice stay few where a large benchmark shares its pairs with the text."""
+    import pyarrow as pa
+    from shredkit.llm.words import FOLDED, words_of
+
+    items = [{"item_id": i, "text": " ".join(zipf_prose(i, 60, 20_000))} for i in range(2000)]
+    texts = pa.array([" ".join(zipf_prose(10**6 + i, 1000, 20_000)) for i in range(10)])
+    block = decontaminate.read_block(items)
+    index = decontaminate.SeedIndex(block.seed, block.lengths())
+    counted = next(decontaminate._count_seeds(index)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
+    held = dict(zip(counted.column(0).to_numpy().view(np.uint64).tolist(), counted.column(1).to_pylist()))
+    rare = decontaminate.rarest(block, held, decontaminate.THRESHOLD)
+    few = decontaminate.SeedIndex(rare.seed, rare.lengths())
+
+    def hits(b, i, limit):
+        parts = [p for w in words_of(texts, FOLDED) for p in decontaminate.seed_hits(w, b, i)]
+        assert max(len(p[0]) for p in parts) < 2 * limit
+        return sum(len(p[0]) for p in parts), sum(len(decontaminate._frequent(*p, b)) for p in parts)
+
+    every, _ = hits(block, index, decontaminate.EXPAND)
+    rows, kept = hits(rare, few, decontaminate.EXPAND)
+    assert rows < every / 4 and kept < rows / 100
+    decontaminate.EXPAND, old = 2000, decontaminate.EXPAND  # in parts: the same hits
+    try:
+        assert hits(rare, few, 2000) == (rows, kept)
+    finally:
+        decontaminate.EXPAND = old
+
+
+def test_least_pairs_is_a_lower_bound():
+    r = random.Random(2)
+    for _ in range(4000):
+        n = r.randrange(6, 40)
+        item = list(range(n))
+        copy = [w if r.random() > 0.4 else -1 - k for k, w in enumerate(item)]
+        copy = [w for w in copy if w >= 0 or r.random() < 0.7]  # some are dropped
+        if plain_local_alignment(item, copy) >= decontaminate.THRESHOLD * 2 * n:
+            pairs = sum(a >= 0 and b == a + 1 for a, b in zip(copy, copy[1:]))
+            assert pairs >= decontaminate.least_pairs(n, decontaminate.THRESHOLD)
+
+
+def test_recall_on_replaced_words(spark):
+    r = random.Random(4)
+    items = {i: zipf_prose(i, 40) for i in range(100)}
+    rows, tried = [], {}
+    for share in (0.1, 0.2, 0.3, 0.4):
+        for i, item in items.items():
+            copy = edit(r, item, share)
+            tried[len(rows)] = (i, plain_local_alignment(item, copy) >= decontaminate.THRESHOLD * 2 * len(item))
+            rows.append((len(rows), " ".join([*zipf_prose(5000 + len(rows), 100), *copy, *zipf_prose(9000 + len(rows), 100)])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs, bench).collect()}
+    above = [(d, i) for d, (i, enough) in tried.items() if enough]
+    assert all(k in got for k in above) and len(above) > 300  # every copy at the threshold
+
+
 @pytest.mark.parametrize("seed", range(15))
 def test_passages_hold_every_hit_once_and_stay_bounded(seed):
     r = np.random.default_rng(seed)
