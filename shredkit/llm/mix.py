@@ -10,7 +10,7 @@ copies. The copies are shuffled globally by a hash of (seed, doc_id, copy).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shredkit.llm.frames import fresh, hex_long, id_text, quoted, saved, text_or_empty, without
@@ -19,8 +19,11 @@ from shredkit.llm.frames import fresh, hex_long, id_text, quoted, saved, text_or
 PART_MEAN = 16.0
 #: P(X > 96) for mean 16 is below 1e-40, less than a 52-bit uniform can meet.
 LAST_COUNT = 96
-#: Source tables up to this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_SOURCES = 100_000
+#: Source tables up to this many rows (under 1 KB each) are broadcast; larger ones are joined by shuffle.
+BROADCAST_SOURCES = 10_000
+#: Parts that one row draws and repeats by itself (about 1,000 copies). Documents of more are
+#: handled in chunks of as many, spread over the cluster.
+CHUNK_PARTS = 64
 
 
 def source_rates(
@@ -95,22 +98,56 @@ def mix_sources(
     docs = without(docs, "copy", "copies", "rate", "order_key")
     rates = source_rates(docs, weights, budget_bytes, other_weight, text, source)
     key, cdf, parts, name = (fresh(docs, n) for n in ("_source", "_cdf", "_parts", "_name"))
-    parts_col = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN)).cast("int")
+    parts_col = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN)).cast("long")
     rates = rates.select(F.col("key").alias(key), "rate", parts_col.alias(parts))
     rates = rates.withColumn(cdf, _cdf(F.col("rate") / F.col(parts)))
+    rates = saved(rates, "mix-rates")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     with_rate = docs.join(rates, F.col(quoted(source)).cast("string").eqNullSafe(F.col(key)))
-    who = id_text(F.col(quoted(doc_id)), text_or_empty(text))
-    seq = F.sequence(F.lit(1), F.col(parts))
-    copies = F.aggregate(
-        seq, F.lit(0),
-        lambda n, i: n + F.size(F.filter(F.col(cdf), lambda c: c < uniform(seed, F.col(name), i))),
-    )
-    drawn = with_rate.withColumn(name, who).withColumn("copies", copies).where("copies > 0")
-    repeated = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    order = hex_long(F.concat_ws("|", F.lit(f"{seed}:order"), F.col(name), F.col("copy").cast("string")))
-    out = repeated.withColumn("order_key", order).select(
-        [F.col(quoted(c)) for c in docs.columns] + ["copy", "copies", "rate", "order_key"]
-    )
+    with_rate = with_rate.withColumn(name, id_text(F.col(quoted(doc_id)), text_or_empty(text)))
+    kept = [F.col(quoted(c)) for c in docs.columns]
+
+    few = with_rate.where(F.col(parts) <= CHUNK_PARTS)
+    few = few.withColumn("copies", _drawn(seed, name, cdf, F.lit(1).cast("long"), F.col(parts)).cast("int"))
+    few = few.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = few.select(*kept, "copy", "copies", "rate", F.col(name).alias("order_key"))
+    if rates.where(F.col(parts) > CHUNK_PARTS).count():
+        many = _many_copies(with_rate.where(F.col(parts) > CHUNK_PARTS), seed, name, key, cdf, parts)
+        out = out.unionByName(many.select(*kept, "copy", "copies", "rate", F.col(name).alias("order_key")))
+    order = hex_long(F.concat_ws("|", F.lit(f"{seed}:order"), F.col("order_key"), F.col("copy").cast("string")))
+    out = out.withColumn("order_key", order)
     return out.repartition(F.col("order_key")).sortWithinPartitions("order_key", "copy")
+
+
+def _drawn(seed: int, name: str, cdf: str, first: Column, last: Column) -> Column:
+    """The Poisson counts of the parts first .. last, summed. Each uniform is computed once."""
+    draws = F.transform(F.sequence(first, last), lambda i: uniform(seed, F.col(name), i))
+    counts = F.transform(draws, lambda u: F.size(F.filter(F.col(cdf), lambda c: c < u)))
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda n, k: n + k)
+
+
+def _many_copies(rows: DataFrame, seed: int, name: str, key: str, cdf: str, parts: str) -> DataFrame:
+    """Repeat documents of very many copies, ``CHUNK_PARTS`` parts at a time.
+
+    The counts of the chunks are drawn without the texts, in tasks dealt by (document, chunk), and
+    summed up per document; each chunk then repeats its document on its own.
+    """
+    chunk, n, before = fresh(rows, "_chunk"), fresh(rows, "_n"), fresh(rows, "_before")
+    last_chunk = F.floor((F.col(parts) - 1) / CHUNK_PARTS)
+    # Rows that repeat a document draw alike: one of them is enough.
+    drawn = rows.groupBy(name, key).agg(F.first(parts).alias(parts), F.first(cdf).alias(cdf))
+    drawn = drawn.withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
+    drawn = drawn.repartition(F.col(name), F.col(key), F.col(chunk))
+    low = F.col(chunk) * CHUNK_PARTS + 1
+    high = F.least(F.col(parts), (F.col(chunk) + 1) * CHUNK_PARTS)
+    drawn = saved(drawn.select(name, key, chunk, _drawn(seed, name, cdf, low, high).alias(n)), "mix-chunks")
+    upto = Window.partitionBy(name, key)  # a few numbers per thousand copies
+    drawn = drawn.withColumn(before, F.coalesce(
+        F.sum(n).over(upto.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    drawn = saved(drawn.withColumn("copies", F.sum(n).over(upto).cast("int")).where(F.col(n) > 0), "mix-copies")
+    drawn = drawn.withColumnsRenamed({name: f"{name}_2", key: f"{key}_2"})
+    same = (F.col(name) == F.col(f"{name}_2")) & F.col(key).eqNullSafe(F.col(f"{key}_2"))
+    spread = rows.join(drawn, same).repartition(F.col(name), F.col(key), F.col(chunk))
+    return spread.withColumn("copy", F.explode(F.sequence(
+        (F.col(before) + 1).cast("int"), (F.col(before) + F.col(n)).cast("int"))))

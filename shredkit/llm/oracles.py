@@ -40,8 +40,7 @@ WITH sizes AS (
   SELECT d.doc_id, d.source, p.rate, i.i,
          (('0x' || substr(md5('17|' || coalesce(d.doc_id::VARCHAR, '#' || md5(coalesce(d.text, '')))
                               || '|' || i.i::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0 AS u
-  FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, range(1, 1000) i(i)
-  WHERE i.i <= p.parts
+  FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(1, p.parts + 1)) AS i) i
 ), drawn AS (
   SELECT w.doc_id, w.i, count(c.k) AS n
   FROM draws w LEFT JOIN cdf c ON c.source IS NOT DISTINCT FROM w.source AND c.c < w.u
@@ -54,8 +53,7 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, t.copy::INT AS copy, c.cop
 FROM documents d
 JOIN counts c ON c.doc_id = d.doc_id
 JOIN parts p ON p.source IS NOT DISTINCT FROM d.source,
-     range(1, 1000) t(copy)
-WHERE t.copy <= c.copies
+     LATERAL (SELECT unnest(range(1, c.copies + 1)) AS copy) t
 """
 
 #: Snapshot collapse by comparing turn lists directly.
@@ -71,7 +69,7 @@ WITH turns AS (
                     ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
   FROM turns GROUP BY conv_id
 ), prefixes AS (
-  SELECT DISTINCT list_slice(said, 1, k) AS said FROM convs, range(1, 1024) t(k) WHERE k < n_turns
+  SELECT DISTINCT list_slice(said, 1, k) AS said FROM convs, LATERAL (SELECT unnest(range(1, n_turns)) AS k) t
 ), firsts AS (
   SELECT said, min(conv_id) AS conv_id FROM convs GROUP BY said
 )

@@ -142,3 +142,33 @@ def test_crc_column_of_the_shard_query(spark, sf_small):
         spark.read.parquet(f"{sf_small}/documents.parquet"), "doc_id").collect()
     assert all(r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) for r in rows)
     assert {r["law"] for r in rows} == {"bytes"}
+
+
+def test_very_many_copies_are_drawn_in_chunks(spark, monkeypatch):
+    """A source of two short documents beside a large one: the same copies whether a row repeats itself
+    or its chunks do, numbered without gaps, and as many as the distribution says."""
+    import hashlib
+    import math
+
+    rows = [(i, "word " * 400, "en", "big", 1) for i in range(60)]
+    rows += [(900, "x", "en", "tiny", 1), (901, "y", "en", "tiny", 1), (901, "y", "en", "tiny", 1), (None, "z", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    monkeypatch.setattr(mix, "CHUNK_PARTS", 1 << 40)
+    whole = sorted(map(tuple, mix.mix_sources(docs).collect()), key=str)
+    monkeypatch.setattr(mix, "CHUNK_PARTS", 7)
+    assert sorted(map(tuple, mix.mix_sources(docs).collect()), key=str) == whole
+    total = sum(len(r[1]) for r in rows)
+    rate = total / 3 / 3  # a third of the bytes for the three of "tiny"
+    parts = math.ceil(rate / 16)
+    assert rate > 500
+    mean = rate / parts
+    cdf, p = [], math.exp(-mean)
+    for k in range(97):
+        p = p if k == 0 else p * mean / k
+        cdf.append(p + (cdf[-1] if cdf else 0))
+    for doc_id, repeats in ((900, 1), (901, 2)):
+        want = sum(sum(c < (int(hashlib.md5(f"17|{doc_id}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for c in cdf)
+                   for i in range(1, parts + 1))
+        got = sorted(r[5] for r in whole if r[0] == doc_id)
+        assert got == sorted(list(range(1, want + 1)) * repeats)
+        assert {r[6] for r in whole if r[0] == doc_id} == {want}
