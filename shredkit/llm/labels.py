@@ -24,17 +24,20 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, re
     """(doc_id, label, text as binary) of at most ``max_docs`` labelled documents
     that are not held out: those with the smallest hashes of their ids.
 
-    The ids are chosen from ``labels`` alone, so the documents are only
-    filtered by a broadcast of at most ``max_docs`` ids. A document with several
-    labels counts as 1 if any is; of rows that share a doc_id the smallest
-    non-null text is taken.
+    Only labels of documents that have a text count (ids alone are joined for that), so
+    labels of other documents leave no gaps; the texts are then filtered by a broadcast
+    of at most ``max_docs`` ids. A document with several labels counts as 1 if any is;
+    of rows that share a doc_id the smallest non-null text is taken.
     """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)
                         & ~held_out(F.col("doc_id"), modulus, remainder))
-    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    there = docs.where(F.col("text").isNotNull()).select("doc_id")
+    chosen = known.join(there, "doc_id", "left_semi").orderBy(
         F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"
     ).limit(max_docs)
+    chosen = saved(chosen, "labels-chosen")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return found.where(F.col("text").isNotNull()).groupBy("doc_id", "label").agg(
         F.min("text").cast("binary").alias("text")

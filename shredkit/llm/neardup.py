@@ -426,8 +426,9 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
     classes = _classes(texts if nodes is None else _numbered(texts, nodes), similarity)
     keepers = saved(classes.where("doc_id = class_id").select("doc_id").distinct(), "neardup-keepers")
     if nodes is None:
+        keeper = fresh(docs, "_keeper")
         kept = docs.where(key.isNotNull()).join(
-            keepers.withColumnRenamed("doc_id", "_keeper"), key.cast("long") == F.col("_keeper"), "left_semi")
+            keepers.withColumnRenamed("doc_id", keeper), key.cast("long") == F.col(keeper), "left_semi")
         return kept.dropDuplicates([doc_id]).unionByName(docs.where(key.isNull()))
     digest, doc, text = (fresh(docs, n) for n in ("_digest", "_doc", "_text"))
     pairs = nodes.join(keepers, F.col("node") == F.col("doc_id"), "left_semi").select(

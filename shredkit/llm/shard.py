@@ -121,16 +121,12 @@ def _parted(rows: DataFrame, large: DataFrame, cell_bits: int, h: str = "h", d:
     large = large.select(F.col("big_h").alias(big), F.col("cuts").alias(cuts))
     out = rows.join(F.broadcast(large), F.col(h) == F.col(big), "left")
     sub = F.size(F.filter(F.col(cuts), lambda c: c < F.col(d)))
+    cell = F.when(F.col(big).isNull(), F.shiftright(F.col(h), KEY_BITS - cell_bits)).otherwise(F.col(h))
+    piece = F.when(F.col(big).isNull(), F.lit(0)).otherwise(sub)
     return out.select(
         [F.col(quoted(c)) for c in rows.columns]
-        + [
-            F.col(big).isNotNull().cast("int").alias(heavy),
-            F.when(F.col(big).isNull(), F.shiftright(F.col(h), KEY_BITS - cell_bits))
-            .otherwise(F.col(h))
-            .alias(part + "_h"),
-            F.when(F.col(big).isNull(), F.lit(0)).otherwise(sub).alias(part + "_d"),
-        ]
-    ).withColumn(part, F.struct(part + "_h", part + "_d")).drop(part + "_h", part + "_d")
+        + [F.col(big).isNotNull().cast("int").alias(heavy), F.struct(cell.alias("h"), piece.alias("d")).alias(part)]
+    )
 
 
 def _offsets(keys: DataFrame) -> DataFrame:

@@ -30,7 +30,9 @@ MESSY = [
 
 #: Names that operators use for results or while they work.
 CLASHING = ["score", "predicted", "size", "shard", "SLOT", "copy", "copies", "rate", "order_key", "h", "d", "_h",
-            "heavy", "part", "_part", "label", "held_out", "doc", "words", "key", "variant", "class_id", "_keeper"]
+            "heavy", "part", "_part", "label", "held_out", "doc", "words", "key", "variant", "class_id", "_keeper",
+            "_part_h", "_part_d", "n", "mask", "digest", "first", "word", "prefix", "worker", "ids", "n_words", "repeated",
+            "good", "toxic", "item", "at", "node", "root", "_chunk", "_n", "_cuts", "_big_h", "piece", "cell"]
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 

@@ -594,3 +594,19 @@ def test_texts_that_share_a_doc_id_are_documents_of_their_own(spark):
     kept = {(r["doc_id"], r["text"]) for r in neardup.keep_one(df).collect()}
     assert kept == {(1, alone), (1, other), (1, twin), (4, None), (4, ""), (None, alone)}
     assert neardup.keep_one(df).count() == 6
+
+
+# -- clashing names, labels of absent documents ----------------------------------
+
+def test_keep_one_takes_clashing_names(messy):
+    kept = neardup.keep_one(messy)
+    assert kept.columns == messy.columns
+    ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
+    assert ids == [1, 3, 4, 5, 6, 7, 8]  # 2 repeats 1, 9 repeats 8
+
+
+def test_labels_of_absent_documents_leave_no_gaps(spark):
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 10 else None) for i in range(0, 4000, 4)], "doc_id long, text string")
+    marked = spark.range(0, 40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    rows = labels.sample_rows(docs, marked, "quality", 5, 0, 300).collect()
+    assert len(rows) == 300 and all(r["doc_id"] % 4 == 0 and r["doc_id"] % 10 for r in rows)
