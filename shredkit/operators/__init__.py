@@ -1,6 +1,6 @@
 """Table operators: keyed upsert, table creation, append, save, batch ingest."""
 
-from shredkit.operators.ingest import ingest_batch, ingest_json_column
+from shredkit.operators.ingest import ingest_batch, ingest_json_column, ingest_mapped, stage_family
 from shredkit.operators.rebuild import rebuild_documents
 from shredkit.operators.tables import (
     align_to_table,
@@ -29,10 +29,12 @@ __all__ = [
     "finish_commit",
     "ingest_batch",
     "ingest_json_column",
+    "ingest_mapped",
     "merge_upsert",
     "qualified_name",
     "rebuild_documents",
     "save_table",
+    "stage_family",
     "stage_table",
     "stream_ledger",
     "table_exists",

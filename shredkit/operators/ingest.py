@@ -7,7 +7,7 @@ was, a crash after it is completed by the next ingest (or :func:`finish_commit`)
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
 from pyspark import StorageLevel
@@ -29,18 +29,20 @@ from shredkit.operators.tables import (
     table_names,
 )
 from shredkit.plans.flatten import flatten
+from shredkit.plans.schema import as_mapping, project_mapping
 from shredkit.session import parallelism, safe_planning, scoped_conf
 from shredkit.sources.json import CORRUPT, parse_json_column
 
 
-def _persist_spread(df: DataFrame) -> DataFrame:
+def _persist_spread(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Persist the batch, spreading it first when it has fewer partitions than cores.
 
     Each document fans out into many child rows, so the batch's partition
     count sets the parallelism of every table built from it. A source with
     plenty of splits (the normal case on a cluster) is kept as it is; a batch
     in a handful of partitions (one small file, one row group) is dealt
-    round-robin over the cores. Nothing runs yet: the first write fills the cache.
+    round-robin over the cores. Nothing is filled yet: the first write does that. Also returns
+    the cache that the dealing reads from, which is spare after that write.
     """
     want = parallelism(df.sparkSession)
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -49,9 +51,8 @@ def _persist_spread(df: DataFrame) -> DataFrame:
     except Exception:  # Spark Connect: no RDD view; keep the source's partitions
         have = want
     if have >= want:
-        return kept
-    kept.unpersist()
-    return df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
+        return kept, None
+    return kept.repartition(want).persist(StorageLevel.MEMORY_AND_DISK), kept
 
 
 class _Counted:
@@ -103,8 +104,9 @@ def stage_family(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | N
         return [stage_table(df, cfg.table, [cfg.id_field], cfg.date_field, cfg.date_format,
                             cfg.file_key, cfg.buckets, cfg.on_duplicate, cfg.latest_by,
                             location=cfg.location, ledger=ledger)]
+    spare = None
     if cfg.persist:
-        df = _persist_spread(df)
+        df, spare = _persist_spread(df)
     try:
         # Empty tables show in the counts of the writes: no job of their own asks for them.
         tables = flatten(df, cfg.id_field, cfg.table, replace(cfg.options, skip_empty=False))
@@ -119,6 +121,8 @@ def stage_family(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | N
                 written = stage_table(t.df, name, [key], cfg.date_field, cfg.date_format, cfg.file_key,
                                       cfg.buckets, cfg.on_duplicate, cfg.latest_by, location=cfg.location,
                                       ledger=ledger)
+                if spare:
+                    spare.unpersist()
                 if not t.any():  # an idle micro-batch: touches nothing
                     discard(df.sparkSession, written)
                     return []
@@ -137,6 +141,46 @@ def stage_family(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | N
     finally:
         if cfg.persist:
             df.unpersist()
+        if spare:
+            spare.unpersist()
+
+
+def ingest_mapped(df: DataFrame, mappings: Mapping[str, Sequence], cfg: IngestConfig,
+                  ledger: Mapping[str, int] | None = None) -> list[str]:
+    """Ingest documents by declared mappings instead of by their shape.
+
+    ``mappings`` has, for each table, its (sourcePath, targetColumn, dataType) entries
+    (``load_mappings`` reads them from YAML). Every table is keyed by the column that
+    ``cfg.id_field`` is mapped to, partitioned by day where ``cfg.date_field`` is one of its columns,
+    and evolves by further columns of the mapping; all tables switch together.
+    """
+    spark = df.sparkSession
+    main = cfg.table if cfg.table in mappings else next(iter(mappings), cfg.table)
+    finish_commit(spark, main)
+    if _replayed(spark, main, ledger):
+        return []
+    keys = {table: _mapped_key(table, entries, cfg.id_field) for table, entries in mappings.items()}
+    with scoped_conf(spark, safe_planning(spark)):
+        kept, spare = _persist_spread(df) if cfg.persist else (df, None)
+        try:
+            staged = [stage_table(project_mapping(kept, entries, cfg.date_format), table, [keys[table]],
+                                  cfg.date_field, None, cfg.file_key, cfg.buckets, cfg.on_duplicate, cfg.latest_by,
+                                  location=cfg.location, ledger=ledger)
+                      for table, entries in mappings.items()]
+        finally:
+            if cfg.persist:
+                kept.unpersist()
+            if spare:
+                spare.unpersist()
+        commit(spark, staged, main)
+    return [s.name for s in staged]
+
+
+def _mapped_key(table: str, entries: Sequence, id_field: str | None) -> str:
+    for m in map(as_mapping, entries):
+        if id_field and m.source_path.lower() == id_field.lower():
+            return m.target_column
+    raise ValueError(f"the mapping of {table!r} has no column for the id {id_field!r}")
 
 
 def _id_type(spark: SparkSession, cfg: IngestConfig) -> DataType:

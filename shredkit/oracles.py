@@ -291,6 +291,10 @@ def oracle_sql() -> dict[str, str]:
     q["managed_columns"] = (
         "SELECT o_orderkey AS parent_id, c_name, 'orders,orders_customer' AS tables FROM orders "
         "JOIN customer ON o_custkey = c_custkey")
+    q["ingest_mapped"] = (
+        "SELECT o_orderkey AS order_id, CAST(o_totalprice AS VARCHAR) AS total, CAST(NULL AS VARCHAR) AS note, "
+        "CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS status, c_name AS buyer "
+        "FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
     q["jdbc_bounds"] = "SELECT CASE WHEN c_custkey % 9 <> 0 THEN c_custkey END AS k, c_custkey, c_nationkey FROM customer"
     q["json_text_mixed"] = (
         f"SELECT event_id, CASE WHEN event_id % 5 IN (2, 4) THEN {k} END AS k, "

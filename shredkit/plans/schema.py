@@ -222,7 +222,7 @@ def project_mapping(df: DataFrame, mapping: Sequence[Mapping | tuple | dict],
     """
     exprs = []
     for m in mapping:
-        m = _as_mapping(m)
+        m = as_mapping(m)
         t = _spark_type(m.data_type)
         if _has_path(df.schema, m.source_path):
             c, src_type = _path_value(df.schema, m.source_path)
@@ -238,7 +238,8 @@ def project_mapping(df: DataFrame, mapping: Sequence[Mapping | tuple | dict],
     return df.select(*exprs)
 
 
-def _as_mapping(m) -> Mapping:
+def as_mapping(m: Mapping | tuple | dict) -> Mapping:
+    """A mapping entry in any of its forms."""
     if isinstance(m, Mapping):
         return m
     if isinstance(m, dict):
@@ -252,7 +253,7 @@ def load_mappings(path: str) -> dict[str, list[Mapping]]:
 
     with open(path, encoding="utf-8") as fh:
         doc = yaml.safe_load(fh) or {}
-    return {t: [_as_mapping(m) for m in rows] for t, rows in doc.items()}
+    return {t: [as_mapping(m) for m in rows] for t, rows in doc.items()}
 
 
 def _path_value(schema: StructType, path: str) -> tuple[Column, DataType] | None:

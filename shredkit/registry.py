@@ -19,7 +19,7 @@ from shredkit.constants import CONTENT_HASH, DATE_FORMAT, PARENT_ID
 from shredkit.functions.hashing import content_hash, key_hash
 from shredkit.functions.names import snake_case
 from shredkit.functions.text import parse_date
-from shredkit.operators.ingest import ingest_batch, ingest_json_column, stage_family
+from shredkit.operators.ingest import ingest_batch, ingest_json_column, ingest_mapped, stage_family
 from shredkit.operators.rebuild import rebuild_documents
 from shredkit.operators.tables import append_table, commit, create_table, save_table, with_file_key
 from shredkit.operators.upsert import merge_upsert
@@ -691,6 +691,21 @@ def managed_columns(spark, d):
     return tables["orders_customer"].select(PARENT_ID, "c_name", names.alias("tables"))
 
 
+def ingest_mapped_q(spark, d):
+    """Two tables by declared mappings, in two batches; the second updates by key and brings
+    a further column."""
+    doc = nest.orders_with_customer(spark, d)
+    names = [_table_name(n) for n in ("orders_mapped", "buyers_mapped")]
+    cfg = IngestConfig(table=names[0], id_field="o_orderkey", location=scratch_path(spark, "tables"))
+    orders = [("o_orderkey", "order_id", "BIGINT"), ("o_totalprice", "total", "STRING"), ("no.such", "note", "STRING")]
+    buyers = [("o_orderkey", "order_id", "BIGINT"), ("customer.c_name", "buyer", "STRING")]
+    ingest_mapped(doc, dict(zip(names, (orders, buyers))), cfg)
+    more = [*orders, ("o_orderstatus", "status", "STRING")]
+    ingest_mapped(doc.where("o_orderkey % 3 = 0"), dict(zip(names, (more, buyers))), cfg)
+    main, child = (spark.table(n).drop("filekey") for n in names)
+    return main.join(child, "order_id")
+
+
 def jdbc_bounds(spark, d):
     """The reader finds the key's bounds itself; rows without a key are read too."""
     url = f"jdbc:derby:memory:shredkit_{uuid.uuid4().hex[:8]};create=true"
@@ -777,4 +792,5 @@ def queries() -> dict[str, Query]:
         "skip_empty": skip_empty_q,
         "managed_columns": managed_columns,
         "jdbc_bounds": jdbc_bounds,
+        "ingest_mapped": ingest_mapped_q,
     }

@@ -367,3 +367,28 @@ def test_an_idle_batch_leaves_no_table_behind(spark):
     before = T.current_version(spark, cfg.table)
     assert ingest_batch(empty, cfg) == []
     assert T.current_version(spark, cfg.table) == before
+
+
+# ------------------------------------------------------------------ mappings
+
+
+def test_mapped_ingest_and_its_command(spark, tmp_path):
+    from shredkit.__main__ import main
+    from shredkit.operators import ingest_mapped
+
+    a, b = _name("map_a"), _name("map_b")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.json").write_text('[{"Key": 1, "who": {"name": "n"}, "at": "20240102T000000.000 GMT"}, {"Key": 2}]')
+    (tmp_path / "m.yaml").write_text(
+        f"{a}:\n  - {{sourcePath: Key, targetColumn: id, dataType: BIGINT}}\n"
+        "  - {sourcePath: at, targetColumn: at, dataType: TIMESTAMP}\n"
+        f"{b}:\n  - {{sourcePath: key, targetColumn: k, dataType: STRING}}\n"
+        "  - {sourcePath: who.name, targetColumn: name, dataType: STRING}\n")
+    loc = scratch_path(spark, "tables")
+    assert main(["ingest", str(tmp_path / "in"), "--table", a, "--id", "key", "--date-field", "at", "--arrays",
+                 "--mapping", str(tmp_path / "m.yaml"), "--location", loc]) == 0
+    assert sorted((r.id, str(r["at"])[:10]) for r in spark.table(a).collect()) == [(1, "2024-01-02"), (2, "None")]
+    assert sorted((r.k, r["name"]) for r in spark.table(b).collect()) == [("1", "n"), ("2", None)]
+    assert T.current_version(spark, a).day == "at" and T.current_version(spark, b).day is None
+    with pytest.raises(ValueError, match="no column for the id"):
+        ingest_mapped(spark.range(1), {"t": [("v", "v", "STRING")]}, IngestConfig(table="t", id_field="id"))
