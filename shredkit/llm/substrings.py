@@ -8,16 +8,18 @@ when an edge over it also occurs in a document with a smaller doc_id.
 Edges are never stored one by one. Each edge has an anchor: the smallest hash
 of the ``k``-word runs inside it, which depends on its words alone. Consecutive
 edges of a document with the same anchor are compacted into one path row
-(anchor, fingerprint of all its words, doc, position, words): about one row for
-20 words. The joins then are
+(anchor, doc, position, words): about one row for 20 words. Then
 
-1. by anchor: keep anchors that occur in two documents or more;
-2. an anchor with a single fingerprint is a nonbranching path: all documents
+1. anchors that occur in two documents or more are kept (joined by anchor);
+2. the words of their paths are read again at their source coordinates (doc, position),
+   and from here on the 128-bit digest of the words themselves says what is equal: anchors
+   only ever bring candidates together, so a collision of their hashes changes nothing;
+3. an anchor with a single digest is a nonbranching path: all documents
    run through it alike, and every one but the smallest loses it whole;
-3. an anchor with several fingerprints branches. Its distinct paths are
-   deduplicated by (anchor, fingerprint), and only the first occurrence of
-   each is expanded into single edges, read again at its source coordinates
-   (doc, position), to see which edges distinct paths have in common.
+4. an anchor with several digests branches. Its distinct paths are
+   deduplicated by (anchor, digest), and only the first occurrence of
+   each is expanded into single edges, read at its source coordinates, to see
+   which edges distinct paths have in common.
 
 Spans are merged per document, and the text at these coordinates is read to
 cut them out. Rows per join key are combined before a shuffle or joined as
@@ -36,14 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shredkit.llm.frames import only_ids, saved
-from shredkit.llm.words import PLAIN, gram_hashes, sliding_min, span_hashes, words_of
+from shredkit.llm.words import PLAIN, Words, gram_hashes, sliding_min, words_of
 
 WINDOW = 50
 ANCHOR_WORDS = 10
 #: A document is (doc_id, variant); the variant tells apart rows that repeat a doc_id with other texts.
 VARIANT_MASK = (1 << 20) - 1
 
-_PATHS = "doc long, variant long, n_words long, sha string, anchor array<long>, path array<long>, pos array<int>, len array<int>"
+_PATHS = "doc long, variant long, n_words long, sha string, anchor array<long>, pos array<int>, len array<int>"
 _KEPT = "doc long, variant long, n_removed long, sha string, spans array<struct<start:int,end:int>>"
 
 
@@ -77,7 +79,6 @@ def compacted_paths(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS
                 begin = at[new]
                 ends = np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1) if len(at) else np.zeros(0, np.int64)
                 stop = at[ends] + window
-                path = span_hashes(w.hash, begin, stop, 11)
                 row = np.searchsorted(w.first, begin, side="right") - 1
                 first = np.searchsorted(row, np.arange(len(lengths) + 1))
                 raw = [texts[int(r)].as_py() for r in w.row]
@@ -88,22 +89,20 @@ def compacted_paths(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS
                     pa.array(lengths, pa.int64()),
                     pa.array([hashlib.sha256(b" ".join(t.split())).hexdigest() for t in raw]),
                     _list(least[begin].view(np.int64), first, pa.int64()),
-                    _list(path.view(np.int64), first, pa.int64()),
                     _list((begin - w.first[row]).astype(np.int32), first, pa.int32()),
                     _list((stop - begin).astype(np.int32), first, pa.int32()),
-                ], names=["doc", "variant", "n_words", "sha", "anchor", "path", "pos", "len"])
+                ], names=["doc", "variant", "n_words", "sha", "anchor", "pos", "len"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(paths, _PATHS)
 
 
 def path_rows(paths: DataFrame) -> DataFrame:
-    """(doc, at, anchor, path, len): ``at`` is variant and position in one number."""
+    """(doc, at, anchor, len): ``at`` is variant and position in one number."""
     each = paths.where(F.col("doc").isNotNull()).select(
-        "doc", "variant", F.explode(F.arrays_zip("anchor", "path", "pos", "len")).alias("p")
+        "doc", "variant", F.explode(F.arrays_zip("anchor", "pos", "len")).alias("p")
     )
     at = F.shiftleft(F.col("variant"), 32) + F.col("p.pos")
-    return each.select("doc", at.alias("at"), F.col("p.anchor").alias("anchor"), F.col("p.path").alias("path"),
-                       F.col("p.len").alias("len"))
+    return each.select("doc", at.alias("at"), F.col("p.anchor").alias("anchor"), F.col("p.len").alias("len"))
 
 
 def _read_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -118,64 +117,98 @@ def _read_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, ["doc", "variant"])
 
 
-def _edges(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Single edges (anchor, edge, doc, at) of the wanted paths, from their source coordinates."""
-    per_doc = wanted.groupBy("doc", "variant").agg(F.collect_list(F.struct("anchor", "pos", "len")).alias("paths"))
-    per_doc = saved(per_doc, "substrings-expand")
+class _Spoken:
+    """The words of a slice of texts, one space after each, for digests of word ranges."""
 
-    def expand(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, w: Words):
+        size = w.end - w.start + 1
+        self.at = np.concatenate([[0], np.cumsum(size)])
+        text = np.full(int(self.at[-1]), 32, np.uint8)
+        inner = np.arange(len(text)) - np.repeat(self.at[:-1], size)
+        here = inner < np.repeat(size - 1, size)
+        text[here] = w.data[(np.repeat(w.start, size) + inner)[here]]
+        self.text = text.tobytes()
+
+    def digests(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """128-bit digests of the word ranges, as pairs of numbers."""
+        lo, hi = self.at[first].tolist(), (self.at[stop] - 1).tolist()
+        view = memoryview(self.text)
+        out = b"".join(hashlib.blake2b(view[a:z], digest_size=16).digest() for a, z in zip(lo, hi))
+        return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
+_READ = "anchor long, hi long, lo long, doc long, at long, len int"
+
+
+def _read_words(docs: DataFrame, wanted: DataFrame, window: int, edges: bool) -> DataFrame:
+    """(anchor, hi, lo, doc, at, len): the digest of the words of each wanted path (doc, at, anchor,
+    len), or of each single edge in it, read at their source coordinates."""
+    place = F.struct("anchor", F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"), "len")
+    per_doc = wanted.groupBy("doc", F.shiftright("at", 32).alias("variant")).agg(F.collect_list(place).alias("paths"))
+    per_doc = saved(per_doc, "substrings-wanted")
+
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             paths = b.column("paths")
             for w in words_of(b.column("text"), PLAIN):
-                edge = gram_hashes(w.hash, window, 23)
+                said = _Spoken(w)
                 out = []
                 for i, r in enumerate(w.row):
                     mine = paths.slice(int(r), 1).flatten()
                     anchor, pos, length = (mine.field(j).to_numpy(zero_copy_only=False) for j in range(3))
-                    n = length.astype(np.int64) - window + 1
-                    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    at = np.repeat(pos.astype(np.int64), n) + off
-                    out.append((np.repeat(anchor, n), edge[at + w.first[i]].view(np.int64), at,
-                                np.full(len(at), r)))
-                anchor, e, at, row = (np.concatenate(x) for x in zip(*out, strict=True))
-                for a in range(0, len(at), 1 << 16):
-                    z = slice(a, a + (1 << 16))
+                    pos, length = pos.astype(np.int64), length.astype(np.int64)
+                    if edges:
+                        n = length - window + 1
+                        pos = np.repeat(pos, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        anchor, length = np.repeat(anchor, n), np.full(len(pos), window)
+                    out.append((anchor, pos, length, pos + w.first[i], np.full(len(pos), r)))
+                anchor, pos, length, first, row = (np.concatenate(x) for x in zip(*out, strict=True))
+                for a in range(0, len(pos), 1 << 15):
+                    z = slice(a, a + (1 << 15))
+                    digest = said.digests(first[z], first[z] + length[z])
                     take = pa.array(row[z])
                     variant = b.column("variant").take(take).to_numpy(zero_copy_only=False)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[z]), pa.array(e[z]), b.column("doc").take(take),
-                         pa.array((variant << 32) + at[z])], names=["anchor", "edge", "doc", "at"])
+                        [pa.array(anchor[z]), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()),
+                         b.column("doc").take(take), pa.array((variant << 32) + pos[z]),
+                         pa.array(length[z].astype(np.int32))],
+                        names=["anchor", "hi", "lo", "doc", "at", "len"])
 
-    return _read_again(docs, per_doc).mapInArrow(expand, "anchor long, edge long, doc long, at long")
+    # Rows that repeat a document are read once.
+    texts = _read_again(docs, per_doc).dropDuplicates(["doc", "variant"])
+    return texts.mapInArrow(read, _READ)
 
 
 def repeated_spans(docs: DataFrame, paths: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, at, len, source): word runs that also occur in the smaller document ``source``."""
     rows = path_rows(paths)
-    anchors = rows.groupBy("anchor").agg(
-        F.min("path").alias("p0"), F.max("path").alias("p1"), F.min("doc").alias("first"), F.max("doc").alias("last")
-    ).where("last > first").select("anchor", (F.col("p0") != F.col("p1")).alias("branches"), "first")
-    anchors = saved(anchors, "substrings-anchors")
-    shared = saved(rows.join(anchors, "anchor"), "substrings-shared")
+    met = rows.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    met = saved(met.where("last > first").select("anchor"), "substrings-met")
+    read = saved(_read_words(docs, rows.join(met, "anchor"), window, edges=False), "substrings-read")
+
+    anchors = read.groupBy("anchor").agg(
+        F.min("hi").alias("h0"), F.max("hi").alias("h1"), F.min("lo").alias("l0"), F.max("lo").alias("l1"),
+        F.min("doc").alias("first"), F.max("doc").alias("last"),
+    ).where("last > first").select("anchor", F.expr("h0 != h1 or l0 != l1").alias("branches"), "first")
+    shared = saved(read.join(saved(anchors, "substrings-anchors"), "anchor"), "substrings-shared")
     whole = shared.where("not branches and doc > first").select("doc", "at", "len", F.col("first").alias("source"))
 
     branching = shared.where("branches").drop("branches", "first")
+    words = ["anchor", "hi", "lo"]
     distinct = saved(
-        branching.groupBy("anchor", "path").agg(F.min(F.struct("doc", "at", "len")).alias("f")).select(
-            "anchor", "path", F.col("f.doc").alias("first"), F.col("f.at").alias("at0"), F.col("f.len").alias("len0")),
+        branching.groupBy(*words).agg(F.min(F.struct("doc", "at", "len")).alias("f")).select(
+            *words, F.col("f.doc").alias("first"), F.col("f.at").alias("at0"), F.col("f.len").alias("len0")),
         "substrings-branches",
     )
-    copies = branching.join(distinct.select("anchor", "path", "first"), ["anchor", "path"]).where(
+    copies = branching.join(distinct.select(*words, "first"), words).where(
         "doc > first").select("doc", "at", "len", F.col("first").alias("source"))
-    wanted = distinct.select(
-        F.col("first").alias("doc"), F.shiftright("at0", 32).alias("variant"),
-        F.col("at0").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"), F.col("len0").alias("len"), "anchor")
-    edges = saved(_edges(docs, wanted, window), "substrings-edges")
-    common = edges.groupBy("anchor", "edge").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(
-        "last > first").select("anchor", "edge", "first")
+    wanted = distinct.select(F.col("first").alias("doc"), F.col("at0").alias("at"), F.col("len0").alias("len"), "anchor")
+    edges = saved(_read_words(docs, wanted, window, edges=True), "substrings-edges")
+    common = edges.groupBy(*words).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(
+        "last > first").select(*words, "first")
     common = saved(common, "substrings-common")
-    single = edges.join(common, ["anchor", "edge"]).where("doc > first").select(
-        "doc", "at", F.lit(window).alias("len"), F.col("first").alias("source"))
+    single = edges.join(common, words).where("doc > first").select(
+        "doc", "at", "len", F.col("first").alias("source"))
     return whole.unionByName(copies).unionByName(single)
 
 

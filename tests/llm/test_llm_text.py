@@ -610,3 +610,14 @@ def test_labels_of_absent_documents_leave_no_gaps(spark):
     marked = spark.range(0, 40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
     rows = labels.sample_rows(docs, marked, "quality", 5, 0, 300).collect()
     assert len(rows) == 300 and all(r["doc_id"] % 4 == 0 and r["doc_id"] % 10 for r in rows)
+
+
+def test_substrings_do_not_depend_on_hashes(spark, monkeypatch):
+    """With anchors cut to a few bits every window meets every other; the words decide."""
+    real = substrings.gram_hashes
+    monkeypatch.setattr(substrings, "gram_hashes", lambda h, k, seed=1: real(h, k, seed) & np.uint64(7))
+    rows = [(i, prose(40 + i % 3, 130) + " " + prose(i, 70) + " " + prose(90 + i % 2, 60)) for i in range(12)]
+    rows += [(20, rows[3][1]), (20, rows[3][1]), (21, None), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup_substrings(df).collect()}
+    assert got == set(brute_substrings(rows, 50))
