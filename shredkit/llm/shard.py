@@ -11,13 +11,14 @@ Rule (independent of partitions and of the order of the input)::
 
     size   = UTF-8 bytes of the text (null: 0) + 1
     unit   = all rows of equal text; a group larger than ``tolerance`` of a
-             shard is not kept whole: there every doc_id is its own unit
-    order  = whole groups by key, then the rows of large groups by (key, doc_id)
+             shard is not kept whole: there every doc_id is its own unit, and where the
+             rows that repeat one doc_id are larger than that, they are divided too
+    order  = whole groups by key, then the rows of large groups by (key, doc_id), then
+             the rows of repeated doc_ids that are divided
     shard  = floor(n_shards * (bytes before the unit + half its bytes) / all bytes)
 
 So no shard is more than one unit away from ``total / n_shards`` at either
-end, and units are at most ``tolerance`` of a shard or one document (rows that
-repeat one doc_id in a large group count as one).
+end, and units are at most ``tolerance`` of a shard or one document.
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ from shredkit.llm.frames import fresh, hex_long, quoted, saved, text_or_empty, w
 KEY_BITS = 60
 PROBES = 4096
 PART_BYTES = 32 << 20
-MIN_CELL_BITS, MAX_CELL_BITS = 12, 16
+MIN_CELL_BITS, MAX_CELL_BITS = 12, 18
+#: Pieces that a large group is cut into at most, by doc_id.
+MAX_PIECES = 4096
+#: Equal rows (text and doc_id) that are too many for one unit are told apart by so many numbers.
+SALTS = 1 << 20
 NO_ID = -(1 << 63)
 
 
@@ -46,8 +51,8 @@ def shard_by_bytes(
     """``docs`` with ``size``, ``shard`` and ``slot`` (gapless from 0 per shard).
 
     Null texts count as empty ones. Rows without a doc_id come first in their
-    group. Rows that repeat one doc_id and text get neighbouring slots in any
-    order. An empty table gives an empty result. Input columns called
+    group. Rows that repeat one doc_id and text are interchangeable: they get neighbouring
+    slots in any order, or places in several shards where they are very many. An empty table gives an empty result. Input columns called
     ``size``, ``shard`` or ``slot`` are replaced.
     """
     docs = without(docs, "size", "shard", "slot")
@@ -71,11 +76,18 @@ def shard_by_bytes(
 
     cell_bits = min(max(math.ceil(math.log2(total / PART_BYTES + 1)), MIN_CELL_BITS), MAX_CELL_BITS)
     large = _large_groups(keys, total, n_shards, tolerance, PART_BYTES)
-    keys = _parted(keys, large, cell_bits)
+    hot = _hot_units(keys, large, tolerance * total / n_shards)
+    pieces = None
+    if not hot.isEmpty():
+        pieces = fresh(docs, "_pieces")
+        rows = _divided(rows, hot, h, d, pieces)
+        keys = rows.select(F.col(h).alias("h"), F.col(d).alias("d"), "size", F.col(pieces).alias("pieces"))
+        keys = saved(keys, "shard-keys")
+    keys = _parted(keys, large, cell_bits, pieces=pieces and "pieces")
     parts = saved(_offsets(keys), "shard-parts")
     bounds = _splitters(keys, parts, total, n_shards)
 
-    work = _parted(rows, large, cell_bits, h, d, heavy, part)
+    work = _parted(rows, large, cell_bits, h, d, heavy, part, pieces)
     place = F.lit(0)
     start = F.lit(0).cast("long")
     for b in bounds:
@@ -103,29 +115,60 @@ def _large_groups(keys: DataFrame, total: int, n_shards: int, tolerance: float,
     limit = tolerance * total / n_shards
     big = keys.groupBy("h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > F.lit(limit))
     big = saved(big.withColumnRenamed("h", "big_h"), "shard-large")
-    n = min(256, max(8, math.ceil(total / part_bytes)))
+    n = min(MAX_PIECES, max(8, math.ceil(total / part_bytes)))
     cuts = [i / n for i in range(1, n)]
     return saved(
         keys.join(F.broadcast(big.select("big_h")), F.col("h") == F.col("big_h"))
         .groupBy("big_h")
-        .agg(F.array_distinct(F.percentile_approx("d", cuts, 1000)).alias("cuts")),
+        .agg(F.array_distinct(F.percentile_approx("d", cuts, max(1000, 4 * n))).alias("cuts")),
         "shard-cuts",
     )
 
 
+def _hot_units(keys: DataFrame, large: DataFrame, limit: float) -> DataFrame:
+    """(hot_h, hot_d, pieces): repeated doc_ids of large groups whose rows together are above the
+    tolerance; at most n_shards / tolerance of them."""
+    big = keys.join(F.broadcast(large.select("big_h")), F.col("h") == F.col("big_h"))
+    units = big.groupBy("h", "d").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    return saved(units.where((F.col("bytes") > F.lit(limit)) & (F.col("n") > 1)).select(
+        F.col("h").alias("hot_h"), F.col("d").alias("hot_d"),
+        F.ceil(F.col("bytes") / PART_BYTES).cast("int").alias("pieces")), "shard-hot")
+
+
+def _divided(rows: DataFrame, hot: DataFrame, h: str, d: str, pieces: str) -> DataFrame:
+    """``rows`` with ``pieces`` (null but for hot units). The rows of a hot unit get a number as
+    their ``d`` and a key of their own as their ``h``; they are written, so that the numbers hold."""
+    hot = hot.withColumnsRenamed({"hot_h": f"{h}_hot", "hot_d": f"{d}_hot", "pieces": pieces})
+    marked = rows.join(F.broadcast(hot), (F.col(h) == F.col(f"{h}_hot")) & (F.col(d) == F.col(f"{d}_hot")), "left")
+    key = F.shiftrightunsigned(F.xxhash64(f"{h}_hot", f"{d}_hot"), 64 - KEY_BITS)
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))
+    parts = []
+    for there in (True, False):
+        some = marked.where(F.col(pieces).isNotNull() if there else F.col(pieces).isNull())
+        if there:
+            some = some.withColumns({h: key, d: number})
+        some = some.drop(f"{h}_hot", f"{d}_hot")
+        parts.append(saved(some, "shard-divided") if there else some)
+    return parts[1].unionByName(parts[0])
+
+
 def _parted(rows: DataFrame, large: DataFrame, cell_bits: int, h: str = "h", d: str = "d",
-            heavy: str = "heavy", part: str = "part") -> DataFrame:
-    """Add (heavy, part): ordered pieces of the key space that one task can sort.
-    Whole groups are cut by key bits, large groups by doc_id."""
+            heavy: str = "heavy", part: str = "part", pieces: str | None = None) -> DataFrame:
+    """Add (heavy, part): ordered pieces of the key space that one task can sort. Whole groups
+    (heavy 0) are cut by key bits, large groups (1) by doc_id, hot units (2) by number."""
     big, cuts = fresh(rows, "_big_h"), fresh(rows, "_cuts")
     large = large.select(F.col("big_h").alias(big), F.col("cuts").alias(cuts))
     out = rows.join(F.broadcast(large), F.col(h) == F.col(big), "left")
     sub = F.size(F.filter(F.col(cuts), lambda c: c < F.col(d)))
-    cell = F.when(F.col(big).isNull(), F.shiftright(F.col(h), KEY_BITS - cell_bits)).otherwise(F.col(h))
+    kind = F.col(big).isNotNull().cast("int")
     piece = F.when(F.col(big).isNull(), F.lit(0)).otherwise(sub)
+    if pieces:
+        kind = F.when(F.col(pieces).isNotNull(), 2).otherwise(kind)
+        piece = F.when(F.col(pieces).isNotNull(), F.floor(F.col(d) * F.col(pieces) / SALTS).cast("int")).otherwise(piece)
+    cell = F.when(kind == 0, F.shiftright(F.col(h), KEY_BITS - cell_bits)).otherwise(F.col(h))
     return out.select(
         [F.col(quoted(c)) for c in rows.columns]
-        + [F.col(big).isNotNull().cast("int").alias(heavy), F.struct(cell.alias("h"), piece.alias("d")).alias(part)]
+        + [kind.alias(heavy), F.struct(cell.alias("h"), piece.alias("d")).alias(part)]
     )
 
 
@@ -224,9 +267,9 @@ def _at_or_after(b: dict, heavy: Column, h: Column, d: Column) -> Column:
     """Is a row at the boundary unit (or only behind it) in the global order?"""
     if not b["heavy"]:
         same = (h >= b["h"]) if b["here"] else (h > b["h"])
-        return (heavy == 1) | same
+        return (heavy > 0) | same
     last = (d >= b["d"]) if b["here"] else (d > b["d"])
-    return (heavy == 1) & ((h > b["h"]) | ((h == b["h"]) & last))
+    return (heavy > b["heavy"]) | ((heavy == b["heavy"]) & ((h > b["h"]) | ((h == b["h"]) & last)))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

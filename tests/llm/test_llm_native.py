@@ -172,3 +172,20 @@ def test_very_many_copies_are_drawn_in_chunks(spark, monkeypatch):
         got = sorted(r[5] for r in whole if r[0] == doc_id)
         assert got == sorted(list(range(1, want + 1)) * repeats)
         assert {r[6] for r in whole if r[0] == doc_id} == {want}
+
+
+def test_sharding_divides_very_many_equal_rows(spark):
+    """One document repeated until it is half of all bytes, as mixing does: no unit of it, no task
+    that sorts it whole, and near equal shards."""
+    rows = [(i, f"text {i} " * (5 + i % 40)) for i in range(1500)]
+    total = sum(len(t) for _, t in rows)
+    rows += [(9000, "again " * 50)] * (total // 300)
+    rows += [(9001, "other " * 30)] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = shard.shard_by_bytes(docs)
+    assert python_free(out)
+    got = out.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+    check_shards(got, 8, 0.01 * sum(r["size"] for r in got) / 8 + max(r["size"] for r in got))
+    hot = Counter(r["shard"] for r in got if r["doc_id"] == 9000)
+    assert len(hot) >= 3
