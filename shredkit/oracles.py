@@ -295,6 +295,12 @@ def oracle_sql() -> dict[str, str]:
         "SELECT o_orderkey AS order_id, CAST(o_totalprice AS VARCHAR) AS total, CAST(NULL AS VARCHAR) AS note, "
         "CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS status, c_name AS buyer "
         "FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+    q["catalog_names"] = ("SELECT c_custkey, c_name, 'my__customers' AS prefix, false AS before, true AS after "
+                          "FROM customer")
+    q["sorted_files"] = (
+        "SELECT 'main' AS part, count(*) AS n, 0::BIGINT AS out_of_order FROM orders UNION ALL "
+        "SELECT 'items', count(*), 0 FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_quantity, l_shipdate "
+        "FROM lineitem JOIN orders ON o_orderkey = l_orderkey)")
     q["jdbc_bounds"] = "SELECT CASE WHEN c_custkey % 9 <> 0 THEN c_custkey END AS k, c_custkey, c_nationkey FROM customer"
     q["json_text_mixed"] = (
         f"SELECT event_id, CASE WHEN event_id % 5 IN (2, 4) THEN {k} END AS k, "

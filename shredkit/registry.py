@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shredkit.config import FlattenOptions, IngestConfig
@@ -21,7 +21,15 @@ from shredkit.functions.names import snake_case
 from shredkit.functions.text import parse_date
 from shredkit.operators.ingest import ingest_batch, ingest_json_column, ingest_mapped, stage_family
 from shredkit.operators.rebuild import rebuild_documents
-from shredkit.operators.tables import append_table, commit, create_table, save_table, with_file_key
+from shredkit.operators.tables import (
+    append_table,
+    commit,
+    create_table,
+    qualified_name,
+    save_table,
+    table_exists,
+    with_file_key,
+)
 from shredkit.operators.upsert import merge_upsert
 from shredkit.plans import nest
 from shredkit.plans.flatten import dedup_children, flatten
@@ -706,6 +714,35 @@ def ingest_mapped_q(spark, d):
     return main.join(child, "order_id")
 
 
+def catalog_names(spark, d):
+    """A table under its qualified, snake-cased name does not exist, is saved, exists."""
+    name = qualified_name(f"My-Customers{uuid.uuid4().hex[:8]}.json")
+    before = table_exists(spark, name)
+    save_table(_t(spark, d, "customer").select("c_custkey", "c_name"), name, ["c_custkey"],
+               location=scratch_path(spark, "tables"))
+    prefix = name[:len("my__customers")]
+    return spark.table(name).select("c_custkey", "c_name", F.lit(prefix).alias("prefix"), F.lit(before).alias("before"),
+                                    F.lit(table_exists(spark, name)).alias("after"))
+
+
+def sorted_files(spark, d):
+    """O1/O2: every file of a saved main and child table is sorted by its key, over two layers."""
+    doc = nest.nested_orders(spark, d)
+    name = _table_name("orders_sorted")
+    cfg = IngestConfig(table=name, id_field="o_orderkey", location=scratch_path(spark, "tables"), options=NO_JSON)
+    ingest_batch(doc.where("o_orderkey % 4 <> 0"), cfg)
+    ingest_batch(doc.where("o_orderkey % 4 = 0"), cfg)
+    out = []
+    for table, key in ((name, "o_orderkey"), (f"{name}_items", PARENT_ID)):
+        files = spark.read.parquet(*spark.table(table).inputFiles()).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.col(key).alias("key"))
+        below = F.col("key") < F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+        out.append(files.withColumn("below", below.cast("int")).agg(
+            F.lit("main" if table == name else "items").alias("part"), F.count(F.lit(1)).alias("n"),
+            F.sum(F.coalesce("below", F.lit(0))).alias("out_of_order")))
+    return out[0].unionByName(out[1])
+
+
 def jdbc_bounds(spark, d):
     """The reader finds the key's bounds itself; rows without a key are read too."""
     url = f"jdbc:derby:memory:shredkit_{uuid.uuid4().hex[:8]};create=true"
@@ -793,4 +830,6 @@ def queries() -> dict[str, Query]:
         "managed_columns": managed_columns,
         "jdbc_bounds": jdbc_bounds,
         "ingest_mapped": ingest_mapped_q,
+        "catalog_names": catalog_names,
+        "sorted_files": sorted_files,
     }
