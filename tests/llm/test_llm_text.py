@@ -621,3 +621,23 @@ def test_substrings_do_not_depend_on_hashes(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup_substrings(df).collect()}
     assert got == set(brute_substrings(rows, 50))
+
+
+def test_queries_meet_few_groups_of_clustered_vectors(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    centers = r.normal(0, 4, (30, 8))
+    rows = [(i, (centers[i % 30] + r.normal(0, 0.05, 8)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    counts, real = [], topk._visits
+
+    def counted(asked, roots, groups, first):
+        out = real(asked, roots, groups, first).cache()
+        counts.append((asked.count(), out.count(), sum(groups.values())))
+        return out
+
+    monkeypatch.setattr(topk, "_visits", counted)
+    got = {tuple(x) for x in topk.top_k(df, every=100, group_rows=200).collect()}
+    assert got == brute_top(rows, every=100)
+    (queries, met, groups), (_, more, _) = counts
+    assert met == queries == 60 and groups >= 30
+    assert more < queries * groups / 4  # of all groups, most are out of reach after the first search
