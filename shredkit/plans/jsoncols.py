@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructTy
 from shredkit.constants import INNER_MANAGED, MANAGED
 from shredkit.functions.names import col
 from shredkit.functions.text import is_json_candidate, is_json_object
-from shredkit.plans.jsontypes import MAP_KEYS, VOID, merge, merged_types, read_tree, to_type
+from shredkit.plans.jsontypes import MAP_KEYS, VOID, merge, merged_types, ordered, read_tree, to_type
 
 log = logging.getLogger(__name__)
 
@@ -179,7 +179,7 @@ def _infer_group(df: DataFrame, paths: list[tuple[str, Column, bool]], map_keys:
         a = to_type(a_tree) if a_tree else None
         chosen: DataType | None = o or a
         if o is not None and a is not None:  # both shapes: objects read as arrays of one
-            records = to_type(merge(o_tree, trees.get(3 * i + 2, VOID), map_keys))
+            records = to_type(ordered(merge(o_tree, trees.get(3 * i + 2, VOID), map_keys)))
             if isinstance(a, ArrayType) and isinstance(a.elementType, (StructType, MapType)):
                 chosen = ArrayType(records)
             else:

@@ -158,7 +158,7 @@ def to_type(tree: tuple, untyped: bool = True) -> DataType | None:
     if tree[0] == "MAP":
         return MapType(StringType(), to_type(tree[1], untyped) or StringType())
     if tree[0] == "OBJECT":
-        fields = [(n, to_type(tree[1][n], untyped)) for n in sorted(tree[1])]
+        fields = [(n, to_type(t, untyped)) for n, t in tree[1].items()]
         fields = [StructField(n, t) for n, t in fields if t is not None]
         return StructType(fields) if fields else None
     if tree[0] == "DECIMAL":
@@ -168,6 +168,13 @@ def to_type(tree: tuple, untyped: bool = True) -> DataType | None:
     return _SIMPLE.get(tree[0], StringType)()
 
 
+def ordered(tree: tuple) -> tuple:
+    """The tree with the fields of every object by name, in whatever order they were merged."""
+    if tree[0] == "OBJECT":
+        return ("OBJECT", {n: ordered(tree[1][n]) for n in sorted(tree[1])})
+    return (tree[0], ordered(tree[1])) if tree[0] in ("ARRAY", "MAP") else tree
+
+
 def dump(tree: tuple) -> str:
     return json.dumps(tree)
 
@@ -210,4 +217,4 @@ def merged_types(types: DataFrame, limit: int = MAP_KEYS, roots: bool = False) -
     out: dict[int, tuple] = {}
     for r in rows.collect():
         out[r["slot"]] = join(out.get(r["slot"], VOID), load(r["tree"]), limit)
-    return out
+    return {slot: ordered(t) for slot, t in out.items()}

@@ -151,7 +151,8 @@ def _documents(raw: Column, text: Column, st: StructType) -> Column:
     """The documents of a text as an array of (doc, bad); null for a null text.
 
     Usually one parse with an array schema. Only where that fails is the text split into
-    its elements, so that one element that is no document leaves the others alone.
+    its elements, so that one element that is no document leaves the others alone; an array
+    without any document stays whole.
     """
     row = StructType([StructField("doc", st), StructField("bad", StringType())])
 
@@ -171,5 +172,6 @@ def _documents(raw: Column, text: Column, st: StructType) -> Column:
     whole = docs.isNotNull() & ~F.exists(docs, lambda d: d.isNull())
     return F.when(raw.isNull(), F.lit(None)) \
             .when(whole, F.transform(docs, lambda d: one(d, F.lit(None)))) \
-            .when(elements.isNotNull(), F.transform(elements, element)) \
+            .when(F.exists(elements, lambda v: F.schema_of_variant(v).startswith("OBJECT<")),
+                  F.transform(elements, element)) \
             .otherwise(F.array(one(F.lit(None), raw)))
