@@ -7,8 +7,9 @@ was, a crash after it is completed by the next ingest (or :func:`finish_commit`)
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
 from shredkit.config import IngestConfig
-from shredkit.constants import CONTENT_HASH, PARENT_ID
-from shredkit.functions.names import quote_name
+from shredkit.constants import CONTENT_HASH, PARENT_ID, ROW_IDX
+from shredkit.functions.names import col, quote_name
 from shredkit.operators.tables import (
     Staged,
     commit,
@@ -34,25 +35,76 @@ from shredkit.session import parallelism, safe_planning, scoped_conf
 from shredkit.sources.json import CORRUPT, parse_json_column
 
 
-def _persist_spread(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Persist the batch, spreading it first when it has fewer partitions than cores.
+#: Text bytes of the documents that one task of a dealt batch holds. An id with more documents than
+#: that, and with several times a task's share, is hot: its batch is not dealt by id.
+DEAL_BYTES = 64 * 1024 * 1024
 
-    Each document fans out into many child rows, so the batch's partition
-    count sets the parallelism of every table built from it. A source with
-    plenty of splits (the normal case on a cluster) is kept as it is; a batch
-    in a handful of partitions (one small file, one row group) is dealt
-    round-robin over the cores. Nothing is filled yet: the first write does that. Also returns
-    the cache that the dealing reads from, which is spare after that write.
+
+@dataclass
+class _Batch:
+    """A persisted batch. ``dealt``: by its id, over a multiple of the tables' buckets."""
+
+    df: DataFrame
+    dealt: bool
+    caches: list[DataFrame]  # what was persisted here, in the order in which it is read
+    spare: DataFrame | None = None  # the one that is not read once ``df`` is filled
+
+    def filled(self) -> None:
+        if self.spare:
+            self.spare.unpersist()
+            self.caches.remove(self.spare)
+            self.spare = None
+
+    def release(self) -> None:
+        for df in self.caches:
+            df.unpersist()
+
+
+def _persist_spread(df: DataFrame, id_field: str | None = None, buckets: int = 1) -> _Batch:
+    """Persist the batch, dealt so that every table built from it is written where it lies.
+
+    Documents are dealt by their id once, over a multiple of the tables' buckets: a task then
+    holds all documents of its ids and one bucket of every table, so the children, which
+    are several times as large, are deduplicated and written without any further
+    shuffle. The number of tasks follows the batch's size, which one job measures (it fills
+    the cache that the dealing reads from). Where one id holds more than a task should (a hot
+    parent spread over many documents), or without an id, the batch is kept as it is, or dealt
+    round-robin if it has fewer partitions than cores. A batch that lies so already (after a join
+    by the id over a multiple of the buckets) stays where it is; one that the caller persisted is
+    not persisted again, and stays.
     """
     want = parallelism(df.sparkSession)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    level = df.storageLevel
+    own = not (level.useMemory or level.useDisk)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK) if own else df
+    caches = [kept] if own else []
     try:
         have = kept.rdd.getNumPartitions()
     except Exception:  # Spark Connect: no RDD view; keep the source's partitions
         have = want
-    if have >= want:
-        return kept, None
-    return kept.repartition(want).persist(StorageLevel.MEMORY_AND_DISK), kept
+    tasks, lies = _deal_width(kept, id_field, buckets, want, have) if id_field in kept.columns else (0, False)
+    if lies or (not tasks and have >= want):
+        return _Batch(kept, lies, caches)
+    dealt = kept.repartition(tasks, col(id_field)) if tasks else kept.repartition(want)
+    dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    return _Batch(dealt, bool(tasks), [*caches, dealt], kept if own else None)
+
+
+def _deal_width(df: DataFrame, id_field: str, buckets: int, cores: int, have: int) -> tuple[int, bool]:
+    """The number of tasks to deal documents by id over (0 if some id is too large for that), and
+    whether they lie so already, in ``have`` partitions that are no larger."""
+    size = F.length(F.to_json(F.struct(*[col(c) for c in df.columns]))).cast("long")
+    away = F.pmod(F.hash(col(id_field)), F.lit(have)) != F.spark_partition_id()
+    seen = df.select(size.alias("size"), away.cast("long").alias("away"))
+    total, misplaced = seen.agg(F.sum("size"), F.sum("away")).first()
+    total = total or 0
+    tasks = buckets * max(1, math.ceil(max(total / DEAL_BYTES, cores) / buckets))
+    if total > DEAL_BYTES:
+        # A third of the documents may have one id: summed map-side, never brought together.
+        largest = df.groupBy(col(id_field)).agg(F.sum(size).alias("size")).agg(F.max("size")).first()[0]
+        if largest > max(DEAL_BYTES, 4 * total / tasks):
+            return 0, False
+    return tasks, not misplaced and have % buckets == 0 and have >= cores and total <= 2 * DEAL_BYTES * have
 
 
 class _Counted:
@@ -104,9 +156,8 @@ def stage_family(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | N
         return [stage_table(df, cfg.table, [cfg.id_field], cfg.date_field, cfg.date_format,
                             cfg.file_key, cfg.buckets, cfg.on_duplicate, cfg.latest_by,
                             location=cfg.location, ledger=ledger)]
-    spare = None
-    if cfg.persist:
-        df, spare = _persist_spread(df)
+    batch = _persist_spread(df, cfg.id_field, cfg.buckets) if cfg.persist else _Batch(df, False, [])
+    df = batch.df
     try:
         # Empty tables show in the counts of the writes: no job of their own asks for them.
         tables = flatten(df, cfg.id_field, cfg.table, replace(cfg.options, skip_empty=False))
@@ -120,9 +171,8 @@ def stage_family(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | N
                 key = cfg.id_field if cfg.id_field in t.df.columns else PARENT_ID
                 written = stage_table(t.df, name, [key], cfg.date_field, cfg.date_format, cfg.file_key,
                                       cfg.buckets, cfg.on_duplicate, cfg.latest_by, location=cfg.location,
-                                      ledger=ledger)
-                if spare:
-                    spare.unpersist()
+                                      ledger=ledger, dealt=batch.dealt)
+                batch.filled()
                 if not t.any():  # an idle micro-batch: touches nothing
                     discard(df.sparkSession, written)
                     return []
@@ -132,17 +182,14 @@ def stage_family(df: DataFrame, cfg: IngestConfig, ledger: Mapping[str, int] | N
                                       replace_keys=[PARENT_ID] if cfg.replace_children else None,
                                       location=cfg.location,
                                       append_only=cfg.children_append_only and not cfg.replace_children,
-                                      ledger=ledger)
+                                      ledger=ledger, dealt=batch.dealt and ROW_IDX not in t.df.columns)
                 if cfg.options.skip_empty and not t.any():
                     discard(df.sparkSession, written)
                     continue
             staged.append(written)
         return staged
     finally:
-        if cfg.persist:
-            df.unpersist()
-        if spare:
-            spare.unpersist()
+        batch.release()
 
 
 def ingest_mapped(df: DataFrame, mappings: Mapping[str, Sequence], cfg: IngestConfig,
@@ -161,17 +208,14 @@ def ingest_mapped(df: DataFrame, mappings: Mapping[str, Sequence], cfg: IngestCo
         return []
     keys = {table: _mapped_key(table, entries, cfg.id_field) for table, entries in mappings.items()}
     with scoped_conf(spark, safe_planning(spark)):
-        kept, spare = _persist_spread(df) if cfg.persist else (df, None)
+        batch = _persist_spread(df) if cfg.persist else _Batch(df, False, [])
         try:
-            staged = [stage_table(project_mapping(kept, entries, cfg.date_format), table, [keys[table]],
+            staged = [stage_table(project_mapping(batch.df, entries, cfg.date_format), table, [keys[table]],
                                   cfg.date_field, None, cfg.file_key, cfg.buckets, cfg.on_duplicate, cfg.latest_by,
                                   location=cfg.location, ledger=ledger)
                       for table, entries in mappings.items()]
         finally:
-            if cfg.persist:
-                kept.unpersist()
-            if spare:
-                spare.unpersist()
+            batch.release()
         commit(spark, staged, main)
     return [s.name for s in staged]
 

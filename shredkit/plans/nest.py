@@ -10,12 +10,14 @@ so they come out the same however many documents a key has.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shredkit.constants import DATE_FORMAT
+from shredkit.session import parallelism
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,14 +55,28 @@ def orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "o_orderdate", "o_orderpriority", "customer")
 
 
-def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of lineitem per partition where nested orders are built for an ingest.
+INGEST_ROWS = 500_000
+
+
+def ingest_tasks(spark: SparkSession, sf_dir: str, buckets: int) -> int:
+    """A multiple of the tables' buckets that suits the size of nested orders (lineitem's footers count it)."""
+    wanted = max(table(spark, sf_dir, "lineitem").count() / INGEST_ROWS, parallelism(spark))
+    return buckets * max(1, math.ceil(wanted / buckets))
+
+
+def nested_orders(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """orders + ``customer struct<c_name, c_mktsegment>`` +
-    ``items array<struct<l_linenumber, l_returnflag, l_quantity, l_shipdate>>``."""
+    ``items array<struct<l_linenumber, l_returnflag, l_quantity, l_shipdate>>``.
+
+    With ``tasks`` the join by order is made over so many partitions."""
     li = table(spark, sf_dir, "lineitem")
     items = nest_rows(li, ["l_orderkey"],
                       ["l_linenumber", "l_returnflag", "l_quantity", "l_shipdate"],
                       "items", "l_linenumber")
     orders = orders_with_customer(spark, sf_dir)
+    if tasks:
+        orders, items = orders.repartition(tasks, "o_orderkey"), items.repartition(tasks, "l_orderkey")
     return orders.join(items, orders.o_orderkey == items.l_orderkey, "left").drop("l_orderkey")
 
 
