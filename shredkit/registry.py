@@ -524,7 +524,7 @@ def stream_upsert(spark, d):
     previous ones wrote (the file list is split in two triggers)."""
     doc = nest.nested_orders(spark, d)
     src = scratch_path(spark, "stream-src")
-    doc.write.json(src)
+    doc.write.json(src, compression="gzip")
     files = len(spark.read.text(src).inputFiles())  # a listing: nothing is read
     name = _table_name("orders_stream2")
     cfg = IngestConfig(table=name, id_field="o_orderkey", on_duplicate="allow",
