@@ -695,11 +695,11 @@ def rebuild_documents_q(spark, d):
 
 def skip_empty_q(spark, d):
     """L2: child tables without rows are not created; the counts come from the writes."""
-    doc = nest.nested_orders(spark, d).withColumn("none", F.filter("items", lambda i: F.lit(False)))
     name = _table_name("orders_some")
     cfg = IngestConfig(table=name, id_field="o_orderkey", location=scratch_path(spark, "tables"),
                        options=FlattenOptions(promote_json=False, skip_empty=True))
-    tables = ingest_batch(doc, cfg)
+    with _orders_kept(spark, d) as doc:
+        tables = ingest_batch(doc.withColumn("none", F.filter("items", lambda i: F.lit(False))), cfg)
     out = [spark.table(t).agg(F.lit(t[len(name):]).alias("child"), F.count(F.lit(1)).alias("n")) for t in tables]
     for more in out[1:]:
         out[0] = out[0].unionByName(more)
