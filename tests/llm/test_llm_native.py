@@ -1,11 +1,20 @@
 """Sharding, mixing and chat formatting (native operators)."""
 
+import os
+import sys
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
+from conftest import COLUMNS
 from pyspark.sql import functions as F
 
-from shredkit.llm import chat, mix, shard
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), "..", "..", "tools"))
+
+from check_oracles import compare  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from shredkit.llm import chat, mix, shard  # noqa: E402
 
 
 def python_free(df) -> bool:
@@ -189,3 +198,14 @@ def test_sharding_divides_very_many_equal_rows(spark):
     check_shards(got, 8, 0.01 * sum(r["size"] for r in got) / 8 + max(r["size"] for r in got))
     hot = Counter(r["shard"] for r in got if r["doc_id"] == 9000)
     assert len(hot) >= 3
+
+
+def test_sharding_of_doubled_rows_matches_sql(spark, tmp_path):
+    """A table whose rows all come twice: pairs are above the tolerance, but no very many rows."""
+    rows = [(i, f"text {i} " * (5 + i % 40), "en", "a", i) for i in range(150)] * 2
+    spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = corpus_pipeline.queries()["op10_shard_bytes"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 300
+    assert compare(got, con.execute(corpus_pipeline.oracle_sql()["op10_shard_bytes"]).df()) is None
